@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, packing, substring
+from . import embeddings, langid, minhash, mixing, packing, quality, substring, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,13 @@ def queries() -> dict:
         "op1_minhash": docs(minhash.digest),
         "op2_packing": docs(packing.digest),
         "op3_language": docs(langid.digest),
+        "op4_embeddings": lambda spark, sf_dir: embeddings.digest(_table(spark, sf_dir, "embeddings")),
+        "op5_token_counts": docs(tokencount.digest),
         "op8_substring": docs(substring.digest),
         "op9_mixing": docs(mixing.digest),
+        "op10_quality": lambda spark, sf_dir: quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": minhash.ORACLE, "op8_substring": substring.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op1_minhash": minhash.ORACLE, "op4_embeddings": embeddings.ORACLE, "op8_substring": substring.ORACLE, "op9_mixing": mixing.ORACLE}
