@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, langid, lm, minhash, mixing, packing, quality, substring, tokencount
+from . import embeddings, langid, lm, minhash, mixing, packing, quality, substring, suffix, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op4_embeddings": lambda spark, sf_dir: embeddings.digest(_table(spark, sf_dir, "embeddings")),
         "op5_token_counts": docs(tokencount.digest),
         "op6_lm": docs(lm.digest),
+        "op7_suffix": docs(suffix.digest),
         "op8_substring": docs(substring.digest),
         "op9_mixing": docs(mixing.digest),
         "op10_quality": lambda spark, sf_dir: quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
