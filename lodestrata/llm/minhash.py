@@ -7,19 +7,17 @@
    confirmed on the full sets;
 4. confirmed links make components.
 
-A bucket gives stars, not all its pairs: each round compares its members with a few pivots, joins what links, and only
-buckets that still hold several components get further pivots, twice as many each time, preferring members of large
-components. The rounds end when every bucket is one component or has had all members as pivots, so no link between
-components is lost, whatever a bucket's size, while a bucket of copies costs one comparison per member. Pivots are dealt
-with a salt, so that the members of a hot pivot are compared in many tasks, each streaming over its rows.
+A bucket gives a star, not all its pairs: its members are first compared with one pivot, dealt with a salt so that those of a
+hot pivot are compared in many tasks. Most buckets are one component then. In the others every pair of members of different
+components is still compared, so that no link between components is lost: the members outside the largest component meet it
+and each other in blocks, inside tasks, each pair in the first band it shares, and only the links found come out.
 """
 
-from __future__ import annotations
-
 import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +27,8 @@ from .common import Roller, Scratch, components, free_name, mix, pieces, row_key
 BANDS, ROWS = 32, 5
 MISS = 1e-6
 BATCH = 32
+#: Members of a bucket in one task of the second round, twice.
+BLOCK = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -78,7 +78,7 @@ def _bands(bands: int, rows: int):
                 h = np.full(len(sig), j + 1, np.uint64)
                 for c in range(j * rows, (j + 1) * rows):
                     h = mix(h * np.uint64(0x100000001B3) + sig[:, c])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(keys)], ["bucket", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), j, np.int32)), pa.array(keys)], ["bucket", "band", "k"])
 
     return run
 
@@ -155,6 +155,61 @@ def _by_sets(words: int, percent: int):
     return judge
 
 
+def _blocks(words: int, percent: int, bands: int, miss: float):
+    """Links between components among the members of two blocks of a bucket, without those that follow from others found here."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
+        steps = least_matches(sig.shape[1], percent / 100, miss)
+        side, roots, texts, keys = pdf["side"].to_numpy(), pdf["root"].to_numpy(), pdf["load"].tolist(), pdf["k"].to_numpy()
+        band = int(pdf["band"].iloc[0])
+        alone = bool(pdf["b"].iloc[0] == -1 - pdf["a"].iloc[0])
+        left = np.nonzero(side == 0)[0]
+        right = left if alone else np.nonzero(side == 1)[0]
+        parent = {r: r for r in roots.tolist()}
+
+        def find(r):
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        sets: dict[int, np.ndarray] = {}
+
+        def of(i):
+            if i not in sets:
+                data = np.frombuffer(texts[i].encode(), np.uint8)
+                sets[i] = shingle_sets(data, np.array([0, len(data)]), words)[0]
+            return sets[i]
+
+        out = []
+        for i in left.tolist():
+            other = right[right > i] if alone else right
+            other = other[roots[other] != roots[i]]
+            if not len(other):
+                continue
+            same = sig[other] == sig[i]
+            # A pair that shares several bands is taken up in the first.
+            ok = same.reshape(len(other), bands, -1).all(axis=2).argmax(axis=1) == band
+            last, matches = 0, np.zeros(len(other), np.int64)
+            for n, least in steps:
+                matches += same[:, last:n].sum(axis=1)
+                ok &= matches >= least
+                last = n
+            for j in other[ok].tolist():
+                a, b = find(roots[i]), find(roots[j])
+                if a == b:
+                    continue
+                x, y = of(i), of(j)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    parent[a] = b
+                    out.append((keys[i], keys[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """docs with `n_shingles`, `component_id` (smallest id reachable) and `kept` (id = component_id); such columns of docs are replaced.
 
@@ -175,41 +230,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loads = sigs.select(F.col("k").alias("id"), F.col("sig").alias("load"))
     texts = base.select(F.col("k").alias("id"), F.col("t").alias("load"))
 
-    bucketed = scratch.save(sigs.mapInArrow(_bands(bands, rows), "bucket long, k long"), "bands")
+    bucketed = scratch.save(sigs.mapInArrow(_bands(bands, rows), "bucket long, band int, k long"), "bands")
     crowded = scratch.save(bucketed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("k").alias("p")).filter("c > 1"), "crowded")
-    members = scratch.save(bucketed.join(crowded, "bucket").select("bucket", "k", (F.col("k") == F.col("p")).alias("used"), "c"), "members-0")
-    pairs = scratch.save(bucketed.join(crowded, "bucket").filter("k <> p").select("p", "k").distinct(), "pairs-0")
+    members = scratch.save(bucketed.join(crowded, "bucket").select("bucket", "band", "k"), "members")
+    pairs = scratch.save(bucketed.join(crowded, "bucket").filter("k <> p").select("p", "k").distinct(), "pairs")
     scratch.drop("bands", "crowded")
 
-    links = tested = None
-    step, more = 0, 1
-    while True:
-        likely = scratch.save(_star(pairs, loads, _by_signature(count, percent / 100, miss)), f"likely-{step}")
-        # Texts come along only for rows of pairs that survived.
-        wanted = likely.select(F.col("p").alias("id")).union(likely.select(F.col("k").alias("id"))).distinct()
-        own = scratch.save(texts.join(wanted, "id").dropDuplicates(["id"]), f"texts-{step}")
-        new = scratch.save(_star(likely, own, _by_sets(words, percent)).select(F.col("p").alias("a"), F.col("k").alias("b")), f"links-{step}")
-        scratch.drop(f"likely-{step}", f"texts-{step}")
-        links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
-        roots = scratch.save(components(scratch, links, f"cc{step}"), f"roots-{step}")
-        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-        placed = members.filter("c > 2").join(roots, members.k == roots.node, "left").select("bucket", "k", "used", "c", F.coalesce("root", "k").alias("root"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.sum(F.when(F.col("used"), 0).otherwise(1)).alias("unused")).filter("x <> y and unused > 1").select("bucket")
-        placed = placed.join(split, "bucket").join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-        order = F.row_number().over(_by_bucket())
-        now = scratch.save(placed.withColumn("turn", order).withColumn("now", ~F.col("used") & (F.col("turn") <= more)), f"members-{step + 1}")
-        pivots = now.filter("now").select("bucket", F.col("k").alias("p"), F.col("root").alias("pr"))
-        fresh = now.join(pivots, "bucket").filter("root <> pr").select(F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b"), "p", "k").groupBy("a", "b").agg(F.min("p").alias("p"))
-        fresh = fresh.select("p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("k"))
-        known = tested.select(F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b"))
-        fresh = fresh.join(known, (F.least("p", "k") == known.a) & (F.greatest("p", "k") == known.b), "left_anti")
-        scratch.drop(f"members-{step}")
-        members = now.select("bucket", "k", (F.col("used") | F.col("now")).alias("used"), "c")
-        step, more = step + 1, more * 2
-        if members.limit(1).count() == 0:
-            break
-        pairs = scratch.save(fresh, f"pairs-{step}")
+    likely = scratch.save(_star(pairs, loads, _by_signature(count, percent / 100, miss)), "likely")
+    # Texts come along only for rows of pairs that survived.
+    wanted = likely.select(F.col("p").alias("id")).union(likely.select(F.col("k").alias("id"))).distinct()
+    own = scratch.save(texts.join(wanted, "id").dropDuplicates(["id"]), "texts")
+    stars = scratch.save(_star(likely, own, _by_sets(words, percent)).select(F.col("p").alias("a"), F.col("k").alias("b")), "stars")
+    scratch.drop("pairs", "likely", "texts")
+
+    first = scratch.save(components(scratch, stars, "cc-stars"), "star-roots")
+    placed = members.join(first, members.k == first.node, "left").select("bucket", "band", "k", F.coalesce("root", "k").alias("root"))
+    split = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1 and n > 2")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rest = placed.join(split, "bucket").select("bucket", "band", "k", "root", (F.col("root") == F.col("main")).alias("main"), blocks(F.col("n_main")).alias("mains"), blocks(F.col("n") - F.col("n_main")).alias("sides"))
+    rest = rest.withColumn("i", F.pmod(F.xxhash64("k", F.lit(7)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("sides"))).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("j")
+    row = ["bucket", "band", "k", "root"]
+    # Members outside a bucket's largest component meet it and each other, a block of each at a time.
+    dealt = rest.filter("main").select(*row, "i", every("sides")).select(*row, F.col("j").alias("a"), F.col("i").alias("b"), F.lit(1).alias("side"))
+    dealt = dealt.union(rest.filter("not main").select(*row, "i", every("mains")).select(*row, F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("side")))
+    own_side = rest.filter("not main").select(*row, "i", every("sides")).select(*row, F.least("i", "j").alias("a"), (-1 - F.greatest("i", "j")).alias("b"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
+    dealt = scratch.save(dealt.union(own_side), "dealt")
+    carried = texts.join(dealt.select(F.col("k").alias("id")).distinct(), "id").dropDuplicates(["id"]).join(loads.withColumnRenamed("load", "sig"), "id")
+    carried = scratch.save(carried, "carried")
+    found = dealt.join(carried, dealt.k == carried.id).drop("id").groupBy("bucket", "a", "b").applyInPandas(_blocks(words, percent, bands, miss), "a long, b long")
+    more = scratch.save(found, "more")
+    scratch.drop("members", "dealt", "carried", "star-roots")
+    roots = scratch.save(components(scratch, stars.union(more)), "roots")
 
     low = classes.join(roots, classes.node == roots.node, "left").select("print", "low", F.coalesce(roots.root, classes.node).alias("root"))
     least = low.groupBy("root").agg(F.min("low").alias("component"))
@@ -221,12 +273,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(*(docs[c] for c in docs.columns), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(docs[id_col] == component, component.isNull()).alias("kept"))
 
 
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket").orderBy("used", F.desc("size"), "k")
-
-
 def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
