@@ -23,7 +23,7 @@ ORDER = 2
 #: Strength of the prior.
 PRIOR = 20.0
 ADD = 0.1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x369DEA0F31A53F85)
@@ -31,12 +31,24 @@ _START = np.uint64(0x369DEA0F31A53F85)
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of the texts, an end token after each, and the place of each text's first token."""
-    raw = [(x or "").encode() if isinstance(x, str) else b"" for x in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    s, e, first = word_bounds(data, offsets)
-    words = word_hashes(data, s, e, True) if len(s) else np.empty(0, np.uint64)
-    return np.insert(words, first[1:], _END), first[:-1] + np.arange(len(raw))
+    words, ends, first = [], [], 0
+    i = 0
+    while i < len(texts):
+        raw, size = [], 0
+        while i < len(texts) and (not raw or size < 1 << 20):  # bytes take several times their size as numbers
+            raw.append(texts[i].encode() if isinstance(texts[i], str) else b"")
+            size += len(raw[-1])
+            i += 1
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        s, e, at = word_bounds(data, offsets)
+        own = word_hashes(data, s, e, True) if len(s) else np.empty(0, np.uint64)
+        words.append(np.insert(own, at[1:], _END))
+        ends.append(first + at[1:] + np.arange(1, len(raw) + 1))
+        first += len(words[-1])
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(words), np.concatenate([[0], *ends])[:-1]
 
 
 def grams(words: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -129,7 +141,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(docs.dtypes)[id_col]
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("s"), F.count("*").alias("n")).first()
     blocks = max(1, -(-((size["s"] or 0) + 16 * size["n"]) // block_bytes))
-    bits = max(0, blocks - 1).bit_length()
+    bits = max(0, blocks // 2 - 1).bit_length()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t"), F.pmod(row_key(id_col, text_col), F.lit(blocks)).cast("long").alias("block"))
     sent = rows.select("train", "t", "block").groupBy("block").applyInPandas(_send(order, bits), "block long, part long, keys binary, counts binary")
     found = scratch.save(sent.groupBy("part").applyInPandas(_sum, "block long, part long, counts binary, all_tokens long, kinds long"), "counts")
