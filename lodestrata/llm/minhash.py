@@ -237,11 +237,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("bands", "crowded")
 
     likely = scratch.save(_star(pairs, loads, _by_signature(count, percent / 100, miss)), "likely")
-    # Texts come along only for rows of pairs that survived.
+    # Texts come along only for rows of pairs that survived. How many grows with the input, so they are never broadcast.
     wanted = likely.select(F.col("p").alias("id")).union(likely.select(F.col("k").alias("id"))).distinct()
-    own = scratch.save(texts.join(wanted, "id").dropDuplicates(["id"]), "texts")
+    own = scratch.save(texts.join(wanted.hint("merge"), "id").dropDuplicates(["id"]), "texts")
     stars = scratch.save(_star(likely, own, _by_sets(words, percent)).select(F.col("p").alias("a"), F.col("k").alias("b")), "stars")
     scratch.drop("pairs", "likely", "texts")
+    scratch.reclaim()
 
     first = scratch.save(components(scratch, stars, "cc-stars"), "star-roots")
     placed = members.join(first, members.k == first.node, "left").select("bucket", "band", "k", F.coalesce("root", "k").alias("root"))
@@ -256,8 +257,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.union(rest.filter("not main").select(*row, "i", every("mains")).select(*row, F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("side")))
     own_side = rest.filter("not main").select(*row, "i", every("sides")).select(*row, F.least("i", "j").alias("a"), (-1 - F.greatest("i", "j")).alias("b"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
     dealt = scratch.save(dealt.union(own_side), "dealt")
-    carried = texts.join(dealt.select(F.col("k").alias("id")).distinct(), "id").dropDuplicates(["id"]).join(loads.withColumnRenamed("load", "sig"), "id")
+    carried = texts.join(dealt.select(F.col("k").alias("id")).distinct().hint("merge"), "id").dropDuplicates(["id"]).join(loads.withColumnRenamed("load", "sig"), "id")
     carried = scratch.save(carried, "carried")
+    scratch.reclaim()
     found = dealt.join(carried, dealt.k == carried.id).drop("id").groupBy("bucket", "a", "b").applyInPandas(_blocks(words, percent, bands, miss), "a long, b long")
     more = scratch.save(found, "more")
     scratch.drop("members", "dealt", "carried", "star-roots")
