@@ -24,6 +24,8 @@ ORDER = 2
 PRIOR = 20.0
 ADD = 0.1
 BLOCK_BYTES = 4 << 20
+#: Parts in which the ranges are summed one after another, so that the grams on their way take a part of the disk.
+WAVES = 3
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x369DEA0F31A53F85)
@@ -65,7 +67,7 @@ def grams(words: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.nda
     return keys, states
 
 
-def _send(order: int, bits: int):
+def _send(order: int, bits: int, wave: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         words, first = tokens(pdf["t"].tolist())
         train = np.repeat(pdf["train"].to_numpy(bool), np.diff(np.append(first, len(words))))
@@ -75,10 +77,10 @@ def _send(order: int, bits: int):
         counts[place[-1]] += int(pdf["train"].sum())
         part = (all_keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(all_keys), np.int64)
         edge = np.searchsorted(part, np.arange((1 << bits) + 1))
-        rows = [(r, all_keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for r, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if b > a]
+        rows = [(r, all_keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for r, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if b > a and r % WAVES == wave]
         out = pd.DataFrame(rows, columns=["part", "keys", "counts"])
         out.insert(0, "block", pdf["block"].iloc[0])
-        return out
+        return out.astype({"part": "int64"})
 
     return run
 
@@ -143,9 +145,12 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     blocks = max(1, -(-((size["s"] or 0) + 16 * size["n"]) // block_bytes))
     bits = max(0, blocks // 2 - 1).bit_length()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t"), F.pmod(row_key(id_col, text_col), F.lit(blocks)).cast("long").alias("block"))
-    sent = rows.select("train", "t", "block").groupBy("block").applyInPandas(_send(order, bits), "block long, part long, keys binary, counts binary")
-    found = scratch.save(sent.groupBy("part").applyInPandas(_sum, "block long, part long, counts binary, all_tokens long, kinds long"), "counts")
-    scratch.reclaim()
+    found = None
+    for wave in range(WAVES):
+        sent = rows.select("train", "t", "block").groupBy("block").applyInPandas(_send(order, bits, wave), "block long, part long, keys binary, counts binary")
+        part = scratch.save(sent.groupBy("part").applyInPandas(_sum, "block long, part long, counts binary, all_tokens long, kinds long"), f"counts-{wave}")
+        found = part if found is None else found.union(part)
+        scratch.reclaim()
     total = found.filter("block = -1").agg(F.sum("all_tokens").alias("n"), F.sum("kinds").alias("v")).first()
     all_tokens, kinds = total["n"] or 0, total["v"] or 0
     scored = rows.groupBy("block").cogroup(found.filter("block >= 0").select("block", "part", "counts").groupBy("block")).applyInPandas(_score(order, all_tokens, kinds, prior), "id string, train boolean, n_tokens long, n_known long, base double, score double")
