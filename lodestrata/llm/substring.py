@@ -26,6 +26,8 @@ from .common import Roller, Scratch, free_name, merge_spans, pieces, row_key, si
 
 WINDOW_WORDS = 35
 GRAM_WORDS = 8
+#: Tasks that share the occurrences of one kind of stretch.
+SALTS = 16
 
 
 def stretches(symbols: np.ndarray, first: np.ndarray, window: int, gram: int):
@@ -104,7 +106,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int, gram: int,
     offs = cut.filter("not many").join(again, ["seed", "h"]).groupBy("seed", "whole").agg(F.collect_set("off").alias("offs"))
     # A kind that occurs once is one row of `kinds`: its place is known there.
     once = kinds.filter("not many").join(offs, ["seed", "whole"]).select("k", F.explode("offs").alias("o"), "start").select("k", (F.col("start") + F.col("o")).alias("s"), (F.col("start") + F.col("o") + window).alias("e"))
-    often = found.join(kinds.filter("many").select("seed", "whole"), ["seed", "whole"], "left_semi")
+    # A kind in very many rows is dealt with a salt.
+    salt = F.pmod(F.xxhash64("k", "start"), F.lit(SALTS)).cast("int")
+    repeated = kinds.filter("many").select("seed", "whole", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    often = found.filter("not same").withColumn("salt", salt).join(repeated, ["seed", "whole", "salt"], "left_semi")
     full = found.filter("same").select("k", "start", "n").union(often.select("k", "start", "n")).select("k", F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + window).alias("e"))
     out = scratch.save(full.union(once).groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     scratch.drop("found", "kinds", "cut")
