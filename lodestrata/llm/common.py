@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into NumPy arrays at a time (a longer document is one piece by itself).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 class Scratch:

@@ -60,7 +60,7 @@ def _anchors(length: int, gram: int):
         values = _byte_values(False)
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for a, b, data, offsets in pieces(batch.column(1), 1 << 20):
+            for a, b, data, offsets in pieces(batch.column(1), 1 << 19):
                 d, start, n, seed, _, _ = stretches(values[data], offsets, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(signed(seed))], ["k", "start", "n", "seed"])
 
