@@ -2,7 +2,8 @@
 
 1. Candidates. A repeated string of `length` bytes has a repeated anchor (its smallest hash among grams of `gram` bytes), so only
    windows under an anchor that occurs twice can repeat. Runs of such windows are cut at anchors of a fixed kind, which lie at
-   the same places in every copy, and equal chunks become one text with a weight.
+   the same places in every copy, and equal chunks become one text with a weight. Of the unlike chunks, the runs of windows
+   whose anchor occurs again among them go on.
 2. The chunks are dealt into pages. The suffixes of all pages are sorted by the difference cover {1, 2} mod 3: triples at
    these positions are sorted into names over key ranges (ranges of the hash-free, lexicographic order, so that sorted ranges
    are the sorted whole), names make a string of two thirds the length, and so on; after five levels a name stands for 243
@@ -36,8 +37,8 @@ CHUNK_WINDOWS = 4096
 PAGE_BYTES = 2 << 20
 RANGE_SUFFIXES = 2 << 20
 LEVELS = 5
-#: Names and ranks are range << 28 | place in the range, plus 1; 0 is the end of a page.
-PLACE = np.uint64(28)
+#: Parts of the ranges merged one after another, by level: what is on its way at a time stays a fraction of the whole.
+WAVES = {0: 3, 1: 2, 2: 2}
 SAMPLES = 256
 
 
@@ -71,27 +72,45 @@ def _chunks(length: int):
     def run(batches):
         for batch in batches:
             keys, texts, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(8)]
             for i in range(batch.num_rows):
                 raw = texts[i].as_py().encode()
                 flat = lists[i].values
-                start, n, cut = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "cut"))
+                start, n, seed, cut = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "seed", "cut"))
                 order = np.argsort(start)
-                at, size = -1, 0
-                todo = []
-                for s, m, c in zip(start[order].tolist(), n[order].tolist(), cut[order].tolist()):
-                    if at >= 0 and s == at + size and not c and size + m <= CHUNK_WINDOWS:
-                        size += m
-                        continue
-                    if at >= 0:
-                        todo.append((at, size))
-                    at, size = s, m
-                todo.append((at, size))
-                for at, size in todo:
+                chunks: list[list] = []
+                for s, m, h, c in zip(start[order].tolist(), n[order].tolist(), seed[order].tolist(), cut[order].tolist()):
+                    last = chunks[-1] if chunks else None
+                    if last is None or c or s != last[0] + last[1] or last[1] + m > CHUNK_WINDOWS:
+                        last = [s, 0, [], [], []]
+                        chunks.append(last)
+                    for x, y in zip(last[2:], (h, last[1], m)):
+                        x.append(y)
+                    last[1] += m
+                for at, size, *parts in chunks:
                     body = raw[at : at + size - 1 + length]
-                    for x, y in zip(out, (keys[i], at, size, hashlib.blake2b(body, digest_size=16).digest(), body)):
+                    for x, y in zip(out, (keys[i], at, size, hashlib.blake2b(body, digest_size=16).digest(), body, *parts)):
                         x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["k", "at", "n", "print", "body"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["k", "at", "n", "print", "body", "seeds", "offs", "sizes"])
+
+    return run
+
+
+def _runs(length: int):
+    """Texts of the runs of windows that may occur in another chunk, or twice in this one, named by chunk and place."""
+
+    def run(batches):
+        for batch in batches:
+            names, texts = [], []
+            for print_, body, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                flat = parts.values
+                off = flat.field("off").to_numpy().astype(np.int64)
+                s, e = merge_spans(off, off + flat.field("size").to_numpy())
+                for a, b in zip(s.tolist(), e.tolist()):
+                    names.append(print_ + a.to_bytes(4, "big"))
+                    texts.append(body[a : b - 1 + length])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary())], ["print", "body"])
 
     return run
 
@@ -114,10 +133,15 @@ def cover(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
 
 
-def _symbols(level: int, blob: bytes) -> np.ndarray:
+def width(total: int):
+    """Names and ranks count from 1 over all ranges; 0 is the end of a page."""
+    return np.uint32 if total < 2**32 - 16 else np.uint64
+
+
+def _symbols(level: int, blob: bytes, kind=np.uint32) -> np.ndarray:
     """The string of a level of a page; level 0: bytes + 1; level 1: three of them, which needs no sorting."""
     if level > 1:
-        return np.frombuffer(blob, np.uint64)
+        return np.frombuffer(blob, kind).astype(np.uint64)
     text = _padded(np.frombuffer(blob, np.uint8).astype(np.uint64) + np.uint64(1))
     if level == 0:
         return text[:-3]
@@ -127,14 +151,16 @@ def _symbols(level: int, blob: bytes) -> np.ndarray:
     return (text[at] << np.uint64(18) | text[at + 1] << np.uint64(9) | text[at + 2]) + np.uint64(1)
 
 
-def _triples(level: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _triples(level: int, s: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
     """High and low words of the triples at the cover, in order of the next string."""
     one, two = cover(len(s))
     at = np.concatenate([one, two])
     p = np.concatenate([_padded(s), np.zeros(1, np.uint64)])
     a, b, c = p[at], p[at + 1], p[at + 2]
     if level == 1:  # 28 bits
-        return a << np.uint64(28) | b, c
+        return a << np.uint64(28) | b, c.astype(np.uint32)
+    if kind is np.uint32:
+        return a << np.uint64(32) | b, c.astype(np.uint32)
     return a << np.uint64(21) | b >> np.uint64(21), (b & np.uint64((1 << 21) - 1)) << np.uint64(42) | c
 
 
@@ -156,21 +182,21 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], types.get(n, pa.binary())) for i, n in enumerate(names)], names)
 
 
-def _sample_triples(level: int):
+def _sample_triples(level: int, kind):
     def run(batches):
         for batch in batches:
             for blob in batch.column(1):
-                hi, _ = _triples(level, _symbols(level, blob.as_py()))
+                hi, _ = _triples(level, _symbols(level, blob.as_py(), kind), kind)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(hi[_some(len(hi))]))], ["hi"])
 
     return run
 
 
-def _send_triples(level: int, splitters: np.ndarray):
+def _send_triples(level: int, splitters: np.ndarray, kind):
     def run(batches):
         for batch in batches:
             for page, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hi, lo = _triples(level, _symbols(level, blob.as_py()))
+                hi, lo = _triples(level, _symbols(level, blob.as_py(), kind), kind)
                 part = np.searchsorted(splitters, hi, "right")
                 for r, at in _slices(part, len(splitters) + 1):
                     yield _rows([(page, r, hi[at].tobytes(), lo[at].tobytes(), at.astype(np.uint32).tobytes())], ["page", "part", "hi", "lo", "at"])
@@ -178,38 +204,51 @@ def _send_triples(level: int, splitters: np.ndarray):
     return run
 
 
-def _name(pdf: pd.DataFrame) -> pd.DataFrame:
-    hi, lo = (np.frombuffer(b"".join(pdf[x]), np.uint64) for x in ("hi", "lo"))
-    order = np.lexsort((lo, hi))
-    new = np.ones(len(order), bool)
-    new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
-    name = np.empty(len(order), np.uint32)
-    name[order] = np.cumsum(new)  # from 1
-    return _back(pdf, name, "at")
+def _name(narrow: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hi, lo = np.frombuffer(b"".join(pdf["hi"]), np.uint64), np.frombuffer(b"".join(pdf["lo"]), np.uint32 if narrow else np.uint64)
+        order = np.lexsort((lo, hi))
+        new = np.ones(len(order), bool)
+        new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
+        name = np.empty(len(order), np.uint32)
+        name[order] = np.cumsum(new)  # from 1
+        return _back(pdf, name, int(new.sum()))
+
+    return run
+
+
+def _back(pdf: pd.DataFrame, value: np.ndarray, top: int) -> pd.DataFrame:
+    """Numbers of a range for the pages they belong to; top: how many numbers the range uses."""
+    edge = np.cumsum([0, *(len(x) // 4 for x in pdf["at"])])
+    return pd.DataFrame({"page": pdf["page"], "part": pdf["part"], "at": pdf["at"], "value": [value[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], "top": top})
 
 
-def _back(pdf: pd.DataFrame, value: np.ndarray, of: str) -> pd.DataFrame:
-    edge = np.cumsum([0, *(len(x) // 4 for x in pdf[of])])
-    return pd.DataFrame({"page": pdf["page"], "part": pdf["part"], "at": pdf[of], "value": [value[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]})
+def _numbered(found: DataFrame, kind) -> DataFrame:
+    """Arrays of pages from the pieces that came back, numbered over all ranges: the driver sums one number of each range."""
+    tops = {r["part"]: r["top"] for r in found.groupBy("part").agg(F.max("top").alias("top")).collect()}
+    base, total = {}, 0
+    for part in sorted(tops):
+        base[part] = total
+        total += tops[part]
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.frombuffer(b"".join(pdf["at"]), np.uint32)
+        value = np.frombuffer(b"".join(pdf["value"]), np.uint32).astype(kind)
+        value += np.repeat(np.array([base[p] for p in pdf["part"]], kind), [len(x) // 4 for x in pdf["at"]])
+        out = np.zeros(int(at.max()) + 1, kind)
+        out[at] = value
+        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "data": [out.tobytes()]})
 
-def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An array of a page from the pieces that came back from all ranges."""
-    at = np.frombuffer(b"".join(pdf["at"]), np.uint32)
-    value = np.frombuffer(b"".join(pdf["value"]), np.uint32).astype(np.uint64)
-    part = np.repeat(pdf["part"].to_numpy(np.int64), [len(x) // 4 for x in pdf["at"]]).astype(np.uint64)
-    out = np.zeros(int(at.max()) + 1, np.uint64)
-    out[at] = (part << PLACE) + value
-    return pd.DataFrame({"page": [pdf["page"].iloc[0]], "data": [out.tobytes()]})
+    return found.select("page", "part", "at", "value").groupBy("page").applyInPandas(run, "page long, data binary")
 
 
 # ------------------------------------------------------------------ merging
 
 
-def _ranked(level: int, text: bytes, ranks: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _ranked(level: int, text: bytes, ranks: bytes, kind) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of a level and, at the cover, ranks of the suffixes there (0 elsewhere), both padded."""
-    s = _symbols(level, text)
-    r = np.frombuffer(ranks, np.uint64)
+    s = _symbols(level, text, kind)
+    r = np.frombuffer(ranks, kind)
     one, two = cover(len(s))
     rank = np.zeros(len(s) + 4, np.uint64)
     rank[np.concatenate([one, two])] = r
@@ -217,11 +256,11 @@ def _ranked(level: int, text: bytes, ranks: bytes) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([_padded(s), np.zeros(1, np.uint64)]), rank
 
 
-def _sample_ranks(level: int):
+def _sample_ranks(level: int, kind):
     def run(batches):
         for batch in batches:
             for text, ranks in zip(batch.column(1), batch.column(2)):
-                s, rank = _ranked(level, text.as_py(), ranks.as_py())
+                s, rank = _ranked(level, text.as_py(), ranks.as_py(), kind)
                 at = np.arange(1, len(s) - 4, 3)
                 at = at[_some(len(at))]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (rank[at], s[at], rank[at + 1])], ["rank", "s", "next"])
@@ -236,17 +275,18 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-_COLUMNS = ["s0", "s1", "r1", "r2", "rank"]
+def _small(level: int, kind):
+    return {0: np.uint8, 1: np.uint32}.get(level, kind)  # bytes of UTF-8, and one more, are below 256
 
 
-def _send_suffixes(level: int, splitters: np.ndarray, wave: range, length: int):
-    small = {0: np.uint16, 1: np.uint32}.get(level, np.uint64)
+def _send_suffixes(level: int, splitters: np.ndarray, wave: range, length: int, kind):
+    small = _small(level, kind)
     cut_rank, cut_pair = splitters[:, 0].copy(), _pair(splitters[:, 1], splitters[:, 2])
 
     def run(batches):
         for batch in batches:
             for page, text, ranks, sizes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
-                s, rank = _ranked(level, text.as_py(), ranks.as_py())
+                s, rank = _ranked(level, text.as_py(), ranks.as_py(), kind)
                 n = len(s) - 4
                 part = np.empty(n, np.int64)
                 zero = np.arange(0, n, 3)
@@ -262,8 +302,9 @@ def _send_suffixes(level: int, splitters: np.ndarray, wave: range, length: int):
                     print_[: len(h)] = h
                 for r, at in _slices(part, len(splitters) + 1):
                     if r in wave:
-                        kind = (at % 3).astype(np.uint8)
-                        yield _rows([(page, r, at.astype(np.uint32).tobytes(), kind.tobytes(), s[at].astype(small).tobytes(), s[at + 1].astype(small).tobytes(), np.where(kind == 2, 0, rank[at + 1]).astype(np.uint64).tobytes(), np.where(kind == 1, rank[at], rank[at + 2]).astype(np.uint64).tobytes(), rank[at[kind == 2]].tobytes(), print_[at].tobytes() if level == 0 else b"")], ["page", "part", "at", "kind", "s0", "s1", "r1", "r2", "own", "prints"])
+                        rest = at % 3
+                        blobs = (at.astype(np.uint32), s[at].astype(small), s[at + 1].astype(small), np.where(rest == 2, 0, rank[at + 1]).astype(kind), np.where(rest == 1, rank[at], rank[at + 2]).astype(kind), rank[at[rest == 2]].astype(kind))
+                        yield _rows([(page, r, *(x.tobytes() for x in blobs), print_[at].tobytes() if level == 0 else b"")], ["page", "part", "at", "s0", "s1", "r1", "r2", "own", "prints"])
 
     return run
 
@@ -288,21 +329,22 @@ def merged(kind: np.ndarray, s0: np.ndarray, s1: np.ndarray, r1: np.ndarray, r2:
     return np.concatenate([cover_, zero])[np.argsort(place, kind="stable")]
 
 
-def _merge(level: int):
-    small = {0: np.uint16, 1: np.uint32}.get(level, np.uint64)
+def _merge(level: int, kind):
+    small = _small(level, kind)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         load = lambda x, t: np.frombuffer(b"".join(pdf[x]), t)
-        kind, s0, s1, r1, r2 = load("kind", np.uint8), load("s0", small), load("s1", small), load("r1", np.uint64), load("r2", np.uint64)
-        rank = np.where(kind == 1, r2, 0).astype(np.uint64)
-        rank[kind == 2] = load("own", np.uint64)
-        order = merged(kind, s0, s1, r1, r2, rank)
+        rest = load("at", np.uint32) % 3
+        s0, s1, r1, r2 = load("s0", small), load("s1", small), load("r1", kind), load("r2", kind)
+        rank = np.where(rest == 1, r2, 0).astype(kind)
+        rank[rest == 2] = load("own", kind)
+        order = merged(rest, s0, s1, r1, r2, rank)
         if level:
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(1, len(order) + 1)
-            out = _back(pdf, place, "at")
+            out = _back(pdf, place, len(order))
             out["first"] = out["last"] = 0
-            return out[["page", "part", "at", "value", "first", "last"]]
+            return out[["page", "part", "at", "value", "top", "first", "last"]]
         h = load("prints", np.uint64)
         order = order[h[order] != 0]
         same = h[order[1:]] == h[order[:-1]]
@@ -311,12 +353,12 @@ def _merge(level: int):
         again[order[:-1][same]] = True
         edge = np.cumsum([0, *(len(x) // 4 for x in pdf["at"])])
         at, part = load("at", np.uint32), pdf["part"].iloc[0]
-        rows = [(p, part, at[a:b][again[a:b]].tobytes(), b"", 0, 0) for p, a, b in zip(pdf["page"].tolist(), edge[:-1].tolist(), edge[1:].tolist())]
+        rows = [(p, part, at[a:b][again[a:b]].tobytes(), b"", 0, 0, 0) for p, a, b in zip(pdf["page"].tolist(), edge[:-1].tolist(), edge[1:].tolist())]
         # The first and the last suffix of the range may equal one in the range beside it.
         page = np.repeat(pdf["page"].to_numpy(), np.diff(edge))
         for i, first in ((order[0], 1), (order[-1], 0)) if len(order) else ():
-            rows.append((page[i], part, at[i : i + 1].tobytes(), h[i : i + 1].tobytes(), first, 1 - first))
-        return pd.DataFrame(rows, columns=["page", "part", "at", "value", "first", "last"])
+            rows.append((page[i], part, at[i : i + 1].tobytes(), h[i : i + 1].tobytes(), 0, first, 1 - first))
+        return pd.DataFrame(rows, columns=["page", "part", "at", "value", "top", "first", "last"])
 
     return run
 
@@ -334,18 +376,18 @@ def _splitters(sample: np.ndarray, ranges: int) -> np.ndarray:
 def repeated_positions(pages: DataFrame, total: int, length: int, scratch: Scratch, range_suffixes: int = RANGE_SUFFIXES) -> DataFrame:
     """(page, at binary of uint32): positions of pages (page, text, sizes) at which a string of `length` bytes starts that also
     starts elsewhere in the pages."""
-    spark = pages.sparkSession
-    keys = "page long, part long"
+    keys, kind = "page long, part long", width(total)
     strings: dict[int, DataFrame] = {0: pages.select("page", F.col("text").alias("data")), 1: pages.select("page", F.col("text").alias("data"))}
     size = total * 2 / 3
     for level in range(1, LEVELS):
         size *= 2 / 3
         ranges = max(1, math.ceil(size / range_suffixes))
-        hi = np.array([x["hi"] for x in strings[level].mapInArrow(_sample_triples(level), "hi long").collect()], np.int64).view(np.uint64)
+        hi = np.array([x["hi"] for x in strings[level].mapInArrow(_sample_triples(level, kind), "hi long").collect()], np.int64).view(np.uint64)
         cut = np.unique(_splitters(np.sort(hi), ranges))
-        sent = strings[level].mapInArrow(_send_triples(level, cut), f"{keys}, hi binary, lo binary, at binary")
-        named = sent.groupBy("part").applyInPandas(_name, f"{keys}, at binary, value binary")
-        strings[level + 1] = scratch.save(named.groupBy("page").applyInPandas(_gather, "page long, data binary"), f"string-{level + 1}")
+        sent = strings[level].mapInArrow(_send_triples(level, cut, kind), f"{keys}, hi binary, lo binary, at binary")
+        named = scratch.save(sent.groupBy("part").applyInPandas(_name(level == 1 or kind is np.uint32), f"{keys}, at binary, value binary, top long"), f"named-{level}")
+        strings[level + 1] = scratch.save(_numbered(named, kind), f"string-{level + 1}")
+        scratch.drop(f"named-{level}")
         scratch.reclaim()
     ranks = strings[LEVELS]
     size = total * (2 / 3) ** LEVELS
@@ -354,23 +396,22 @@ def repeated_positions(pages: DataFrame, total: int, length: int, scratch: Scrat
         ranges = max(1, math.ceil(size / range_suffixes))
         joined = strings[level].join(ranks.withColumnRenamed("data", "ranks"), "page")
         joined = scratch.save(joined.join(pages.select("page", "sizes"), "page").select("page", "data", "ranks", "sizes"), f"joined-{level}")
-        found = [(x["rank"], x["s"], x["next"]) for x in joined.mapInArrow(_sample_ranks(level), "rank long, s long, next long").collect()]
+        found = [(x["rank"], x["s"], x["next"]) for x in joined.mapInArrow(_sample_ranks(level, kind), "rank long, s long, next long").collect()]
         sample = np.array(sorted(found), np.int64).reshape(-1, 3).view(np.uint64)
         cut = _splitters(sample, ranges)
-        # A wave takes up some of the ranges, so that what is on its way at a time stays a fraction of the whole.
-        count = 3 if level == 0 else 2 if level == 1 else 1
+        count = WAVES.get(level, 1)
         waves = []
         for w in range(count):
             wave = range((len(cut) + 1) * w // count, (len(cut) + 1) * (w + 1) // count)
-            sent = joined.mapInArrow(_send_suffixes(level, cut, wave, length), f"{keys}, at binary, kind binary, s0 binary, s1 binary, r1 binary, r2 binary, own binary, prints binary")
-            waves.append(scratch.save(sent.groupBy("part").applyInPandas(_merge(level), f"{keys}, at binary, value binary, first int, last int"), f"merged-{level}-{w}"))
+            sent = joined.mapInArrow(_send_suffixes(level, cut, wave, length, kind), f"{keys}, at binary, s0 binary, s1 binary, r1 binary, r2 binary, own binary, prints binary")
+            waves.append(scratch.save(sent.groupBy("part").applyInPandas(_merge(level, kind), f"{keys}, at binary, value binary, top long, first int, last int"), f"merged-{level}-{w}"))
             scratch.reclaim()
         out = waves[0]
         for w in waves[1:]:
             out = out.union(w)
         scratch.drop(f"joined-{level}", f"string-{level + 1}", f"ranks-{level + 1}")
         if level:
-            ranks = scratch.save(out.select("page", "part", "at", "value").groupBy("page").applyInPandas(_gather, "page long, data binary"), f"ranks-{level}")
+            ranks = scratch.save(_numbered(out, kind), f"ranks-{level}")
             scratch.drop(*(f"merged-{level}-{w}" for w in range(count)))
     # Two rows for each range: few enough for one ordered window.
     edges = out.filter("first = 1 or last = 1").select("page", "at", "value", "part", "first", "last")
@@ -383,7 +424,8 @@ def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     """Repeated windows of each chunk of a page, as spans of window starts."""
     own = pdf[pdf["text"].notna()].iloc[0]
     sizes = np.frombuffer(own["sizes"], np.int64)
-    prints = [own["prints"][i : i + 16] for i in range(0, len(own["prints"]), 16)]
+    names = [own["prints"][i : i + 20] for i in range(0, len(own["prints"]), 20)]
+    base = np.array([int.from_bytes(x[16:], "big") for x in names], np.int64)
     found = pdf[pdf["at"].notna()]["at"]
     at = np.unique(np.frombuffer(b"".join(found), np.uint32).astype(np.int64))
     edge = np.concatenate([[0], np.cumsum(sizes)])
@@ -392,7 +434,23 @@ def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     new[1:] = (at[1:] != at[:-1] + 1) | (chunk[1:] != chunk[:-1])
     first = np.nonzero(new)[0]
     last = np.append(first[1:], len(at)) - 1
-    return pd.DataFrame({"print": [prints[c] for c in chunk[first]], "s": at[first] - edge[chunk[first]], "e": at[last] - edge[chunk[last]] + 1})
+    c = chunk[first]
+    return pd.DataFrame({"print": [names[x][:16] for x in c], "s": at[first] - edge[c] + base[c], "e": at[last] - edge[c] + base[c] + 1})
+
+
+def _sorted_spans(texts: DataFrame, total: int, length: int, scratch: Scratch) -> DataFrame:
+    """(print, s, e): window starts of chunks that the order of all suffixes shows to repeat."""
+    spark = texts.sparkSession
+    count = max(1, math.ceil(total / PAGE_BYTES))
+    pages = texts.select(F.pmod(F.xxhash64("print"), F.lit(count)).alias("page"), "print", "body").groupBy("page").applyInPandas(_page, "page long, text binary, prints binary, sizes binary")
+    pages = scratch.save(pages, "pages")
+    scratch.reclaim()
+    with _one_row_batches(spark):
+        again = repeated_positions(pages, total, length, scratch)
+    none = F.lit(None).cast("binary")
+    # Of a page's text only that it is there is asked.
+    own = pages.select("page", F.lit(b"x").alias("text"), "prints", "sizes", none.alias("at")).union(again.select("page", none, none, none, "at"))
+    return scratch.save(own.groupBy("page").applyInPandas(_spans, "print binary, s long, e long"), "unique-spans")
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int, scratch: Scratch) -> DataFrame:
@@ -401,33 +459,29 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
     seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, start long, n int, seed long"), "seen")
     live = seen.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
-    lists = seen.join(live, "seed", "left_semi").groupBy("k").agg(F.collect_list(F.struct("start", "n", (F.pmod("seed", F.lit(CUT)) == 0).alias("cut"))).alias("l"))
+    lists = seen.join(live, "seed", "left_semi").groupBy("k").agg(F.collect_list(F.struct("start", "n", "seed", (F.pmod("seed", F.lit(CUT)) == 0).alias("cut"))).alias("l"))
     # Of repeated rows (equal keys have equal texts) each is kept: their chunks are as many occurrences.
-    chunks = base.join(lists, "k").withColumn("l", F.array_distinct("l")).mapInArrow(_chunks(length), "k long, at long, n long, print binary, body binary")
+    chunks = base.join(lists, "k").withColumn("l", F.array_distinct("l")).mapInArrow(_chunks(length), "k long, at long, n long, print binary, body binary, seeds array<long>, offs array<int>, sizes array<int>")
     chunks = scratch.save(chunks, "chunks")
     scratch.drop("seen")
     scratch.reclaim()
-    kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), (F.count("*") > 1).alias("many")), "kinds")
+    kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), F.first("seeds").alias("seeds"), F.first("offs").alias("offs"), F.first("sizes").alias("sizes"), (F.count("*") > 1).alias("many")), "kinds")
     places = scratch.save(chunks.select("k", "at", "print"), "places")
     scratch.drop("chunks")
-    total = kinds.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
-    if not total:
-        return places.select(F.col("k").alias(key), F.array(F.struct(F.col("at").alias("s"), F.col("at").alias("e"))).alias("spans"))
-    count = max(1, math.ceil(total / PAGE_BYTES))
-    pages = kinds.select(F.pmod(F.xxhash64("print"), F.lit(count)).alias("page"), "print", "body").groupBy("page").applyInPandas(_page, "page long, text binary, prints binary, sizes binary")
-    pages = scratch.save(pages, "pages")
-    scratch.reclaim()
-    with _one_row_batches(spark):
-        again = repeated_positions(pages, total, length, scratch)
-    own = pages.select("page", "text", "prints", "sizes", F.lit(None).cast("binary").alias("at")).union(again.select("page", F.lit(None).cast("binary"), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "at"))
-    # Of a page's text only that it is there is asked.
-    own = own.withColumn("text", F.when(F.col("text").isNotNull(), F.lit(b"x")))
-    spans = scratch.save(own.groupBy("page").applyInPandas(_spans, "print binary, s long, e long"), "unique-spans")
+    # A window repeats outside its chunk's copies only under an anchor that occurs again among the unlike chunks.
+    parts = kinds.select("print", F.explode(F.arrays_zip("seeds", "offs", "sizes")).alias("p")).select("print", F.col("p.seeds").alias("seed"), F.col("p.offs").alias("off"), F.col("p.sizes").alias("size"))
+    shared = parts.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
+    wanted = parts.join(shared, "seed", "left_semi").groupBy("print").agg(F.collect_list(F.struct("off", "size")).alias("parts"))
+    texts = scratch.save(kinds.select("print", "body").join(wanted, "print").select("print", "body", "parts").mapInArrow(_runs(length), "print binary, body binary"), "texts")
+    total = texts.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     weighed = kinds.filter("many").select("print", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
+    spans = weighed.limit(0)
+    if total:
+        spans = _sorted_spans(texts, total, length, scratch)
     some = weighed.union(spans).groupBy("print").agg(F.collect_list(F.struct("s", "e")).alias("l"))
     at = places.join(some, "print").select("k", F.explode(F.transform("l", lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"] - 1 + length).alias("e")))).alias("x"))
     out = scratch.save(at.groupBy("k").agg(F.collect_list("x").alias("spans")), "spans")
-    scratch.drop("kinds", "places", "pages", "unique-spans", *(f"merged-0-{w}" for w in range(3)))
+    scratch.drop("kinds", "places", "texts", "pages", "unique-spans", *(f"merged-0-{w}" for w in range(WAVES[0])))
     scratch.reclaim()
     return out.withColumnRenamed("k", key)
 
