@@ -25,7 +25,7 @@ PRIOR = 20.0
 ADD = 0.1
 BLOCK_BYTES = 4 << 20
 #: Parts in which the ranges are summed one after another, so that the grams on their way take a part of the disk.
-WAVES = 3
+WAVES = 4
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x369DEA0F31A53F85)
