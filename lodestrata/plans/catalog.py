@@ -395,7 +395,7 @@ pg AS (SELECT *, CASE WHEN greatest(end_sec, gb) - least(start_sec, ga) > 0 THEN
 def spans(s, d) -> tuple[DataFrame, DataFrame]:
     best = select.select_top(staged(s, d), 5).select("query_id", "segment_id", "start_sec", "end_sec", "rank")
     start = (F.col("query_id") * 37 % 500 + F.col("gold_id") * 100).cast("double")
-    gold = questions(s, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(2))).cast("long").alias("gold_id")).select("query_id", "gold_id", start.alias("gold_start"), (start + 60).alias("gold_end"))
+    gold = questions(s, d).select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("gold_id")).select("query_id", "gold_id", start.alias("gold_start"), (start + 60).alias("gold_end"))
     return best, gold
 
 
