@@ -54,13 +54,27 @@ def pairwise_accuracy(rows: DataFrame, group: list[str], score: str = "score", l
     return out.withColumn("accuracy", F.try_divide("correct", "pairs"))
 
 
+def _running(per: DataFrame, score: str, columns: dict[str, str], descending: bool) -> DataFrame:
+    """per with sums of columns over rows up to each score, itself included. Ranges of scores are summed first, so only a row for
+    each 4096th of the score's scale is ordered in one task."""
+    placed = per.withColumn("range_", F.floor(F.col(score) * 4096))
+    way = F.desc if descending else F.asc
+    before = Window.orderBy(way("range_")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("range_").agg(*(F.sum(c).alias(f"{c}_") for c in columns))
+    bases = sums.select("range_", *(F.coalesce(F.sum(f"{c}_").over(before), F.lit(0)).alias(f"base_{c}_") for c in columns))
+    own = Window.partitionBy("range_").orderBy(way(score))
+    out = placed.join(bases, "range_")
+    for c, name in columns.items():
+        out = out.withColumn(name, F.sum(c).over(own) + F.col(f"base_{c}_"))
+    return out.drop("range_", *(f"base_{c}_" for c in columns))
+
+
 def binary_metrics(rows: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
     """One row: n, accuracy, balanced_accuracy, f1, roc_auc (null without both labels), positive and negative recall, average_precision.
 
     Everything comes from counts by distinct score, so ties count half and rows are summed before they are ordered."""
     per = rows.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    order = Window.orderBy(F.desc("s"))
-    cum = per.withColumn("tp", F.sum("p").over(order)).withColumn("fp", F.sum("n").over(order))
+    cum = _running(per, "s", {"p": "tp", "n": "fp"}, True)
     total = per.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
     hit = F.col("s") >= threshold
     sums = cum.agg(
@@ -77,8 +91,7 @@ def binary_metrics(rows: DataFrame, score: str = "score", label: str = "label",
 def pick_threshold(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """The threshold in use as a score that keeps every positive (label 1), then rejects most negatives, then is smallest."""
     per = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    below = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
-    cum = per.withColumn("lost", F.coalesce(F.sum("p").over(below), F.lit(0))).withColumn("rejected", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    cum = _running(per, "threshold", {"p": "lost", "n": "rejected"}, False).withColumn("lost", F.col("lost") - F.col("p")).withColumn("rejected", F.col("rejected") - F.col("n"))
     return cum.orderBy(F.col("lost") > 0, F.desc("rejected"), "lost", "threshold").limit(1).select("threshold", "lost", "rejected")
 
 
