@@ -227,6 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed_docs = scratch.save(base.mapInArrow(_sign(words, count), f"id {kind}, k long, n long, print binary, sig binary"), "signed")
     classes = scratch.save(signed_docs.filter("n > 0").groupBy("print").agg(F.min("k").alias("node"), F.min("id").alias("low")), "classes")
     sigs = scratch.save(signed_docs.select("k", "sig").join(classes.select(F.col("node").alias("k")), "k").dropDuplicates(["k"]), "sigs")
+    marks = scratch.save(signed_docs.drop("sig"), "marks")
+    scratch.drop("signed")
     loads = sigs.select(F.col("k").alias("id"), F.col("sig").alias("load"))
     texts = base.select(F.col("k").alias("id"), F.col("t").alias("load"))
 
@@ -236,12 +238,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.save(bucketed.join(crowded, "bucket").filter("k <> p").select("p", "k").distinct(), "pairs")
     scratch.drop("bands", "crowded")
 
-    likely = scratch.save(_star(pairs, loads, _by_signature(count, percent / 100, miss)), "likely")
-    # Texts come along only for rows of pairs that survived. How many grows with the input, so they are never broadcast.
-    wanted = likely.select(F.col("p").alias("id")).union(likely.select(F.col("k").alias("id"))).distinct()
+    # The texts of all that share a bucket are taken out once. How many grows with the input, so they are never broadcast.
+    wanted = pairs.select(F.col("p").alias("id")).union(pairs.select(F.col("k").alias("id"))).distinct()
     own = scratch.save(texts.join(wanted.hint("merge"), "id").dropDuplicates(["id"]), "texts")
+    scratch.reclaim()
+    likely = scratch.save(_star(pairs, loads, _by_signature(count, percent / 100, miss)), "likely")
     stars = scratch.save(_star(likely, own, _by_sets(words, percent)).select(F.col("p").alias("a"), F.col("k").alias("b")), "stars")
-    scratch.drop("pairs", "likely", "texts")
+    scratch.drop("pairs", "likely")
     scratch.reclaim()
 
     first = scratch.save(components(scratch, stars, "cc-stars"), "star-roots")
@@ -257,8 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.union(rest.filter("not main").select(*row, "i", every("mains")).select(*row, F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("side")))
     own_side = rest.filter("not main").select(*row, "i", every("sides")).select(*row, F.least("i", "j").alias("a"), (-1 - F.greatest("i", "j")).alias("b"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
     dealt = scratch.save(dealt.union(own_side), "dealt")
-    carried = texts.join(dealt.select(F.col("k").alias("id")).distinct().hint("merge"), "id").dropDuplicates(["id"]).join(loads.withColumnRenamed("load", "sig"), "id")
+    carried = own.join(dealt.select(F.col("k").alias("id")).distinct(), "id").join(loads.withColumnRenamed("load", "sig"), "id")
     carried = scratch.save(carried, "carried")
+    scratch.drop("texts")
     scratch.reclaim()
     found = dealt.join(carried, dealt.k == carried.id).drop("id").groupBy("bucket", "a", "b").applyInPandas(_blocks(words, percent, bands, miss), "a long, b long")
     more = scratch.save(found, "more")
@@ -268,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = classes.join(roots, classes.node == roots.node, "left").select("print", "low", F.coalesce(roots.root, classes.node).alias("root"))
     least = low.groupBy("root").agg(F.min("low").alias("component"))
     by_print = low.join(least, "root").select("print", "component")
-    found = signed_docs.select("k", "n", "print").join(by_print, "print", "left").select("k", "n", "component").dropDuplicates(["k"])
+    found = marks.select("k", "n", "print").join(by_print, "print", "left").select("k", "n", "component").dropDuplicates(["k"])
     key = free_name(docs, "row_key")
     out = docs.withColumn(key, row_key(id_col, text_col)).join(found, F.col(key) == found.k)
     component = F.when(F.col("n") == 0, F.col(id_col)).otherwise(F.col("component"))
