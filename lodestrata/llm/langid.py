@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, tune
+from .common import Scratch, pieces, tune
 
 ORDER = 4
 #: Bounds of the training sample, for each language.
@@ -152,22 +152,35 @@ class _Table:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> Model:
-    """Learns from at most `docs` documents and `size` bytes of each language (a documented bound, however large the input):
-    those with the smallest hashes of their texts, whole texts only. Rows without a language or a text are not used."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null and t <> ''")
-    hashed = rows.select("l", "t", (F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"))
-    counts = {r["l"]: r["n"] for r in hashed.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    """Learns from at most `docs` distinct texts and `size` bytes of each language (a documented bound, however large the input):
+    those with the smallest hashes, in their order, whole texts only; one that does not fit what is left of the bytes is passed
+    over. A language without a text that fits is learnt from its shortest. Rows without a language or a text are not used."""
+    rows = labelled.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null and t <> ''").withColumn("h", F.xxhash64("t"))
+    # Copies count once: hashes are made distinct before anything is counted or ranked.
+    scratch = Scratch(labelled.sparkSession, "langid")
+    texts = scratch.save(rows.groupBy("l", "h").agg(F.min(F.octet_length("t")).alias("size")), "texts")
+    found = texts.groupBy("l").agg(F.count_if(F.col("size") <= size).alias("n"), F.min(F.struct("size", "h"))["h"].alias("shortest")).collect()
+    if not found:
+        scratch.drop("texts")
         return Model({"und": [b" "]}, 0)
-    # A cut on the hash leaves about three times the wanted documents of each language to rank, at any size of the input.
-    cut = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3.0 * docs / n))))
-    some = hashed.filter(F.col("u") <= cut[F.col("l")]).dropDuplicates(["l", "t"])
-    order = Window.partitionBy("l").orderBy("u", "t")
-    some = some.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= docs)
-    some = some.withColumn("sum", F.sum(F.octet_length("t")).over(order)).filter((F.col("sum") <= size) | (F.col("i") == 1))
-    samples: dict[str, list[bytes]] = {}
-    for r in some.select("l", "t", "i").collect():
-        samples.setdefault(r["l"], []).append((r["i"], r["t"].encode()[: max(size, 1)]))
+    wanted = {(r["l"], r["shortest"]): 0 for r in found if not r["n"]}
+    fits = [r for r in found if r["n"]]
+    if fits:
+        # A cut on the hash leaves over three times the wanted texts of each language to rank, at any size of the input.
+        cut = F.create_map(*(F.lit(x) for r in fits for x in (r["l"], min(1.0, (3.0 * docs + 100) / r["n"]))))
+        ranked = texts.filter(F.col("size") <= size).withColumn("u", F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))).filter(F.col("u") <= cut[F.col("l")])
+        order = Window.partitionBy("l").orderBy("u", "h")
+        used: dict[str, int] = {}
+        for r in sorted(ranked.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= docs).collect(), key=lambda r: r["i"]):
+            if used.get(r["l"], 0) + r["size"] <= size:
+                used[r["l"]] = used.get(r["l"], 0) + r["size"]
+                wanted[(r["l"], r["h"])] = r["i"]
+    scratch.drop("texts")
+    # A few hundred keys for each language, so the texts are taken out where they lie.
+    keys = labelled.sparkSession.createDataFrame([(*k, i) for k, i in wanted.items()], "l string, h long, i int")
+    samples: dict[str, list[tuple[int, bytes]]] = {}
+    for r in rows.join(F.broadcast(keys), ["l", "h"]).groupBy("l", "i").agg(F.min("t").alias("t")).collect():
+        samples.setdefault(r["l"], []).append((r["i"], r["t"].encode()))
     return Model({k: [x for _, x in sorted(v)] for k, v in samples.items()})
 
 

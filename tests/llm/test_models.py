@@ -137,6 +137,23 @@ def test_held_out_languages(spark):
     assert [r["held_out"] for r in docs.select("doc_id", langid.held_out().alias("held_out")).orderBy("doc_id").limit(5).collect()] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(5)]
 
 
+def test_language_sample_survives_copies_and_long_texts(spark, monkeypatch):
+    """Copies count once, a text that does not fit is passed over, and no language falls out of the model."""
+    taken = {}
+    monkeypatch.setattr(langid, "Model", lambda samples, order=4: taken.update(samples))
+    rows = [(f"copy of {name}", name) for name in "abcdefgh" for _ in range(2000)] + [(f"text {i} of a", "a") for i in range(30)] + [("long " * 100, "a"), ("y" * 300, "only_long"), ("x" * 200, "only_long")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    langid.fit(df, docs=600, size=10_000)
+    assert {k: len(v) for k, v in taken.items()} == {**dict.fromkeys("bcdefgh", 1), "a": 32, "only_long": 2}
+    taken.clear()
+    langid.fit(df, docs=600, size=150)
+    assert set(taken) == {*"abcdefgh", "only_long"} and taken["only_long"] == [b"x" * 200]
+    assert 138 <= sum(map(len, taken["a"])) <= 150 and all(len(set(v)) == len(v) for v in taken.values())
+    taken.clear()
+    langid.fit(df, docs=2, size=10_000)
+    assert {k: len(v) for k, v in taken.items()} == {**dict.fromkeys("bcdefgh", 1), "a": 2, "only_long": 2}
+
+
 def test_mixing_draws_by_inversion(spark):
     rows = [(i, f"s{0 if i < 60 else i % 3}" if i % 10 else None) for i in range(100)] + [(None, "s0"), (5, "s1")]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("parts", F.lit(1)).withColumn("cdf", F.lit(2)).withColumn("copy", F.lit(0))
