@@ -1,6 +1,6 @@
 """Question intent and choice of evidence over time."""
 
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,6 @@ def in_stage(ratio: Column, label: Column) -> Column:
     return F.when(label == "opening", ratio <= 0.25).when(label == "ending", ratio >= 0.75).otherwise((ratio > 0.25) & (ratio < 0.75))
 
 
-
 def _best() -> list[Column]:
     return [F.desc("score"), F.asc("segment_id")]
 
@@ -68,70 +67,54 @@ def select_nearest(ranked: DataFrame, k: int) -> DataFrame:
     return top_k(ranked.withColumn("gap", F.abs(midpoint() - F.col("time_anchor_sec"))), ["query_id"], [F.asc("gap"), *_best()], k)
 
 
-def _spread(items: pd.DataFrame, k: int, duration: float, targets: list[str], anchor: bool, weights: tuple[float, float]) -> list[tuple[int, str]]:
-    """(row, reason) chosen one by one; rows are in order of score."""
-    d = max(float(duration), 1.0)
-    score, start, end = (items[c].to_numpy(float) for c in ("score", "start_sec", "end_sec"))
-    mid = (start + end) / 2
-    span = score.max() - score.min()
-    norm = (score - score.min()) / span if span > 1e-9 else score * 0 + 0.5
-    left, chosen = list(range(len(items))), []
-    if anchor:
-        chosen.append((left.pop(0), "relevance_anchor"))
-    for label in targets:
-        if not left:
-            break
-        ratio = mid / d
-        fits = {"opening": ratio <= 0.25, "ending": ratio >= 0.75}.get(label, (ratio > 0.25) & (ratio < 0.75))
-        far = {"opening": start.clip(0) / d, "ending": (d - end).clip(0) / d}.get(label, abs(ratio - TARGETS["middle"]))
-        pool = [i for i in left if fits[i]] or left
-        i = max(pool, key=lambda i: 0.10 * norm[i] - 0.90 * far[i])
-        chosen.append((i, f"temporal_coverage:{label}"))
-        left.remove(i)
-    while left and len(chosen) < k:
-        i = max(left, key=lambda i: weights[0] * norm[i] + weights[1] * (min(abs(mid[i] - mid[j]) / d for j, _ in chosen) if chosen else 1.0))
-        chosen.append((i, "relevance_plus_temporal_novelty"))
-        left.remove(i)
-    return sorted(chosen[:k], key=lambda c: (start[c[0]], -score[c[0]]))
-
-
-def stages_for(hints: list[str], k: int, least: int) -> list[str]:
+def stages_for(hints: Column, k: int, least: int) -> Column:
     """Hinted stages, filled up with the others to the least number."""
-    out = [h for h in hints if h in TARGETS] or list(TARGETS)
-    for label in TARGETS:
-        if len(out) >= min(least, k):
-            break
-        if label not in out:
-            out.append(label)
-    return out[:k]
-
-
-def select_evidence(ranked: DataFrame, k: int, least: int = 3, pool: int = 200) -> DataFrame:
+    every = F.array(*(F.lit(t) for t in TARGETS))
+    known = F.filter(hints, lambda h: h.isin(*TARGETS))
+    first = F.when(F.size(known) > 0, known).otherwise(every)
+    return F.slice(F.concat(first, F.slice(F.array_except(every, first), 1, F.greatest(F.lit(0), min(least, k) - F.size(first)))), 1, k)
+
+
+def select_spread(ranked: DataFrame, k: int, least: int) -> DataFrame:
+    """The k segments of each question that greedy choice takes one by one out of all its candidates, each with a reason.
+
+    Every round is one aggregate over all candidates, joined with the few rows that their question has chosen so far."""
+    d = F.greatest("duration_sec", F.lit(1.0))
+    many = F.col("coverage_mode") == "multi_span"
+    rows = ranked.select("query_id", "segment_id", "score", "start_sec", "end_sec", d.alias("d"), midpoint().alias("mid"), many.alias("many"), "stage_hints").persist(StorageLevel.DISK_ONLY)
+    none = F.array().cast("array<struct<segment_id:bigint,start_sec:double,score:double,mid:double,reason:string>>")
+    state = rows.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.first("stage_hints").alias("hints"), F.first("many").alias("many"))
+    state = state.select("query_id", "low", "high", F.when(F.col("many"), F.array().cast("array<string>")).otherwise(stages_for(F.coalesce("hints", F.array().cast("array<string>")), k, least)).alias("targets"), none.alias("chosen"))
+    span = F.col("high") - F.col("low")
+    norm = F.when(span > 1e-9, (F.col("score") - F.col("low")) / span).otherwise(0.5)
+    ratio = F.col("mid") / F.col("d")
+    for i in range(k):
+        label = F.get("targets", F.lit(i))
+        far = F.when(label == "opening", F.greatest(F.col("start_sec"), F.lit(0.0)) / F.col("d")).when(label == "ending", F.greatest(F.col("d") - F.col("end_sec"), F.lit(0.0)) / F.col("d")).otherwise(F.abs(ratio - TARGETS["middle"]))
+        new = F.coalesce(F.array_min(F.transform("chosen", lambda c: F.abs(F.col("mid") - c["mid"]) / F.col("d"))), F.lit(1.0))
+        novel = F.when(F.col("many"), 0.88 * norm + 0.12 * new).otherwise(0.78 * norm + 0.22 * new)
+        anchor = F.col("many") & (F.size("chosen") == 0)
+        value = F.when(anchor, F.col("score")).when(label.isNotNull(), 0.10 * norm - 0.90 * far).otherwise(novel)
+        reason = F.when(anchor, "relevance_anchor").when(label.isNotNull(), F.concat(F.lit("temporal_coverage:"), label)).otherwise("relevance_plus_temporal_novelty")
+        left = ~F.exists("chosen", lambda c: c["segment_id"] == F.col("segment_id"))
+        # What is left precedes what is chosen, and what lies in the stage what does not.
+        key = F.struct(left, label.isNotNull() & in_stage(ratio, label), value, F.col("score"), -F.col("segment_id"))
+        item = F.struct(left.alias("left"), F.struct(F.col("segment_id").cast("long").alias("segment_id"), "start_sec", "score", "mid", reason.alias("reason")).alias("item"))
+        best = rows.join(state, "query_id").groupBy("query_id").agg(F.max_by(item, key).alias("best"), *(F.first(c).alias(c) for c in ("low", "high", "targets", "chosen")))
+        state = best.select("query_id", "low", "high", "targets", F.when(F.col("best.left"), F.concat("chosen", F.array("best.item"))).otherwise(F.col("chosen")).alias("chosen"))
+    return state.select("query_id", F.explode("chosen").alias("c")).select("query_id", "c.segment_id", "c.start_sec", "c.score", "c.reason")
+
+
+def select_evidence(ranked: DataFrame, k: int, least: int = 3) -> DataFrame:
     """(query_id, segment_id, place, reason) by each question's coverage mode.
 
     ranked: query_id, segment_id, score, start_sec, end_sec, duration_sec, coverage_mode, stage_hints, time_anchor_sec. The
-    local modes are window functions. The two that spread evidence over time choose greedily from a pool of bounded size:
-    a question's best segments, and the best near each of its stages."""
+    local modes are window functions; the two that spread evidence over time choose greedily from all candidates."""
     simple = lambda df, reason: df.select("query_id", "segment_id", "start_sec", "score", F.lit(reason).alias("reason"))
     local = simple(select_top(ranked.filter("coverage_mode = 'local'"), k), "relevance_top_k")
     stage = simple(select_stage(ranked.filter("coverage_mode = 'stage_local'"), k), "stage_local")
     near = simple(select_nearest(ranked.filter("coverage_mode = 'time_local'"), k), "time_local")
-    spread = ranked.filter("coverage_mode in ('multi_span', 'distributed')")
-    limits = spread.groupBy("query_id").agg(F.min("score").alias("low"))
-    ratio = midpoint() / F.greatest("duration_sec", F.lit(1.0))
-    part = F.when(ratio <= 0.25, 0).when(ratio >= 0.75, 2).otherwise(1)
-    best = top_k(spread.withColumn("part", part), ["query_id", "part"], _best(), pool, "place_")
-    rows = best.join(limits, "query_id").select("query_id", "segment_id", "score", "start_sec", "end_sec", "duration_sec", "coverage_mode", "stage_hints", "low")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "segment_id"], ascending=[False, True]).reset_index(drop=True)
-        many = pdf["coverage_mode"].iloc[0] == "multi_span"
-        hints = list(pdf["stage_hints"].iloc[0])
-        got = _spread(pdf, k, pdf["duration_sec"].iloc[0], [] if many else stages_for(hints, k, least), many, (0.88, 0.12) if many else (0.78, 0.22))
-        at = [i for i, _ in got]
-        return pdf.loc[at, ["query_id", "segment_id", "start_sec", "score"]].assign(reason=[r for _, r in got])
-
-    greedy = rows.groupBy("query_id").applyInPandas(choose, "query_id long, segment_id long, start_sec double, score double, reason string")
+    greedy = select_spread(ranked.filter("coverage_mode in ('multi_span', 'distributed')"), k, least)
     chosen = local.union(stage).union(near).union(greedy)
     return top_k(chosen, ["query_id"], [F.asc("start_sec"), F.desc("score"), F.asc("segment_id")], k, "place").select("query_id", "segment_id", "place", "reason")
 
