@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline; nothing else in the library imports this subpackage."""
+"""Operators of a training-data pipeline; of it, the rest of the library imports common.Scratch only."""
 
 import sys
 

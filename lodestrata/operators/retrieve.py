@@ -1,11 +1,12 @@
 """Retrieval: postings with TF-IDF weights, similarity, lexical and dense scores, diversity."""
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..llm.common import Scratch
 
 
 def postings(segments: DataFrame) -> DataFrame:
@@ -60,36 +61,30 @@ def index_statistics(segments: DataFrame) -> DataFrame:
     return terms.groupBy("asset").agg(F.countDistinct("segment_id").alias("segments"), F.countDistinct("term").alias("terms"))
 
 
-def mmr(ranked: DataFrame, posts: DataFrame, k: int = 5, relevance: float = 0.72, pool: int = 50) -> DataFrame:
+def mmr(ranked: DataFrame, posts: DataFrame, k: int = 5, relevance: float = 0.72) -> DataFrame:
     """(query_id, segment_id, place): greedy choice by relevance * score - (1 - relevance) * largest cosine with the chosen.
 
-    ranked: (query_id, asset, segment_id, score). A question's pool of best candidates, of bounded size, is one group."""
-    best = top_k(ranked, ["query_id"], [F.desc("score"), F.asc("segment_id")], pool)
-    vectors = posts.groupBy("asset", "segment_id").agg(F.collect_list(F.struct("term", "weight")).alias("v"))
-    rows = best.join(vectors, ["asset", "segment_id"], "left").select("query_id", "segment_id", "score", "rank", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        vocabulary: dict[str, int] = {}
-        known = [([], []) if t is None else (t, w) for t, w in zip(pdf["terms"], pdf["weights"])]
-        for terms, _ in known:
-            for t in terms:
-                vocabulary.setdefault(t, len(vocabulary))
-        m = np.zeros((len(pdf), max(1, len(vocabulary))))
-        for i, (terms, weights) in enumerate(known):
-            m[i, [vocabulary[t] for t in terms]] = weights
-        m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-9
-        near, left, chosen = np.full(len(pdf), -np.inf), np.ones(len(pdf), bool), []
-        score = pdf["score"].to_numpy()
-        while left.any() and len(chosen) < k:
-            value = relevance * score - (1 - relevance) * (near if chosen else np.zeros(len(pdf)))
-            i = int(np.argmax(np.where(left, value, -np.inf)))
-            chosen.append(i)
-            left[i] = False
-            near = np.maximum(near, m @ m[i])
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[chosen].to_numpy(), "segment_id": pdf["segment_id"].iloc[chosen].to_numpy(), "place": range(1, len(chosen) + 1)})
-
-    return rows.groupBy("query_id").applyInPandas(choose, "query_id long, segment_id long, place long")
+    ranked: (query_id, asset, segment_id, score). Every round is one aggregate over all candidates; the cosines with what it
+    chose come from the postings of that segment's terms."""
+    scratch = Scratch(ranked.sparkSession, "mmr")
+    rows = scratch.save(ranked.select("query_id", "asset", "segment_id", "score", F.lit(0.0).alias("near"), F.lit(True).alias("left")), "rows-1")
+    terms = scratch.save(posts.select("asset", "segment_id", "term", "weight"), "terms") if k > 1 else None
+    places = []
+    for place in range(1, k + 1):
+        key = F.struct(relevance * F.col("score") - (1 - relevance) * F.col("near"), F.col("score"), -F.col("segment_id"))
+        best = rows.filter("left").groupBy("query_id").agg(F.max_by(F.struct("asset", "segment_id"), key).alias("x"))
+        best = scratch.save(best.select("query_id", "x.*"), f"best-{place}")
+        places.append(best.select("query_id", F.col("segment_id").cast("long").alias("segment_id"), F.lit(place).cast("long").alias("place")))
+        if place < k:
+            asked = best.join(terms, ["asset", "segment_id"]).select("query_id", "asset", "term", F.col("weight").alias("other"))
+            # Rounded, so that the order in which a sum is added up does not decide between copies.
+            cosines = asked.join(terms, ["asset", "term"]).groupBy("query_id", "asset", "segment_id").agg(F.round(F.sum(F.col("weight") * F.col("other")) / (1 + 1e-9) ** 2, 12).alias("cosine"))
+            taken = best.select("query_id", F.col("segment_id").alias("taken"))
+            after = rows.join(cosines, ["query_id", "asset", "segment_id"], "left").join(taken, "query_id", "left")
+            rows = scratch.save(after.select("query_id", "asset", "segment_id", "score", F.greatest("near", F.coalesce("cosine", F.lit(0.0))).alias("near"), (F.col("left") & F.coalesce(F.col("segment_id") != F.col("taken"), F.lit(True))).alias("left")), f"rows-{place + 1}")
+            scratch.drop(f"rows-{place}")
+    scratch.drop(f"rows-{k}", "terms")
+    return reduce(DataFrame.union, places)
 
 
 def dot(a: Column, b: Column) -> Column:
