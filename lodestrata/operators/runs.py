@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .retrieve import top_k
 
@@ -64,17 +66,26 @@ def failure_runs(calls: DataFrame, limit: int = 3) -> DataFrame:
 def breaker(calls: DataFrame, limit: int = 3, recovery: float = 60.0) -> DataFrame:
     """(tool, seq, state): the circuit before each call (tool, seq, at, ok): closed, open (the call is turned away) or half_open.
 
-    A fold over each tool's calls: what is turned away changes nothing, a success closes, the limit of failures opens."""
-    log = calls.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("seq", "at", "ok"))).alias("log"))
-    start = F.struct(F.lit(0).alias("fails"), F.lit(None).cast("double").alias("since"), F.array().cast("array<struct<seq:bigint,state:string>>").alias("out"))
-
-    def step(a, x):
-        state = F.when(a["since"].isNull(), "closed").when(x["at"] - a["since"] >= recovery, "half_open").otherwise("open")
-        fails = F.when(state == "open", a["fails"]).when(x["ok"], 0).otherwise(a["fails"] + 1)
-        since = F.when(state == "open", a["since"]).when(x["ok"], None).when(fails >= limit, x["at"].cast("double"))
-        return F.struct(fails.alias("fails"), since.alias("since"), F.concat(a["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), state.alias("state")))).alias("out"))
-
-    return log.select("tool", F.explode(F.aggregate("log", start, step, lambda a: a["out"])).alias("x")).select("tool", "x.*")
+    What is turned away changes nothing, a success closes, the limit of failures opens. A tool's calls pass through a task in
+    order, which holds a batch of them and two numbers."""
+
+    def run(batches):
+        tool, started, fails, since = None, False, 0, None
+        for batch in batches:
+            states = []
+            for name, at, ok in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(2), batch.column(3)))):
+                if not started or name != tool:
+                    tool, started, fails, since = name, True, 0, None
+                state = "closed" if since is None else "half_open" if at is not None and at - since >= recovery else "open"
+                if state != "open":
+                    fails = 0 if ok else fails + 1
+                    since = at if fails >= limit and not ok else None
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string())], ["tool", "seq", "state"])
+
+    rows = calls.select("tool", F.col("seq").cast("long").alias("seq"), F.col("at").cast("double").alias("at"), "ok")
+    schema = T.StructType([*rows.select("tool", "seq").schema, T.StructField("state", T.StringType())])
+    return rows.repartition("tool").sortWithinPartitions("tool", "seq", "at", "ok").mapInArrow(run, schema)
 
 
 def call_summary(calls: DataFrame) -> DataFrame:

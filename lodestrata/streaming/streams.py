@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..llm.common import Scratch
+
 # What an event type stands for in a job's life.
 STATUS = {"view": "queued", "click": "running", "purchase": "completed", "error": "failed", "signup": "retry"}
 
@@ -86,7 +88,22 @@ def upsert_to(path: str, key: str = "memory_id", version: str = "version"):
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives from the files there are now, as a table in memory; for tests and small reports."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream gives from the files there are now, as Parquet in the shared folder: a generation for each batch, of
+    which only the last counts in complete mode."""
+    scratch = Scratch(df.sparkSession, name)
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{scratch.dir}/{number}")
+        if number not in done:
+            done.append(number)
+        if mode == "complete":
+            scratch.drop(*(str(n) for n in done[:-1]))
+            del done[:-1]
+
+    query = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{scratch.dir}/state").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    scratch.drop("state")
+    if not done:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(*(f"{scratch.dir}/{n}" for n in done))

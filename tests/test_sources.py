@@ -62,3 +62,12 @@ def test_stream_windows(spark):
     events = streams.read_events(spark, f"{d}/events.parquet*", schema)
     total = streams.drain(streams.tumbling(events), "windows_test", "complete").agg(F.sum("n")).first()[0]
     assert total == spark.read.parquet(f"{d}/events.parquet").count()
+
+
+def test_drained_stream_is_in_files(spark):
+    """A result is read from the shared folder, not from the driver's memory, and is whole."""
+    d = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    got = streams.drain(streams.tumbling(streams.read_events(spark, f"{d}/events.parquet*", schema)), "files_test", "complete")
+    assert got.inputFiles()
+    assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{d}/events.parquet").count()
