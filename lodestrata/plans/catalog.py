@@ -321,6 +321,12 @@ def _(s, d):
     return select.pack_context(best.select("query_id", "place", "segment_id", "text"))
 
 
+@query("context_pack_whole")
+def _(s, d):
+    best = select.select_top(staged(s, d), 6).withColumn("text", select.compress(F.col("text"), F.col("query"))).withColumnRenamed("rank", "place")
+    return select.pack_context(best.select("query_id", "place", "segment_id", "text"))
+
+
 # ---------------------------------------------------------------- memory
 
 
