@@ -1,10 +1,10 @@
 """Question intent and choice of evidence over time."""
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..llm.common import Scratch
 from .retrieve import top_k
 
 # Marks of a question's intent.
@@ -81,7 +81,9 @@ def select_spread(ranked: DataFrame, k: int, least: int) -> DataFrame:
     Every round is one aggregate over all candidates, joined with the few rows that their question has chosen so far."""
     d = F.greatest("duration_sec", F.lit(1.0))
     many = F.col("coverage_mode") == "multi_span"
-    rows = ranked.select("query_id", "segment_id", "score", "start_sec", "end_sec", d.alias("d"), midpoint().alias("mid"), many.alias("many"), "stage_hints").persist(StorageLevel.DISK_ONLY)
+    rows = ranked.select("query_id", "segment_id", "score", "start_sec", "end_sec", d.alias("d"), midpoint().alias("mid"), many.alias("many"), "stage_hints")
+    scratch = Scratch(ranked.sparkSession, "spread")
+    rows = scratch.save(rows, "rows")
     none = F.array().cast("array<struct<segment_id:bigint,start_sec:double,score:double,mid:double,reason:string>>")
     state = rows.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.first("stage_hints").alias("hints"), F.first("many").alias("many"))
     state = state.select("query_id", "low", "high", F.when(F.col("many"), F.array().cast("array<string>")).otherwise(stages_for(F.coalesce("hints", F.array().cast("array<string>")), k, least)).alias("targets"), none.alias("chosen"))
@@ -102,6 +104,8 @@ def select_spread(ranked: DataFrame, k: int, least: int) -> DataFrame:
         item = F.struct(left.alias("left"), F.struct(F.col("segment_id").cast("long").alias("segment_id"), "start_sec", "score", "mid", reason.alias("reason")).alias("item"))
         best = rows.join(state, "query_id").groupBy("query_id").agg(F.max_by(item, key).alias("best"), *(F.first(c).alias(c) for c in ("low", "high", "targets", "chosen")))
         state = best.select("query_id", "low", "high", "targets", F.when(F.col("best.left"), F.concat("chosen", F.array("best.item"))).otherwise(F.col("chosen")).alias("chosen"))
+    state = scratch.save(state.select("query_id", "chosen"), "chosen")
+    scratch.drop("rows")
     return state.select("query_id", F.explode("chosen").alias("c")).select("query_id", "c.segment_id", "c.start_sec", "c.score", "c.reason")
 
 
