@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..llm.common import Scratch
+from ..tables import Scratch
 
 
 def postings(segments: DataFrame) -> DataFrame:

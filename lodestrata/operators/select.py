@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..llm.common import Scratch
+from ..tables import Scratch
 from .retrieve import top_k
 
 # Marks of a question's intent.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..llm.common import Scratch
+from ..tables import Scratch
 
 # What an event type stands for in a job's life.
 STATUS = {"view": "queued", "click": "running", "purchase": "completed", "error": "failed", "signup": "retry"}
