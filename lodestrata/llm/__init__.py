@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline; of it, the rest of the library imports common.Scratch only."""
+"""Operators of a training-data pipeline."""
 
 import sys
 

@@ -1,47 +1,17 @@
-"""Shared parts: tables in the shared checkpoint folder, hashing of words and bytes in NumPy, connected components."""
+"""Shared parts: hashing of words and bytes in NumPy, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import Scratch  # noqa: F401
+
 #: Bytes of text that a task turns into NumPy arrays at a time (a longer document is one piece by itself).
 CHUNK_BYTES = 1 << 20
 
 
-class Scratch:
-    """Parquet tables under spark.checkpoint.dir, which every executor can read: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="lodestrata-")
-            atexit.register(shutil.rmtree, base, True)
-        self.spark, self.dir = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.dir}/{tag}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *tags: str) -> None:
-        for tag in tags:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{tag}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def reclaim(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs now rather than at its next collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-
 def tune(spark: SparkSession) -> None:
     """Arrow batches that stay small when texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
