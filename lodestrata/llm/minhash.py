@@ -56,13 +56,14 @@ def _sign(words: int, count: int):
             for a, b, data, offsets in pieces(batch.column(2)):
                 sets = shingle_sets(data, offsets, words)
                 n = np.array([len(x) for x in sets])
-                sig = np.zeros((len(sets), count), np.uint32)
+                sig = np.zeros((len(sets), count), np.uint16)
                 full = np.nonzero(n)[0]
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
                     at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                     for j, f in enumerate(factors):
-                        sig[full, j] = np.minimum.reduceat(flat * f, at) >> np.uint64(32)
+                        # Mixed, as the least of many numbers is small. Two unlike values agree once in 65,536 times, which never prunes a pair.
+                        sig[full, j] = mix(np.minimum.reduceat(flat * f, at)) >> np.uint64(48)
                 prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "k", "n", "print", "sig"])
 
@@ -72,7 +73,7 @@ def _sign(words: int, count: int):
 def _bands(bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(np.uint64)
             keys = batch.column(0).to_numpy()
             for j in range(bands):
                 h = np.full(len(sig), j + 1, np.uint64)
@@ -121,7 +122,7 @@ def _star(pairs: DataFrame, loads: DataFrame, judge) -> DataFrame:
     salts = max(8, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = pairs.select(F.col("p").alias("g"), F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("k").alias("id"))
     heads = dealt.select("g", "salt").distinct().select("g", "salt", F.lit(0).alias("role"), F.col("g").alias("id"))
-    rows = dealt.union(heads).join(loads, "id").select("g", "salt", "role", "id", "load")
+    rows = dealt.union(heads).join(loads.hint("merge"), "id").select("g", "salt", "role", "id", "load")
     return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role", "id").mapInArrow(_against_pivot(judge), "p long, k long")
 
 
@@ -129,7 +130,7 @@ def _by_signature(count: int, threshold: float, miss: float):
     steps = least_matches(count, threshold, miss)
 
     def judge(load, pivot):
-        sig = np.frombuffer(load, np.uint32)
+        sig = np.frombuffer(load, np.uint16)
         if pivot is None:
             return sig
         same, last = 0, 0
@@ -155,17 +156,50 @@ def _by_sets(words: int, percent: int):
     return judge
 
 
+def _close(pdf: pd.DataFrame, bands: int, threshold: float, miss: float):
+    """(i, others) of rows of two blocks of a bucket: members of other components that the signatures leave as candidates."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
+    steps = least_matches(sig.shape[1], threshold, miss)
+    side, roots = pdf["side"].to_numpy(), pdf["root"].to_numpy()
+    band = int(pdf["band"].iloc[0])
+    alone = bool(pdf["b"].iloc[0] == -1 - pdf["a"].iloc[0])
+    left = np.nonzero(side == 0)[0]
+    right = left if alone else np.nonzero(side == 1)[0]
+    for i in left.tolist():
+        other = right[right > i] if alone else right
+        other = other[roots[other] != roots[i]]
+        if not len(other):
+            continue
+        same = sig[other] == sig[i]
+        # A pair that shares several bands is taken up in the first.
+        ok = same.reshape(len(other), bands, -1).all(axis=2).argmax(axis=1) == band
+        last, matches = 0, np.zeros(len(other), np.int64)
+        for n, least in steps:
+            matches += same[:, last:n].sum(axis=1)
+            ok &= matches >= least
+            last = n
+        if ok.any():
+            yield i, other[ok]
+
+
+def _candidates(bands: int, threshold: float, miss: float):
+    """The members of two blocks that have a candidate there, by signatures alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(pdf), bool)
+        for i, other in _close(pdf, bands, threshold, miss):
+            hit[i] = True
+            hit[other] = True
+        return pdf.loc[hit, ["bucket", "band", "k", "root", "a", "b", "side"]]
+
+    return run
+
+
 def _blocks(words: int, percent: int, bands: int, miss: float):
     """Links between components among the members of two blocks of a bucket, without those that follow from others found here."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        steps = least_matches(sig.shape[1], percent / 100, miss)
-        side, roots, texts, keys = pdf["side"].to_numpy(), pdf["root"].to_numpy(), pdf["load"].tolist(), pdf["k"].to_numpy()
-        band = int(pdf["band"].iloc[0])
-        alone = bool(pdf["b"].iloc[0] == -1 - pdf["a"].iloc[0])
-        left = np.nonzero(side == 0)[0]
-        right = left if alone else np.nonzero(side == 1)[0]
+        roots, texts, keys = pdf["root"].to_numpy(), pdf["load"].tolist(), pdf["k"].to_numpy()
         parent = {r: r for r in roots.tolist()}
 
         def find(r):
@@ -183,20 +217,8 @@ def _blocks(words: int, percent: int, bands: int, miss: float):
             return sets[i]
 
         out = []
-        for i in left.tolist():
-            other = right[right > i] if alone else right
-            other = other[roots[other] != roots[i]]
-            if not len(other):
-                continue
-            same = sig[other] == sig[i]
-            # A pair that shares several bands is taken up in the first.
-            ok = same.reshape(len(other), bands, -1).all(axis=2).argmax(axis=1) == band
-            last, matches = 0, np.zeros(len(other), np.int64)
-            for n, least in steps:
-                matches += same[:, last:n].sum(axis=1)
-                ok &= matches >= least
-                last = n
-            for j in other[ok].tolist():
+        for i, other in _close(pdf, bands, percent / 100, miss):
+            for j in other.tolist():
                 a, b = find(roots[i]), find(roots[j])
                 if a == b:
                     continue
@@ -234,8 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bucketed = scratch.save(sigs.mapInArrow(_bands(bands, rows), "bucket long, band int, k long"), "bands")
     crowded = scratch.save(bucketed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("k").alias("p")).filter("c > 1"), "crowded")
-    members = scratch.save(bucketed.join(crowded, "bucket").select("bucket", "band", "k"), "members")
-    pairs = scratch.save(bucketed.join(crowded, "bucket").filter("k <> p").select("p", "k").distinct(), "pairs")
+    members = scratch.save(bucketed.join(crowded.hint("merge"), "bucket").select("bucket", "band", "k", "p"), "members")
+    pairs = scratch.save(members.filter("k <> p").select("p", "k").distinct(), "pairs")
     scratch.drop("bands", "crowded")
 
     # The texts of all that share a bucket are taken out once. How many grows with the input, so they are never broadcast.
@@ -243,6 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = scratch.save(texts.join(wanted.hint("merge"), "id").dropDuplicates(["id"]), "texts")
     scratch.reclaim()
     likely = scratch.save(_star(pairs, loads, _by_signature(count, percent / 100, miss)), "likely")
+    scratch.reclaim()
     stars = scratch.save(_star(likely, own, _by_sets(words, percent)).select(F.col("p").alias("a"), F.col("k").alias("b")), "stars")
     scratch.drop("pairs", "likely")
     scratch.reclaim()
@@ -260,13 +283,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.union(rest.filter("not main").select(*row, "i", every("mains")).select(*row, F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("side")))
     own_side = rest.filter("not main").select(*row, "i", every("sides")).select(*row, F.least("i", "j").alias("a"), (-1 - F.greatest("i", "j")).alias("b"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
     dealt = scratch.save(dealt.union(own_side), "dealt")
-    carried = own.join(dealt.select(F.col("k").alias("id")).distinct(), "id").join(loads.withColumnRenamed("load", "sig"), "id")
-    carried = scratch.save(carried, "carried")
-    scratch.drop("texts")
+    # Signatures alone say which members may link; texts are brought to those.
+    signs = sigs.join(dealt.select("k").distinct().hint("merge"), "k")
+    # Pairs of blocks are few bytes and much work: a given number of partitions keeps them from being put together.
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    close = dealt.join(signs.hint("merge"), "k").repartition(spread, "bucket", "a", "b").groupBy("bucket", "a", "b").applyInPandas(_candidates(bands, percent / 100, miss), "bucket long, band int, k long, root long, a long, b long, side int")
+    close = scratch.save(close, "close")
     scratch.reclaim()
-    found = dealt.join(carried, dealt.k == carried.id).drop("id").groupBy("bucket", "a", "b").applyInPandas(_blocks(words, percent, bands, miss), "a long, b long")
+    rows = close.join(sigs.hint("merge"), "k").join(own.withColumnRenamed("id", "k").hint("merge"), "k")
+    found = rows.repartition(spread, "bucket", "a", "b").groupBy("bucket", "a", "b").applyInPandas(_blocks(words, percent, bands, miss), "a long, b long")
     more = scratch.save(found, "more")
-    scratch.drop("members", "dealt", "carried", "star-roots")
+    scratch.drop("members", "dealt", "close", "texts", "star-roots")
     roots = scratch.save(components(scratch, stars.union(more)), "roots")
 
     low = classes.join(roots, classes.node == roots.node, "left").select("print", "low", F.coalesce(roots.root, classes.node).alias("root"))

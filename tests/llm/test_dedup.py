@@ -85,10 +85,34 @@ def test_minhash_chain_beyond_the_pivot(spark):
     assert got == want
 
 
+def test_minhash_buckets_of_many_components_and_blocks(spark, monkeypatch):
+    """Groups that are close to one another without being linked, in buckets of several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(9)
+    base = [rng.choice(WORDS) for _ in range(200)]
+    rows = []
+    for centre in range(6):
+        middle = list(base)
+        for j in range(rng.randint(2, 6)):
+            middle[centre * 30 + j * 4] = f"c{centre}"
+        for _ in range(7):
+            w = list(middle)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(200)] = f"n{rng.randrange(1000)}"
+            rows.append((rng.randrange(10**6), " ".join(w)))
+    rows = list(dict(rows).items())
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = groups(sets, links)
+    assert 1 < len(set(want.values())) < len(rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_minhash_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)]
-    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
-    assert got == sorted([(0, 3, None)] * 2 + [(3, 3, True)] * 2 + [(0, 0, True)], key=str) or all(k in (True, False, None) for _, _, k in got)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"], r["kept_"]) for r in minhash.near_duplicates(frame(spark, rows).withColumn("kept_", F.lit("mine"))).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2, 3, False, "mine")] * 2 + [(3, 2, 3, True, "mine")] * 2 + [(None, 0, None, True, "mine")], key=str)
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
