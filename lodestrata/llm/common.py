@@ -97,10 +97,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(column, limit: int = CHUNK_BYTES):
-    """(first row, last row, bytes of their texts one after another, offsets) of an Arrow string column, whole texts, null as empty."""
+    """(first row, last row, bytes of their texts one after another, offsets) of an Arrow string or binary column, whole texts, null as empty."""
     import pyarrow as pa
 
-    column = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
+    column = column.cast(pa.large_string() if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(pa.scalar(b"", pa.large_binary()).cast(column.type))
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if n and column.buffers()[2] is not None else np.empty(0, np.uint8)

@@ -31,7 +31,7 @@ SALTS = 16
 
 
 def stretches(symbols: np.ndarray, first: np.ndarray, window: int, gram: int):
-    """(document, first window, windows, anchor hash, stretch hash, Roller) of texts whose symbols start at first[i]."""
+    """(document, first window, windows, anchor hash, stretch hash, Roller, place of the anchor) of texts whose symbols start at first[i]."""
     roll = Roller(symbols)
     grams = roll.windows(gram)
     bits = np.uint64(max(24, int(len(symbols)).bit_length()))
@@ -44,14 +44,14 @@ def stretches(symbols: np.ndarray, first: np.ndarray, window: int, gram: int):
     at = np.nonzero(fits)[0]
     if not len(at):
         e = np.empty(0, np.int64)
-        return e, e, e, e.view(np.uint64), e.view(np.uint64), roll
+        return e, e, e, e.view(np.uint64), e.view(np.uint64), roll, e
     pos, d = (best[at] & low).astype(np.int64), doc[at]
     new = np.ones(len(at), bool)
     new[1:] = (pos[1:] != pos[:-1]) | (d[1:] != d[:-1])
     i = np.nonzero(new)[0]
     count = np.diff(np.append(i, len(at)))
     start = at[i]
-    return d[i], start - first[d[i]], count, grams[pos[i]], roll.ranges(start, start + count - 1 + window), roll
+    return d[i], start - first[d[i]], count, grams[pos[i]], roll.ranges(start, start + count - 1 + window), roll, pos[i]
 
 
 def _find(window: int, gram: int):
@@ -60,7 +60,7 @@ def _find(window: int, gram: int):
             keys = batch.column(0).to_numpy()
             for a, b, data, offsets in pieces(batch.column(1)):
                 s, e, first = word_bounds(data, offsets)
-                d, start, count, seed, whole, _ = stretches(word_hashes(data, s, e, False), first, window, gram)
+                d, start, count, seed, whole, *_ = stretches(word_hashes(data, s, e, False), first, window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(seed)), pa.array(signed(whole))], ["k", "start", "n", "seed", "whole"])
 
     return run

@@ -27,19 +27,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, _byte_values, Roller, free_name, merge_spans, pieces, row_key, signed, tune
+from .common import Scratch, _byte_values, Roller, free_name, merge_spans, mix, pieces, row_key, signed, tune
 from .substring import span_arrays, stretches
 
 LENGTH = 200
 GRAM = 64
-CUT = 16
+CUT = 4
+PARTS = 4
 CHUNK_WINDOWS = 4096
 PAGE_BYTES = 2 << 20
 RANGE_SUFFIXES = 2 << 20
 LEVELS = 5
 #: Parts of the ranges merged one after another, by level: what is on its way at a time stays a fraction of the whole.
-WAVES = {0: 3, 1: 2, 2: 2}
-SAMPLES = 256
+WAVES = {0: 2}
+#: Samples for each range that a level is parted into.
+SAMPLES = 64
 
 
 @contextlib.contextmanager
@@ -62,37 +64,65 @@ def _anchors(length: int, gram: int):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for a, b, data, offsets in pieces(batch.column(1), 1 << 19):
-                d, start, n, seed, _, _ = stretches(values[data], offsets, length, gram)
+                d, start, n, seed, *_ = stretches(values[data], offsets, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(signed(seed))], ["k", "start", "n", "seed"])
 
     return run
 
 
 def _chunks(length: int):
+    """Runs of live stretches (start * 512 + windows * 2 + cut), cut where an anchor of the fixed kind begins."""
+
     def run(batches):
         for batch in batches:
             keys, texts, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(5)]
             for i in range(batch.num_rows):
                 raw = texts[i].as_py().encode()
-                flat = lists[i].values
-                start, n, seed, cut = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "seed", "cut"))
-                order = np.argsort(start)
-                chunks: list[list] = []
-                for s, m, h, c in zip(start[order].tolist(), n[order].tolist(), seed[order].tolist(), cut[order].tolist()):
+                code = np.sort(lists[i].values.to_numpy())
+                chunks: list[list[int]] = []
+                for s, m, cut in zip((code >> 9).tolist(), (code >> 1 & 255).tolist(), (code & 1).tolist()):
                     last = chunks[-1] if chunks else None
-                    if last is None or c or s != last[0] + last[1] or last[1] + m > CHUNK_WINDOWS:
-                        last = [s, 0, [], [], []]
+                    if last is None or cut or s != last[0] + last[1] or last[1] + m > CHUNK_WINDOWS:
+                        last = [s, 0]
                         chunks.append(last)
-                    for x, y in zip(last[2:], (h, last[1], m)):
-                        x.append(y)
                     last[1] += m
-                for at, size, *parts in chunks:
+                for at, size in chunks:
                     body = raw[at : at + size - 1 + length]
-                    for x, y in zip(out, (keys[i], at, size, hashlib.blake2b(body, digest_size=16).digest(), body, *parts)):
+                    for x, y in zip(out, (keys[i], at, size, hashlib.blake2b(body, digest_size=16).digest(), body)):
                         x.append(y)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["k", "at", "n", "print", "body", "seeds", "offs", "sizes"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["k", "at", "n", "print", "body"])
+
+    return run
+
+
+def window_parts(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, parts: int):
+    """(text, first window, windows, key) of each text's stretches, parted by how far into the window the anchor lies.
+
+    Windows of one part, wherever they occur, all hold the same bytes around the anchor; the key is a hash of these, so it
+    says more than the anchor: of 200 bytes, 166 for four parts."""
+    d, start, n, _, _, roll, anchor = stretches(symbols, first, length, gram)
+    step = -(-(length - gram + 1) // parts)
+    base = first[d] + start
+    found = []
+    for lo in range(0, length - gram + 1, step):
+        hi = min(lo + step - 1, length - gram)
+        a, b = np.maximum(base, anchor - hi), np.minimum(base + n - 1, anchor - lo)
+        ok = np.nonzero(a <= b)[0]
+        key = mix(roll.ranges(anchor[ok] - lo, anchor[ok] - hi + length) + np.uint64(lo))
+        found.append((d[ok], a[ok] - first[d[ok]], b[ok] - a[ok] + 1, key))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _parts(length: int, gram: int):
+    def run(batches):
+        values = _byte_values(False)
+        for batch in batches:
+            prints = batch.column(0)
+            for a, b, data, offsets in pieces(batch.column(1), 1 << 19):
+                d, off, size, key = window_parts(values[data], offsets, length, gram, PARTS)
+                yield pa.RecordBatch.from_arrays([prints.slice(a, b - a).take(pa.array(d)), batch.column(2).slice(a, b - a).take(pa.array(d)), pa.array(off.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(signed(key))], ["print", "many", "off", "size", "key"])
 
     return run
 
@@ -164,8 +194,22 @@ def _triples(level: int, s: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
     return a << np.uint64(21) | b >> np.uint64(21), (b & np.uint64((1 << 21) - 1)) << np.uint64(42) | c
 
 
-def _some(n: int) -> np.ndarray:
-    return np.unique(np.linspace(0, n - 1, min(n, SAMPLES)).astype(np.int64)) if n else np.empty(0, np.int64)
+def _some(n: int, most: int) -> np.ndarray:
+    return np.unique(np.linspace(0, n - 1, min(n, most)).astype(np.int64)) if n else np.empty(0, np.int64)
+
+
+def needed(sizes: bytes, length: int, level: int) -> np.ndarray:
+    """Whether a position's rank is asked for: at level 0 that of each window's start, above that of the positions at the cover
+    by which those below are compared. The last bytes of a run only lengthen its windows and are named but never ranked."""
+    sizes = np.frombuffer(sizes, np.int64)
+    edge = np.cumsum(sizes)
+    mask = np.arange(edge[-1]) + length <= np.repeat(edge, sizes)
+    for _ in range(level):
+        use = np.zeros(len(mask) + 3, bool)
+        for i in range(3):
+            use[i : i + len(mask)] |= mask
+        mask = use[np.concatenate(cover(len(mask)))]
+    return mask
 
 
 def _slices(part: np.ndarray, ranges: int):
@@ -182,12 +226,12 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], types.get(n, pa.binary())) for i, n in enumerate(names)], names)
 
 
-def _sample_triples(level: int, kind):
+def _sample_triples(level: int, kind, most: int):
     def run(batches):
         for batch in batches:
             for blob in batch.column(1):
                 hi, _ = _triples(level, _symbols(level, blob.as_py(), kind), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hi[_some(len(hi))]))], ["hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hi[_some(len(hi), most)]))], ["hi"])
 
     return run
 
@@ -251,18 +295,19 @@ def _ranked(level: int, text: bytes, ranks: bytes, kind) -> tuple[np.ndarray, np
     r = np.frombuffer(ranks, kind)
     one, two = cover(len(s))
     rank = np.zeros(len(s) + 4, np.uint64)
-    rank[np.concatenate([one, two])] = r
+    rank[np.concatenate([one, two])[: len(r)]] = r
     rank[len(s)] = 0  # the mark past the end comes before all suffixes
     return np.concatenate([_padded(s), np.zeros(1, np.uint64)]), rank
 
 
-def _sample_ranks(level: int, kind):
+def _sample_ranks(level: int, length: int, kind, most: int):
     def run(batches):
         for batch in batches:
-            for text, ranks in zip(batch.column(1), batch.column(2)):
+            for text, ranks, sizes in zip(batch.column(1), batch.column(2), batch.column(3)):
                 s, rank = _ranked(level, text.as_py(), ranks.as_py(), kind)
-                at = np.arange(1, len(s) - 4, 3)
-                at = at[_some(len(at))]
+                at = np.nonzero(needed(sizes.as_py(), length, level))[0]
+                at = at[at % 3 == 1]
+                at = at[_some(len(at), most)]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (rank[at], s[at], rank[at + 1])], ["rank", "s", "next"])
 
     return run
@@ -287,21 +332,17 @@ def _send_suffixes(level: int, splitters: np.ndarray, wave: range, length: int,
         for batch in batches:
             for page, text, ranks, sizes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
                 s, rank = _ranked(level, text.as_py(), ranks.as_py(), kind)
-                n = len(s) - 4
-                part = np.empty(n, np.int64)
-                zero = np.arange(0, n, 3)
-                part[zero] = np.searchsorted(cut_pair, _pair(s[zero], rank[zero + 1]), "right")
-                rest = np.nonzero(np.arange(n) % 3)[0]
-                part[rest] = np.searchsorted(cut_rank, rank[rest], "right")
-                print_ = np.zeros(n, np.uint64)
+                all_at = np.nonzero(needed(sizes.as_py(), length, level))[0]
+                part = np.empty(len(all_at), np.int64)
+                zero = all_at % 3 == 0
+                i = all_at[zero]
+                part[zero] = np.searchsorted(cut_pair, _pair(s[i], rank[i + 1]), "right")
+                part[~zero] = np.searchsorted(cut_rank, rank[all_at[~zero]], "right")
                 if level == 0:
-                    h = Roller(_byte_values(False)[np.frombuffer(text.as_py(), np.uint8)]).windows(length)
-                    edge = np.cumsum(np.frombuffer(sizes.as_py(), np.int64))
-                    own = edge[np.searchsorted(edge, np.arange(len(h)), "right")] if len(h) else edge
-                    h[np.arange(len(h)) + length > own] = 0
-                    print_[: len(h)] = h
-                for r, at in _slices(part, len(splitters) + 1):
+                    print_ = Roller(_byte_values(False)[np.frombuffer(text.as_py(), np.uint8)]).windows(length)
+                for r, own in _slices(part, len(splitters) + 1):
                     if r in wave:
+                        at = all_at[own]
                         rest = at % 3
                         blobs = (at.astype(np.uint32), s[at].astype(small), s[at + 1].astype(small), np.where(rest == 2, 0, rank[at + 1]).astype(kind), np.where(rest == 1, rank[at], rank[at + 2]).astype(kind), rank[at[rest == 2]].astype(kind))
                         yield _rows([(page, r, *(x.tobytes() for x in blobs), print_[at].tobytes() if level == 0 else b"")], ["page", "part", "at", "s0", "s1", "r1", "r2", "own", "prints"])
@@ -346,7 +387,6 @@ def _merge(level: int, kind):
             out["first"] = out["last"] = 0
             return out[["page", "part", "at", "value", "top", "first", "last"]]
         h = load("prints", np.uint64)
-        order = order[h[order] != 0]
         same = h[order[1:]] == h[order[:-1]]
         again = np.zeros(len(h), bool)
         again[order[1:][same]] = True
@@ -373,16 +413,19 @@ def _splitters(sample: np.ndarray, ranges: int) -> np.ndarray:
     return sample[np.unique((np.arange(1, ranges) * len(sample)) // ranges)]
 
 
-def repeated_positions(pages: DataFrame, total: int, length: int, scratch: Scratch, range_suffixes: int = RANGE_SUFFIXES) -> DataFrame:
+def repeated_positions(pages: DataFrame, total: int, windows: int, length: int, scratch: Scratch, range_suffixes: int = RANGE_SUFFIXES) -> DataFrame:
     """(page, at binary of uint32): positions of pages (page, text, sizes) at which a string of `length` bytes starts that also
-    starts elsewhere in the pages."""
+    starts elsewhere in the pages. total: their bytes; windows: how many such strings they hold."""
     keys, kind = "page long, part long", width(total)
     strings: dict[int, DataFrame] = {0: pages.select("page", F.col("text").alias("data")), 1: pages.select("page", F.col("text").alias("data"))}
-    size = total * 2 / 3
+    size, count_pages = total * 2 / 3, pages.count()
+    samples = lambda ranges: max(1, math.ceil(SAMPLES * ranges / count_pages))
     for level in range(1, LEVELS):
         size *= 2 / 3
         ranges = max(1, math.ceil(size / range_suffixes))
-        hi = np.array([x["hi"] for x in strings[level].mapInArrow(_sample_triples(level, kind), "hi long").collect()], np.int64).view(np.uint64)
+        hi = np.empty(0, np.uint64)
+        if ranges > 1:
+            hi = np.array([x["hi"] for x in strings[level].mapInArrow(_sample_triples(level, kind, samples(ranges)), "hi long").collect()], np.int64).view(np.uint64)
         cut = np.unique(_splitters(np.sort(hi), ranges))
         sent = strings[level].mapInArrow(_send_triples(level, cut, kind), f"{keys}, hi binary, lo binary, at binary")
         named = scratch.save(sent.groupBy("part").applyInPandas(_name(level == 1 or kind is np.uint32), f"{keys}, at binary, value binary, top long"), f"named-{level}")
@@ -390,13 +433,15 @@ def repeated_positions(pages: DataFrame, total: int, length: int, scratch: Scrat
         scratch.drop(f"named-{level}")
         scratch.reclaim()
     ranks = strings[LEVELS]
-    size = total * (2 / 3) ** LEVELS
+    size = windows * (2 / 3) ** LEVELS
     for level in range(LEVELS - 1, -1, -1):
         size *= 1.5
         ranges = max(1, math.ceil(size / range_suffixes))
-        joined = strings[level].join(ranks.withColumnRenamed("data", "ranks"), "page")
-        joined = scratch.save(joined.join(pages.select("page", "sizes"), "page").select("page", "data", "ranks", "sizes"), f"joined-{level}")
-        found = [(x["rank"], x["s"], x["next"]) for x in joined.mapInArrow(_sample_ranks(level, kind), "rank long, s long, next long").collect()]
+        joined = strings[level].join(ranks.withColumnRenamed("data", "ranks"), "page").join(pages.select("page", "sizes"), "page").select("page", "data", "ranks", "sizes")
+        joined = scratch.save(joined, f"joined-{level}")
+        found = []
+        if ranges > 1:
+            found = [(x["rank"], x["s"], x["next"]) for x in joined.mapInArrow(_sample_ranks(level, length, kind, samples(ranges)), "rank long, s long, next long").collect()]
         sample = np.array(sorted(found), np.int64).reshape(-1, 3).view(np.uint64)
         cut = _splitters(sample, ranges)
         count = WAVES.get(level, 1)
@@ -438,7 +483,7 @@ def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"print": [names[x][:16] for x in c], "s": at[first] - edge[c] + base[c], "e": at[last] - edge[c] + base[c] + 1})
 
 
-def _sorted_spans(texts: DataFrame, total: int, length: int, scratch: Scratch) -> DataFrame:
+def _sorted_spans(texts: DataFrame, total: int, windows: int, length: int, scratch: Scratch) -> DataFrame:
     """(print, s, e): window starts of chunks that the order of all suffixes shows to repeat."""
     spark = texts.sparkSession
     count = max(1, math.ceil(total / PAGE_BYTES))
@@ -446,7 +491,7 @@ def _sorted_spans(texts: DataFrame, total: int, length: int, scratch: Scratch) -
     pages = scratch.save(pages, "pages")
     scratch.reclaim()
     with _one_row_batches(spark):
-        again = repeated_positions(pages, total, length, scratch)
+        again = repeated_positions(pages, total, windows, length, scratch)
     none = F.lit(None).cast("binary")
     # Of a page's text only that it is there is asked.
     own = pages.select("page", F.lit(b"x").alias("text"), "prints", "sizes", none.alias("at")).union(again.select("page", none, none, none, "at"))
@@ -459,29 +504,32 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
     seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, start long, n int, seed long"), "seen")
     live = seen.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
-    lists = seen.join(live, "seed", "left_semi").groupBy("k").agg(F.collect_list(F.struct("start", "n", "seed", (F.pmod("seed", F.lit(CUT)) == 0).alias("cut"))).alias("l"))
     # Of repeated rows (equal keys have equal texts) each is kept: their chunks are as many occurrences.
-    chunks = base.join(lists, "k").withColumn("l", F.array_distinct("l")).mapInArrow(_chunks(length), "k long, at long, n long, print binary, body binary, seeds array<long>, offs array<int>, sizes array<int>")
+    code = F.col("start") * 512 + F.col("n") * 2 + (F.pmod("seed", F.lit(CUT)) == 0).cast("int")
+    lists = seen.join(live, "seed", "left_semi").groupBy("k").agg(F.collect_set(code).alias("l"))
+    chunks = base.join(lists, "k").mapInArrow(_chunks(length), "k long, at long, n long, print binary, body binary")
     chunks = scratch.save(chunks, "chunks")
     scratch.drop("seen")
     scratch.reclaim()
-    kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), F.first("seeds").alias("seeds"), F.first("offs").alias("offs"), F.first("sizes").alias("sizes"), (F.count("*") > 1).alias("many")), "kinds")
+    kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), (F.count("*") > 1).alias("many")), "kinds")
     places = scratch.save(chunks.select("k", "at", "print"), "places")
     scratch.drop("chunks")
-    # A window repeats outside its chunk's copies only under an anchor that occurs again among the unlike chunks.
-    parts = kinds.select("print", F.explode(F.arrays_zip("seeds", "offs", "sizes")).alias("p")).select("print", F.col("p.seeds").alias("seed"), F.col("p.offs").alias("off"), F.col("p.sizes").alias("size"))
-    shared = parts.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
-    wanted = parts.join(shared, "seed", "left_semi").groupBy("print").agg(F.collect_list(F.struct("off", "size")).alias("parts"))
+    # Outside its chunk's copies a window repeats only where what its part has in common occurs again among the unlike
+    # chunks; where all of these have copies, their windows are known to repeat.
+    parts = scratch.save(kinds.select("print", "body", "many").mapInArrow(_parts(length, gram), "print binary, many boolean, off int, size int, key long"), "parts")
+    shared = parts.groupBy("key").agg(F.count("*").alias("c"), F.min("many").alias("known")).filter("c > 1 and not known").select("key")
+    wanted = parts.join(shared, "key", "left_semi").groupBy("print").agg(F.collect_list(F.struct("off", "size")).alias("parts"))
     texts = scratch.save(kinds.select("print", "body").join(wanted, "print").select("print", "body", "parts").mapInArrow(_runs(length), "print binary, body binary"), "texts")
-    total = texts.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
+    sums = texts.agg(F.sum(F.octet_length("body")).alias("n"), F.count("*").alias("runs")).first()
+    total = sums["n"] or 0
     weighed = kinds.filter("many").select("print", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
     spans = weighed.limit(0)
     if total:
-        spans = _sorted_spans(texts, total, length, scratch)
+        spans = _sorted_spans(texts, total, total - (length - 1) * sums["runs"], length, scratch)
     some = weighed.union(spans).groupBy("print").agg(F.collect_list(F.struct("s", "e")).alias("l"))
     at = places.join(some, "print").select("k", F.explode(F.transform("l", lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"] - 1 + length).alias("e")))).alias("x"))
     out = scratch.save(at.groupBy("k").agg(F.collect_list("x").alias("spans")), "spans")
-    scratch.drop("kinds", "places", "texts", "pages", "unique-spans", *(f"merged-0-{w}" for w in range(WAVES[0])))
+    scratch.drop("kinds", "places", "parts", "texts", "pages", "unique-spans", *(f"merged-0-{w}" for w in range(WAVES[0])))
     scratch.reclaim()
     return out.withColumnRenamed("k", key)
 

@@ -145,7 +145,7 @@ def test_substring_repeated_rows_and_empty_table(spark):
 def test_suffix_against_all_strings(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PAGE_BYTES", 4000)
     whole = suffix.repeated_positions
-    monkeypatch.setattr(suffix, "repeated_positions", lambda a, b, c, d: whole(a, b, c, d, range_suffixes=3000))
+    monkeypatch.setattr(suffix, "repeated_positions", lambda *x: whole(*x, range_suffixes=3000))
     rows = corpus(4)
     length = 60
     raw = {i: (t or "").encode() for i, t in rows}
