@@ -32,7 +32,7 @@ from .substring import span_arrays, stretches
 
 LENGTH = 200
 GRAM = 64
-CUT = 4
+CUT = 2
 PARTS = 4
 CHUNK_WINDOWS = 4096
 PAGE_BYTES = 2 << 20
@@ -65,7 +65,8 @@ def _anchors(length: int, gram: int):
             keys = batch.column(0).to_numpy()
             for a, b, data, offsets in pieces(batch.column(1), 1 << 19):
                 d, start, n, seed, *_ = stretches(values[data], offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(signed(seed))], ["k", "start", "n", "seed"])
+                code = start * 512 + n * 2 + (seed % np.uint64(CUT) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(code), pa.array(signed(seed))], ["k", "code", "seed"])
 
     return run
 
@@ -226,41 +227,100 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], types.get(n, pa.binary())) for i, n in enumerate(names)], names)
 
 
-def _sample_triples(level: int, kind, most: int):
+def _distinct(level: int, length: int, kind):
+    """Of each page the distinct triples in order and, for each position at the cover, which one is there. Triples that the
+    last names are made of are asked for where a rank is."""
+
     def run(batches):
         for batch in batches:
-            for blob in batch.column(1):
-                hi, _ = _triples(level, _symbols(level, blob.as_py(), kind), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hi[_some(len(hi), most)]))], ["hi"])
+            for i, (page, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                hi, lo = _triples(level, _symbols(level, blob.as_py(), kind), kind)
+                if level == LEVELS - 1:
+                    at = needed(batch.column(2)[i].as_py(), length, LEVELS)
+                    hi, lo = hi[at], lo[at]
+                order = np.lexsort((lo, hi))
+                hi, lo = hi[order], lo[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+                which = np.empty(len(order), np.uint32)
+                which[order] = np.cumsum(new) - 1
+                if level == LEVELS - 1:
+                    full = np.zeros(len(at), np.uint32)
+                    full[at] = which
+                    which = full
+                yield _rows([(page, hi[new].tobytes(), lo[new].tobytes(), which.tobytes())], ["page", "hi", "lo", "which"])
 
     return run
 
 
-def _send_triples(level: int, splitters: np.ndarray, kind):
+def _low(level: int, kind):
+    return np.uint32 if level == 1 or kind is np.uint32 else np.uint64
+
+
+def _sample_triples(low, most: int):
     def run(batches):
         for batch in batches:
-            for page, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hi, lo = _triples(level, _symbols(level, blob.as_py(), kind), kind)
-                part = np.searchsorted(splitters, hi, "right")
-                for r, at in _slices(part, len(splitters) + 1):
-                    yield _rows([(page, r, hi[at].tobytes(), lo[at].tobytes(), at.astype(np.uint32).tobytes())], ["page", "part", "hi", "lo", "at"])
+            for x, y in zip(batch.column(0), batch.column(1)):
+                hi, lo = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), low)
+                at = _some(len(hi), most)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hi[at])), pa.array(signed(lo[at].astype(np.uint64)))], ["hi", "lo"])
 
     return run
 
 
-def _name(narrow: bool):
+def _send_triples(low, cut_hi: np.ndarray, cut_lo: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for page, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                hi, lo = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), low)
+                a, b = np.searchsorted(hi, cut_hi, "left"), np.searchsorted(hi, cut_hi, "right")
+                cut = [int(i + np.searchsorted(lo[i:j], v, "left")) for i, j, v in zip(a.tolist(), b.tolist(), cut_lo.astype(low))]
+                for r, (i, j) in enumerate(zip([0, *cut], [*cut, len(hi)])):
+                    if j > i:
+                        yield _rows([(page, r, hi[i:j].tobytes(), lo[i:j].tobytes())], ["page", "part", "hi", "lo"])
+
+    return run
+
+
+def _name(low):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hi, lo = np.frombuffer(b"".join(pdf["hi"]), np.uint64), np.frombuffer(b"".join(pdf["lo"]), np.uint32 if narrow else np.uint64)
+        hi, lo = np.frombuffer(b"".join(pdf["hi"]), np.uint64), np.frombuffer(b"".join(pdf["lo"]), low)
         order = np.lexsort((lo, hi))
         new = np.ones(len(order), bool)
         new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
         name = np.empty(len(order), np.uint32)
         name[order] = np.cumsum(new)  # from 1
-        return _back(pdf, name, int(new.sum()))
+        edge = np.cumsum([0, *(len(x) // 8 for x in pdf["hi"])])
+        return pd.DataFrame({"page": pdf["page"], "part": pdf["part"], "value": [name[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], "top": int(new.sum())})
 
     return run
 
 
+def _bases(found: DataFrame) -> tuple[dict[int, int], int]:
+    """How many numbers the ranges before each one use: the driver sums one number of each range."""
+    tops = {r["part"]: r["top"] for r in found.groupBy("part").agg(F.max("top").alias("top")).collect()}
+    base, total = {}, 0
+    for part in sorted(tops):
+        base[part] = total
+        total += tops[part]
+    return base, total
+
+
+def _renamed(named: DataFrame, kinds: DataFrame, kind) -> DataFrame:
+    """The next string of each page: the names of its distinct triples, put where the triples are."""
+    base, _ = _bases(named)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["part"] == -1
+        found = pdf[~own].sort_values("part")
+        names = [np.frombuffer(v, np.uint32).astype(kind) + kind(base[p]) for p, v in zip(found["part"].tolist(), found["value"])]
+        which = np.frombuffer(pdf[own]["value"].iloc[0], np.uint32)
+        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "data": [np.concatenate(names)[which].tobytes()]})
+
+    rows = named.select("page", "part", "value").union(kinds.select("page", F.lit(-1).cast("long"), "which"))
+    return rows.groupBy("page").applyInPandas(run, "page long, data binary")
+
+
 def _back(pdf: pd.DataFrame, value: np.ndarray, top: int) -> pd.DataFrame:
     """Numbers of a range for the pages they belong to; top: how many numbers the range uses."""
     edge = np.cumsum([0, *(len(x) // 4 for x in pdf["at"])])
@@ -268,12 +328,8 @@ def _back(pdf: pd.DataFrame, value: np.ndarray, top: int) -> pd.DataFrame:
 
 
 def _numbered(found: DataFrame, kind) -> DataFrame:
-    """Arrays of pages from the pieces that came back, numbered over all ranges: the driver sums one number of each range."""
-    tops = {r["part"]: r["top"] for r in found.groupBy("part").agg(F.max("top").alias("top")).collect()}
-    base, total = {}, 0
-    for part in sorted(tops):
-        base[part] = total
-        total += tops[part]
+    """Arrays of pages from the pieces that came back, numbered over all ranges."""
+    base, _ = _bases(found)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.frombuffer(b"".join(pdf["at"]), np.uint32)
@@ -423,13 +479,20 @@ def repeated_positions(pages: DataFrame, total: int, windows: int, length: int,
     for level in range(1, LEVELS):
         size *= 2 / 3
         ranges = max(1, math.ceil(size / range_suffixes))
-        hi = np.empty(0, np.uint64)
+        low = _low(level, kind)
+        string = strings[level] if level < LEVELS - 1 else strings[level].join(pages.select("page", "sizes"), "page")
+        kinds = scratch.save(string.mapInArrow(_distinct(level, length, kind), "page long, hi binary, lo binary, which binary"), f"kinds-{level}")
+        picked = []
         if ranges > 1:
-            hi = np.array([x["hi"] for x in strings[level].mapInArrow(_sample_triples(level, kind, samples(ranges)), "hi long").collect()], np.int64).view(np.uint64)
-        cut = np.unique(_splitters(np.sort(hi), ranges))
-        sent = strings[level].mapInArrow(_send_triples(level, cut, kind), f"{keys}, hi binary, lo binary, at binary")
-        named = scratch.save(sent.groupBy("part").applyInPandas(_name(level == 1 or kind is np.uint32), f"{keys}, at binary, value binary, top long"), f"named-{level}")
-        strings[level + 1] = scratch.save(_numbered(named, kind), f"string-{level + 1}")
+            picked = kinds.select("hi", "lo").mapInArrow(_sample_triples(low, samples(ranges)), "hi long, lo long").collect()
+        hi, lo = (np.array([x[c] for x in picked], np.int64).view(np.uint64) for c in ("hi", "lo"))
+        order = np.lexsort((lo, hi))
+        order = _splitters(order, ranges)
+        sent = kinds.select("page", "hi", "lo").mapInArrow(_send_triples(low, hi[order], lo[order]), f"{keys}, hi binary, lo binary")
+        named = scratch.save(sent.groupBy("part").applyInPandas(_name(low), f"{keys}, value binary, top long"), f"named-{level}")
+        scratch.reclaim()
+        strings[level + 1] = scratch.save(_renamed(named, kinds, kind), f"string-{level + 1}")
+        scratch.drop(f"kinds-{level}")
         scratch.drop(f"named-{level}")
         scratch.reclaim()
     ranks = strings[LEVELS]
@@ -502,11 +565,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     """(key, spans array<struct<s,e>>) in bytes, for rows with a repeated string; spans may overlap."""
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
-    seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, start long, n int, seed long"), "seen")
+    seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, code long, seed long"), "seen")
     live = seen.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
     # Of repeated rows (equal keys have equal texts) each is kept: their chunks are as many occurrences.
-    code = F.col("start") * 512 + F.col("n") * 2 + (F.pmod("seed", F.lit(CUT)) == 0).cast("int")
-    lists = seen.join(live, "seed", "left_semi").groupBy("k").agg(F.collect_set(code).alias("l"))
+    lists = seen.join(live, "seed", "left_semi").groupBy("k").agg(F.collect_set("code").alias("l"))
     chunks = base.join(lists, "k").mapInArrow(_chunks(length), "k long, at long, n long, print binary, body binary")
     chunks = scratch.save(chunks, "chunks")
     scratch.drop("seen")
