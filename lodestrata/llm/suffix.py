@@ -213,8 +213,17 @@ def needed(sizes: bytes, length: int, level: int) -> np.ndarray:
     return mask
 
 
+def pair_order(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Order by two words; 32 bits of the second go behind the place of the first, so that single words are sorted."""
+    if lo.dtype != np.uint32:
+        return np.lexsort((lo, hi))
+    return np.argsort(np.unique(hi, return_inverse=True)[1].astype(np.uint64) << np.uint64(32) | lo)
+
+
 def _slices(part: np.ndarray, ranges: int):
     """(range, members in order) of the ranges with members."""
+    if ranges < 1 << 16:
+        part = part.astype(np.uint16)  # sorted by digits
     order = np.argsort(part, kind="stable")
     edge = np.searchsorted(part[order], np.arange(ranges + 1))
     for r in range(ranges):
@@ -235,10 +244,11 @@ def _distinct(level: int, length: int, kind):
         for batch in batches:
             for i, (page, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 hi, lo = _triples(level, _symbols(level, blob.as_py(), kind), kind)
+                sizes = batch.column(2)[i].as_py()
                 if level == LEVELS - 1:
-                    at = needed(batch.column(2)[i].as_py(), length, LEVELS)
+                    at = needed(sizes, length, LEVELS)
                     hi, lo = hi[at], lo[at]
-                order = np.lexsort((lo, hi))
+                order = pair_order(hi, lo)
                 hi, lo = hi[order], lo[order]
                 new = np.ones(len(order), bool)
                 new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
@@ -248,7 +258,7 @@ def _distinct(level: int, length: int, kind):
                     full = np.zeros(len(at), np.uint32)
                     full[at] = which
                     which = full
-                yield _rows([(page, hi[new].tobytes(), lo[new].tobytes(), which.tobytes())], ["page", "hi", "lo", "which"])
+                yield _rows([(page, hi[new].tobytes(), lo[new].tobytes(), which.tobytes(), sizes)], ["page", "hi", "lo", "which", "sizes"])
 
     return run
 
@@ -285,7 +295,7 @@ def _send_triples(low, cut_hi: np.ndarray, cut_lo: np.ndarray):
 def _name(low):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hi, lo = np.frombuffer(b"".join(pdf["hi"]), np.uint64), np.frombuffer(b"".join(pdf["lo"]), low)
-        order = np.lexsort((lo, hi))
+        order = pair_order(hi, lo)
         new = np.ones(len(order), bool)
         new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
         name = np.empty(len(order), np.uint32)
@@ -315,10 +325,10 @@ def _renamed(named: DataFrame, kinds: DataFrame, kind) -> DataFrame:
         found = pdf[~own].sort_values("part")
         names = [np.frombuffer(v, np.uint32).astype(kind) + kind(base[p]) for p, v in zip(found["part"].tolist(), found["value"])]
         which = np.frombuffer(pdf[own]["value"].iloc[0], np.uint32)
-        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "data": [np.concatenate(names)[which].tobytes()]})
+        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "data": [np.concatenate(names)[which].tobytes()], "sizes": [pdf[own]["sizes"].iloc[0]]})
 
-    rows = named.select("page", "part", "value").union(kinds.select("page", F.lit(-1).cast("long"), "which"))
-    return rows.groupBy("page").applyInPandas(run, "page long, data binary")
+    rows = named.select("page", "part", "value", F.lit(None).cast("binary").alias("sizes")).union(kinds.select("page", F.lit(-1).cast("long"), "which", "sizes"))
+    return rows.groupBy("page").applyInPandas(run, "page long, data binary, sizes binary")
 
 
 def _back(pdf: pd.DataFrame, value: np.ndarray, top: int) -> pd.DataFrame:
@@ -327,19 +337,22 @@ def _back(pdf: pd.DataFrame, value: np.ndarray, top: int) -> pd.DataFrame:
     return pd.DataFrame({"page": pdf["page"], "part": pdf["part"], "at": pdf["at"], "value": [value[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], "top": top})
 
 
-def _numbered(found: DataFrame, kind) -> DataFrame:
-    """Arrays of pages from the pieces that came back, numbered over all ranges."""
+def _ranks(found: DataFrame, strings: DataFrame, kind) -> DataFrame:
+    """Strings (page, data, sizes) with `ranks` of the level above, from the pieces that came back, numbered over all ranges."""
     base, _ = _bases(found)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["part"] == -1].iloc[0]
+        pdf = pdf[pdf["part"] != -1]
         at = np.frombuffer(b"".join(pdf["at"]), np.uint32)
         value = np.frombuffer(b"".join(pdf["value"]), np.uint32).astype(kind)
         value += np.repeat(np.array([base[p] for p in pdf["part"]], kind), [len(x) // 4 for x in pdf["at"]])
         out = np.zeros(int(at.max()) + 1, kind)
         out[at] = value
-        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "data": [out.tobytes()]})
+        return pd.DataFrame({"page": [own["page"]], "data": [own["value"]], "ranks": [out.tobytes()], "sizes": [own["at"]]})
 
-    return found.select("page", "part", "at", "value").groupBy("page").applyInPandas(run, "page long, data binary")
+    rows = found.select("page", "part", "at", "value").union(strings.select("page", F.lit(-1).cast("long"), "sizes", "data"))
+    return rows.groupBy("page").applyInPandas(run, "page long, data binary, ranks binary, sizes binary")
 
 
 # ------------------------------------------------------------------ merging
@@ -369,8 +382,10 @@ def _sample_ranks(level: int, length: int, kind, most: int):
     return run
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairs in lexicographic order; both are below 2**53."""
+def _pair(a: np.ndarray, b: np.ndarray, kind) -> np.ndarray:
+    """Numbers in the order of pairs; both are below 2**32, or below 2**53."""
+    if kind is np.uint32:
+        return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
     out = np.empty(len(a), np.complex128)
     out.real, out.imag = a, b
     return out
@@ -382,7 +397,7 @@ def _small(level: int, kind):
 
 def _send_suffixes(level: int, splitters: np.ndarray, wave: range, length: int, kind):
     small = _small(level, kind)
-    cut_rank, cut_pair = splitters[:, 0].copy(), _pair(splitters[:, 1], splitters[:, 2])
+    cut_rank, cut_pair = splitters[:, 0].copy(), _pair(splitters[:, 1], splitters[:, 2], kind)
 
     def run(batches):
         for batch in batches:
@@ -392,7 +407,7 @@ def _send_suffixes(level: int, splitters: np.ndarray, wave: range, length: int,
                 part = np.empty(len(all_at), np.int64)
                 zero = all_at % 3 == 0
                 i = all_at[zero]
-                part[zero] = np.searchsorted(cut_pair, _pair(s[i], rank[i + 1]), "right")
+                part[zero] = np.searchsorted(cut_pair, _pair(s[i], rank[i + 1], kind), "right")
                 part[~zero] = np.searchsorted(cut_rank, rank[all_at[~zero]], "right")
                 if level == 0:
                     print_ = Roller(_byte_values(False)[np.frombuffer(text.as_py(), np.uint8)]).windows(length)
@@ -410,17 +425,24 @@ def merged(kind: np.ndarray, s0: np.ndarray, s1: np.ndarray, r1: np.ndarray, r2:
     """Order of suffixes: those at the cover by rank, the others put among them by the two comparisons of the difference cover."""
     zero, one, two = (np.nonzero(kind == i)[0] for i in range(3))
     cover_ = np.nonzero(kind)[0]
-    cover_ = cover_[np.argsort(rank[cover_], kind="stable")]
-    zero = zero[np.lexsort((r1[zero], s0[zero]))]
-    before = np.zeros(len(zero), np.int64)
-    for other, keys in ((one, (r1, s0)), (two, (r2, s1, s0))):
-        both = np.concatenate([other, zero])
-        order = np.lexsort(tuple(k[both] for k in keys))
-        is_zero = order >= len(other)
-        count = np.cumsum(~is_zero)[is_zero]
+    cover_ = cover_[np.argsort(rank[cover_])]
+    size = np.uint32 if rank.dtype == np.uint32 else np.uint64
+    first = _pair(s0, r1, size)
+    zero = zero[np.argsort(first[zero])]
+    before = np.searchsorted(np.sort(first[one]), first[zero], "right")
+    both = np.concatenate([two, zero])
+    s01 = _pair(s0[both], s1[both], size) if s0.itemsize > 1 else s0[both].astype(np.uint64) << np.uint64(8) | s1[both]
+    if size is np.uint32:
+        if s0.itemsize > 1:
+            s01 = np.unique(s01, return_inverse=True)[1]
+        key = _pair(s01, r2[both], size)
+        before = before + np.searchsorted(np.sort(key[: len(two)]), key[len(two) :], "right")
+    else:
+        order = np.lexsort((r2[both], s01))
+        is_zero = order >= len(two)
         less = np.empty(len(zero), np.int64)
-        less[order[is_zero] - len(other)] = count
-        before += less
+        less[order[is_zero] - len(two)] = np.cumsum(~is_zero)[is_zero]
+        before = before + less
     before = np.maximum.accumulate(before) if len(before) else before
     place = np.concatenate([2 * np.arange(len(cover_)) + 1, 2 * before])
     return np.concatenate([cover_, zero])[np.argsort(place, kind="stable")]
@@ -473,15 +495,15 @@ def repeated_positions(pages: DataFrame, total: int, windows: int, length: int,
     """(page, at binary of uint32): positions of pages (page, text, sizes) at which a string of `length` bytes starts that also
     starts elsewhere in the pages. total: their bytes; windows: how many such strings they hold."""
     keys, kind = "page long, part long", width(total)
-    strings: dict[int, DataFrame] = {0: pages.select("page", F.col("text").alias("data")), 1: pages.select("page", F.col("text").alias("data"))}
+    text = pages.select("page", F.col("text").alias("data"), "sizes")
+    strings: dict[int, DataFrame] = {0: text, 1: text}
     size, count_pages = total * 2 / 3, pages.count()
     samples = lambda ranges: max(1, math.ceil(SAMPLES * ranges / count_pages))
     for level in range(1, LEVELS):
         size *= 2 / 3
         ranges = max(1, math.ceil(size / range_suffixes))
         low = _low(level, kind)
-        string = strings[level] if level < LEVELS - 1 else strings[level].join(pages.select("page", "sizes"), "page")
-        kinds = scratch.save(string.mapInArrow(_distinct(level, length, kind), "page long, hi binary, lo binary, which binary"), f"kinds-{level}")
+        kinds = scratch.save(strings[level].mapInArrow(_distinct(level, length, kind), "page long, hi binary, lo binary, which binary, sizes binary"), f"kinds-{level}")
         picked = []
         if ranges > 1:
             picked = kinds.select("hi", "lo").mapInArrow(_sample_triples(low, samples(ranges)), "hi long, lo long").collect()
@@ -495,13 +517,13 @@ def repeated_positions(pages: DataFrame, total: int, windows: int, length: int,
         scratch.drop(f"kinds-{level}")
         scratch.drop(f"named-{level}")
         scratch.reclaim()
-    ranks = strings[LEVELS]
+    top = LEVELS - 1
+    joined = strings[top].join(strings[LEVELS].select("page", F.col("data").alias("ranks")), "page").select("page", "data", "ranks", "sizes")
+    joined = scratch.save(joined, f"joined-{top}")
     size = windows * (2 / 3) ** LEVELS
-    for level in range(LEVELS - 1, -1, -1):
+    for level in range(top, -1, -1):
         size *= 1.5
         ranges = max(1, math.ceil(size / range_suffixes))
-        joined = strings[level].join(ranks.withColumnRenamed("data", "ranks"), "page").join(pages.select("page", "sizes"), "page").select("page", "data", "ranks", "sizes")
-        joined = scratch.save(joined, f"joined-{level}")
         found = []
         if ranges > 1:
             found = [(x["rank"], x["s"], x["next"]) for x in joined.mapInArrow(_sample_ranks(level, length, kind, samples(ranges)), "rank long, s long, next long").collect()]
@@ -517,10 +539,11 @@ def repeated_positions(pages: DataFrame, total: int, windows: int, length: int,
         out = waves[0]
         for w in waves[1:]:
             out = out.union(w)
-        scratch.drop(f"joined-{level}", f"string-{level + 1}", f"ranks-{level + 1}")
+        scratch.drop(f"joined-{level}", f"string-{level + 1}")
         if level:
-            ranks = scratch.save(_numbered(out, kind), f"ranks-{level}")
+            joined = scratch.save(_ranks(out, strings[level - 1], kind), f"joined-{level - 1}")
             scratch.drop(*(f"merged-{level}-{w}" for w in range(count)))
+            scratch.reclaim()
     # Two rows for each range: few enough for one ordered window.
     edges = out.filter("first = 1 or last = 1").select("page", "at", "value", "part", "first", "last")
     order = Window.orderBy("part", "last")

@@ -142,15 +142,15 @@ def test_substring_repeated_rows_and_empty_table(spark):
     assert substring.remove_repeats(frame(spark, [(1, "a")])).first()["n_removed"] == 0
 
 
-def test_suffix_against_all_strings(spark, monkeypatch):
+@pytest.mark.parametrize("length,gram", [(60, 20), (200, 64)])
+def test_suffix_against_all_strings(spark, monkeypatch, length, gram):
     monkeypatch.setattr(suffix, "PAGE_BYTES", 4000)
     whole = suffix.repeated_positions
     monkeypatch.setattr(suffix, "repeated_positions", lambda *x: whole(*x, range_suffixes=3000))
     rows = corpus(4)
-    length = 60
     raw = {i: (t or "").encode() for i, t in rows}
     count = Counter(b[p : p + length] for b in raw.values() for p in range(len(b) - length + 1))
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(frame(spark, rows), length=length, gram=20).collect()}
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(frame(spark, rows), length=length, gram=gram).collect()}
     for i, b in raw.items():
         gone = {p for s in range(len(b) - length + 1) if count[b[s : s + length]] > 1 for p in range(s, s + length)}
         runs = sum(1 for p in gone if p - 1 not in gone)
