@@ -129,7 +129,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    return Roller(_byte_values(fold)[data]).ranges(starts, ends)
+    values, out, i = _byte_values(fold), np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # a part of a very long text at a time
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 2 * CHUNK_BYTES, "right")))
+        base = starts[i]
+        out[i:j] = Roller(values[data[base : ends[j - 1]]]).ranges(starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

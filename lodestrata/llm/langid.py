@@ -11,10 +11,12 @@ ASCII letters and the two-byte Latin-1 capitals are folded to lower case. The co
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,9 @@ ORDER = 4
 #: Bounds of the training sample, for each language.
 TRAIN_DOCS, TRAIN_BYTES = 600, 400_000
 
+#: Bytes that are turned into numbers at a time.
+SLICE = 1 << 19
+
 _LETTER = re.compile(r"[^\W\d_]")
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -105,10 +110,16 @@ class Model:
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        full = np.nonzero(np.diff(offsets))[0]
-        if len(full):
-            cost = self._find(self.order, _codes(fold(data), offsets, self.order)[-1])
-            out[full] = np.add.reduceat(cost, offsets[full], axis=0, dtype=np.float64)
+        data = fold(data)
+        # A slice of bytes at a time, with the context before it: numbers take many times the size of a very long text.
+        for a in range(0, len(data), SLICE):
+            b, lo = min(a + SLICE, len(data)), max(a - self.order, 0)
+            # A text that began before the slice gets the mark of a start within the context only.
+            own = np.clip(offsets, lo, b)
+            cost = self._find(self.order, _codes(data[lo:b], own - lo, self.order)[-1][a - lo :])
+            edge = np.clip(offsets, a, b) - a
+            full = np.nonzero(np.diff(edge))[0]
+            out[full] += np.add.reduceat(cost, edge[full], axis=0, dtype=np.float64)
         return out
 
 
@@ -193,11 +204,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     tune(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
     at = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # By value, so that executors need no copy of this package; at most a few MB for each language, by the bound on its sample.
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     names = docs.columns
 
     def run(batches):
-        model = shared.value
+        model = pickle.loads(shared.value)
         tags = np.array(model.languages, dtype=object)
         for batch in batches:
             best, score, rate = [], [], []

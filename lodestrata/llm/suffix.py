@@ -40,6 +40,8 @@ RANGE_SUFFIXES = 2 << 20
 LEVELS = 5
 #: Parts of the ranges merged one after another, by level: what is on its way at a time stays a fraction of the whole.
 WAVES = {0: 2}
+#: Windows of a very long text that are taken up at a time.
+SLICE = 1 << 20
 #: Samples for each range that a level is parted into.
 SAMPLES = 64
 
@@ -64,9 +66,12 @@ def _anchors(length: int, gram: int):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for a, b, data, offsets in pieces(batch.column(1), 1 << 19):
-                d, start, n, seed, *_ = stretches(values[data], offsets, length, gram)
-                code = start * 512 + n * 2 + (seed % np.uint64(CUT) == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(code), pa.array(signed(seed))], ["k", "code", "seed"])
+                # A very long text is cut into slices that share no window, so stretches end there too.
+                for lo in range(0, len(data) if b == a + 1 else 1, SLICE):
+                    part, edge = (data[lo : lo + SLICE + length - 1], None) if b == a + 1 else (data, offsets)
+                    d, start, n, seed, *_ = stretches(values[part], np.array([0, len(part)]) if edge is None else edge, length, gram)
+                    code = (start + lo) * 512 + n * 2 + (seed % np.uint64(CUT) == 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(code), pa.array(signed(seed))], ["k", "code", "seed"])
 
     return run
 
