@@ -6,26 +6,30 @@ weight log10(m / (c(h) + m)) leads to h', down to the root, whose arcs are the s
 and its failure arc add up to one (a Dirichlet prior of strength m). A text is one traversal from the state of its start to
 its end token; every token takes the arc of the longest state that has it, after the failure arcs above.
 
-The automaton of a large corpus fits no machine. Documents are dealt into blocks of bounded size; a block sends the hashes and
-counts of its distinct n-grams, sorted, to ranges of the hash space, a range sums them over all blocks and sends each block the
-corpus counts of just its n-grams, and each block walks its own documents over that part of the automaton. A gram in all
-documents comes to its range once per block. N-grams are told apart by 63 bits of hash.
+The automaton of a large corpus fits no machine. Documents are dealt into blocks of bounded size and kept as word numbers; a
+block sends the hashes and counts of its distinct n-grams, sorted, to ranges of the hash space, a range sums them over all
+blocks and sends each block the corpus counts of just its n-grams, and each block builds the part of the automaton that its
+documents can reach and traverses it. A gram in all documents comes to its range once per block. N-grams are told apart by 63
+bits of hash.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, row_key, tune, word_bounds, word_hashes
+from .common import Scratch, mix, tune, word_bounds, word_hashes
 
-ORDER = 2
+ORDER = 3
 #: Strength of the prior.
 PRIOR = 20.0
 ADD = 0.1
 BLOCK_BYTES = 4 << 20
 #: Parts in which the ranges are summed one after another, so that the grams on their way take a part of the disk.
-WAVES = 4
+WAVES = 8
+#: Tokens that are traversed from one start: runs of a block go on side by side.
+RUN = 256
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x369DEA0F31A53F85)
@@ -67,20 +71,51 @@ def grams(words: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.nda
     return keys, states
 
 
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's documents as numbers of its own words."""
+    words, first = tokens(pdf["t"].tolist())
+    vocab, index = np.unique(words, return_inverse=True)
+    index = index.astype(np.uint16 if len(vocab) < 1 << 16 else np.uint32)
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["id"].tolist()], "train": [pdf["train"].to_numpy(bool).tobytes()], "first": [first.astype(np.int64).tobytes()], "vocab": [vocab.tobytes()], "index": [index.tobytes()]})
+
+
+def _unpack(train: bytes, first: bytes, vocab: bytes, index: bytes):
+    vocab = np.frombuffer(vocab, np.uint64)
+    index = np.frombuffer(index, np.uint16 if len(vocab) < 1 << 16 else np.uint32)
+    return vocab[index], np.frombuffer(first, np.int64), np.frombuffer(train, bool)
+
+
+def _small(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as a byte each, and those of 255 or more once again in full: most are small."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.uint64).tobytes()
+
+
+def _counts(low: list[bytes], high: list[bytes]) -> np.ndarray:
+    out = np.frombuffer(b"".join(low), np.uint8).astype(np.uint64)
+    out[out == 255] = np.frombuffer(b"".join(high), np.uint64)
+    return out
+
+
 def _send(order: int, bits: int, wave: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, first = tokens(pdf["t"].tolist())
-        train = np.repeat(pdf["train"].to_numpy(bool), np.diff(np.append(first, len(words))))
-        keys, _ = grams(words, first, order)
-        all_keys, place = np.unique(np.concatenate([*keys, [_START & ~np.uint64(1)]]), return_inverse=True)
-        counts = np.bincount(place[:-1][np.tile(train, order)], minlength=len(all_keys))
-        counts[place[-1]] += int(pdf["train"].sum())
-        part = (all_keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(all_keys), np.int64)
-        edge = np.searchsorted(part, np.arange((1 << bits) + 1))
-        rows = [(r, all_keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for r, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if b > a and r % WAVES == wave]
-        out = pd.DataFrame(rows, columns=["part", "keys", "counts"])
-        out.insert(0, "block", pdf["block"].iloc[0])
-        return out.astype({"part": "int64"})
+    """A block's distinct n-grams in the ranges of this wave, with their counts in its training documents."""
+
+    def run(batches):
+        for batch in batches:
+            for block, *blobs in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(1, 5))):
+                words, first, train = _unpack(*blobs)
+                weight = np.repeat(train, np.diff(np.append(first, len(words))))
+                keys = np.concatenate([*grams(words, first, order)[0], [_START & ~np.uint64(1)]])
+                part = lambda x: x >> np.uint64(64 - bits) if bits else x & np.uint64(0)
+                mine = np.nonzero(part(keys) % np.uint64(WAVES) == wave)[0]
+                if not len(mine):
+                    continue
+                weight = np.concatenate([*[weight] * order, [int(train.sum())]])
+                own, place = np.unique(keys[mine], return_inverse=True)
+                counts = np.bincount(place, weights=weight[mine], minlength=len(own)).astype(np.uint64)
+                ranges, at = np.unique(part(own), return_index=True)
+                for r, x, y in zip(ranges.tolist(), at.tolist(), [*at[1:].tolist(), len(own)]):
+                    blobs = (own[x:y].tobytes(), *_small(counts[x:y]))
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([r], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], ["block", "part", "keys", "low", "high"])
 
     return run
 
@@ -89,44 +124,91 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     """The corpus counts of each block's keys; block -1 has the tokens and the distinct tokens of training."""
     keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
     all_keys, place = np.unique(keys, return_inverse=True)
-    counts = np.bincount(place, weights=np.frombuffer(b"".join(pdf["counts"]), np.uint32), minlength=len(all_keys)).astype(np.uint64)
+    counts = np.bincount(place, weights=_counts(pdf["low"], pdf["high"]), minlength=len(all_keys)).astype(np.uint64)
     words = counts[(all_keys & np.uint64(1)) == 1]
     part, edge = pdf["part"].iloc[0], np.cumsum([0, *(len(x) // 8 for x in pdf["keys"])])
-    rows = [(b, part, counts[place[x:y]].tobytes(), 0, 0) for b, x, y in zip(pdf["block"], edge[:-1].tolist(), edge[1:].tolist())]
-    rows.append((-1, part, b"", int(words.sum()), int((words > 0).sum())))
-    return pd.DataFrame(rows, columns=["block", "part", "counts", "all_tokens", "kinds"])
+    rows = [(b, part, *_small(counts[place[x:y]]), 0, 0) for b, x, y in zip(pdf["block"], edge[:-1].tolist(), edge[1:].tolist())]
+    rows.append((-1, part, b"", b"", int(words.sum()), int((words > 0).sum())))
+    return pd.DataFrame(rows, columns=["block", "part", "low", "high", "all_tokens", "kinds"])
 
 
 def walk(words: np.ndarray, first: np.ndarray, keys: np.ndarray, counts: np.ndarray, order: int, all_tokens: int, kinds: int, prior: float):
     """Per text: tokens, known tokens, base score and automaton score. keys: sorted, with their corpus counts."""
-    grams_, states = grams(words, first, order)
-    c = counts[np.searchsorted(keys, grams_[0])].astype(np.float64)
-    root = (c + ADD) / (all_tokens + ADD * (kinds + 1))
-    p = root
+    own, place = _places(words, first, order)
+    return _walk(first, place, counts[np.searchsorted(keys, own)], order, all_tokens, kinds, prior)
+
+
+def _places(words: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of the texts and the start, and for each length and token its n-gram among them (the start last)."""
+    return np.unique(np.concatenate([*grams(words, first, order)[0], [_START & ~np.uint64(1)]]), return_inverse=True)
+
+
+def _walk(first: np.ndarray, place: np.ndarray, counts: np.ndarray, order: int, all_tokens: int, kinds: int, prior: float):
+    start, at = place[-1], place[:-1].reshape(order, -1)
+    size = at.shape[1]
+    n = counts[at].astype(np.float64)
+    root = (n[0] + ADD) / (all_tokens + ADD * (kinds + 1))
+    # arc[k]: probability of the arc that reads the token from the state of the k words before it; leave[k]: weight of that
+    # state's failure arc. A state is there if its words were seen, an arc if its words were seen with the token after them.
+    arc, leave = [root], [None]
     for k in range(1, order):
-        arcs = counts[np.searchsorted(keys, grams_[k])].astype(np.float64)
-        # The state's count is that of the words before the token; an unknown state has none and only its failure arc, of weight 0.
-        if k == 1:
-            seen = np.empty(len(words))
-            seen[1:] = c[:-1]
-            seen[first] = float(counts[np.searchsorted(keys, _START & ~np.uint64(1))])
-        else:
-            seen = counts[np.searchsorted(keys, states[k])].astype(np.float64)
-        fail = prior / (seen + prior)
-        p = np.where(arcs > 0, arcs / (seen + prior) + fail * p, fail * p)
+        seen = np.empty(size)
+        seen[1:] = n[k - 1][:-1]
+        seen[first] = float(counts[start])
+        arc.append((n[k] + prior * arc[-1]) / (seen + prior))
+        leave.append(np.log10(prior / (seen + prior)))
+    score = _traverse(first, [n[k] > 0 for k in range(order)], [np.log10(x) for x in arc], leave)
     sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every text has a token, its end
-    return np.diff(np.append(first, len(words))), sums((c > 0).astype(np.int64)), sums(np.log10(root)), sums(np.log10(p))
+    return np.diff(np.append(first, size)), sums((n[0] > 0).astype(np.int64)), sums(np.log10(root)), sums(score)
+
+
+def _traverse(first: np.ndarray, has: list[np.ndarray], arc: list[np.ndarray], leave: list[np.ndarray]) -> np.ndarray:
+    """Log-probability of each token, from left to right with the state carried over.
+
+    The state before a token is that of the longest seen sequence of up to order - 1 words that ends there, told by its length.
+    From it failure arcs are taken down to a state with an arc for the token, or to the root; the arc leads to the state of its
+    words and the token, without the first if these are too many. Texts are cut into runs that go on side by side; a run that
+    begins inside a text reads the words before it from the root, which lead to the same state."""
+    order, size = len(has), len(has[0])
+    out = np.zeros(size)
+    length = np.diff(np.append(first, size))
+    runs = -(-length // RUN)
+    text = np.repeat(np.arange(len(first)), runs)
+    lo = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)) * RUN
+    hi = np.minimum(lo + RUN, first[text] + length[text])
+    inside = lo > first[text]
+    at = np.where(inside, np.maximum(lo - (order - 1), first[text]), lo)
+    # A text starts in the state of its start, the longest there is; so do the words read before a run near a text's start.
+    state = np.where(at == first[text], order - 1, 0)
+    by_length = np.argsort(at - hi)
+    at, lo, hi, state = at[by_length], lo[by_length], hi[by_length], state[by_length]
+    while len(at):
+        total = np.zeros(len(at))
+        k = state
+        for j in range(order - 1, 0, -1):
+            fails = np.nonzero((k == j) & ~has[j][at])[0]
+            total[fails] += leave[j][at[fails]]
+            k = np.where((k == j) & ~has[j][at], j - 1, k)
+        for j in range(order):
+            here = np.nonzero(k == j)[0]
+            total[here] += arc[j][at[here]]
+        out[at] = np.where(at >= lo, total, out[at])
+        state = np.where((k == 0) & ~has[0][at], 0, np.minimum(k + 1, order - 1))
+        at = at + 1
+        left = int(np.searchsorted(at - hi, 0))  # longer runs come first
+        at, lo, hi, state = at[:left], lo[:left], hi[:left], state[:left]
+    return out
 
 
 def _score(order: int, all_tokens: int, kinds: int, prior: float):
-    def run(key: tuple, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
+    def run(key: tuple, blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks):
             return pd.DataFrame({"id": [], "train": [], "n_tokens": [], "n_known": [], "base": [], "score": []})
-        words, first = tokens(docs["t"].tolist())
-        keys = np.unique(np.concatenate([*grams(words, first, order)[0], [_START & ~np.uint64(1)]]))
-        counts = np.frombuffer(b"".join(found.sort_values("part")["counts"]), np.uint64)
-        n, known, base, score = walk(words, first, keys, counts, order, all_tokens, kinds, prior)
-        return pd.DataFrame({"id": docs["id"].to_numpy(), "train": docs["train"].to_numpy(), "n_tokens": n, "n_known": known, "base": base, "score": score})
+        words, first, train = _unpack(*(blocks[c].iloc[0] for c in ("train", "first", "vocab", "index")))
+        _, place = _places(words, first, order)
+        found = found.sort_values("part")
+        n, known, base, score = _walk(first, place, _counts(found["low"], found["high"]), order, all_tokens, kinds, prior)
+        return pd.DataFrame({"id": list(blocks["ids"].iloc[0]), "train": train, "n_tokens": n, "n_known": known, "base": base, "score": score})
 
     return run
 
@@ -144,16 +226,20 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("s"), F.count("*").alias("n")).first()
     blocks = max(1, -(-((size["s"] or 0) + 16 * size["n"]) // block_bytes))
     bits = max(0, blocks // 2 - 1).bit_length()
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t"), F.pmod(row_key(id_col, text_col), F.lit(blocks)).cast("long").alias("block"))
+    # Repeated rows are dealt by the partition they lie in too.
+    block = F.pmod(F.xxhash64(id_col, text_col, F.spark_partition_id()), F.lit(blocks)).cast("long")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t"), block.alias("block"))
+    packed = scratch.save(rows.groupBy("block").applyInPandas(_pack, "block long, ids array<string>, train binary, first binary, vocab binary, index binary"), "blocks")
+    scratch.reclaim()
     found = None
     for wave in range(WAVES):
-        sent = rows.select("train", "t", "block").groupBy("block").applyInPandas(_send(order, bits, wave), "block long, part long, keys binary, counts binary")
-        part = scratch.save(sent.groupBy("part").applyInPandas(_sum, "block long, part long, counts binary, all_tokens long, kinds long"), f"counts-{wave}")
+        sent = packed.select("block", "train", "first", "vocab", "index").mapInArrow(_send(order, bits, wave), "block long, part long, keys binary, low binary, high binary")
+        part = scratch.save(sent.groupBy("part").applyInPandas(_sum, "block long, part long, low binary, high binary, all_tokens long, kinds long"), f"counts-{wave}")
         found = part if found is None else found.union(part)
         scratch.reclaim()
     total = found.filter("block = -1").agg(F.sum("all_tokens").alias("n"), F.sum("kinds").alias("v")).first()
     all_tokens, kinds = total["n"] or 0, total["v"] or 0
-    scored = rows.groupBy("block").cogroup(found.filter("block >= 0").select("block", "part", "counts").groupBy("block")).applyInPandas(_score(order, all_tokens, kinds, prior), "id string, train boolean, n_tokens long, n_known long, base double, score double")
+    scored = packed.groupBy("block").cogroup(found.filter("block >= 0").select("block", "part", "low", "high").groupBy("block")).applyInPandas(_score(order, all_tokens, kinds, prior), "id string, train boolean, n_tokens long, n_known long, base double, score double")
     return scored.select(F.col("id").cast(kind).alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
