@@ -32,8 +32,11 @@ def bigrams(word: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case Latin words of two letters or more, and runs of Han characters, in pairs where longer; null for null."""
+    # Without a Han character the words are the matches of one pattern; only other texts go through the pieces one by one.
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-zA-Z0-9]+|[一-鿿]+)"), F.lit(1))
-    return F.flatten(F.transform(found, lambda t: F.when(t.rlike("^[一-鿿]+$"), bigrams(t)).when(F.length(t) > 1, F.array(t)).otherwise(F.array().cast("array<string>"))))
+    pieces = F.flatten(F.transform(found, lambda t: F.when(t.rlike("^[一-鿿]+$"), bigrams(t)).when(F.length(t) > 1, F.array(t)).otherwise(F.array().cast("array<string>"))))
+    return F.when(text.rlike("[一-鿿]"), pieces).otherwise(plain)
 
 
 def keywords(text: Column) -> Column:

@@ -33,8 +33,8 @@ def build(segments: DataFrame, score: str = "score") -> DataFrame:
 
 def search(records: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, memory_id, score, rank): the k best records of the asset a question is asked of, above 0."""
-    both = records.join(questions.select("query_id", "asset", tx.keywords(F.col("query")).alias("q")), "asset")
-    score = F.size(F.array_intersect("q", tx.keywords(F.col("text")))) + 1.5 * F.size(F.array_intersect("q", "keywords")) + 0.08 * F.col("importance") + 0.05 * F.col("salience")
+    both = records.withColumn("said_", tx.keywords(F.col("text"))).join(questions.select("query_id", "asset", tx.keywords(F.col("query")).alias("q")), "asset")
+    score = F.size(F.array_intersect("q", "said_")) + 1.5 * F.size(F.array_intersect("q", "keywords")) + 0.08 * F.col("importance") + 0.05 * F.col("salience")
     return top_k(both.select("query_id", "memory_id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("memory_id")], k).filter("score > 0")
 
 

@@ -34,8 +34,16 @@ def similarity(posts: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def candidates(segments: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every segment of the asset that a question is asked of."""
-    return segments.join(questions, "asset")
+    """Every segment of the asset that a question is asked of, with `n_terms`, the question's informative terms, and `hits`, those
+    among the segment's keywords. Words are taken once a segment and once a question, before they meet."""
+    said = segments.withColumn("keywords_", tx.keywords(F.col("text")))
+    asked = questions.withColumn("terms_", tx.informative(F.col("query")))
+    return said.join(asked, "asset").withColumn("hits", F.size(F.array_intersect("terms_", "keywords_"))).withColumn("n_terms", F.size("terms_")).drop("keywords_", "terms_")
+
+
+def lexical() -> Column:
+    """Share of the question's terms that the segment has; 0 without terms."""
+    return F.when(F.col("n_terms") == 0, F.lit(0.0)).otherwise(F.col("hits") / F.greatest(F.col("n_terms"), F.lit(1)).cast("double"))
 
 
 def hybrid(sim: Column, lexical: Column) -> Column:
@@ -47,7 +55,7 @@ def retrieve(segments: DataFrame, questions: DataFrame) -> DataFrame:
     """All candidates with sim, lexical and retrieval_score."""
     sims = similarity(postings(segments), questions)
     found = candidates(segments, questions).join(sims, ["query_id", "asset", "segment_id"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    found = found.withColumn("lexical", tx.let(F.struct(tx.informative(F.col("query")).alias("q"), tx.keywords(F.col("text")).alias("t")), lambda x: tx.overlap(x["q"], x["t"])))
+    found = found.withColumn("lexical", lexical())
     return found.withColumn("retrieval_score", hybrid(F.col("sim"), F.col("lexical")))
 
 

@@ -11,9 +11,9 @@ from ..functions import text as tx
 FUSIONS = {"default": (0.45, 0.35, 0.20), "visual": (0.42, 0.18, 0.40), "text": (0.68, 0.32, 0.0), "visual_first": (0.35, 0.15, 0.50)}
 
 
-def rule(query: Column, text: Column) -> Column:
-    """Informative terms of the question in the text, and small parts for motion, light and an early start."""
-    hits = F.size(F.array_intersect(tx.informative(query), tx.keywords(text)))
+def rule(hits: Column) -> Column:
+    """Informative terms of the question in the text (`hits` of retrieve.candidates), and small parts for motion, light and an
+    early start."""
     return hits + 0.01 * F.col("motion") + 0.001 * F.col("brightness") + 0.001 * F.col("contrast") + 1 / (1 + F.col("start_sec"))
 
 

@@ -35,7 +35,7 @@ ruled AS (SELECT *, hits + 0.01 * motion + 0.001 * brightness + 0.001 * contrast
 
 
 def ruled(s, d) -> DataFrame:
-    return retrieve.candidates(segments(s, d), questions(s, d)).withColumn("rule", score.rule(F.col("query"), F.col("text")))
+    return retrieve.candidates(segments(s, d), questions(s, d)).withColumn("rule", score.rule(F.col("hits")))
 
 
 # ---------------------------------------------------------------- text
@@ -74,7 +74,7 @@ def _(s, d):
 @query("txt_lexical_overlap", f"{BASE} SELECT query_id, segment_id, round({duck_overlap(duck_informative('query'), duck_keywords('text'))}, 6) AS overlap FROM segments JOIN questions USING (asset)")
 def _(s, d):
     both = retrieve.candidates(segments(s, d), questions(s, d))
-    return both.select("query_id", "segment_id", r6(tx.let(F.struct(tx.informative(F.col("query")).alias("q"), tx.keywords(F.col("text")).alias("t")), lambda x: tx.overlap(x["q"], x["t"]))).alias("overlap"))
+    return both.select("query_id", "segment_id", r6(retrieve.lexical()).alias("overlap"))
 
 
 #: Turns as answers with a bullet that names a time; every third names one that its evidence lacks.
