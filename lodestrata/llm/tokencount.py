@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import Scratch, tune
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to this public vocabulary.
@@ -49,6 +49,8 @@ def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     """One row per length in use: `n_tokens`, `n_docs`, `docs_at_least`, `tokens_at_least`, `docs_at_most`, `share_at_most`,
     `total_truncated` (all tokens if texts end after n_tokens). An empty table gives no row; a null length counts as 0."""
     rows = lengths.groupBy(F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    # A row for each length, asked for twice below: a table, so that texts are encoded once.
+    rows = Scratch(lengths.sparkSession, "lengths").save(rows, "rows")
     rows = rows.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
