@@ -2,7 +2,9 @@
 
 Sequential covering: on two thirds of the labelled rows a rule for bad documents grows, one threshold condition at a time, by
 the best information gain; on the last third it is pruned to the prefix with the best (p - n) / (p + n); a rule that is precise
-enough there is added to the list and the rows it covers are set aside. The list becomes an ordered conditional expression.
+enough there is added to the list and the rows it covers are set aside. Where it isn't, growth begins again from the best
+condition on another side of a statistic, until none is left. The list becomes an ordered conditional expression.
+Thresholds lie at quantiles, ever finer towards both ends as labelled rows allow, so what shows in a thin tail only is found.
 Rows are summed by their statistics' quantile bins first; each step is one aggregation and brings a few counts to the driver.
 """
 
@@ -22,7 +24,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Statistics that conditions may use.
 FEATURES = ["n_words", "mean_word", "symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "distinct_share"]
 BINS = 32
-MAX_RULES, MAX_CONDITIONS = 8, 3
+MAX_CONDITIONS = 3
 LEAST_PRECISION, LEAST_COVERED = 0.9, 5
 
 
@@ -82,19 +84,35 @@ def _gain(p1: int, n1: int, p0: int, n0: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else -1.0
 
 
-def learn(labelled: DataFrame, bad_col: str = "bad", features: list[str] = FEATURES, bins: int = BINS, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, precision: float = LEAST_PRECISION, covered: int = LEAST_COVERED, fold_col: str = "fold") -> list[list[tuple[str, str, float]]]:
+def _levels(bins: int, rows: int, covered: int) -> list[float]:
+    """Even quantiles, and halves of the outermost bins for as long as they hold enough rows."""
+    out = {i / bins for i in range(1, bins)}
+    tail = 0.5 / bins
+    while tail * rows >= covered:
+        out |= {tail, 1 - tail}
+        tail /= 2
+    return sorted(out)
+
+
+def learn(labelled: DataFrame, bad_col: str = "bad", features: list[str] = FEATURES, bins: int = BINS, max_conditions: int = MAX_CONDITIONS, precision: float = LEAST_PRECISION, covered: int = LEAST_COVERED, fold_col: str = "fold") -> list[list[tuple[str, str, float]]]:
     """Rules for rows whose `bad_col` is true, each a list of (feature, "<=" or ">", threshold), from rows with features, bad_col
     and fold_col (true: grow, false: prune). No rule if a class is missing. All labelled rows count."""
     scratch = Scratch(labelled.sparkSession, "quality")
-    at = labelled.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 10_000).alias(f) for f in features)).first()
+    levels = _levels(bins, labelled.count(), covered)
+    at = labelled.agg(*(F.percentile_approx(f, levels, 100_000).alias(f) for f in features)).first()
     cuts = {f: sorted(set(at[f] or [])) for f in features}
 
     def binned_by(f: str) -> Column:
         edges = F.array(*(F.lit(float(c)) for c in cuts[f])).cast("array<double>")
-        return F.size(F.filter(edges, lambda c: c < F.col(f))).alias(f)
+        return F.size(F.filter(edges, lambda c: c < F.col(f)))
 
-    binned = labelled.select(*(binned_by(f) for f in features), F.col(bad_col).alias("bad"), F.col(fold_col).alias("grow"))
-    rows = scratch.save(binned.groupBy(*features, "bad", "grow").agg(F.count("*").alias("n")).coalesce(8), "binned")
+    # A value that many rows share is split from those below it by the greatest of these.
+    spread = labelled.select(F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("x"), F.get(F.array(*(F.lit(float(c)) for c in cuts[f])).cast("array<double>"), binned_by(f)).alias("edge")) for f in features))).alias("v")).select("v.*")
+    for r in spread.filter("x < edge").groupBy("f", "edge").agg(F.max("x").alias("x")).collect():
+        cuts[r["f"]].append(r["x"])
+    cuts = {f: sorted(set(c)) for f, c in cuts.items()}
+    binned = labelled.select(*(binned_by(f).alias(f) for f in features), F.col(bad_col).alias("bad"), F.col(fold_col).alias("grow"))
+    rows = scratch.save(binned.groupBy(*features, "bad", "grow").agg(F.count("*").alias("n")), "binned")
 
     def covers(rule) -> Column:
         out = F.lit(True)
@@ -102,42 +120,51 @@ def learn(labelled: DataFrame, bad_col: str = "bad", features: list[str] = FEATU
             out &= (F.col(f) <= i) if op == "<=" else (F.col(f) > i)
         return out
 
-    rules: list = []
-    while len(rules) < max_rules:
-        left = rows
-        for rule in rules:
-            left = left.filter(~covers(rule))
-        rule: list = []
+    def openings(rows_: DataFrame) -> list[tuple[float, tuple[str, str, int]]]:
+        """The best condition on each side of each statistic with its gain, best first."""
+        flat = rows_.select(F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in features))).alias("x"), "bad", "n").groupBy("x.f", "x.bin").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("q")).collect()
+        counts: dict[str, dict[int, tuple[int, int]]] = {}
+        for r in flat:
+            counts.setdefault(r["f"], {})[r["bin"]] = (r["p"], r["q"])
+        if not counts:
+            return []
+        p0, n0 = (sum(x[i] for x in counts[features[0]].values()) for i in (0, 1))
+        if not p0 or not n0:
+            return []
+        found: dict[tuple[str, str], tuple[float, int]] = {}
+        for f in features:
+            p = n = 0
+            for i in range(len(cuts[f])):
+                a, b = counts[f].get(i, (0, 0))
+                p, n = p + a, n + b
+                for op, x, y in (("<=", p, n), (">", p0 - p, n0 - n)):
+                    gain = _gain(x, y, p0, n0)
+                    if gain > max(1e-9, found.get((f, op), (0.0, 0))[0]):
+                        found[f, op] = (gain, i)
+        return sorted(((g, (f, op, i)) for (f, op), (g, i) in found.items()), key=lambda z: (-z[0], z[1]))
+
+    def grown(left: DataFrame, first: tuple[str, str, int]):
+        """The rule grown from a first condition and pruned, or None if it isn't good enough."""
+        rule = [first]
         while len(rule) < max_conditions:
-            now = left.filter("grow").filter(covers(rule))
-            flat = now.select(F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in features))).alias("x"), "bad", "n").groupBy("x.f", "x.bin").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("q")).collect()
-            counts: dict[str, dict[int, tuple[int, int]]] = {}
-            for r in flat:
-                counts.setdefault(r["f"], {})[r["bin"]] = (r["p"], r["q"])
-            if not counts:
-                break
-            p0, n0 = (sum(x[i] for x in counts[features[0]].values()) for i in (0, 1))
-            if not p0 or not n0:
+            next_ = openings(left.filter("grow").filter(covers(rule)))
+            if not next_:
                 break
-            best = (1e-9, None)
-            for f in features:
-                p = n = 0
-                for i in range(len(cuts[f])):
-                    a, b = counts[f].get(i, (0, 0))
-                    p, n = p + a, n + b
-                    for op, x, y in (("<=", p, n), (">", p0 - p, n0 - n)):
-                        best = max(best, (_gain(x, y, p0, n0), (f, op, i)), key=lambda z: z[0])
-            if best[1] is None:
-                break
-            rule.append(best[1])
-        if not rule:
-            break
+            rule.append(next_[0][1])
         sums = left.filter(~F.col("grow")).agg(*(F.sum(F.when(covers(rule[: k + 1]) & (F.col("bad") == bad), F.col("n")).otherwise(0)).alias(f"{k}{bad}") for k in range(len(rule)) for bad in (True, False))).first()
         worth = [((sums[f"{k}True"] or 0), (sums[f"{k}False"] or 0), k) for k in range(len(rule))]
         p, n, k = max(worth, key=lambda x: ((x[0] - x[1]) / max(1, x[0] + x[1]), x[0], -x[2]))
-        if p < covered or p < precision * (p + n):
+        return rule[: k + 1] if p >= covered and p >= precision * (p + n) else None
+
+    rules: list = []
+    while True:
+        left = rows
+        for rule in rules:
+            left = left.filter(~covers(rule))
+        good = next((r for r in (grown(left, first) for _, first in openings(left.filter("grow"))) if r), None)
+        if good is None:
             break
-        rules.append(rule[: k + 1])
+        rules.append(good)
     scratch.drop("binned")
     return [[(f, op, float(cuts[f][i])) for f, op, i in rule] for rule in rules]
 

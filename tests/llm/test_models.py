@@ -219,3 +219,19 @@ def test_quality_learns_a_rule_and_keeps_the_rest(spark):
     assert got == {i: i % 4 != 0 for i in range(120)}
     assert quality.judge(docs, labels.limit(0)).filter("kept").count() == 120
     assert quality.judge(docs.limit(0), labels).count() == 0
+
+
+def test_quality_finds_a_thin_tail_beside_a_broad_imprecise_sign(spark):
+    """1 % of the rows are bad by the extreme of one statistic; another statistic tells more bad rows, but never well enough."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        thin = i % 100 == 0
+        noisy = rng.random() < 0.3
+        bad = thin or (noisy and rng.random() < 0.6)
+        rows.append((1.0 if thin else rng.random() * 0.9, (5.0 if noisy else 0.0) + rng.random(), bad, i % 3 > 0))
+    df = spark.createDataFrame(rows, "a double, b double, bad boolean, fold boolean")
+    rules = quality.learn(df, features=["a", "b"])
+    assert len(rules) == 1
+    caught = [r for r in rows if all((r["ab".index(f)] <= t) if op == "<=" else (r["ab".index(f)] > t) for f, op, t in rules[0])]
+    assert sum(r[0] == 1.0 for r in caught) == 60 and sum(r[2] for r in caught) >= 0.9 * len(caught)
