@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import langid, minhash, mixing, packing, substring
@@ -14,6 +16,24 @@ LEAST_SCORE = 0.5
 PASSAGE_WORDS = 50
 
 
+#: The columns that stages work on; all others pass through.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def passing(stage):
+    """The stage with other columns under names that no operator gives, so that none of them is taken for a result."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in COLUMNS else f"given_{i}__" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        back = dict(zip(names, docs.columns))
+        return out.select(*(F.col(c).alias(back.get(c, c)) for c in out.columns))
+
+    return run
+
+
+@passing
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter (null and empty texts too) and those no language clearly explains; `lang` becomes the predicted one."""
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -21,12 +41,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@passing
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near copies (five words, similarity 0.8); of repeated rows, one."""
+    """Keeps the document with the smallest id of each component of near copies (five words, similarity 0.8); of rows
+    equal in id and text, the one with the smallest source, language and size."""
     found = minhash.near_duplicates(docs).filter("kept")
-    return found.dropDuplicates(["doc_id", "component_id", "text"]).select(*docs.columns)
+    order = Window.partitionBy("doc_id", "component_id", "text").orderBy("source", "lang", "n_chars")
+    return found.withColumn("place__", F.row_number().over(order)).filter("place__ = 1").select(*docs.columns)
 
 
+@passing
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words or more that occur again out of every text; the other texts stay as they are, byte for byte."""
     lean = substring.remove_repeats(docs, window=PASSAGE_WORDS)
@@ -34,6 +58,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lean.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@passing
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicates documents so that sources weigh as the square root of their sizes, in one global order."""
     return mixing.replicate(docs).select(*docs.columns)
@@ -46,7 +71,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("passages", passages), ("mix", mix), ("sequences", sequences)]
 
-#: Language models and packing are beyond SQL; tests compare the stages with brute force.
+#: Language models and packing are beyond SQL; tests compare the stages with brute force on a small table.
 ORACLE_SQL = None
 
 
