@@ -312,12 +312,12 @@ def _(s, d):
     return retrieve.mmr(retrieve.retrieve(rows, questions(s, d)).select("query_id", "asset", "segment_id", F.round("retrieval_score", 9).alias("score")), retrieve.postings(rows))
 
 
-@query("context_pack", f"""WITH RECURSIVE {STAGED[5:]}, t AS (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS place, least(length(text), 900) AS size FROM rk JOIN (SELECT segment_id, text FROM segments) USING (segment_id) QUALIFY place <= 6),
+@query("context_pack", f"""WITH RECURSIVE {STAGED[5:]}, t AS (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS place, length(text) AS size FROM rk JOIN (SELECT segment_id, text FROM segments) USING (segment_id) QUALIFY place <= 6),
 f AS (SELECT query_id, segment_id, place, TRUE AS kept, size AS used, 1 AS n FROM t WHERE place = 1
 UNION ALL SELECT t.query_id, t.segment_id, t.place, n < 2 OR used + size <= 1800, CASE WHEN n < 2 OR used + size <= 1800 THEN used + size ELSE used END, CASE WHEN n < 2 OR used + size <= 1800 THEN n + 1 ELSE n END FROM f JOIN t ON t.query_id = f.query_id AND t.place = f.place + 1)
 SELECT query_id, segment_id, kept, used::INT AS used FROM f""")
 def _(s, d):
-    best = select.select_top(staged(s, d), 6).withColumn("text", F.substring("text", 1, 900)).withColumnRenamed("rank", "place")
+    best = select.select_top(staged(s, d), 6).withColumnRenamed("rank", "place")
     return select.pack_context(best.select("query_id", "place", "segment_id", "text"))
 
 
@@ -605,7 +605,11 @@ def _(s, d):
     return runs.failure_runs(calls(s, d), 2).select("tool", "seq", "failures", "opens")
 
 
-@query("tool_breaker")
+@query("tool_breaker", """WITH RECURSIVE c AS (SELECT user_id % 20 AS tool, event_id AS seq, event_type NOT IN ('error', 'signup') AS ok, epoch(ts) AS tm, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i FROM events),
+r AS (SELECT tool, seq, i, 'closed' AS state, (NOT ok)::INT AS fails, NULL::DOUBLE AS since FROM c WHERE i = 1
+UNION ALL SELECT tool, seq, i, state, CASE WHEN state = 'open' THEN fails ELSE now_ END, CASE WHEN state = 'open' THEN since WHEN NOT ok AND now_ >= 2 THEN tm END FROM (
+  SELECT c.*, fails, since, CASE WHEN since IS NULL THEN 'closed' WHEN tm - since >= 3600 THEN 'half_open' ELSE 'open' END AS state, CASE WHEN ok THEN 0 ELSE fails + 1 END AS now_ FROM r JOIN c ON c.tool = r.tool AND c.i = r.i + 1))
+SELECT tool, seq, state FROM r""")
 def _(s, d):
     return runs.breaker(calls(s, d), 2, 3600.0)
 
@@ -636,20 +640,27 @@ def _stream(s, d) -> DataFrame:
     return streams.read_events(s, f"{d}/events.parquet*", rows.schema)
 
 
-@query("stream_tumbling")
+def _plain_times(df: DataFrame) -> DataFrame:
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
+@query("stream_tumbling", 'SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, start + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL')
 def _(s, d):
-    return streams.drain(streams.tumbling(_stream(s, d)), "stream_tumbling", "complete")
+    return _plain_times(streams.drain(streams.tumbling(_stream(s, d)), "stream_tumbling", "complete"))
 
 
-@query("stream_session")
+# Sessions are given once the watermark has passed their end.
+@query("stream_session", """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM o),
+g AS (SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n, round(sum(value), 4) AS total FROM i GROUP BY user_id, k)
+SELECT * FROM g WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
 def _(s, d):
-    return streams.drain(streams.sessions(_stream(s, d)), "stream_session", "complete")
+    return _plain_times(streams.drain(streams.sessions(_stream(s, d)), "stream_session"))
 
 
-@query("stream_jobs")
+@query("stream_jobs", f"WITH {STATES}, c AS (SELECT job_id, count(*) AS events FROM ev GROUP BY 1) SELECT job_id, status, created_at, started_at, completed_at, events FROM st JOIN c USING (job_id)")
 def _(s, d):
     rows = _stream(s, d).select(F.col("user_id").alias("job_id"), (F.unix_micros("ts") / 1e6).alias("at"), F.coalesce(F.create_map(*(F.lit(x) for k, v in streams.STATUS.items() for x in (k, v)))[F.col("event_type")], F.lit("retry")).alias("status"))
-    return streams.drain(streams.job_states(rows), "stream_jobs", "update")
+    return streams.drain(streams.job_states(rows), "stream_jobs", "update", ["job_id"])
 
 
 def flagship(s, d) -> DataFrame:

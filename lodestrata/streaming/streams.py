@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.retrieve import top_k
 from ..tables import Scratch
 
 # What an event type stands for in a job's life.
@@ -87,9 +89,9 @@ def upsert_to(path: str, key: str = "memory_id", version: str = "version"):
     return write
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(df: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """All that a stream gives from the files there are now, as Parquet in the shared folder: a generation for each batch, of
-    which only the last counts in complete mode."""
+    which only the last counts in complete mode, and with keys only the last row of each of them."""
     scratch = Scratch(df.sparkSession, name)
     done: list[int] = []
 
@@ -106,4 +108,8 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     scratch.drop("state")
     if not done:
         return df.sparkSession.createDataFrame([], df.schema)
-    return df.sparkSession.read.schema(df.schema).parquet(*(f"{scratch.dir}/{n}" for n in done))
+    read = df.sparkSession.read.schema(df.schema)
+    if not keys:
+        return read.parquet(*(f"{scratch.dir}/{n}" for n in done))
+    parts = [read.parquet(f"{scratch.dir}/{n}").withColumn("batch_", F.lit(n)) for n in done]
+    return top_k(reduce(DataFrame.union, parts), keys, [F.desc("batch_")], 1, "last_").drop("batch_", "last_")
