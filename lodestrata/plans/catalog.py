@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import answers as said
 from ..operators import datasets, evals, memory, retrieve, runs, score, segment, select, verify
 from ..streaming import streams
 from . import answering
@@ -391,6 +392,56 @@ def _(s, d):
     return answering.answer(segments(s, d), questions(s, d))
 
 
+# ---------------------------------------------------------------- answers as rows
+
+
+def turns(s, d) -> DataFrame:
+    """Two turns of a conversation are said at one time."""
+    half = F.floor(F.col("turn") / 2).cast("double")
+    return table(s, d, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("place"), half.alias("start_sec"), (half + 5).alias("end_sec"), "text")
+
+
+TURNS = "t AS (SELECT conv_id AS answer_id, turn AS place, floor(turn / 2)::DOUBLE AS start_sec, floor(turn / 2)::DOUBLE + 5 AS end_sec, text, trim(coalesce(text, ''), ' ：:;；') AS clean FROM conversations)"
+
+
+@query("ans_merge_times", f"""WITH {TURNS}, f AS (SELECT answer_id, start_sec, end_sec, clean, min(place) AS p FROM t WHERE clean <> '' GROUP BY ALL), g AS (SELECT answer_id, start_sec, end_sec, string_agg(clean, '；' ORDER BY p) AS text FROM f GROUP BY ALL)
+SELECT a.*, coalesce(g.text, '') AS text FROM (SELECT answer_id, min(place) AS place, start_sec, end_sec FROM t GROUP BY answer_id, start_sec, end_sec) a LEFT JOIN g USING (answer_id, start_sec, end_sec)""")
+def _(s, d):
+    return said.merge_by_time(turns(s, d))
+
+
+@query("ans_bind", f"""WITH {TURNS}, c AS (SELECT answer_id, start_sec, end_sec, arg_min(place, place) AS segment_id, arg_min(substr(clean, 1, 260), place) AS told FROM t WHERE place % 4 <> 3 GROUP BY ALL),
+e AS (SELECT *, CASE WHEN place % 3 = 0 THEN '' WHEN place % 3 = 1 THEN 'turn' ELSE coalesce(text, '') END AS own FROM t)
+SELECT e.answer_id, place, start_sec, end_sec, segment_id, coalesce(nullif(CASE WHEN own = '' THEN coalesce(told, '') WHEN coalesce(told, '') <> '' AND length(own) < 12 THEN CASE WHEN trim(own, ' ：:;；') IN ('', told) THEN told ELSE trim(own, ' ：:;；') || '；' || trim(told, ' ：:;；') END ELSE own END, ''), '证据不足') AS text FROM e LEFT JOIN c USING (answer_id, start_sec, end_sec)""")
+def _(s, d):
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    rows = turns(s, d)
+    own = F.when(F.col("place") % 3 == 0, "").when(F.col("place") % 3 == 1, "turn").otherwise(F.coalesce("text", F.lit("")))
+    known = rows.filter("place % 4 <> 3").select("answer_id", F.col("place").alias("rank"), F.col("place").alias("segment_id"), "start_sec", "end_sec", said.told(F.col("text"), none, none, none, empty, empty).alias("told"))
+    return said.bind(rows.withColumn("text", own), known)
+
+
+@query("ctx_prompt", f"""{STAGED}, t AS (SELECT query_id, segment_id, score, start_sec, end_sec, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS place FROM rk QUALIFY place <= 3),
+lns AS (SELECT query_id, string_agg('- segment_id=' || segment_id || ' timestamp=' || printf('%.1f', floor(start_sec * 10 + 0.5) / 10) || '-' || printf('%.1f', floor(end_sec * 10 + 0.5) / 10) || ' score=' || printf('%.4f', floor(score)) || ' text=' || coalesce(text, ''), chr(10) ORDER BY place) AS e FROM t JOIN (SELECT segment_id, text FROM segments) USING (segment_id) GROUP BY 1)
+SELECT query_id, '用户问题：' || query || chr(10) || chr(10) || '证据上下文：' || coalesce(chr(10) || e, '') || chr(10) || chr(10) || '记忆命中：' AS prompt FROM questions LEFT JOIN lns USING (query_id)""")
+def _(s, d):
+    items = select.select_top(staged(s, d), 3).withColumnRenamed("rank", "place").withColumn("score", F.floor("score").cast("double"))
+    none = s.createDataFrame([], "query_id long, rank int, memory_id string, segment_id long, text string")
+    return said.prompts(questions(s, d), items, none)
+
+
+@query("rank_winner", "SELECT user_id % 50 AS sweep, arg_max(event_id, (coalesce(value, 0.0), -(event_id % 7)::DOUBLE, -event_id::DOUBLE)) AS event_id FROM events GROUP BY 1")
+def _(s, d):
+    rows = table(s, d, "events").select((F.col("user_id") % 50).alias("sweep"), "event_id", "value", (F.col("event_id") % 7).alias("loss"), F.col("event_id").alias("size"))
+    return said.winner(rows, ["sweep"], [("value", True, 0.0), ("loss", False, 1e9), ("size", False, 0.0)], "event_id")
+
+
+@query("ds_supervision", f"WITH r AS (SELECT CASE doc_id % 10 WHEN 0 THEN 'test' ELSE 'dev' END AS split, quality AS label FROM labels) SELECT failure FROM (SELECT CASE WHEN count(*) FILTER (split = 'test') > 0 THEN 'frozen test rows' END AS failure FROM r UNION ALL SELECT CASE WHEN count(*) FILTER (label > 0.5) IN (0, count(*)) THEN 'one class only' END FROM r) WHERE failure IS NOT NULL")
+def _(s, d):
+    rows = table(s, d, "labels").select(F.when(F.col("doc_id") % 10 == 0, "test").otherwise("dev").alias("split"), F.col("quality").alias("label"))
+    return said.supervision_failures(rows)
+
+
 # ---------------------------------------------------------------- measures
 
 SPANS = f"""{STAGED}, p AS (SELECT query_id, segment_id, start_sec, end_sec, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS rank FROM rk QUALIFY rank <= 5),
@@ -405,6 +456,12 @@ def spans(s, d) -> tuple[DataFrame, DataFrame]:
     return best, gold
 
 
+@query("ds_rerank_rows", f"{SPANS} SELECT query_id, count(*) AS rows_, sum(CASE WHEN EXISTS (SELECT 1 FROM pg WHERE pg.query_id = p.query_id AND pg.segment_id = p.segment_id AND iou > 0) THEN 1 ELSE 0 END)::BIGINT AS positives FROM p GROUP BY 1")
+def _(s, d):
+    best, gold = spans(s, d)
+    return said.rerank_rows(best, evals.gold_labels(best, gold)).groupBy("query_id").agg(F.count("*").alias("rows_"), F.count_if(F.col("label") > 0.5).alias("positives"))
+
+
 @query("eval_temporal", f"""{SPANS}, a AS (SELECT query_id, rank, max(iou) AS iou FROM pg GROUP BY ALL), b AS (SELECT query_id, gold_id, max(iou) AS iou FROM pg GROUP BY ALL),
 x AS (SELECT query_id, avg((iou >= 0.3)::INT) AS p, min(CASE WHEN iou >= 0.3 THEN rank END) AS f, sum(iou / log2(rank + 1)) AS dcg, count(*) AS n FROM a GROUP BY 1), y AS (SELECT query_id, avg((iou >= 0.3)::INT) AS r, avg(iou) AS m, count(*) AS g FROM b GROUP BY 1)
 SELECT q.query_id, round(coalesce(p, 0), 6) AS precision, round(coalesce(r, 0), 6) AS recall, round(coalesce(1.0 / f, 0), 6) AS mrr, round(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + least(n, g)::BIGINT) t(i)), 0), 6) AS ndcg, round(coalesce(m, 0), 6) AS mean_iou FROM questions q LEFT JOIN x USING (query_id) LEFT JOIN y USING (query_id)""")
