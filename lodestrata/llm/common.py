@@ -76,12 +76,13 @@ class Roller:
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * Roller._neg[start] + (end - start).astype(np.uint64))
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hashes of all windows of this width, by start."""
+    def windows(self, width: int, spread: bool = True) -> np.ndarray:
+        """Hashes of all windows of this width, by start; without spread only the high bits are any good."""
         n = len(self.sums) - 1 - width + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * Roller._neg[:n])
+        out = (self.sums[width:] - self.sums[:n]) * Roller._neg[:n]
+        return mix(out) if spread else out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

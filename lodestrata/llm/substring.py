@@ -30,10 +30,10 @@ GRAM_WORDS = 8
 SALTS = 16
 
 
-def stretches(symbols: np.ndarray, first: np.ndarray, window: int, gram: int):
+def stretches(symbols: np.ndarray, first: np.ndarray, window: int, gram: int, spread: bool = True):
     """(document, first window, windows, anchor hash, stretch hash, Roller, place of the anchor) of texts whose symbols start at first[i]."""
     roll = Roller(symbols)
-    grams = roll.windows(gram)
+    grams = roll.windows(gram, spread)
     bits = np.uint64(max(24, int(len(symbols)).bit_length()))
     low = np.uint64((1 << int(bits)) - 1)
     key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -51,7 +51,7 @@ def stretches(symbols: np.ndarray, first: np.ndarray, window: int, gram: int):
     i = np.nonzero(new)[0]
     count = np.diff(np.append(i, len(at)))
     start = at[i]
-    return d[i], start - first[d[i]], count, grams[pos[i]], roll.ranges(start, start + count - 1 + window), roll, pos[i]
+    return d[i], start - first[d[i]], count, grams[pos[i]], roll.ranges(start, start + count - 1 + window) if spread else None, roll, pos[i]
 
 
 def _find(window: int, gram: int):

@@ -23,6 +23,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,8 +70,8 @@ def _anchors(length: int, gram: int):
                 # A very long text is cut into slices that share no window, so stretches end there too.
                 for lo in range(0, len(data) if b == a + 1 else 1, SLICE):
                     part, edge = (data[lo : lo + SLICE + length - 1], None) if b == a + 1 else (data, offsets)
-                    d, start, n, seed, *_ = stretches(values[part], np.array([0, len(part)]) if edge is None else edge, length, gram)
-                    code = (start + lo) * 512 + n * 2 + (seed % np.uint64(CUT) == 0)
+                    d, start, n, seed, *_ = stretches(values[part], np.array([0, len(part)]) if edge is None else edge, length, gram, False)
+                    code = (start + lo) * 512 + n * 2 + ((seed >> np.uint64(40)) % np.uint64(CUT) == 0)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(code), pa.array(signed(seed))], ["k", "code", "seed"])
 
     return run
@@ -108,7 +109,7 @@ def window_parts(symbols: np.ndarray, first: np.ndarray, length: int, gram: int,
 
     Windows of one part, wherever they occur, all hold the same bytes around the anchor; the key is a hash of these, so it
     says more than the anchor: of 200 bytes, 166 for four parts."""
-    d, start, n, _, _, roll, anchor = stretches(symbols, first, length, gram)
+    d, start, n, _, _, roll, anchor = stretches(symbols, first, length, gram, False)
     step = -(-(length - gram + 1) // parts)
     base = first[d] + start
     found = []
@@ -138,23 +139,38 @@ def _runs(length: int):
 
     def run(batches):
         for batch in batches:
-            names, texts = [], []
-            for print_, body, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            names, texts, lows = [], [], []
+            for print_, body, parts, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 flat = parts.values
                 off = flat.field("off").to_numpy().astype(np.int64)
                 s, e = merge_spans(off, off + flat.field("size").to_numpy())
                 for a, b in zip(s.tolist(), e.tolist()):
                     names.append(print_ + a.to_bytes(4, "big"))
                     texts.append(body[a : b - 1 + length])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary())], ["print", "body"])
+                    lows.append(low)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary()), pa.array(lows, pa.int64())], ["print", "body", "low"])
 
     return run
 
 
-def _page(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("print")
-    sizes = np.array([len(x) for x in pdf["body"]], np.int64)
-    return pd.DataFrame({"page": [pdf["page"].iloc[0]], "text": [b"".join(pdf["body"])], "prints": [b"".join(pdf["print"])], "sizes": [sizes.tobytes()]})
+def _pages(batches):
+    """The texts of a partition, in order, put together to pages; a page is named by its partition and place there."""
+    first, names, bodies, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+    def page():
+        sizes = np.array([len(x) for x in bodies], np.int64)
+        return _rows([(first, b"".join(bodies), b"".join(names), sizes.tobytes())], ["page", "text", "prints", "sizes"])
+
+    for batch in batches:
+        for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if bodies and size + len(body) > PAGE_BYTES:
+                yield page()
+                first, names, bodies, size = first + 1, [], [], 0
+            names.append(name)
+            bodies.append(body)
+            size += len(body)
+    if bodies:
+        yield page()
 
 
 # ------------------------------------------------------------------ symbols and keys
@@ -578,7 +594,9 @@ def _sorted_spans(texts: DataFrame, total: int, windows: int, length: int, scrat
     """(print, s, e): window starts of chunks that the order of all suffixes shows to repeat."""
     spark = texts.sparkSession
     count = max(1, math.ceil(total / PAGE_BYTES))
-    pages = texts.select(F.pmod(F.xxhash64("print"), F.lit(count)).alias("page"), "print", "body").groupBy("page").applyInPandas(_page, "page long, text binary, prints binary, sizes binary")
+    # Texts that share a part lie side by side, so a page has few distinct triples; a part in very many texts fills many pages.
+    dealt = texts.repartitionByRange(count, "low", "print").sortWithinPartitions("low", "print").select("print", "body")
+    pages = dealt.mapInArrow(_pages, "page long, text binary, prints binary, sizes binary")
     pages = scratch.save(pages, "pages")
     scratch.reclaim()
     with _one_row_batches(spark):
@@ -608,8 +626,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     # chunks; where all of these have copies, their windows are known to repeat.
     parts = scratch.save(kinds.select("print", "body", "many").mapInArrow(_parts(length, gram), "print binary, many boolean, off int, size int, key long"), "parts")
     shared = parts.groupBy("key").agg(F.count("*").alias("c"), F.min("many").alias("known")).filter("c > 1 and not known").select("key")
-    wanted = parts.join(shared, "key", "left_semi").groupBy("print").agg(F.collect_list(F.struct("off", "size")).alias("parts"))
-    texts = scratch.save(kinds.select("print", "body").join(wanted, "print").select("print", "body", "parts").mapInArrow(_runs(length), "print binary, body binary"), "texts")
+    wanted = parts.join(shared, "key", "left_semi").groupBy("print").agg(F.collect_list(F.struct("off", "size")).alias("parts"), F.min("key").alias("low"))
+    texts = scratch.save(kinds.select("print", "body").join(wanted, "print").select("print", "body", "parts", "low").mapInArrow(_runs(length), "print binary, body binary, low long"), "texts")
     sums = texts.agg(F.sum(F.octet_length("body")).alias("n"), F.count("*").alias("runs")).first()
     total = sums["n"] or 0
     weighed = kinds.filter("many").select("print", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
