@@ -26,9 +26,9 @@ class Scratch:
             atexit.register(shutil.rmtree, base, True)
         self.spark, self.dir = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
+    def save(self, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.dir}/{tag}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:
