@@ -23,6 +23,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ PAGE_BYTES = 2 << 20
 RANGE_SUFFIXES = 2 << 20
 LEVELS = 5
 #: Parts of the ranges merged one after another, by level: what is on its way at a time stays a fraction of the whole.
-WAVES = {0: 2}
+WAVES: dict[int, int] = {}
 #: Windows of a very long text that are taken up at a time.
 SLICE = 1 << 20
 #: Samples for each range that a level is parted into.
@@ -87,17 +88,21 @@ def _chunks(length: int):
             for i in range(batch.num_rows):
                 raw = texts[i].as_py().encode()
                 code = np.sort(lists[i].values.to_numpy())
-                chunks: list[list[int]] = []
-                for s, m, cut in zip((code >> 9).tolist(), (code >> 1 & 255).tolist(), (code & 1).tolist()):
-                    last = chunks[-1] if chunks else None
-                    if last is None or cut or s != last[0] + last[1] or last[1] + m > CHUNK_WINDOWS:
-                        last = [s, 0]
-                        chunks.append(last)
-                    last[1] += m
-                for at, size in chunks:
-                    body = raw[at : at + size - 1 + length]
-                    for x, y in zip(out, (keys[i], at, size, hashlib.blake2b(body, digest_size=16).digest(), body)):
-                        x.append(y)
+                start, n = code >> 9, code >> 1 & 255
+                new = (code & 1) == 1
+                new[0] = True
+                new[1:] |= start[1:] != start[:-1] + n[:-1]
+                first = np.nonzero(new)[0]
+                size = np.add.reduceat(n, first)
+                if size.max() > CHUNK_WINDOWS:  # long runs of one anchor are cut too
+                    since = np.cumsum(n) - n
+                    new |= np.diff((since - np.repeat(since[first], np.diff(np.append(first, len(n))))) // CHUNK_WINDOWS, prepend=0) > 0
+                    first = np.nonzero(new)[0]
+                    size = np.add.reduceat(n, first)
+                at = start[first]
+                bodies = [raw[x:y] for x, y in zip(at.tolist(), (at + size - 1 + length).tolist())]
+                for x, y in zip(out, ([keys[i]] * len(at), at.tolist(), size.tolist(), [hashlib.blake2b(x, digest_size=16).digest() for x in bodies], bodies)):
+                    x += y
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["k", "at", "n", "print", "body"])
 
@@ -139,16 +144,19 @@ def _runs(length: int):
 
     def run(batches):
         for batch in batches:
-            names, texts, lows = [], [], []
-            for print_, body, parts, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                flat = parts.values
-                off = flat.field("off").to_numpy().astype(np.int64)
-                s, e = merge_spans(off, off + flat.field("size").to_numpy())
-                for a, b in zip(s.tolist(), e.tolist()):
-                    names.append(print_ + a.to_bytes(4, "big"))
-                    texts.append(body[a : b - 1 + length])
-                    lows.append(low)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary()), pa.array(lows, pa.int64())], ["print", "body", "low"])
+            lists = batch.column(2)
+            flat, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            # Chunks side by side, further apart than any is long.
+            off = flat.field("off").to_numpy().astype(np.int64) + (row << 20)
+            s, e = merge_spans(off, off + flat.field("size").to_numpy())
+            row = s >> 20
+            prints, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a, b = (s - (row << 20)).tolist(), (e - (row << 20)).tolist()
+            row = row.tolist()
+            names = [prints[r] + x.to_bytes(4, "big") for r, x in zip(row, a)]
+            texts = [bodies[r][x : y - 1 + length] for r, x, y in zip(row, a, b)]
+            lows = batch.column(3).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary()), lows], ["print", "body", "low"])
 
     return run
 
@@ -524,7 +532,7 @@ def repeated_positions(pages: DataFrame, total: int, windows: int, length: int,
         size *= 2 / 3
         ranges = max(1, math.ceil(size / range_suffixes))
         low = _low(level, kind)
-        kinds = scratch.save(strings[level].mapInArrow(_distinct(level, length, kind), "page long, hi binary, lo binary, which binary, sizes binary"), f"kinds-{level}")
+        kinds = scratch.save(strings[level].mapInArrow(_distinct(level, length, kind), "page long, hi binary, lo binary, which binary, sizes binary"), f"kinds-{level}", "snappy")
         picked = []
         if ranges > 1:
             picked = kinds.select("hi", "lo").mapInArrow(_sample_triples(low, samples(ranges)), "hi long, lo long").collect()
@@ -532,15 +540,15 @@ def repeated_positions(pages: DataFrame, total: int, windows: int, length: int,
         order = np.lexsort((lo, hi))
         order = _splitters(order, ranges)
         sent = kinds.select("page", "hi", "lo").mapInArrow(_send_triples(low, hi[order], lo[order]), f"{keys}, hi binary, lo binary")
-        named = scratch.save(sent.groupBy("part").applyInPandas(_name(low), f"{keys}, value binary, top long"), f"named-{level}")
+        named = scratch.save(sent.groupBy("part").applyInPandas(_name(low), f"{keys}, value binary, top long"), f"named-{level}", "snappy")
         scratch.reclaim()
-        strings[level + 1] = scratch.save(_renamed(named, kinds, kind), f"string-{level + 1}")
+        strings[level + 1] = scratch.save(_renamed(named, kinds, kind), f"string-{level + 1}", "snappy")
         scratch.drop(f"kinds-{level}")
         scratch.drop(f"named-{level}")
         scratch.reclaim()
     top = LEVELS - 1
     joined = strings[top].join(strings[LEVELS].select("page", F.col("data").alias("ranks")), "page").select("page", "data", "ranks", "sizes")
-    joined = scratch.save(joined, f"joined-{top}")
+    joined = scratch.save(joined, f"joined-{top}", "snappy")
     size = windows * (2 / 3) ** LEVELS
     for level in range(top, -1, -1):
         size *= 1.5
@@ -555,14 +563,14 @@ def repeated_positions(pages: DataFrame, total: int, windows: int, length: int,
         for w in range(count):
             wave = range((len(cut) + 1) * w // count, (len(cut) + 1) * (w + 1) // count)
             sent = joined.mapInArrow(_send_suffixes(level, cut, wave, length, kind), f"{keys}, at binary, s0 binary, s1 binary, r1 binary, r2 binary, own binary, prints binary")
-            waves.append(scratch.save(sent.groupBy("part").applyInPandas(_merge(level, kind), f"{keys}, at binary, value binary, top long, first int, last int"), f"merged-{level}-{w}"))
+            waves.append(scratch.save(sent.groupBy("part").applyInPandas(_merge(level, kind), f"{keys}, at binary, value binary, top long, first int, last int"), f"merged-{level}-{w}", "snappy"))
             scratch.reclaim()
         out = waves[0]
         for w in waves[1:]:
             out = out.union(w)
         scratch.drop(f"joined-{level}", f"string-{level + 1}")
         if level:
-            joined = scratch.save(_ranks(out, strings[level - 1], kind), f"joined-{level - 1}")
+            joined = scratch.save(_ranks(out, strings[level - 1], kind), f"joined-{level - 1}", "snappy")
             scratch.drop(*(f"merged-{level}-{w}" for w in range(count)))
             scratch.reclaim()
     # Two rows for each range: few enough for one ordered window.
@@ -611,10 +619,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     """(key, spans array<struct<s,e>>) in bytes, for rows with a repeated string; spans may overlap."""
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
-    seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, code long, seed long"), "seen")
+    seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, code long, seed long"), "seen", "snappy")
     live = seen.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
     # Of repeated rows (equal keys have equal texts) each is kept: their chunks are as many occurrences.
-    lists = seen.join(live, "seed", "left_semi").groupBy("k").agg(F.collect_set("code").alias("l"))
+    lists = seen.join(live.hint("shuffle_hash"), "seed", "left_semi").groupBy("k").agg(F.collect_set("code").alias("l"))
     chunks = base.join(lists, "k").mapInArrow(_chunks(length), "k long, at long, n long, print binary, body binary")
     chunks = scratch.save(chunks, "chunks")
     scratch.drop("seen")
@@ -624,9 +632,9 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     scratch.drop("chunks")
     # Outside its chunk's copies a window repeats only where what its part has in common occurs again among the unlike
     # chunks; where all of these have copies, their windows are known to repeat.
-    parts = scratch.save(kinds.select("print", "body", "many").mapInArrow(_parts(length, gram), "print binary, many boolean, off int, size int, key long"), "parts")
+    parts = scratch.save(kinds.select("print", "body", "many").mapInArrow(_parts(length, gram), "print binary, many boolean, off int, size int, key long"), "parts", "snappy")
     shared = parts.groupBy("key").agg(F.count("*").alias("c"), F.min("many").alias("known")).filter("c > 1 and not known").select("key")
-    wanted = parts.join(shared, "key", "left_semi").groupBy("print").agg(F.collect_list(F.struct("off", "size")).alias("parts"), F.min("key").alias("low"))
+    wanted = parts.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("print").agg(F.collect_list(F.struct("off", "size")).alias("parts"), F.min("key").alias("low"))
     texts = scratch.save(kinds.select("print", "body").join(wanted, "print").select("print", "body", "parts", "low").mapInArrow(_runs(length), "print binary, body binary, low long"), "texts")
     sums = texts.agg(F.sum(F.octet_length("body")).alias("n"), F.count("*").alias("runs")).first()
     total = sums["n"] or 0
@@ -637,7 +645,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     some = weighed.union(spans).groupBy("print").agg(F.collect_list(F.struct("s", "e")).alias("l"))
     at = places.join(some, "print").select("k", F.explode(F.transform("l", lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"] - 1 + length).alias("e")))).alias("x"))
     out = scratch.save(at.groupBy("k").agg(F.collect_list("x").alias("spans")), "spans")
-    scratch.drop("kinds", "places", "parts", "texts", "pages", "unique-spans", *(f"merged-0-{w}" for w in range(WAVES[0])))
+    scratch.drop("kinds", "places", "parts", "texts", "pages", "unique-spans", *(f"merged-0-{w}" for w in range(WAVES.get(0, 1))))
     scratch.reclaim()
     return out.withColumnRenamed("k", key)
 
@@ -663,17 +671,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def strip(batches):
         pair = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         for batch in batches:
-            texts, found = batch.column(at), batch.column(len(names))
-            lean, size, gone, runs = [], [], [], []
-            for i in range(batch.num_rows):
-                raw = (texts[i].as_py() or "").encode()
+            texts, found = batch.column(at).cast(pa.binary()).fill_null(b""), batch.column(len(names))
+            # Only rows with spans are taken apart.
+            hit = found.is_valid().to_numpy(zero_copy_only=False)
+            lean, runs = [], [[]] * batch.num_rows
+            for i in np.nonzero(hit)[0].tolist():
+                raw = texts[i].as_py()
                 s, e = span_arrays(found, i)
                 s, e = s[e > s].tolist(), e[e > s].tolist()
                 lean.append(b"".join(raw[a:b] for a, b in zip([0, *e], [*s, len(raw)])))
-                size.append(len(raw))
-                gone.append(len(raw) - len(lean[-1]))
-                runs.append([{"s": x, "e": y} for x, y in zip(s, e)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lean, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pair)], [*names, "lean", "n_bytes", "n_removed", "spans"])
+                runs[i] = [{"s": x, "e": y} for x, y in zip(s, e)]
+            left = pc.replace_with_mask(texts, pa.array(hit), pa.array(lean, pa.binary()))
+            size, rest = (pc.binary_length(x).cast(pa.int64()) for x in (texts, left))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], left, size, pc.subtract(size, rest), pa.array(runs, pair)], [*names, "lean", "n_bytes", "n_removed", "spans"])
 
     schema = T.StructType(list(docs.schema)).add("lean", "binary").add("n_bytes", "long").add("n_removed", "long").add("spans", T.ArrayType(T.StructType().add("s", "long").add("e", "long")))
     return joined.mapInArrow(strip, schema)
