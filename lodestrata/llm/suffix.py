@@ -1,10 +1,10 @@
 """Suffix-array dedup of repeated byte strings, with a distributed difference-cover construction.
 
 1. Candidates. A repeated string of `length` bytes has a repeated anchor (its smallest hash among grams of `gram` bytes), so only
-   windows under an anchor that occurs twice can repeat. Runs of such windows are cut at anchors of a fixed kind, which lie at
-   the same places in every copy, and equal chunks become one text with a weight. Of the unlike chunks, the runs of windows
-   whose anchor occurs again among them go on.
-2. The chunks are dealt into pages. The suffixes of all pages are sorted by the difference cover {1, 2} mod 3: triples at
+   windows under an anchor that occurs twice can repeat. Runs of such windows are cut at their anchors (or at one in `CUT`),
+   which lie at the same places in every copy, and equal chunks become one text with a weight. Of the unlike chunks, the runs
+   of windows whose bytes around the anchor occur again among them go on.
+2. These runs are dealt into pages. The suffixes of all pages are sorted by the difference cover {1, 2} mod 3: triples at
    these positions are sorted into names over key ranges (ranges of the hash-free, lexicographic order, so that sorted ranges
    are the sorted whole), names make a string of two thirds the length, and so on; after five levels a name stands for 243
    bytes, more than `length`, and orders suffixes as far as needed. On the way back, positions 0 mod 3 are ordered by a symbol
@@ -34,7 +34,8 @@ from .substring import span_arrays, stretches
 
 LENGTH = 200
 GRAM = 64
-CUT = 2
+#: One in so many anchors ends a chunk.
+CUT = 1
 PARTS = 4
 CHUNK_WINDOWS = 4096
 PAGE_BYTES = 2 << 20
@@ -131,10 +132,10 @@ def _parts(length: int, gram: int):
     def run(batches):
         values = _byte_values(False)
         for batch in batches:
-            prints = batch.column(0)
+            pids = batch.column(0)
             for a, b, data, offsets in pieces(batch.column(1), 1 << 19):
                 d, off, size, key = window_parts(values[data], offsets, length, gram, PARTS)
-                yield pa.RecordBatch.from_arrays([prints.slice(a, b - a).take(pa.array(d)), batch.column(2).slice(a, b - a).take(pa.array(d)), pa.array(off.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(signed(key))], ["print", "many", "off", "size", "key"])
+                yield pa.RecordBatch.from_arrays([pids.slice(a, b - a).take(pa.array(d)), batch.column(2).slice(a, b - a).take(pa.array(d)), pa.array(off.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(signed(key))], ["pid", "many", "off", "size", "key"])
 
     return run
 
@@ -627,15 +628,15 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     chunks = scratch.save(chunks, "chunks")
     scratch.drop("seen")
     scratch.reclaim()
-    kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), (F.count("*") > 1).alias("many")), "kinds")
+    kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), (F.count("*") > 1).alias("many")).withColumn("pid", F.xxhash64("print")), "kinds")
     places = scratch.save(chunks.select("k", "at", "print"), "places")
     scratch.drop("chunks")
     # Outside its chunk's copies a window repeats only where what its part has in common occurs again among the unlike
     # chunks; where all of these have copies, their windows are known to repeat.
-    parts = scratch.save(kinds.select("print", "body", "many").mapInArrow(_parts(length, gram), "print binary, many boolean, off int, size int, key long"), "parts", "snappy")
+    parts = scratch.save(kinds.select("pid", "body", "many").mapInArrow(_parts(length, gram), "pid long, many boolean, off int, size int, key long"), "parts", "snappy")
     shared = parts.groupBy("key").agg(F.count("*").alias("c"), F.min("many").alias("known")).filter("c > 1 and not known").select("key")
-    wanted = parts.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("print").agg(F.collect_list(F.struct("off", "size")).alias("parts"), F.min("key").alias("low"))
-    texts = scratch.save(kinds.select("print", "body").join(wanted, "print").select("print", "body", "parts", "low").mapInArrow(_runs(length), "print binary, body binary, low long"), "texts")
+    wanted = parts.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("pid").agg(F.collect_list(F.struct("off", "size")).alias("parts"), F.min("key").alias("low"))
+    texts = scratch.save(kinds.select("pid", "print", "body").join(wanted, "pid").select("print", "body", "parts", "low").mapInArrow(_runs(length), "print binary, body binary, low long"), "texts")
     sums = texts.agg(F.sum(F.octet_length("body")).alias("n"), F.count("*").alias("runs")).first()
     total = sums["n"] or 0
     weighed = kinds.filter("many").select("print", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
