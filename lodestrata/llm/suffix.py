@@ -631,6 +631,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), (F.count("*") > 1).alias("many")).withColumn("pid", F.xxhash64("print")), "kinds")
     places = scratch.save(chunks.select("k", "at", "print"), "places")
     scratch.drop("chunks")
+    scratch.reclaim()
     # Outside its chunk's copies a window repeats only where what its part has in common occurs again among the unlike
     # chunks; where all of these have copies, their windows are known to repeat.
     parts = scratch.save(kinds.select("pid", "body", "many").mapInArrow(_parts(length, gram), "pid long, many boolean, off int, size int, key long"), "parts", "snappy")
