@@ -89,10 +89,13 @@ def validate_verifier(rows: DataFrame) -> DataFrame:
 
 
 def payload_hash(rows: DataFrame, key: str, columns: list[str], split: str = "train") -> DataFrame:
-    """One row: a hash of the training rows in order of their keys, made of hashes of rows and then of ranges of keys."""
+    """One row: a hash of the training rows in order of their keys, made of hashes of rows, then of 65,536 groups of keys, of 256
+    and of all."""
+    all_of = lambda *order: F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["h"])), 256).alias("h")
     each = rows.filter(F.col("split") == split).select(F.col(key).cast("string").alias("k"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
-    part = each.groupBy(F.substring(F.md5(F.col("k").cast("binary")), 1, 2).alias("p")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"])), 256).alias("h"), F.count("*").alias("n"))
-    return part.agg(F.sum("n").alias("rows"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"])), 256).alias("hash"))
+    small = each.groupBy(F.substring(F.md5(F.col("k").cast("binary")), 1, 4).alias("p")).agg(all_of("k", "h"), F.count("*").alias("n"))
+    large = small.groupBy(F.substring("p", 1, 2).alias("q")).agg(all_of("p", "h"), F.sum("n").alias("n"))
+    return large.agg(F.sum("n").alias("rows"), all_of("q", "h").alias("hash"))
 
 
 def mixed_groups(rows: DataFrame, group: str = "group_id", label: str = "label") -> DataFrame:

@@ -109,12 +109,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k nearest vectors by cosine among those of the query's label.
+    """(query_id, vec_id, score, rank): the k nearest vectors by cosine among those of the query's label, to nine decimals; of
+    equal ones the smallest vec_id.
 
     vectors (vec_id, label, embedding), queries (query_id, label, query); lengths must agree, a null vector is left out."""
     units = vectors.filter("embedding is not null").select("vec_id", "label", unit(F.col("embedding")).alias("v"))
     asked = queries.filter("query is not null").select("query_id", "label", unit(F.col("query")).alias("q"))
-    scored = units.join(asked, "label").filter(F.size("v") == F.size("q")).select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("score"))
+    scored = units.join(asked, "label").filter(F.size("v") == F.size("q")).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 

@@ -188,9 +188,7 @@ SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_numb
 def _(s, d):
     v = table(s, d, "embeddings")
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query"))
-    units = v.select("vec_id", "label", retrieve.unit(F.col("embedding")).alias("v")).join(asked.select("query_id", "label", retrieve.unit(F.col("query")).alias("q")), "label")
-    scored = units.select("query_id", "vec_id", F.round(retrieve.dot(F.col("v"), F.col("q")), 9).alias("score"))
-    return retrieve.top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], 10).select("query_id", "vec_id", r6("score").alias("score"), "rank")
+    return retrieve.dense_top_k(v, asked, 10).withColumn("score", r6("score"))
 
 
 @query("ret_hash_embed", f"""WITH t AS (SELECT doc_id, unnest({duck_tokens('text')}) AS t FROM documents), c AS (SELECT doc_id, ('0x' || substr(md5(t), 26, 7))::BIGINT % 128 AS bucket, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT doc_id, sqrt(sum(n * n)) AS m FROM c GROUP BY 1)
@@ -340,7 +338,13 @@ def _(s, d):
     return memory.build(segments(s, d).withColumn("score", F.lit(0.5))).select("memory_id", "kind", r6("importance").alias("importance"), r6("salience").alias("salience"), F.md5(F.col("text").cast("binary")).alias("text"), F.array_join("keywords", ", ").alias("keywords"))
 
 
-@query("mem_search")
+@query("mem_search", f"""{BASE}, t AS (SELECT segment_id, {duck_tokens('text')} AS l FROM segments WHERE trim(text) <> ''), u AS (SELECT segment_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM t), c AS (SELECT segment_id, term, count(*) AS n, min(pos) AS p FROM u GROUP BY ALL),
+k AS (SELECT segment_id, list(term ORDER BY n DESC, p) AS kl FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, p) AS r FROM c) WHERE r <= 8 GROUP BY 1),
+b AS (SELECT asset, s.segment_id, text, kl, motion, least(1.0, 0.35 * (length(text) / 180.0) + 0.35 * (motion / 30.0) + 0.30 * 0.5) AS sal FROM segments s LEFT JOIN k ON k.segment_id = s.segment_id WHERE trim(text) <> ''),
+m AS (SELECT asset, asset || ':mem-' || segment_id AS memory_id, text, coalesce(kl, []) AS kl, 0.5 + 0.02 * motion + sal AS imp, sal FROM b UNION ALL SELECT asset, asset || ':sem-' || segment_id, '片段主题关键词：' || array_to_string(kl, ', '), kl, 0.5 * (0.5 + 0.02 * motion + sal), sal FROM b WHERE kl IS NOT NULL),
+w AS (SELECT asset, memory_id, {duck_keywords('text')} AS told, kl, imp, sal FROM m), q AS (SELECT query_id, asset, {duck_keywords('query')} AS q FROM questions),
+sc AS (SELECT query_id, memory_id, len(list_intersect(q, told)) + 1.5 * len(list_intersect(q, kl)) + 0.08 * imp + 0.05 * sal AS score FROM w JOIN q USING (asset))
+SELECT query_id, memory_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3""")
 def _(s, d):
     return answering.remember(segments(s, d), questions(s, d)).select("query_id", "memory_id", r6("score").alias("score"), "rank")
 
@@ -369,17 +373,44 @@ def _(s, d):
     return verify.time_bindings(*answers(s, d)).drop("place")
 
 
-@query("ground_claims")
+def duck_units(x: str) -> str:
+    """Units of meaning of a claim: Latin words and pairs of Han characters, but for generic ones."""
+    latin = f"list_transform(regexp_extract_all({x}, '[a-zA-Z][a-zA-Z0-9_-]+'), lambda v: lower(v))"
+    han = f"flatten(list_transform(list_filter(regexp_extract_all({x}, '[\\x{{3400}}-\\x{{9fff}}]+'), lambda v: length(v) > 1), lambda v: CASE WHEN length(v) <= 2 THEN [v] ELSE list_transform(range(1, length(v)), lambda i: substr(v, i, 2)) END))"
+    return f"list_filter(list_distinct(list_concat({latin}, {han})), lambda v: NOT list_contains([{', '.join(f'$${u}$$' for u in tx.GENERIC_UNITS)}], v))"
+
+
+TIME = "timestamp=([0-9]+(?:\\.[0-9]+)?-[0-9]+(?:\\.[0-9]+)?)"
+REFUSES = lambda x: "(" + " OR ".join(f"contains({x}, '{m}')" for m in tx.REFUSALS_OF_CLAIMS) + ")"
+CLAIMS = f"""{ANSWERS}, ln AS (SELECT answer_id, start_sec, end_sec, before, unnest(l) AS raw, unnest(range(len(l))) AS line FROM (SELECT *, string_split_regex(answer, '\\r\\n|\\n|\\r') AS l FROM answers)),
+c1 AS (SELECT *, regexp_extract_all(raw, '{TIME}', 1) AS refs, regexp_replace(regexp_replace(regexp_replace(raw, '{TIME}', '', 'g'), '\\(\\s*\\)', '', 'g'), '^\\s*[-*]\\s*', '') AS a FROM ln),
+c2 AS (SELECT *, regexp_replace(regexp_replace(a, '^[0-9]+(?:\\.[0-9]+)?\\s*[-–—]\\s*[0-9]+(?:\\.[0-9]+)?\\s*[：:]?', ''), '^(问题|结论|总体结论|证据)\\s*[：:]', '') AS b FROM c1 WHERE len(refs) > 0),
+c3 AS (SELECT *, list_filter(list_transform(string_split_regex(regexp_replace(b, '^[ ：:。.;；]+|[ ：:。.;；]+$', '', 'g'), '[，,；;。]+'), lambda v: regexp_replace(v, '^[ \\-：:。.;；]+|[ \\-：:。.;；]+$', '', 'g')), lambda v: length(regexp_replace(v, '\\s+', '', 'g')) >= 4 AND v NOT IN ('时间戳证据', '候选证据')) AS cl FROM c2),
+c4 AS (SELECT answer_id, start_sec, end_sec, before, line, cl, unnest(refs) AS ref, unnest(range(len(refs))) AS ref_no FROM c3), c5 AS (SELECT answer_id, start_sec, end_sec, before, line, ref, ref_no, unnest(cl) AS clause, unnest(range(len(cl))) AS clause_no FROM c4),
+c6 AS (SELECT *, lower(regexp_replace(clause, '[^\\x{{3400}}-\\x{{9fff}}a-zA-Z0-9]+', '', 'g')) AS na, lower(regexp_replace(before, '[^\\x{{3400}}-\\x{{9fff}}a-zA-Z0-9]+', '', 'g')) AS nb FROM c5 WHERE NOT {REFUSES('clause')} AND before <> '' AND split_part(ref, '-', 1)::DOUBLE = start_sec AND split_part(ref, '-', 2)::DOUBLE = end_sec),
+cm AS (SELECT answer_id, line, ref_no, ref, clause_no, clause, round(CASE WHEN length(na) >= 4 AND contains(nb, na) THEN 1.0 ELSE {duck_overlap(duck_units('clause'), duck_units('before'))} END, 6)::DOUBLE AS score FROM c6)"""
+GROUND = f"""{CLAIMS}, rr AS (SELECT answer_id, count(*) AS n_refs, sum((split_part(ref, '-', 1)::DOUBLE <> start_sec OR split_part(ref, '-', 2)::DOUBLE <> end_sec)::INT)::BIGINT AS n_unbound FROM (SELECT answer_id, start_sec, end_sec, unnest(regexp_extract_all(answer, '{TIME}', 1)) AS ref FROM answers) GROUP BY 1),
+cs AS (SELECT answer_id, count(*) AS n_claims, sum((score >= 0.22)::INT)::BIGINT AS n_supported FROM cm GROUP BY 1),
+g0 AS (SELECT answer_id, answer, before, coalesce(before, '') <> '' AS checked, {REFUSES('answer')} AS refusal, coalesce(n_refs, 0) AS n_refs, coalesce(n_unbound, 0) AS n_unbound, coalesce(n_claims, 0) AS n_claims, coalesce(n_supported, 0) AS n_supported,
+  contains(answer, 'timestamp=' || printf('%.1f', floor(start_sec * 10 + 0.5) / 10) || '-' || printf('%.1f', floor(end_sec * 10 + 0.5) / 10))::INT::DOUBLE AS coverage FROM answers LEFT JOIN rr USING (answer_id) LEFT JOIN cs USING (answer_id)),
+gr AS (SELECT *, CASE WHEN NOT checked THEN 1.0 WHEN n_claims = 0 THEN refusal::INT ELSE n_supported / n_claims END::DOUBLE AS claim_coverage, CASE WHEN n_refs = 0 THEN 'answer missing timestamp reference' WHEN n_unbound > 0 THEN 'answer contains unbound timestamp reference'
+  WHEN checked AND CASE WHEN n_claims = 0 THEN NOT refusal ELSE n_claims <> n_supported END THEN 'answer contains claim not supported by its timestamp evidence' WHEN coverage = 0 THEN 'answer missing evidence reference' ELSE 'evidence attached' END AS reason FROM g0)"""
+
+
+@query("ground_claims", f"WITH {CLAIMS} SELECT *, score >= 0.22 AS supported FROM cm")
 def _(s, d):
     return verify.claim_checks(*answers(s, d))
 
 
-@query("ground_answers")
+@query("ground_answers", f"WITH {GROUND} SELECT answer_id, reason = 'evidence attached' AS ok, reason, coverage, n_refs, n_unbound, n_claims, n_claims - n_supported AS n_unsupported, claim_coverage, refusal FROM gr")
 def _(s, d):
     return verify.grounding(*answers(s, d))
 
 
-@query("ground_features")
+@query("ground_features", f"""WITH {GROUND}, ft AS (SELECT *, answer_id % 2 = 0 AS enough, {duck_informative('answer')} AS aw FROM gr)
+SELECT answer_id, refusal::INT::DOUBLE AS has_refusal, enough::INT::DOUBLE AS grounding_sufficient, 0.2::DOUBLE AS evidence_count_scaled, round(least(1.0, ln(1 + length(answer)) / 8), 12)::DOUBLE AS answer_length_log, round(least(1.0, n_refs / 5), 12)::DOUBLE AS timestamp_count_scaled,
+round((n_refs - n_unbound) / greatest(n_refs, 1), 12)::DOUBLE AS matched_timestamp_ratio, round(n_unbound / greatest(n_refs, 1), 12)::DOUBLE AS unmatched_timestamp_ratio, round(claim_coverage, 12) AS claim_support_coverage, round((n_claims - n_supported) / greatest(n_claims, 1), 12)::DOUBLE AS unsupported_claim_ratio,
+round({duck_overlap('aw', duck_keywords('before'))}, 12)::DOUBLE AS answer_evidence_coverage, (len(aw) > 0)::INT::DOUBLE AS query_answer_coverage, (refusal <> enough)::INT::DOUBLE AS decision_alignment, (NOT enough AND NOT refusal)::INT::DOUBLE AS unsupported_overclaim, (reason = 'evidence attached')::INT::DOUBLE AS deterministic_ok FROM ft""")
 def _(s, d):
     said, proof = answers(s, d)
     told = proof.groupBy("answer_id").agg(F.count("*").alias("n_evidence"), F.concat_ws(" ", F.collect_list("text")).alias("evidence_text"))
@@ -720,6 +751,286 @@ def _(s, d):
     return streams.drain(streams.job_states(rows), "stream_jobs", "update", ["job_id"])
 
 
+# ---------------------------------------------------------------- builders, rules and measures over rows made of the tables
+
+
+@query("seg_transcripts", f"""{BASE}, spans AS (SELECT asset, start_sec + 5 AS a, end_sec + 9 AS b, 'w' || (segment_id % 5)::VARCHAR AS t FROM segments),
+h AS (SELECT s.asset, s.segment_id, t, min((a, b, t)) AS p FROM segments s JOIN spans x ON s.asset = x.asset AND x.b > s.start_sec AND x.a < s.end_sec AND s.end_sec > s.start_sec GROUP BY ALL), g AS (SELECT asset, segment_id, string_agg(t, ' ' ORDER BY p) AS asr_text FROM h GROUP BY ALL)
+SELECT asset, segment_id, coalesce(asr_text, '') AS asr_text FROM segments LEFT JOIN g USING (asset, segment_id)""")
+def _(s, d):
+    rows = segments(s, d)
+    told = rows.select("asset", (F.col("start_sec") + 5).alias("span_start"), (F.col("end_sec") + 9).alias("span_end"), F.concat(F.lit("w"), (F.col("segment_id") % 5).cast("string")).alias("span_text"))
+    return segment.align_transcripts(rows, told)
+
+
+@query("seg_frame_times", f"{BASE} SELECT segment_id, i AS place, round(start_sec + i * (end_sec - start_sec) / 3, 6) AS at FROM segments, range(3) t(i) WHERE end_sec > start_sec")
+def _(s, d):
+    times = segments(s, d).select("segment_id", F.posexplode(segment.frame_times(F.col("start_sec"), F.col("end_sec"))).alias("place", "at"))
+    return times.select("segment_id", F.col("place").cast("long").alias("place"), r6("at").alias("at"))
+
+
+@query("seg_evidence_times", f"""{BASE}, p AS (SELECT segment_id, unnest([0.06, 0.5, 0.94, 0.3, 1.0 / 6, 2.0 / 6, 3.0 / 6, 4.0 / 6, 5.0 / 6]::DOUBLE[]) AS share, unnest(range(9)) AS i, start_sec, end_sec FROM segments WHERE end_sec > start_sec),
+v AS (SELECT segment_id, round(start_sec + (end_sec - start_sec) * share, 3) AS sec, min(i) AS i FROM p GROUP BY ALL) SELECT segment_id, sec FROM v QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY i) <= 5""")
+def _(s, d):
+    rows = segments(s, d).filter("end_sec > start_sec")
+    changed = F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) * 0.3
+    return rows.select("segment_id", F.explode(segment.evidence_times(F.col("start_sec"), F.col("end_sec"), 5, changed)).alias("sec"))
+
+
+@query("seg_pages", f"{BASE} SELECT asset, segment_id, round((start_sec + end_sec) / 2, 6) AS mid_sec, (row_number() OVER (PARTITION BY asset ORDER BY start_sec, segment_id) - 1) // 12 AS page FROM segments")
+def _(s, d):
+    return segment.annotation_pages(segments(s, d)).withColumn("mid_sec", r6("mid_sec"))
+
+
+FRAMES = "fr AS (SELECT user_id % 20 AS asset, user_id AS segment_id, event_id AS t, value AS gray, (event_id % 17)::DOUBLE AS deviation FROM events)"
+
+
+def frames(s, d) -> DataFrame:
+    return table(s, d, "events").select((F.col("user_id") % 20).alias("asset"), F.col("user_id").alias("segment_id"), F.col("event_id").alias("t"), F.col("value").alias("gray"), (F.col("event_id") % 17).cast("double").alias("deviation"))
+
+
+@query("seg_change_points", f"WITH {FRAMES}, df AS (SELECT *, abs(gray - lag(gray) OVER (PARTITION BY asset, segment_id ORDER BY t)) AS diff FROM fr) SELECT asset, segment_id, arg_max(t, (diff, -t)) AS change_sec FROM df WHERE diff IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    return segment.change_points(frames(s, d))
+
+
+@query("seg_visual_stats", f"WITH {FRAMES}, df AS (SELECT *, abs(gray - lag(gray) OVER (PARTITION BY asset, segment_id ORDER BY t)) AS diff FROM fr) SELECT asset, segment_id, round(avg(gray), 6) AS brightness, round(avg(deviation), 6) AS contrast, round(coalesce(avg(diff), 0), 6) AS motion FROM df GROUP BY ALL")
+def _(s, d):
+    return segment.visual_statistics(frames(s, d)).select("asset", "segment_id", *(r6(c).alias(c) for c in ("brightness", "contrast", "motion")))
+
+
+@query("seg_distinct_frames", f"WITH {FRAMES} SELECT asset, segment_id, min(t) AS t FROM fr GROUP BY asset, segment_id, floor(gray)")
+def _(s, d):
+    return segment.distinct_frames(frames(s, d)).select("asset", "segment_id", "t")
+
+
+@query("ret_fused_vectors", """WITH v AS (SELECT vec_id, unnest(list_zip(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))) AS p, unnest(range(len(embedding))) AS place FROM embeddings), f AS (SELECT vec_id, place, 0.58 * p[1] + 0.42 * p[2] AS x FROM v), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM f GROUP BY 1)
+SELECT vec_id, place, round(CASE WHEN n <= 1e-9 THEN x ELSE x / n END, 6) + 0.0 AS value FROM f JOIN n USING (vec_id)""")
+def _(s, d):
+    own = F.col("embedding").cast("array<double>")
+    fused = table(s, d, "embeddings").select("vec_id", F.posexplode(retrieve.fused_embedding(own, F.reverse(own))).alias("place", "value"))
+    return fused.select("vec_id", F.col("place").cast("long").alias("place"), (r6("value") + 0.0).alias("value"))
+
+
+@query("mem_merge", """WITH h AS (SELECT user_id % 50 AS query_id, event_type || (event_id % 7)::VARCHAR AS memory_id, max(round(value, 3)) AS score FROM events GROUP BY ALL)
+SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM h QUALIFY rank <= 4""")
+def _(s, d):
+    rows = table(s, d, "events").select((F.col("user_id") % 50).alias("query_id"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("memory_id"), F.round("value", 3).alias("score"), "event_id")
+    return memory.merge_hits(rows.filter("event_id % 2 = 0").drop("event_id"), rows.filter("event_id % 2 = 1").drop("event_id"))
+
+
+@query("ans_complete", f"""WITH {ANSWERS}, w AS (SELECT answer_id, i AS place, start_sec + i * 10 AS a, end_sec + i * 10 AS b FROM answers, range(7) t(i)),
+l AS (SELECT answer_id, unnest(string_split(answer, chr(10))) AS raw FROM answers), k AS (SELECT DISTINCT answer_id, try_cast(nullif(regexp_extract(raw, '([0-9]+(?:\\.[0-9]+)?)\\s*s?\\s*[-–—]\\s*([0-9]+(?:\\.[0-9]+)?)\\s*s?', 1), '') AS DOUBLE) AS a, try_cast(nullif(regexp_extract(raw, '([0-9]+(?:\\.[0-9]+)?)\\s*s?\\s*[-–—]\\s*([0-9]+(?:\\.[0-9]+)?)\\s*s?', 2), '') AS DOUBLE) AS b FROM l),
+m AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY place) AS r FROM w ANTI JOIN k USING (answer_id, a, b)), g AS (SELECT answer_id, string_agg('- seen ' || place::VARCHAR || ' (timestamp=' || printf('%.1f', floor(a * 10 + 0.5) / 10) || '-' || printf('%.1f', floor(b * 10 + 0.5) / 10) || ')', chr(10) ORDER BY place) AS more FROM m WHERE r <= 5 GROUP BY 1)
+SELECT answer_id, md5(answer || coalesce(chr(10) || more, '')) AS answer FROM answers LEFT JOIN g USING (answer_id)""")
+def _(s, d):
+    told, proof = answers(s, d)
+    windows = proof.select("answer_id", "start_sec", "end_sec", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("place"))
+    windows = windows.select("answer_id", "place", (F.col("start_sec") + F.col("place") * 10).alias("start_sec"), (F.col("end_sec") + F.col("place") * 10).alias("end_sec"), F.concat(F.lit("seen "), F.col("place").cast("string")).alias("text"))
+    return verify.complete_answer(told, windows).select("answer_id", F.md5(F.col("answer").cast("binary")).alias("answer"))
+
+
+@query("ans_normalised", f"WITH {TURNS} SELECT answer_id, place, start_sec, start_sec + place % 3 AS end_sec, 'timestamp=' || printf('%.1f', start_sec) || '-' || printf('%.1f', start_sec + place % 3) AS tag, md5(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) AS text FROM t WHERE place % 3 > 0")
+def _(s, d):
+    rows = turns(s, d).withColumn("end_sec", F.col("start_sec") + F.col("place") % 3)
+    return said.normalised(rows).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query("ans_accepted", """WITH r AS (SELECT doc_id, n_chars % 3 > 0 AS ok, n_chars % 4 = 0 AS timeless FROM documents) SELECT doc_id AS answer_id, ok AND NOT timeless AS ok, CASE WHEN ok AND timeless THEN 'evidence without time' WHEN ok THEN 'evidence attached' ELSE 'answer too short' END AS reason FROM r""")
+def _(s, d):
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("answer_id"), (F.col("n_chars") % 3 > 0).alias("ok"), F.when(F.col("n_chars") % 4 == 0, F.array(F.lit("timestamp=1.0-2.0"), F.lit("clip"))).otherwise(F.array(F.lit("timestamp=1.0-2.0"))).alias("tags"))
+    grounded = rows.select("answer_id", "ok", F.when(F.col("ok"), "evidence attached").otherwise("answer too short").alias("reason"))
+    return said.accepted(grounded, rows.select("answer_id", F.explode("tags").alias("tag")))
+
+
+@query("verdict_final", """SELECT doc_id, veto, veto IS NULL AS verified FROM (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'grounding' WHEN n_chars % 7 = 0 AND doc_id % 2 = 0 THEN 'refusal' WHEN doc_id % 11 > 0 AND doc_id % 10 < 3 THEN 'calibrated' WHEN doc_id % 11 = 0 THEN 'unavailable' END AS veto FROM documents)""")
+def _(s, d):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    rows = table(s, d, "documents").select("doc_id", (n % 5 != 0).alias("ok"), (n % 7 == 0).alias("refusal"), (i % 2 == 0).alias("sufficient"), F.when(i % 11 > 0, i % 10 / 6.0).alias("safe_probability"))
+    return verify.final_verdict(rows, fail_open=False).select("doc_id", "veto", "verified")
+
+
+@query("eval_average_precision", f"""WITH {LABELLED9}, c AS (SELECT s2, sum((label = 1)::INT) AS p, count(*) AS n FROM lab GROUP BY 1), r AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM c WINDOW w AS (ORDER BY s2 DESC))
+SELECT round(sum(p * tp / seen) / sum(p), 6) AS average_precision FROM r""")
+def _(s, d):
+    return evals.binary_metrics(labelled(s, d), "s2").select(r6("average_precision").alias("average_precision"))
+
+
+RUNS = """steps AS (SELECT ['retrieve_segments', 'build_context', 'assess_evidence', 'search_memory', 'synthesize_answer', 'verify_answer'] AS st),
+rn AS (SELECT doc_id AS run_id, (doc_id % 7)::INT AS m, (doc_id % 5)::INT AS c, doc_id % 3 = 0 AS back, st FROM documents, steps)"""
+
+
+@query("eval_harness", f"""WITH {RUNS}, x AS (SELECT *, CASE WHEN back THEN least(1, m) ELSE m END AS o, CASE WHEN c = 0 THEN 0 ELSE len(list_filter(range(c), lambda j: (run_id + j) % 4 > 0)) / c END AS ok, CASE WHEN m = 0 THEN 0 ELSE least(m, c) / m END AS tr FROM rn)
+SELECT run_id, round(m / 6, 6) AS plan_coverage, round(ok, 6) AS tool_success, round(o / 6, 6) AS step_order, round(tr, 6) AS trace, round(0.18 * (m / 6) + 0.18 * ok + 0.12 * (o / 6) + 0.22 * (run_id % 10 / 10) + 0.12 * 0.9 + 0.10 * (run_id % 2) + 0.08 * tr, 6) AS score FROM x""")
+def _(s, d):
+    i = F.col("doc_id")
+    steps = F.array(*(F.lit(x) for x in evals.STEPS))
+    done = F.slice(steps, F.lit(1), (i % 7).cast("int"))
+    calls = F.transform(F.slice(steps, F.lit(1), (i % 5).cast("int")), lambda name, j: F.struct(name.alias("name"), ((i + j) % 4 > 0).alias("ok")))
+    rows = table(s, d, "documents").select(i.alias("run_id"), F.when(i % 3 == 0, F.reverse(done)).otherwise(done).alias("actions"), calls.alias("calls"), (i % 10 / 10.0).alias("coverage"), F.lit("问题：q\n结论：\n- a (timestamp=1.0-2.0)").alias("answer"), (i % 2 == 1).alias("verified"))
+    return evals.harness_metrics(rows).select("run_id", *(r6(c).alias(c) for c in ("plan_coverage", "tool_success", "step_order", "trace", "score")))
+
+
+@query("eval_agent", """WITH r AS (SELECT doc_id AS run_id, doc_id % 2 = 1 AS v, CASE WHEN doc_id % 4 = 1 THEN 1.0 ELSE doc_id % 4 / 4 END AS c0, doc_id % 4 AS k4, n_chars % 6 AS kept, n_chars % 4 AS dropped, doc_id % 5 AS hits, doc_id % 3 AS calls, least(1, doc_id % 3) AS okc FROM documents),
+x AS (SELECT *, CASE WHEN k4 = 0 AND v THEN 1.0 ELSE k4 / 4 END AS c, kept / greatest(1, kept + dropped) AS kr, least(1.0, hits / 3) AS mr, CASE WHEN calls = 0 THEN 0 ELSE okc / calls END AS ts FROM r)
+SELECT run_id, round(c, 6) AS coverage, round(kr, 6) AS keep_rate, round(mr, 6) AS memory_rate, round(ts, 6) AS tool_success, round(0.25 * v::INT + 0.25 * c + 0.20 * kr + 0.20 * ts + 0.10 * mr, 6) AS score FROM x""")
+def _(s, d):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    rows = table(s, d, "documents").select(i.alias("run_id"), (n % 6).alias("kept"), (n % 4).alias("dropped"), (i % 5).alias("memory_hits"), (i % 3).alias("calls"), F.least(F.lit(1), i % 3).alias("ok_calls"), (i % 4 / 4.0).alias("coverage"), (i % 2 == 1).alias("verified"))
+    return evals.agent_metrics(rows).select("run_id", *(r6(c).alias(c) for c in ("coverage", "keep_rate", "memory_rate", "tool_success", "score")))
+
+
+@query("eval_packs", """WITH r AS (SELECT doc_id AS query_id, doc_id % 4 AS hits, doc_id % 6 AS selected, doc_id % 10 / 10 AS coverage, n_chars % 5 AS tl, n_chars % 7 AS sg, n_chars % 3 AS cl FROM documents),
+x AS (SELECT query_id, CASE WHEN sg > 0 THEN hits / greatest(1, selected) ELSE 0 END AS h, CASE WHEN sg > 0 THEN coverage ELSE 0 END AS c, CASE WHEN sg > 0 THEN tl / greatest(1, sg) ELSE 0 END AS t, CASE WHEN sg > 0 THEN least(cl, tl) / greatest(1, tl) ELSE 0 END AS k FROM r)
+SELECT query_id, round(h, 6) AS hit_rate, round(c, 6) AS coverage, round(t, 6) AS timeline_coverage, round(k, 6) AS clip_overlap, round(0.35 * h + 0.25 * c + 0.20 * t + 0.20 * k, 6) AS score FROM x""")
+def _(s, d):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    rows = table(s, d, "documents").select(i.alias("query_id"), (i % 4).alias("hits"), (i % 6).alias("selected"), (i % 10 / 10.0).alias("coverage"), (n % 5).alias("timeline"), (n % 7).alias("segments"), (n % 3).alias("clips"))
+    return evals.pack_metrics(rows).select("query_id", *(r6(c).alias(c) for c in ("hit_rate", "coverage", "timeline_coverage", "clip_overlap", "score")))
+
+
+@query("eval_regression", """WITH r AS (SELECT doc_id AS case_id, doc_id % 4 = 0 AS abstain, n_chars % 3 = 0 AS refused, doc_id % 5 > 0 AS gold, doc_id % 7 > 0 AS timed, doc_id % 11 = 0 AS forbidden, doc_id % 13 // 12 AS lacking, doc_id % 2 = 1 AS v FROM documents)
+SELECT case_id, error, error IS NULL AS passed FROM (SELECT case_id, CASE WHEN abstain THEN CASE WHEN NOT refused THEN 'overclaim' END WHEN refused THEN 'false_refusal' WHEN NOT gold THEN 'retrieval_miss' WHEN NOT timed THEN 'missing_timestamp' WHEN forbidden THEN 'forbidden_assertion' WHEN lacking > 0 THEN 'missing_keyword' WHEN NOT v THEN 'verification_failed' END AS error FROM r)""")
+def _(s, d):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    rows = table(s, d, "documents").select(i.alias("case_id"), F.when(i % 4 == 0, "abstain").otherwise("answer").alias("expected"), F.lit(True).alias("sufficient"), (n % 3 == 0).alias("refused"), (i % 2 == 1).alias("verified"), (i % 5 > 0).alias("gold_hit"), (i % 7 > 0).alias("has_time"), F.floor(i % 13 / 12).alias("keywords_missing"), (i % 11 == 0).alias("forbidden_said"))
+    return evals.regression(rows).select("case_id", "error", "passed")
+
+
+@query("eval_checks", "SELECT source AS report, count(*) AS total, sum((quality = 1)::INT)::BIGINT AS passed, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) FILTER (quality <> 1), '') AS failures FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def _(s, d):
+    rows = labelled(s, d).select(F.col("source").alias("report"), F.col("doc_id").cast("string").alias("name"), (F.col("label") == 1).alias("passed"))
+    return evals.checks_report(rows).withColumn("failures", F.array_join("failures", ","))
+
+
+@query("ds_sft", f"""WITH {RECORDS}, sp AS (SELECT DISTINCT doc_id, (doc_id % 9 - 1 + i)::DOUBLE AS a, (doc_id % 9 + i * (doc_id % 2))::DOUBLE AS b, 'seen ' || i::VARCHAR AS t FROM documents, range(3) r(i)),
+ev AS (SELECT doc_id, count(*) AS n, string_agg('- ' || t || ' (timestamp=' || printf('%.1f', a) || '-' || printf('%.1f', b) || ')', chr(10) ORDER BY a, b, t) AS l FROM sp WHERE b > a AND a >= 0 GROUP BY 1)
+SELECT 'sft-' || record_id AS record_id, split, CASE WHEN behaviour = 'abstain' THEN 0 ELSE coalesce(n, 0) END AS n_evidence, md5('问题：' || asset || chr(10) || CASE WHEN behaviour = 'abstain' THEN '结论：证据不足，无法确认。' ELSE '结论：' || chr(10) || coalesce(l, '') END) AS answer FROM rec LEFT JOIN ev ON doc_id = record_id""")
+def _(s, d):
+    i = F.col("doc_id")
+    cases = table(s, d, "documents").select(i.alias("case_id"), F.col("source").alias("asset"), F.when(i % 3 == 0, "train").when(i % 3 == 1, "dev").otherwise("other").alias("split"), F.col("source").alias("query"), F.when(i % 5 == 0, "abstain").otherwise("answer").alias("behaviour"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    seen = table(s, d, "documents").select("doc_id", k).select(i.alias("case_id"), (i % 9 - 1 + F.col("k")).cast("double").alias("start_sec"), (i % 9 + F.col("k") * (i % 2)).cast("double").alias("end_sec"), F.concat(F.lit("seen "), F.col("k").cast("string")).alias("text"))
+    out = datasets.build_sft(cases, seen)
+    return out.select("record_id", "split", F.size("evidence").cast("long").alias("n_evidence"), F.md5(F.col("answer").cast("binary")).alias("answer"))
+
+
+PAIRED = """rc AS (SELECT doc_id AS record_id, source AS asset, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split, lang AS query, 'good ' || (doc_id % 31)::VARCHAR AS answer FROM documents),
+pp AS (SELECT doc_id - (doc_id % 40 = 0)::INT AS pair_id, record_id, asset, split, query, CASE WHEN doc_id % 23 = 0 THEN 'drifted' ELSE answer END AS chosen, CASE WHEN doc_id % 29 = 0 THEN upper(answer) || ' ' ELSE 'bad ' || (doc_id % 37)::VARCHAR || ' timestamp=' || (doc_id % 4)::VARCHAR || '.0-9.0' END AS rejected, ['wrong_timestamp', 'missing_timestamp', 'other'][1 + doc_id % 3] AS kind FROM rc JOIN documents ON doc_id = record_id)"""
+
+
+def paired(s, d) -> tuple[DataFrame, DataFrame]:
+    i = F.col("doc_id")
+    good = F.concat(F.lit("good "), (i % 31).cast("string"))
+    bad = F.when(i % 29 == 0, F.concat(F.upper(good), F.lit(" "))).otherwise(F.concat(F.lit("bad "), (i % 37).cast("string"), F.lit(" timestamp="), (i % 4).cast("string"), F.lit(".0-9.0")))
+    shared = [F.col("source").alias("asset"), F.when(i % 3 == 0, "train").when(i % 3 == 1, "dev").otherwise("test").alias("split"), F.col("lang").alias("query"), F.lit("answer").alias("behaviour")]
+    docs = table(s, d, "documents")
+    records = docs.select(i.alias("record_id"), *shared, F.array(F.struct(F.lit(1.0).alias("start_sec"), F.lit(9.0).alias("end_sec"))).alias("evidence"), good.alias("answer"))
+    kind = F.when(i % 3 == 0, "wrong_timestamp").when(i % 3 == 1, "missing_timestamp").otherwise("other")
+    notes = docs.select(F.when(i % 40 == 0, i - 1).otherwise(i).alias("pair_id"), i.alias("record_id"), kind.alias("negative_type"), bad.alias("rejected"))
+    pairs = datasets.build_preferences(notes, records)
+    return pairs.withColumn("chosen", F.when(F.col("record_id") % 23 == 0, "drifted").otherwise(F.col("chosen"))), records
+
+
+@query("ds_preferences", f"WITH {PAIRED} SELECT pair_id, record_id, split, kind AS negative_type, chosen, rejected FROM pp")
+def _(s, d):
+    return paired(s, d)[0].select("pair_id", "record_id", "split", "negative_type", "chosen", "rejected")
+
+
+@query("ds_preference_errors", f"""WITH {PAIRED} SELECT 'duplicate_id' AS rule, pair_id::VARCHAR AS key FROM pp GROUP BY pair_id HAVING count(*) > 1 UNION ALL SELECT 'identical', pair_id::VARCHAR FROM pp WHERE lower(trim(chosen)) = lower(trim(rejected))
+UNION ALL SELECT 'wrong_timestamp', pair_id::VARCHAR FROM pp WHERE kind = 'wrong_timestamp' AND (record_id % 29 = 0 OR record_id % 4 = 1) UNION ALL SELECT 'missing_timestamp', pair_id::VARCHAR FROM pp WHERE kind = 'missing_timestamp' AND record_id % 29 > 0
+UNION ALL SELECT 'leak', asset FROM pp GROUP BY asset HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'drift', pair_id::VARCHAR FROM pp WHERE record_id % 23 = 0
+UNION ALL SELECT 'duplicate_content', sha256('[' || coalesce('"' || query || '"', 'null') || ',"' || lower(trim(chosen)) || '","' || lower(trim(rejected)) || '"]') FROM pp GROUP BY 2 HAVING count(*) > 1""")
+def _(s, d):
+    return datasets.validate_preferences(*paired(s, d))
+
+
+@query("ds_verifier_errors", f"""WITH {PAIRED}, v AS (SELECT pair_id, asset, split, variant, pair_id::VARCHAR || ':' || variant AS id, CASE WHEN record_id % 43 = 0 THEN 2 ELSE (variant = 'chosen')::INT END AS label FROM pp, (VALUES ('chosen'), ('rejected')) t(variant) WHERE NOT (record_id % 47 = 0 AND variant = 'rejected'))
+SELECT 'duplicate_id' AS rule, id AS key FROM v GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'label', id FROM v WHERE label NOT IN (0, 1) UNION ALL SELECT 'variants', pair_id::VARCHAR FROM v GROUP BY pair_id HAVING count(DISTINCT variant) < 2 UNION ALL SELECT 'leak', asset FROM v GROUP BY asset HAVING count(DISTINCT split) > 1""")
+def _(s, d):
+    pairs = paired(s, d)[0]
+    rows = datasets.verifier_rows(pairs.withColumn("negative_type", F.col("record_id")))
+    rows = rows.filter(~((F.col("negative_type") % 47 == 0) & (F.col("variant") == "rejected"))).withColumn("label", F.when(F.col("negative_type") % 43 == 0, 2).otherwise(F.col("label")))
+    return datasets.validate_verifier(rows)
+
+
+@query("ds_payload_hash", """WITH e AS (SELECT doc_id::VARCHAR AS k, sha256('{' || array_to_string(list_filter(['"doc_id":' || doc_id::VARCHAR, '"source":"' || source || '"', '"n_chars":' || n_chars::VARCHAR], lambda x: x IS NOT NULL), ',') || '}') AS h FROM documents WHERE doc_id % 3 = 0),
+a AS (SELECT substr(md5(k), 1, 4) AS p, sha256(string_agg(h, '' ORDER BY k, h)) AS h, count(*) AS n FROM e GROUP BY 1), b AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM a GROUP BY 1) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY p)) AS hash FROM b""")
+def _(s, d):
+    rows = table(s, d, "documents").withColumn("split", F.when(F.col("doc_id") % 3 == 0, "train").otherwise("dev"))
+    return datasets.payload_hash(rows, "doc_id", ["doc_id", "source", "n_chars"])
+
+
+@query("ds_first_valid", "SELECT asset, priority FROM (SELECT user_id AS asset, event_id % 1009 AS priority, event_id FROM events WHERE event_type <> 'error') QUALIFY row_number() OVER (PARTITION BY asset ORDER BY priority) = 1")
+def _(s, d):
+    rows = table(s, d, "events").select(F.col("user_id").alias("asset"), (F.col("event_id") % 1009).alias("priority"), (F.col("event_type") != "error").alias("valid"))
+    return datasets.first_valid(rows, "asset").select("asset", "priority")
+
+
+@query("ds_admit", "WITH c AS (SELECT n_chars % 10 / 10 AS b, n_chars % 11 / 11 AS a, doc_id % 100 > 0 AS bv, doc_id % 50 > 0 AS av FROM documents) SELECT round(avg(b), 6) AS base, round(avg(a), 6) AS adapter, sum((bv AND NOT av)::INT)::BIGINT AS lost, sum((bv AND NOT av)::INT) = 0 AND avg(a) + 0.05 >= avg(b) AS admitted FROM c")
+def _(s, d):
+    of = lambda k, m: table(s, d, "documents").select(F.col("doc_id").alias("case_id"), (F.col("n_chars") % k / float(k)).alias("coverage"), (F.col("doc_id") % m > 0).alias("verified"))
+    return datasets.admit(of(10, 100), of(11, 50)).select(r6("base").alias("base"), r6("adapter").alias("adapter"), "lost", "admitted")
+
+
+@query("ds_fastest", "SELECT arg_min(event_id, value) AS variant, min(value) AS latency FROM events WHERE event_type = 'view'")
+def _(s, d):
+    return datasets.fastest_verified(table(s, d, "events").select(F.col("event_id").alias("variant"), F.col("value").alias("latency"), (F.col("event_type") == "view").alias("verified")))
+
+
+@query("ds_adapter_choice", """WITH c AS (SELECT user_id AS experiment, bool_or(event_id % 2 = 0 AND event_type = 'view') AS dv, bool_or(event_id % 2 = 0 AND value > 50) AS dp, bool_or(event_id % 2 = 1 AND event_type = 'view') AS sv FROM events GROUP BY 1)
+SELECT experiment, CASE WHEN dv AND dp THEN 'dpo' WHEN sv THEN 'sft' END AS selected FROM c""")
+def _(s, d):
+    kind = F.when(F.col("event_id") % 2 == 0, "dpo").otherwise("sft")
+    return said.choose_adapter(table(s, d, "events").select(F.col("user_id").alias("experiment"), kind.alias("kind"), (F.col("event_type") == "view").alias("validated"), (F.col("value") > 50).alias("preference_passed")))
+
+
+@query("ds_sweep_failures", """WITH w AS (SELECT doc_id AS sweep_id, n_chars % 12 AS n, doc_id % 5 AS r, doc_id % 9 AS k FROM documents) SELECT * FROM (SELECT sweep_id, unnest([CASE WHEN k = 0 THEN 'no source fingerprint' END, CASE WHEN n < 8 THEN 'too few candidates' END, CASE WHEN k = 1 THEN 'frozen test seen' END, CASE WHEN k = 2 THEN 'specs differ' END,
+CASE WHEN k = 3 THEN 'frozen preference' END, CASE WHEN k = 4 THEN 'dev preference' END, CASE WHEN k = 5 THEN 'product comparison' END, CASE WHEN k = 6 THEN 'regression' END, CASE WHEN r < 3 OR k = 7 THEN 'seeds' END]) AS failure FROM w) WHERE failure IS NOT NULL""")
+def _(s, d):
+    k = F.col("doc_id") % 9
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("sweep_id"), F.when(k == 0, "").otherwise("x").alias("source_sha256"), (F.col("n_chars") % 12).alias("candidates"), (k == 1).alias("frozen_seen"), (k != 2).alias("same_spec"), F.lit(False).alias("final_skipped"), F.when(k == 3, 0.5).otherwise(1.0).alias("final_preference"), F.when(k == 4, 0.5).otherwise(1.0).alias("final_dev"), (k != 5).alias("validated"), F.when(k == 6, 1).otherwise(2).alias("passed"), F.lit(2).alias("cases"), (F.col("doc_id") % 5).alias("runs"), F.when(k == 7, 0.1).otherwise(0.0).alias("dev_std"))
+    return said.sweep_failures(rows)
+
+
+@query("cache_lookup", """WITH w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'k' || doc_id::VARCHAR END AS v1, CASE WHEN doc_id % 3 = 0 THEN 'old' || doc_id::VARCHAR END AS v2 FROM documents) SELECT doc_id, coalesce(v1, v2) AS value, CASE WHEN coalesce(v1, v2) IS NULL THEN 'miss' ELSE 'hit' END AS status FROM w""")
+def _(s, d):
+    docs = table(s, d, "documents")
+    key = lambda mark: F.sha2(F.concat(F.lit(mark), F.col("doc_id").cast("string")), 256)
+    kept = lambda n, mark, value: docs.filter(f"doc_id % {n} = 0").select(key(mark).alias("key"), F.concat(F.lit(value), F.col("doc_id").cast("string")).alias("value"))
+    wanted = docs.select("doc_id", key("new").alias("key"), key("old").alias("legacy_key"))
+    return runs.cached(wanted, kept(2, "new", "k"), kept(3, "old", "old")).select("doc_id", "value", "status")
+
+
+@query("job_errors", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'out_of_memory' WHEN event_id % 5 = 1 THEN 'timeout' WHEN event_id % 5 = 2 THEN 'not_found' ELSE 'processing_error' END AS code, least(85, 35 + 3 * floor(abs(value) / 10))::BIGINT AS progress, round(event_id % 4 * 0.5, 6)::DOUBLE AS wait FROM events""")
+def _(s, d):
+    i = F.col("event_id")
+    message = F.when(i % 5 == 0, "CUDA out of Memory").when(i % 5 == 1, "request timed out").when(i % 5 == 2, "No such file").when(i % 5 == 3, "bad frame")
+    return table(s, d, "events").select("event_id", runs.error_code(message).alias("code"), runs.progress(F.abs("value")).cast("long").alias("progress"), runs.backoff(i % 4).cast("double").alias("wait"))
+
+
+@query("pack_manifest", """SELECT 'v' || doc_id::VARCHAR AS video_path, n_chars::DOUBLE AS duration_sec, doc_id % 4 AS num_segments, doc_id % 3 AS num_clips, lang AS summary, source AS agent_mode, lang AS vlm_backend, CASE WHEN doc_id % 2 = 0 THEN 'rule' END AS scorer_mode, source AS retrieval_strategy FROM documents""")
+def _(s, d):
+    i = F.col("doc_id")
+    some = lambda n: F.when(i % n > 0, F.sequence(F.lit(1).cast("long"), i % n)).otherwise(F.array().cast("array<bigint>"))
+    about = F.to_json(F.struct(F.struct(F.col("source").alias("mode")).alias("agent_run"), F.struct(F.col("lang").alias("backend")).alias("vlm"), F.when(i % 2 == 0, "rule").alias("scorer_mode"), F.struct(F.col("source").alias("strategy")).alias("retrieval_selection")))
+    packs = table(s, d, "documents").select(F.concat(F.lit("v"), i.cast("string")).alias("video_path"), F.col("n_chars").cast("double").alias("duration_sec"), some(4).alias("segments"), some(3).alias("clips"), F.col("lang").alias("summary"), about.alias("metadata"))
+    out = said.manifest(packs)
+    return out.select("video_path", "duration_sec", F.col("num_segments").cast("long").alias("num_segments"), F.col("num_clips").cast("long").alias("num_clips"), "summary", "agent_mode", "vlm_backend", "scorer_mode", "retrieval_strategy")
+
+
+@query("val_unit_interval", "SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN 0 ELSE least(1, greatest(0, value / 100 - 0.2)) END, 6)::DOUBLE AS kept FROM events")
+def _(s, d):
+    raw = F.when(F.col("event_id") % 3 == 0, "none").otherwise((F.col("value") / 100 - 0.2).cast("string"))
+    return table(s, d, "events").select("event_id", r6(tx.unit_interval(raw)).alias("kept"))
+
+
+@query("val_string_list", """WITH p AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), ' ')) AS w, unnest(range(len(string_split(coalesce(text, ''), ' ')))) AS i FROM conversations), c AS (SELECT conv_id, turn, w, min(i) AS i FROM p WHERE w <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM c),
+g AS (SELECT conv_id, turn, string_agg(substr(w, 1, 160), '|' ORDER BY i) AS kept FROM r WHERE r <= 24 GROUP BY ALL) SELECT conv_id, turn, coalesce(kept, '') AS kept FROM conversations LEFT JOIN g USING (conv_id, turn)""")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(tx.string_list(F.split(F.coalesce("text", F.lit("")), " ")), "|").alias("kept"))
+
+
 def flagship(s, d) -> DataFrame:
     """The five best segments for each question, by fused score."""
     ranked = answering.rank(segments(s, d), questions(s, d))
