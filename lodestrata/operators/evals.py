@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .ordered import running, scaled
 
 
 def temporal_iou(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -47,26 +48,17 @@ def gold_labels(spans: DataFrame, gold: DataFrame) -> DataFrame:
 def pairwise_accuracy(rows: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """(group, pairs, correct, accuracy) over positive-negative pairs of each group, equal scores being wrong.
 
-    A pair is correct as often as negatives have a lower score: counts by score and a running sum, not pairs."""
+    A pair is correct as often as negatives have a lower score: counts by score and a running sum over ranges of scores, not pairs."""
     per = rows.groupBy(*group, score).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = per.withColumn("right", F.col("p") * below).groupBy(*group).agg((F.sum("p") * F.sum("n")).alias("pairs"), F.sum("right").alias("correct"))
+    below = running(scaled(per, score), group, F.col("place_"), [score], {"below": F.col("n")}, inclusive=False)
+    out = below.withColumn("right", F.col("p") * F.col("below")).groupBy(*group).agg((F.sum("p") * F.sum("n")).alias("pairs"), F.sum("right").alias("correct"))
     return out.withColumn("accuracy", F.try_divide("correct", "pairs"))
 
 
 def _running(per: DataFrame, score: str, columns: dict[str, str], descending: bool) -> DataFrame:
-    """per with sums of columns over rows up to each score, itself included. Ranges of scores are summed first, so only a row for
-    each 4096th of the score's scale is ordered in one task."""
-    placed = per.withColumn("range_", F.floor(F.col(score) * 4096))
-    way = F.desc if descending else F.asc
-    before = Window.orderBy(way("range_")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("range_").agg(*(F.sum(c).alias(f"{c}_") for c in columns))
-    bases = sums.select("range_", *(F.coalesce(F.sum(f"{c}_").over(before), F.lit(0)).alias(f"base_{c}_") for c in columns))
-    own = Window.partitionBy("range_").orderBy(way(score))
-    out = placed.join(bases, "range_")
-    for c, name in columns.items():
-        out = out.withColumn(name, F.sum(c).over(own) + F.col(f"base_{c}_"))
-    return out.drop("range_", *(f"base_{c}_" for c in columns))
+    """per with sums of columns over rows up to each score, itself included."""
+    place = F.col("place_") * (-1 if descending else 1)
+    return running(scaled(per, score), [], place, [F.desc(score) if descending else F.asc(score)], {name: F.col(c) for c, name in columns.items()}).drop("place_")
 
 
 def binary_metrics(rows: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import running
 from .retrieve import top_k
 
 TERMINAL = ["completed", "failed"]
@@ -28,9 +29,11 @@ def recover(states: DataFrame) -> DataFrame:
     return states.withColumn("error_code", F.when(open_, "service_restarted")).withColumn("retryable", open_).withColumn("status", F.when(open_, "failed").otherwise(F.col("status")))
 
 
-def queue_positions(states: DataFrame) -> DataFrame:
-    """Place of each waiting job by creation, from 1. One service has one queue, and only waiting jobs are ordered."""
-    return states.filter("status = 'queued'").select("job_id", F.row_number().over(Window.orderBy("created_at", "job_id")).alias("position"))
+def queue_positions(states: DataFrame, width: float = 3600.0) -> DataFrame:
+    """Place of each waiting job by creation, from 1. One service has one queue, ordered by ranges of creation times."""
+    waiting = states.filter("status = 'queued'").select("job_id", "created_at")
+    placed = running(waiting, [], F.floor(F.col("created_at") / width), ["created_at", "job_id"], {"position": F.lit(1)})
+    return placed.select("job_id", F.col("position").cast("int").alias("position"))
 
 
 def last_events(events: DataFrame, k: int = 64) -> DataFrame:
@@ -51,16 +54,15 @@ def error_code(message):
     return F.when(F.contains(low, F.lit("memory")), "out_of_memory").when(F.contains(low, F.lit("timeout")) | F.contains(low, F.lit("timed out")), "timeout").when(F.contains(low, F.lit("not found")) | F.contains(low, F.lit("no such file")), "not_found").otherwise("processing_error")
 
 
-def failure_runs(calls: DataFrame, limit: int = 3) -> DataFrame:
+def failure_runs(calls: DataFrame, limit: int = 3, width: int = 4096) -> DataFrame:
     """calls (tool, seq, ok) with `failures`, the failures in a row up to each call, and `opens`, where they reach the limit.
 
-    A success begins a new island, so the count is a running sum within islands."""
-    order = Window.partitionBy("tool").orderBy("seq")
-    island = F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = calls.withColumn("island", island)
-    row = Window.partitionBy("tool", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = marked.withColumn("failures", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(row))
-    return out.withColumn("opens", ~F.col("ok") & (F.col("failures") == limit)).drop("island")
+    Failures so far less those at the last success, both over ranges of `width` numbers seq: a tool's calls are many tasks."""
+    at = F.floor(F.col("seq") / width)
+    failed = running(calls, ["tool"], at, ["seq"], {"failed_": F.when(F.col("ok"), 0).otherwise(1)})
+    out = running(failed, ["tool"], at, ["seq"], {"base_": F.when(F.col("ok"), F.col("failed_"))}, F.max)
+    out = out.withColumn("failures", F.col("failed_") - F.coalesce("base_", F.lit(0))).drop("failed_", "base_")
+    return out.withColumn("opens", ~F.col("ok") & (F.col("failures") == limit))
 
 
 def breaker(calls: DataFrame, limit: int = 3, recovery: float = 60.0) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .ordered import running
 
 #: Named weights of retrieval, scorer and visual signals.
 FUSIONS = {"default": (0.45, 0.35, 0.20), "visual": (0.42, 0.18, 0.40), "text": (0.68, 0.32, 0.0), "visual_first": (0.35, 0.15, 0.50)}
@@ -114,11 +115,12 @@ def logistic_scorer(examples: DataFrame, features: list[str], l2: float = 0.01):
 
 
 def split_groups(rows: DataFrame, group: str = "group_id", label: str = "label", share: float = 0.4, seed: int = 42) -> DataFrame:
-    """rows with `fold` train or eval: groups of both labels go to eval first, in hashed order, and one of them stays in train."""
+    """rows with `fold` train or eval: groups of both labels go to eval first, in hashed order (over ranges of hashes), and one of them stays in train."""
     groups = rows.groupBy(group).agg((F.min(label) != F.max(label)).alias("mixed"))
     total = groups.agg(F.count("*").alias("all_"), F.sum(F.col("mixed").cast("int")).alias("mixed_"))
-    order = Window.orderBy(F.desc("mixed"), F.xxhash64(F.lit(seed), group), group)
-    placed = groups.withColumn("place_", F.row_number().over(order)).join(F.broadcast(total))
+    ordered = groups.withColumn("hash_", F.xxhash64(F.lit(seed), group)).withColumn("later_", F.when(F.col("mixed"), 0).otherwise(1))
+    ranges = F.struct("later_", F.shiftright("hash_", 52))
+    placed = running(ordered, [], ranges, ["later_", "hash_", group], {"place_": F.lit(1)}).join(F.broadcast(total))
     wanted = F.greatest(F.lit(1), F.round(F.col("all_") * share)).cast("int")
     keep = F.when(F.col("mixed_") > 1, F.least(wanted, F.col("mixed_") - 1)).otherwise(F.least(wanted, F.col("all_") - 1))
     return rows.join(placed.select(group, F.when(F.col("place_") <= keep, "eval").otherwise("train").alias("fold")), group)

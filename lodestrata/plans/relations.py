@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = 4096) -> DataFrame:
-    """df with the sum of value over earlier rows of the same keys, by a whole-number order column.
-
-    Sums of ranges of the order column are totalled first, so one key's rows are spread over many tasks."""
-    bucket = F.floor(F.col(order) / width)
-    placed = df.withColumn("bucket_", bucket)
-    sums = placed.groupBy(*keys, "bucket_").agg(F.sum(value).alias("sum_"))
-    before = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*keys, "bucket_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("base_"))
-    own = Window.partitionBy(*keys, "bucket_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(bases, [*keys, "bucket_"]).withColumn(name, F.col("base_") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("bucket_", "base_")
+    """df with the sum of value over earlier rows of the same keys, by a whole-number order column."""
+    return running(df, keys, F.floor(F.col(order) / width), [order], {name: value}, inclusive=False)
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
