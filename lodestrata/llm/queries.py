@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, langid, lm, minhash, mixing, packing, quality, substring, suffix, tokencount
+from . import crosstoken, embeddings, extract, langid, lm, minhash, mixing, packing, quality, resample, substring, suffix, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,11 @@ def queries() -> dict:
         "op8_substring": docs(substring.digest),
         "op9_mixing": docs(mixing.digest),
         "op10_quality": lambda spark, sf_dir: quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
+        "op11_crosstoken": docs(crosstoken.digest),
+        "op12_resample": lambda spark, sf_dir: resample.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
+        "op13_extract": lambda spark, sf_dir: extract.digest(_table(spark, sf_dir, "pages")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": minhash.ORACLE, "op4_embeddings": embeddings.ORACLE, "op8_substring": substring.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op1_minhash": minhash.ORACLE, "op4_embeddings": embeddings.ORACLE, "op8_substring": substring.ORACLE, "op9_mixing": mixing.ORACLE, "op12_resample": resample.ORACLE}
