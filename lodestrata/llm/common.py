@@ -18,9 +18,24 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def row_key(*cols: str) -> Column:
-    """One long per row: rows that agree in id and text are the same to every operator here, also where ids repeat or are null."""
-    return F.xxhash64(*cols)
+#: Names of the two longs of a row's key.
+KEY = ["k", "k2"]
+
+
+def row_keys(*cols: str) -> list[Column]:
+    """Two longs per row (128 bits): rows that agree in id and text are the same to every operator here, also where ids repeat
+    or are null. A null is hashed as one, so it is unlike any value and a row of nulls in other places."""
+    parts = [x for c in cols for x in (F.isnull(c), F.col(c))]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def keyed(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
+    """df with a row's key in two columns, and their names, which df does not have."""
+    names = []
+    for value, stem in zip(row_keys(*cols), ("row_key", "row_key_too")):
+        names.append(free_name(df, stem))
+        df = df.withColumn(names[-1], value)
+    return df, names
 
 
 def free_name(df: DataFrame, stem: str) -> str:

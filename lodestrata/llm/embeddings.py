@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, free_name, tune
+from .common import KEY, Scratch, components, free_name, keyed, tune
 
 THRESHOLD = 0.93
 BLOCKS = 4
@@ -129,12 +129,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     value = F.col(vector_col).cast("array<double>")
     big = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
     usable = F.col(label_col).isNotNull() & value.isNotNull() & F.forall(value, lambda v: v.isNotNull() & ~big(v)) & F.exists(value, lambda v: v != 0)
-    node = F.when(F.coalesce(usable, F.lit(False)), F.xxhash64(F.col(label_col), value))
     kinds = F.col(label_col).cast("string")
-    # Equal vectors are summed in each task before they meet.
-    pack = vectors.select(node.alias("node"), kinds.alias("label"), value.alias("v"), F.col(id_col).alias("id")).filter("node is not null")
-    classes = pack.groupBy("node", "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    classes = scratch.save(classes.mapInArrow(_to_bytes, f"node long, label string, dims int, n long, low {dict(vectors.dtypes)[id_col]}, x binary"), "classes")
+    # Equal vectors of a label are a class with a key of 128 bits, summed in each task before they meet; a class has a number of its own.
+    tagged = vectors.withColumn(keep := free_name(vectors, "usable"), F.coalesce(usable, F.lit(False))).withColumn(name := free_name(vectors, "label_text"), kinds).withColumn(cast := free_name(vectors, "as_doubles"), value)
+    tagged, key = keyed(tagged, name, cast)
+    pack = tagged.filter(keep).select(*(F.col(a).alias(b) for a, b in zip(key, KEY)), F.col(name).alias("label"), F.col(cast).alias("v"), F.col(id_col).alias("id"))
+    classes = pack.groupBy(*KEY, "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    classes = classes.mapInArrow(_to_bytes, f"k long, k2 long, label string, dims int, n long, low {dict(vectors.dtypes)[id_col]}, x binary")
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     slabs = scratch.save(classes.select("node", "label", "dims", "n", "x").mapInArrow(_slabs(blocks, threshold), "node long, label string, dims int, n long, block int, slab long, x binary"), "slabs")
     keys = ["label", "dims", "block", "slab"]
     tiles = scratch.save(slabs.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "tiles")
@@ -151,12 +153,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     scratch.drop("slabs", "tiles")
     roots = components(scratch, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = classes.select("node", "n", "low").join(sums, "node", "left").join(roots, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root"), "low")
+    labels = classes.select(*KEY, "node", "n", "low").join(sums, "node", "left").join(roots, "node", "left").select(*KEY, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root"), "low")
     least = labels.groupBy("root").agg(F.min("low").alias("component"))
-    result = labels.join(least, "root").select(F.col("node").alias("key"), "links", "component")
-    key = free_name(vectors, "node")
-    out = vectors.withColumn(key, node).join(result, F.col(key) == result.key, "left")
-    component = F.when(F.col(key).isNull(), vectors[id_col]).otherwise(F.col("component"))
+    result = labels.join(least, "root").select(*KEY, "links", "component")
+    out = tagged.join(result, [tagged[keep], *(tagged[a] == result[b] for a, b in zip(key, KEY))], "left")
+    component = F.when(~tagged[keep], vectors[id_col]).otherwise(F.col("component"))
     return out.select(*(vectors[c] for c in vectors.columns), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(vectors[id_col] == component, component.isNull()).alias("kept"))
 
 
@@ -167,7 +168,7 @@ def _to_bytes(batches):
         data = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         edge = v.offsets.to_numpy() - v.offsets[0].as_py()
         x = [data[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(names["node"]), batch.column(names["label"]), pa.array(np.diff(edge).astype(np.int32)), batch.column(names["n"]), batch.column(names["low"]), pa.array(x, pa.binary())], ["node", "label", "dims", "n", "low", "x"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(names[k]) for k in KEY), batch.column(names["label"]), pa.array(np.diff(edge).astype(np.int32)), batch.column(names["n"]), batch.column(names["low"]), pa.array(x, pa.binary())], [*KEY, "label", "dims", "n", "low", "x"])
 
 
 def digest(vectors: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, Scratch, components, free_name, mix, pieces, row_key, signed, tune, word_bounds, word_hashes
+from .common import KEY, Roller, Scratch, components, keyed, mix, pieces, row_keys, signed, tune, word_bounds, word_hashes
 
 BANDS, ROWS = 32, 5
 MISS = 1e-6
@@ -53,7 +53,7 @@ def _sign(words: int, count: int):
     def run(batches):
         factors = _multipliers(count)
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(2)):
+            for a, b, data, offsets in pieces(batch.column(3)):
                 sets = shingle_sets(data, offsets, words)
                 n = np.array([len(x) for x in sets])
                 sig = np.zeros((len(sets), count), np.uint16)
@@ -65,7 +65,7 @@ def _sign(words: int, count: int):
                         # Mixed, as the least of many numbers is small. Two unlike values agree once in 65,536 times, which never prunes a pair.
                         sig[full, j] = mix(np.minimum.reduceat(flat * f, at)) >> np.uint64(48)
                 prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "k", "n", "print", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", *KEY, "n", "print", "sig"])
 
     return run
 
@@ -245,14 +245,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = bands * rows
     docs = docs.drop("n_shingles", "component_id", "kept")
     kind = dict(docs.dtypes)[id_col]
-    base = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("t"))
-    signed_docs = scratch.save(base.mapInArrow(_sign(words, count), f"id {kind}, k long, n long, print binary, sig binary"), "signed")
-    classes = scratch.save(signed_docs.filter("n > 0").groupBy("print").agg(F.min("k").alias("node"), F.min("id").alias("low")), "classes")
-    sigs = scratch.save(signed_docs.select("k", "sig").join(classes.select(F.col("node").alias("k")), "k").dropDuplicates(["k"]), "sigs")
+    base = docs.select(F.col(id_col).alias("id"), *(x.alias(n) for x, n in zip(row_keys(id_col, text_col), KEY)), F.col(text_col).alias("t"))
+    signed_docs = scratch.save(base.mapInArrow(_sign(words, count), f"id {kind}, k long, k2 long, n long, print binary, sig binary"), "signed")
+    # A class is known by the key of one of its rows, and in the graph by a number of its own (k from here on).
+    classes = signed_docs.filter("n > 0").groupBy("print").agg(F.min(F.struct(*KEY)).alias("row"), F.min("id").alias("low"))
+    classes = scratch.save(classes.select("print", "row.*", "low", F.monotonically_increasing_id().alias("node")), "classes")
+    heads = classes.select(*KEY, F.col("node").alias("id"))
+    sigs = signed_docs.select(*KEY, "sig").join(heads, KEY).dropDuplicates(KEY).select(F.col("id").alias("k"), "sig")
+    sigs = scratch.save(sigs, "sigs")
     marks = scratch.save(signed_docs.drop("sig"), "marks")
     scratch.drop("signed")
     loads = sigs.select(F.col("k").alias("id"), F.col("sig").alias("load"))
-    texts = base.select(F.col("k").alias("id"), F.col("t").alias("load"))
+    texts = base.select(*KEY, F.col("t").alias("load"))
 
     bucketed = scratch.save(sigs.mapInArrow(_bands(bands, rows), "bucket long, band int, k long"), "bands")
     crowded = scratch.save(bucketed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("k").alias("p")).filter("c > 1"), "crowded")
@@ -262,7 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # The texts of all that share a bucket are taken out once. How many grows with the input, so they are never broadcast.
     wanted = pairs.select(F.col("p").alias("id")).union(pairs.select(F.col("k").alias("id"))).distinct()
-    own = scratch.save(texts.join(wanted.hint("merge"), "id").dropDuplicates(["id"]), "texts")
+    wanted = heads.join(wanted, "id")
+    own = scratch.save(texts.join(wanted.hint("merge"), KEY).dropDuplicates(KEY).select("id", "load"), "texts")
     scratch.reclaim()
     likely = scratch.save(_star(pairs, loads, _by_signature(count, percent / 100, miss)), "likely")
     scratch.reclaim()
@@ -299,9 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = classes.join(roots, classes.node == roots.node, "left").select("print", "low", F.coalesce(roots.root, classes.node).alias("root"))
     least = low.groupBy("root").agg(F.min("low").alias("component"))
     by_print = low.join(least, "root").select("print", "component")
-    found = marks.select("k", "n", "print").join(by_print, "print", "left").select("k", "n", "component").dropDuplicates(["k"])
-    key = free_name(docs, "row_key")
-    out = docs.withColumn(key, row_key(id_col, text_col)).join(found, F.col(key) == found.k)
+    found = marks.select(*KEY, "n", "print").dropDuplicates(KEY).join(by_print, "print", "left").select(*KEY, "n", "component")
+    out, names = keyed(docs, id_col, text_col)
+    out = out.join(found, [out[a] == found[b] for a, b in zip(names, KEY)])
     component = F.when(F.col("n") == 0, F.col(id_col)).otherwise(F.col("component"))
     return out.select(*(docs[c] for c in docs.columns), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(docs[id_col] == component, component.isNull()).alias("kept"))
 

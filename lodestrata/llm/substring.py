@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Roller, Scratch, free_name, merge_spans, pieces, row_key, signed, sliding_min, tune, word_bounds, word_hashes
+from .common import KEY, Roller, Scratch, keyed, merge_spans, pieces, signed, sliding_min, tune, word_bounds, word_hashes
 
 WINDOW_WORDS = 35
 GRAM_WORDS = 8
@@ -57,11 +57,11 @@ def stretches(symbols: np.ndarray, first: np.ndarray, window: int, gram: int, sp
 def _find(window: int, gram: int):
     def run(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for a, b, data, offsets in pieces(batch.column(1)):
+            keys = [batch.column(i).to_numpy() for i in range(2)]
+            for a, b, data, offsets in pieces(batch.column(2)):
                 s, e, first = word_bounds(data, offsets)
                 d, start, count, seed, whole, *_ = stretches(word_hashes(data, s, e, False), first, window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(seed)), pa.array(signed(whole))], ["k", "start", "n", "seed", "whole"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[a:b][d]) for k in keys), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(seed)), pa.array(signed(whole))], [*KEY, "start", "n", "seed", "whole"])
 
     return run
 
@@ -88,33 +88,34 @@ def _cut(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, window: int, gram: int, scratch: Scratch) -> DataFrame:
-    """(key, spans array<struct<s,e>>) in words, for rows with a repeated window; spans may overlap."""
+def repeated_spans(docs: DataFrame, key: list[str], text: str, window: int, gram: int, scratch: Scratch) -> DataFrame:
+    """(key, spans array<struct<s,e>>) in words, one row a key with a repeated window; spans may overlap. key: two columns."""
     spark = docs.sparkSession
     tune(spark)
-    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
-    seen = scratch.save(base.mapInArrow(_find(window, gram), "k long, start int, n int, seed long, whole long"), "seen")
+    base = docs.select(*(F.col(a).alias(b) for a, b in zip(key, KEY)), F.col(text).alias("t")).filter("t is not null")
+    seen = scratch.save(base.mapInArrow(_find(window, gram), "k long, k2 long, start int, n int, seed long, whole long"), "seen")
     # Only hashes are grouped, with a partial sum in each task, so a seed in very many rows arrives as a few rows.
     live = scratch.save(seen.groupBy("seed").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("c > 1").select("seed", (F.col("lo") == F.col("hi")).alias("same")), "live")
     found = scratch.save(seen.join(live, "seed"), "found")
     scratch.drop("seen", "live")
-    kinds = scratch.save(found.filter("not same").groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "start", "n")).alias("x")).select("seed", "whole", (F.col("c") > 1).alias("many"), "x.*"), "kinds")
-    lists = kinds.groupBy("k").agg(F.collect_list(F.struct("start", "n", "seed", "whole", "many")).alias("l"))
-    cut = base.join(lists, "k").dropDuplicates(["k"]).select("t", "l").mapInArrow(_cut(window), "seed long, whole long, off int, many boolean, h long")
+    kinds = scratch.save(found.filter("not same").groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "start", "n")).alias("x")).select("seed", "whole", (F.col("c") > 1).alias("many"), "x.*"), "kinds")
+    lists = kinds.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "seed", "whole", "many")).alias("l"))
+    cut = base.join(lists, KEY).dropDuplicates(KEY).select("t", "l").mapInArrow(_cut(window), "seed long, whole long, off int, many boolean, h long")
     cut = scratch.save(cut, "cut")
     again = cut.groupBy("seed", "h").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("c")).filter("c > 1").select("seed", "h")
     offs = cut.filter("not many").join(again, ["seed", "h"]).groupBy("seed", "whole").agg(F.collect_set("off").alias("offs"))
     # A kind that occurs once is one row of `kinds`: its place is known there.
-    once = kinds.filter("not many").join(offs, ["seed", "whole"]).select("k", F.explode("offs").alias("o"), "start").select("k", (F.col("start") + F.col("o")).alias("s"), (F.col("start") + F.col("o") + window).alias("e"))
+    once = kinds.filter("not many").join(offs, ["seed", "whole"]).select(*KEY, F.explode("offs").alias("o"), "start").select(*KEY, (F.col("start") + F.col("o")).alias("s"), (F.col("start") + F.col("o") + window).alias("e"))
     # A kind in very many rows is dealt with a salt.
-    salt = F.pmod(F.xxhash64("k", "start"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(*KEY, "start"), F.lit(SALTS)).cast("int")
     repeated = kinds.filter("many").select("seed", "whole", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     often = found.filter("not same").withColumn("salt", salt).join(repeated, ["seed", "whole", "salt"], "left_semi")
-    full = found.filter("same").select("k", "start", "n").union(often.select("k", "start", "n")).select("k", F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + window).alias("e"))
-    out = scratch.save(full.union(once).groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    full = found.filter("same").select(*KEY, "start", "n").union(often.select(*KEY, "start", "n")).select(*KEY, F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + window).alias("e"))
+    # Repeated rows share a key and bring the same spans, each of which is kept once: in a task first, then for the key.
+    out = scratch.save(full.union(once).groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
     scratch.drop("found", "kinds", "cut")
     scratch.reclaim()
-    return out.withColumnRenamed("k", key)
+    return out.withColumnsRenamed(dict(zip(KEY, key)))
 
 
 def span_arrays(column, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +137,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "substring")
     docs = docs.drop("lean_text", "n_words", "n_removed", "spans")
-    key = free_name(docs, "row_key")
-    keyed = docs.withColumn(key, row_key(id_col, text_col))
-    spans = repeated_spans(keyed, key, text_col, window, gram, scratch)
-    joined = keyed.join(spans, key, "left").drop(key)
+    own, key = keyed(docs, id_col, text_col)
+    spans = repeated_spans(own, key, text_col, window, gram, scratch)
+    joined = own.join(spans, key, "left").drop(*key)
     names = [f for f in joined.schema if f.name != "spans"]
     at = [f.name for f in names].index(text_col)
 

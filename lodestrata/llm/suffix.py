@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, _byte_values, Roller, free_name, merge_spans, mix, pieces, row_key, signed, tune
+from .common import KEY, Scratch, _byte_values, Roller, keyed, merge_spans, mix, pieces, signed, tune
 from .substring import span_arrays, stretches
 
 LENGTH = 200
@@ -67,14 +67,14 @@ def _anchors(length: int, gram: int):
     def run(batches):
         values = _byte_values(False)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for a, b, data, offsets in pieces(batch.column(1), 1 << 19):
+            keys = [batch.column(i).to_numpy() for i in range(2)]
+            for a, b, data, offsets in pieces(batch.column(2), 1 << 19):
                 # A very long text is cut into slices that share no window, so stretches end there too.
                 for lo in range(0, len(data) if b == a + 1 else 1, SLICE):
                     part, edge = (data[lo : lo + SLICE + length - 1], None) if b == a + 1 else (data, offsets)
                     d, start, n, seed, *_ = stretches(values[part], np.array([0, len(part)]) if edge is None else edge, length, gram, False)
                     code = (start + lo) * 512 + n * 2 + ((seed >> np.uint64(40)) % np.uint64(CUT) == 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][d]), pa.array(code), pa.array(signed(seed))], ["k", "code", "seed"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(k[a:b][d]) for k in keys), pa.array(code), pa.array(signed(seed))], [*KEY, "code", "seed"])
 
     return run
 
@@ -84,8 +84,8 @@ def _chunks(length: int):
 
     def run(batches):
         for batch in batches:
-            keys, texts, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            out: list[list] = [[] for _ in range(5)]
+            keys, texts, lists = [batch.column(j).to_numpy() for j in range(2)], batch.column(2), batch.column(3)
+            out: list[list] = [[] for _ in range(6)]
             for i in range(batch.num_rows):
                 raw = texts[i].as_py().encode()
                 code = np.sort(lists[i].values.to_numpy())
@@ -102,10 +102,10 @@ def _chunks(length: int):
                     size = np.add.reduceat(n, first)
                 at = start[first]
                 bodies = [raw[x:y] for x, y in zip(at.tolist(), (at + size - 1 + length).tolist())]
-                for x, y in zip(out, ([keys[i]] * len(at), at.tolist(), size.tolist(), [hashlib.blake2b(x, digest_size=16).digest() for x in bodies], bodies)):
+                for x, y in zip(out, ([keys[0][i]] * len(at), [keys[1][i]] * len(at), at.tolist(), size.tolist(), [hashlib.blake2b(x, digest_size=16).digest() for x in bodies], bodies)):
                     x += y
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["k", "at", "n", "print", "body"])
+            types = (*[pa.int64()] * 4, pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], [*KEY, "at", "n", "print", "body"])
 
     return run
 
@@ -616,20 +616,20 @@ def _sorted_spans(texts: DataFrame, total: int, windows: int, length: int, scrat
     return scratch.save(own.groupBy("page").applyInPandas(_spans, "print binary, s long, e long"), "unique-spans")
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int, scratch: Scratch) -> DataFrame:
-    """(key, spans array<struct<s,e>>) in bytes, for rows with a repeated string; spans may overlap."""
+def repeated_spans(docs: DataFrame, key: list[str], text: str, length: int, gram: int, scratch: Scratch) -> DataFrame:
+    """(key, spans array<struct<s,e>>) in bytes, one row a key with a repeated string; spans may overlap. key: two columns."""
     spark = docs.sparkSession
-    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
-    seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, code long, seed long"), "seen", "snappy")
+    base = docs.select(*(F.col(a).alias(b) for a, b in zip(key, KEY)), F.col(text).alias("t")).filter("t is not null")
+    seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, k2 long, code long, seed long"), "seen", "snappy")
     live = seen.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
     # Of repeated rows (equal keys have equal texts) each is kept: their chunks are as many occurrences.
-    lists = seen.join(live.hint("shuffle_hash"), "seed", "left_semi").groupBy("k").agg(F.collect_set("code").alias("l"))
-    chunks = base.join(lists, "k").mapInArrow(_chunks(length), "k long, at long, n long, print binary, body binary")
+    lists = seen.join(live.hint("shuffle_hash"), "seed", "left_semi").groupBy(*KEY).agg(F.collect_set("code").alias("l"))
+    chunks = base.join(lists, KEY).mapInArrow(_chunks(length), "k long, k2 long, at long, n long, print binary, body binary")
     chunks = scratch.save(chunks, "chunks")
     scratch.drop("seen")
     scratch.reclaim()
     kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), (F.count("*") > 1).alias("many")).withColumn("pid", F.xxhash64("print")), "kinds")
-    places = scratch.save(chunks.select("k", "at", "print"), "places")
+    places = scratch.save(chunks.select(*KEY, "at", "print"), "places")
     scratch.drop("chunks")
     scratch.reclaim()
     # Outside its chunk's copies a window repeats only where what its part has in common occurs again among the unlike
@@ -645,11 +645,12 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, gram: int,
     if total:
         spans = _sorted_spans(texts, total, total - (length - 1) * sums["runs"], length, scratch)
     some = weighed.union(spans).groupBy("print").agg(F.collect_list(F.struct("s", "e")).alias("l"))
-    at = places.join(some, "print").select("k", F.explode(F.transform("l", lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"] - 1 + length).alias("e")))).alias("x"))
-    out = scratch.save(at.groupBy("k").agg(F.collect_list("x").alias("spans")), "spans")
+    at = places.join(some, "print").select(*KEY, F.explode(F.transform("l", lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"] - 1 + length).alias("e")))).alias("x"))
+    # Repeated rows share a key and bring the same spans, each of which is kept once: in a task first, then for the key.
+    out = scratch.save(at.groupBy(*KEY).agg(F.collect_set("x").alias("spans")), "spans")
     scratch.drop("kinds", "places", "parts", "texts", "pages", "unique-spans", *(f"merged-0-{w}" for w in range(WAVES.get(0, 1))))
     scratch.reclaim()
-    return out.withColumnRenamed("k", key)
+    return out.withColumnsRenamed(dict(zip(KEY, key)))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -663,10 +664,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffix")
     tune(docs.sparkSession)
     docs = docs.drop("lean", "n_bytes", "n_removed", "spans")
-    key = free_name(docs, "row_key")
-    keyed = docs.withColumn(key, row_key(id_col, text_col))
-    spans = repeated_spans(keyed, key, text_col, length, gram, scratch)
-    joined = keyed.join(spans, key, "left").drop(key)
+    own, key = keyed(docs, id_col, text_col)
+    spans = repeated_spans(own, key, text_col, length, gram, scratch)
+    joined = own.join(spans, key, "left").drop(*key)
     names = docs.columns
     at = names.index(text_col)
 
