@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import answers as said
-from ..operators import datasets, evals, memory, retrieve, runs, score, segment, select, verify
+from ..operators import datasets, evals, memory, rerank, retrieve, runs, score, segment, select, verify
 from ..streaming import streams
+from ..tables import Scratch
 from . import answering
 from .relations import QUESTIONS, SEGMENTS, duck_informative, duck_keywords, duck_overlap, duck_tokens, questions, segments, table
 
@@ -222,13 +223,22 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", r6(p).alias("probability"))
 
 
+RERANKED = [f"f_{i}" for i in range(12)]
+
+
+def reranked(s, d) -> tuple[DataFrame, rerank.Trained]:
+    """Candidates with the features of reranking and a label where their segment has one of quality, and a network trained on these."""
+    ranked = answering.rank(segments(s, d), questions(s, d)).withColumn("confidence", F.lit(0.5))
+    feats = ranked.select("query_id", "segment_id", "score", *(c.alias(n) for n, c in zip(RERANKED, score.rerank_features(F.col("duration_sec")))))
+    rows = Scratch(s, "reranked").save(feats.join(table(s, d, "labels").select(F.col("doc_id").alias("segment_id"), F.col("quality").cast("double").alias("label")), "segment_id", "left"), "rows")
+    return rows, rerank.train(rows, RERANKED, "query_id", epochs=40, hidden=16, rate=5e-3)
+
+
 @query("score_neural")
 def _(s, d):
-    ranked = answering.rank(segments(s, d), questions(s, d)).withColumn("confidence", F.lit(0.5))
-    net = score.seeded_network()
-    feats = ranked.select("query_id", "segment_id", "score", *(c.alias(f"f_{i}") for i, c in enumerate(score.rerank_features(F.col("duration_sec")))))
-    neural = score.neural_score([F.col(f"f_{i}") for i in range(12)], net)
-    return feats.withColumn("neural", neural).select("query_id", "segment_id", r6(score.blend(F.col("score"), F.col("neural"), 0.25)).alias("score"))
+    rows, trained = reranked(s, d)
+    neural = score.neural_score([F.col(n) for n in RERANKED], trained.net)
+    return rows.withColumn("neural", neural).select("query_id", "segment_id", r6("neural").alias("neural"), r6(score.blend(F.col("score"), F.col("neural"), 0.25)).alias("score"))
 
 
 @query("score_examples", f"{PAIRS} SELECT query_id, segment_id, CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY round(rule, 9) DESC, segment_id) = 1 THEN 1.0 ELSE 0.0 END AS label, length(coalesce(text, ''))::BIGINT AS text_len FROM ruled")
