@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import replies
 from ..functions import text as tx
 
 
@@ -117,3 +118,19 @@ def annotation_pages(segments: DataFrame, size: int = 12) -> DataFrame:
     """Midpoints of segments, dealt to pages in order."""
     order = Window.partitionBy("asset").orderBy("start_sec", "segment_id")
     return segments.select("asset", "segment_id", ((F.col("start_sec") + F.col("end_sec")) / 2).alias("mid_sec"), F.floor((F.row_number().over(order) - 1) / size).alias("page"))
+
+
+def described(segments: DataFrame, analyses: DataFrame) -> DataFrame:
+    """segments with what a model said about them (segment_id, reply): `caption`, `ocr_text`, `scene`, `entities`, `actions`,
+    `confidence`, `structured` (for the gate) and `text`, which stays as it was where the reply says nothing.
+
+    One reply a segment: of several the longest counts, then the first in order. Segments without one get nulls."""
+    one = analyses.filter("reply is not null").groupBy("segment_id").agg(F.max_by("reply", F.struct(F.length("reply"), F.col("reply"))).alias("reply"))
+    said = one.select("segment_id", replies.normalise(F.col("reply")).alias("said_")).filter("said_ is not null")
+    out = segments.join(said, "segment_id", "left")
+    found = F.col("said_").isNotNull()
+    text = F.when(found, replies.told(F.col("said_")))
+    return out.select(
+        *(F.col(c) for c in segments.columns if c != "text"), F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.col("text")).alias("text"), F.col("said_.summary").alias("caption"),
+        *(F.col(f"said_.{c}").alias(c) for c in ("ocr_text", "scene", "entities", "actions", "confidence")), F.when(found, replies.structured(F.col("said_"))).alias("structured"),
+    )

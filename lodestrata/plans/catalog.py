@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import replies
 from ..functions import text as tx
 from ..operators import answers as said
 from ..operators import datasets, evals, memory, rerank, retrieve, runs, score, segment, select, verify
@@ -258,6 +259,73 @@ def _(s, d):
     return model.transform(rows).select("doc_id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
 
 
+# ---------------------------------------------------------------- replies of models
+
+#: Turns as replies of a model: whole JSON, fenced JSON after thoughts, JSON cut off, JSON inside JSON, plain words.
+REPLIES = r"""esc AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, replace(replace(replace(coalesce(text, ''), '\', '\\'), '"', '\"'), chr(10), '\n') AS e FROM conversations),
+js AS (SELECT *, '{"summary": "' || e || '", "ocr_text": "' || role || ' ' || turn || '", "entities": ["' || role || '", " e' || turn || '", "' || role || '", ""], "actions": "turn ' || turn || '", "scene": "room ' || (conv_id % 7) || '", "confidence": ' || (turn * 0.3)::DECIMAL(9, 1) || '}' AS j FROM esc),
+replies AS (SELECT conv_id * 1000 + turn AS reply_id, CASE conv_id % 5 WHEN 0 THEN j WHEN 1 THEN '<think>{not this}</think>' || chr(10) || '```json' || chr(10) || j || chr(10) || '```' WHEN 2 THEN substr(j, 1, length(j) * 4 // 5)
+  WHEN 3 THEN '{"summary": "' || replace(replace(replace(replace(j, '"ocr_text": "', '"ocr_text": ["'), '\', '\\'), '"', '\"'), chr(10), '\n') || '", "confidence": 0.35, "scene": "outer"}' ELSE text END AS reply FROM js)"""
+
+
+def model_replies(s, d) -> DataFrame:
+    t = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    turn, one = F.col("turn").cast("string"), lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    j = one('{"summary": "', t, '", "ocr_text": "', F.col("role"), " ", turn, '", "entities": ["', F.col("role"), '", " e', turn, '", "', F.col("role"), '", ""], "actions": "turn ', turn, '", "scene": "room ', (F.col("conv_id") % 7).cast("string"), '", "confidence": ', (F.col("turn") * F.lit(0.3).cast("decimal(2,1)")).cast("decimal(9,1)").cast("string"), "}")
+    nested = F.replace(F.replace(F.replace(F.replace(F.col("j"), F.lit('"ocr_text": "'), F.lit('"ocr_text": ["')), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    form = F.col("conv_id") % 5
+    rows = table(s, d, "conversations").withColumn("j", j)
+    reply = F.when(form == 0, F.col("j")).when(form == 1, one("<think>{not this}</think>\n```json\n", F.col("j"), "\n```")).when(form == 2, F.expr("substr(j, 1, length(j) * 4 div 5)")).when(form == 3, one('{"summary": "', nested, '", "confidence": 0.35, "scene": "outer"}')).otherwise(F.coalesce("text", F.lit("")))
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), reply.alias("reply"))
+
+
+def duck_reply_fields() -> str:
+    trim = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    string = r'"((?:\\.|[^"\\])*)"'
+    undo = lambda x: f"CASE WHEN json_valid('\"' || {x} || '\"') THEN json_extract_string('\"' || {x} || '\"', '$') ELSE replace(replace(replace({x}, '\\\"', '\"'), '\\n', chr(10)), '\\\\', '\\') END"
+    found = lambda pattern: f"CASE WHEN regexp_matches(sm, '(?s){pattern}') THEN regexp_extract(sm, '(?s){pattern}', 1) END"
+    items = lambda k: f"list_transform(regexp_extract_all({found(chr(34) + k + chr(34) + chr(92) + 's*:' + chr(92) + 's*' + chr(92) + '[(.*?)' + chr(92) + ']')}, '(?s){string}', 1), lambda v: {undo('v')})"
+    value = lambda k: f"(SELECT {undo('v')} FROM (SELECT {found(chr(34) + k + chr(34) + chr(92) + 's*:' + chr(92) + 's*' + string)} AS v))"
+    lists = lambda k: f"CASE WHEN ok THEN CASE json_type(body, '$.{k}') WHEN 'ARRAY' THEN from_json(json_extract(body, '$.{k}'), '[\"VARCHAR\"]') ELSE CASE WHEN json_extract_string(body, '$.{k}') IS NOT NULL THEN [json_extract_string(body, '$.{k}')] END END {'ELSE [$$reply is not JSON$$]' if k == 'uncertainties' else ''} END AS {k}"
+    unit = lambda x: f"coalesce(least(1.0, greatest(0.0, try_cast({x} AS DOUBLE))), 0.0)"
+    clean = lambda k: f"list_transform(list_slice(list_filter(list_transform(coalesce({k}, []), lambda v: {trim('v')}), lambda v: v <> ''), 1, 1000), lambda v: substr(v, 1, 160))"
+    distinct = lambda k: f"list_slice(list_filter({clean(k)}, lambda v, i: list_position({clean(k)}, v) = i), 1, 20) AS {k}"
+    pick = lambda k, said: f"CASE WHEN inner_ AND NOT coalesce({said}, false) THEN in_{k} ELSE {k} END AS {k}"
+    return rf"""{REPLIES}, bare AS (SELECT reply_id, regexp_replace(regexp_replace({trim("regexp_replace(reply, '(?s)<think>.*?</think>', '', 'g')")}, '^```(?i:json)?\s*', ''), '\s*```$', '') AS t FROM replies),
+body AS (SELECT *, coalesce(body <> '' AND json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT', false) AS ok FROM (SELECT *, regexp_extract(t, '(?s)(\{{.*\}})', 1) AS body FROM bare WHERE t <> '')),
+raw AS (SELECT reply_id, {", ".join(f"CASE WHEN ok THEN json_extract_string(body, '$.{k}') {'ELSE substr(t, 1, 1200)' if k == 'summary' else ''} END AS {k}" for k in ("summary", "ocr_text", "scene"))}, {", ".join(lists(k) for k in ("entities", "actions", "uncertainties"))}, CASE WHEN ok THEN json_extract_string(body, '$.confidence') ELSE '0.35' END AS confidence
+  FROM (SELECT reply_id, t, ok, CASE WHEN ok THEN body END AS body FROM body)),
+salvaged AS (SELECT *, {", ".join(f"{value(k)} AS in_{k}" for k in ("summary", "ocr_text", "scene"))}, {", ".join(f"{items(k)} AS in_{k}" for k in ("entities", "actions", "uncertainties"))}, {found('"confidence"' + chr(92) + 's*:' + chr(92) + 's*([0-9]+(?:' + chr(92) + '.[0-9]+)?)')} AS in_confidence FROM (SELECT *, {trim("summary")} AS sm FROM raw)),
+merged AS (SELECT reply_id, CASE WHEN inner_ THEN in_summary ELSE summary END AS summary, {", ".join(pick(k, f"{k} <> ''") for k in ("ocr_text", "scene"))}, {", ".join(pick(k, f"len({k}) > 0") for k in ("entities", "actions", "uncertainties"))}, CASE WHEN inner_ AND NOT (coalesce(confidence, '') <> '' AND {unit('confidence')} <> 0.35) THEN in_confidence ELSE confidence END AS confidence
+  FROM (SELECT *, coalesce(starts_with(sm, '{{') AND in_summary <> '', false) AS inner_ FROM salvaged)),
+fields AS (SELECT reply_id, {", ".join(f"substr({trim(f'coalesce({k}, $$$$)')}, 1, {n}) AS {k}" for k, n in (("summary", 1200), ("ocr_text", 2400), ("scene", 240)))}, {", ".join(distinct(k) for k in ("entities", "actions", "uncertainties"))}, {unit('confidence')} AS confidence FROM merged)"""
+
+
+REPLY_FIELDS = duck_reply_fields()
+
+
+@query("reply_fields", f"WITH {REPLY_FIELDS} SELECT reply_id, md5(summary) AS summary, ocr_text, scene, array_to_string(entities, '|') AS entities, array_to_string(actions, '|') AS actions, array_to_string(uncertainties, '|') AS uncertainties, round(confidence, 6) AS confidence FROM fields")
+def _(s, d):
+    x = model_replies(s, d).select("reply_id", replies.normalise(F.col("reply")).alias("x")).filter("x is not null").select("reply_id", "x.*")
+    return x.select("reply_id", F.md5(F.col("summary").cast("binary")).alias("summary"), "ocr_text", "scene", *(F.array_join(k, "|").alias(k) for k in ("entities", "actions", "uncertainties")), r6("confidence").alias("confidence"))
+
+
+def described(s, d) -> DataFrame:
+    """Segments with the reply of the turn of their number."""
+    return segment.described(segments(s, d), model_replies(s, d).select(F.floor(F.col("reply_id") / 1000).alias("segment_id"), (F.col("reply_id") % 1000).alias("turn"), "reply").filter("turn = 0"))
+
+
+DESCRIBED = f"""{REPLY_FIELDS}, {SEGMENTS}, {QUESTIONS}, one AS (SELECT reply_id // 1000 AS segment_id, * FROM fields WHERE reply_id % 1000 = 0),
+described AS (SELECT s.* EXCLUDE (text), CASE WHEN concat(summary, scene, array_to_string(entities, ''), array_to_string(actions, '')) <> '' THEN concat_ws(' ', nullif(summary, ''), '场景：' || nullif(scene, ''), '人物与物体：' || nullif(array_to_string(entities, '、'), ''), '动作与变化：' || nullif(array_to_string(actions, '、'), '')) ELSE text END AS text,
+  confidence, concat_ws(' ', nullif(summary, ''), nullif(ocr_text, ''), nullif(scene, ''), array_to_string(entities, ' '), array_to_string(actions, ' ')) AS structured, reply_id IS NOT NULL AS told FROM segments s LEFT JOIN one USING (segment_id))"""
+
+
+@query("seg_described", f"WITH {DESCRIBED} SELECT segment_id, md5(text) AS text, CASE WHEN told THEN md5(structured) END AS structured, round(confidence, 6) AS confidence FROM described")
+def _(s, d):
+    md5 = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return described(s, d).select("segment_id", md5("text"), md5("structured"), r6("confidence").alias("confidence"))
+
+
 # ---------------------------------------------------------------- intent and selection
 
 
