@@ -1,5 +1,6 @@
 """Retrieval: postings with TF-IDF weights, similarity, lexical and dense scores, diversity."""
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,10 @@ def postings(segments: DataFrame) -> DataFrame:
 
     An asset's statistics are aggregates joined back; its segments never meet in one task."""
     terms = segments.select("asset", "segment_id", F.explode(tx.tokens(F.coalesce("text", F.lit("")))).alias("term"))
-    tf = terms.groupBy("asset", "segment_id", "term").agg(F.count("*").alias("tf"))
+    return _weighed(terms.groupBy("asset", "segment_id", "term").agg(F.count("*").alias("tf")), segments)
+
+
+def _weighed(tf: DataFrame, segments: DataFrame) -> DataFrame:
     df = tf.groupBy("asset", "term").agg(F.count("*").alias("df"))
     n = segments.groupBy("asset").agg(F.count("*").alias("segments"))
     raw = tf.join(df, ["asset", "term"]).join(n, "asset").withColumn("idf", F.log((1 + F.col("segments")) / (1 + F.col("df"))) + 1).withColumn("raw", F.col("tf") * F.col("idf"))
@@ -22,14 +26,51 @@ def postings(segments: DataFrame) -> DataFrame:
     return raw.join(norm, ["asset", "segment_id"]).select("asset", "segment_id", "term", "tf", "df", "segments", "idf", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+@dataclass
+class Index:
+    """Tables of one collection: segments without texts (with `text_len`), postings, and of each asset's terms `idf` and the
+    largest weight."""
+
+    segments: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+
+
+def index(segments: DataFrame, scratch: Scratch) -> Index:
+    """Words are taken once; what follows reads tables."""
+    said = segments.withColumn("words_", tx.tokens(F.coalesce("text", F.lit("")))).withColumn("text_len", F.length(F.coalesce("text", F.lit("")))).drop("text")
+    said = scratch.save(said, "said")
+    slim = said.drop("words_")
+    tf = scratch.save(said.select("asset", "segment_id", F.explode("words_").alias("term")).groupBy("asset", "segment_id", "term").agg(F.count("*").alias("tf")), "tf")
+    posts = scratch.save(_weighed(tf, slim).select("asset", "segment_id", "term", "idf", "weight"), "postings")
+    scratch.drop("tf")
+    terms = scratch.save(posts.groupBy("asset", "term").agg(F.first("idf").alias("idf"), F.max("weight").alias("most"), F.count("*").alias("df")), "terms")
+    return Index(slim, posts, terms)
+
+
+def asked(terms: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, asset, term, q, informative, n_terms) of each question's terms that its asset has: their weight in the unit
+    vector of the question (0 for one that only its informative form has) and how many informative ones there are in all."""
+    said = questions.select("query_id", "asset", F.explode(tx.tokens(F.col("query"))).alias("term"), F.lit(1).alias("n"), F.lit(0).alias("informative"))
+    telling = questions.select("query_id", "asset", F.explode(tx.informative(F.col("query"))).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("informative"))
+    each = said.union(telling).groupBy("query_id", "asset", "term").agg(F.sum("n").alias("n"), F.max("informative").alias("informative"))
+    counts = questions.select("query_id", F.size(tx.informative(F.col("query"))).alias("n_terms"))
+    known = each.join(terms, ["asset", "term"]).withColumn("raw", F.col("n") * F.col("idf"))
+    norm = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    found = known.join(norm, "query_id").join(counts, "query_id")
+    return found.select("query_id", "asset", "term", F.coalesce(F.try_divide("raw", "norm"), F.lit(0.0)).alias("q"), "informative", "n_terms", "most", "df")
+
+
+def _sums() -> list[Column]:
+    return [F.sum(F.col("q") * F.col("weight")).alias("sim"), F.sum("informative").cast("int").alias("hits")]
+
+
 def similarity(posts: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, asset, segment_id, sim) of segments that share a term with a question to their asset.
 
     Terms that an asset lacks are left out of the question's vector. Questions meet postings by (asset, term)."""
-    vocabulary = posts.select("asset", "term", "idf").distinct()
-    asked = questions.select("query_id", "asset", F.explode(tx.tokens(F.col("query"))).alias("term")).groupBy("query_id", "asset", "term").agg(F.count("*").alias("n")).join(vocabulary, ["asset", "term"]).withColumn("raw", F.col("n") * F.col("idf"))
-    norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    weighed = asked.join(norm, "query_id").select("query_id", "asset", "term", (F.col("raw") / F.col("norm")).alias("q"))
+    terms = posts.groupBy("asset", "term").agg(F.first("idf").alias("idf"), F.max("weight").alias("most"), F.count("*").alias("df"))
+    weighed = asked(terms, questions).filter("q > 0").select("query_id", "asset", "term", "q", "informative")
     return weighed.join(posts, ["asset", "term"]).groupBy("query_id", "asset", "segment_id").agg(F.sum(F.col("q") * F.col("weight")).alias("sim"))
 
 
@@ -51,14 +92,63 @@ def hybrid(sim: Column, lexical: Column) -> Column:
     return 0.68 * sim + 0.20 * lexical + 0.08 * visual + 0.04 * (1 / (1 + F.col("start_sec")))
 
 
-def retrieve(segments: DataFrame, questions: DataFrame) -> DataFrame:
-    """All candidates with sim, lexical and retrieval_score."""
-    sims = similarity(postings(segments), questions)
-    found = candidates(segments, questions).join(sims, ["query_id", "asset", "segment_id"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+def _scored(found: DataFrame) -> DataFrame:
     found = found.withColumn("lexical", lexical())
     return found.withColumn("retrieval_score", hybrid(F.col("sim"), F.col("lexical")))
 
 
+def retrieve(segments: DataFrame, questions: DataFrame) -> DataFrame:
+    """All segments of the asset that a question is asked of, without their texts (`text_len` is there), with sim, hits, lexical
+    and retrieval_score, as a table."""
+    scratch = Scratch(segments.sparkSession, "retrieve")
+    parts = index(segments, scratch)
+    sums = asked(parts.terms, questions).join(parts.postings.select("asset", "segment_id", "term", "weight"), ["asset", "term"]).groupBy("query_id", "asset", "segment_id").agg(*_sums())
+    pairs = parts.segments.join(questions.withColumn("n_terms", F.size(tx.informative(F.col("query")))), "asset")
+    found = pairs.join(sums, ["query_id", "asset", "segment_id"], "left").fillna({"sim": 0.0, "hits": 0})
+    out = scratch.save(_scored(found), "found")
+    scratch.drop("said", "postings", "terms")
+    return out
+
+
+def retrieve_top(segments: DataFrame, questions: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:
+    """(query_id, segment_id, score, rank): the k best of retrieve() by retrieval_score to so many digits, then the smaller id.
+
+    Exact, without scoring all candidates. A question's terms go by the most they can add. Segments with its strongest term,
+    and the k best without any term, give a floor under its k-th best score; terms that together, over the best a segment has
+    without terms, stay below the floor can't bring a segment in, so their postings are only read for segments that another
+    term has brought in."""
+    scratch = Scratch(segments.sparkSession, "top")
+    parts = index(segments, scratch)
+    base = hybrid(F.lit(0.0), F.lit(0.0))
+    plain = parts.segments.select("asset", "segment_id", base.alias("base"))
+    heads = top_k(plain, ["asset"], [F.desc(F.round("base", digits)), F.asc("segment_id")], k).select("asset", "segment_id", "base")
+    share = F.when(F.col("n_terms") > 0, F.col("informative") / F.col("n_terms")).otherwise(F.lit(0.0))
+    terms = asked(parts.terms, questions).withColumn("share", share).withColumn("bound", 0.68 * F.col("q") * F.col("most") + 0.20 * F.col("share"))
+    # Terms of one question, in order of what they can add, and what those up to each can add together.
+    own = Window.partitionBy("query_id").orderBy("bound", "term")
+    terms = scratch.save(terms.withColumn("together", F.sum("bound").over(own)).withColumn("lead", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")) == 1), "asked")
+    posts = parts.postings.select("asset", "segment_id", "term", "weight")
+    part = 0.68 * F.col("q") * F.col("weight") + 0.20 * F.col("share")
+    led = terms.filter("lead").join(posts, ["asset", "term"]).join(plain, ["asset", "segment_id"]).select("query_id", "segment_id", (part + F.col("base")).alias("low"))
+    alone = questions.select("query_id", "asset").join(heads, "asset")
+    low = led.union(alone.select("query_id", "segment_id", "base")).groupBy("query_id", "segment_id").agg(F.max("low").alias("low"))
+    floor = top_k(low, ["query_id"], [F.desc("low"), F.asc("segment_id")], k, "place").groupBy("query_id").agg(F.min("low").alias("floor"), F.count("*").alias("n"))
+    best = heads.groupBy("asset").agg(F.max("base").alias("best"))
+    floor = questions.select("query_id", "asset").join(floor, "query_id", "left").join(best, "asset", "left")
+    # A thousandth of the last digit keeps sums in another order from deciding.
+    short = F.coalesce(F.col("n") < k, F.lit(True)) | (F.col("together") + F.col("best") >= F.col("floor") - 10.0 ** (-digits))
+    needed = terms.join(floor.drop("asset"), "query_id").filter(short)
+    brought = scratch.save(needed.select("query_id", "asset", "term").join(posts, ["asset", "term"]).select("query_id", "asset", "segment_id").distinct(), "brought")
+    sums = terms.select("query_id", "asset", "term", "q", "informative").join(brought, ["query_id", "asset"]).join(posts, ["asset", "segment_id", "term"]).groupBy("query_id", "asset", "segment_id").agg(*_sums())
+    counts = questions.select("query_id", F.size(tx.informative(F.col("query"))).alias("n_terms"))
+    told = sums.union(alone.join(brought, ["query_id", "asset", "segment_id"], "left_anti").select("query_id", "asset", "segment_id", F.lit(0.0), F.lit(0)))
+    told = _scored(told.join(counts, "query_id").join(parts.segments, ["asset", "segment_id"]))
+    ranked = top_k(told.select("query_id", "segment_id", F.round("retrieval_score", digits).alias("score")), ["query_id"], [F.desc("score"), F.asc("segment_id")], k)
+    out = scratch.save(ranked, "best")
+    scratch.drop("said", "postings", "terms", "asked", "brought")
+    return out
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group, ranked from 1; tasks keep k rows a group before the shuffle (WindowGroupLimit)."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
@@ -69,32 +159,65 @@ def index_statistics(segments: DataFrame) -> DataFrame:
     return terms.groupBy("asset").agg(F.countDistinct("segment_id").alias("segments"), F.countDistinct("term").alias("terms"))
 
 
-def mmr(ranked: DataFrame, posts: DataFrame, k: int = 5, relevance: float = 0.72) -> DataFrame:
+def mmr(ranked: DataFrame, posts: DataFrame, k: int = 5, relevance: float = 0.72, first: int = 64) -> DataFrame:
     """(query_id, segment_id, place): greedy choice by relevance * score - (1 - relevance) * largest cosine with the chosen.
 
-    ranked: (query_id, asset, segment_id, score). Every round is one aggregate over all candidates; the cosines with what it
-    chose come from the postings of that segment's terms."""
+    ranked: (query_id, asset, segment_id, score). Exact from a pool: cosines are never negative, so a segment outside the
+    `first` best by score can't reach more than relevance times the next score; a question whose choice does not beat that in
+    every round is chosen for again from a pool four times as large."""
     scratch = Scratch(ranked.sparkSession, "mmr")
-    rows = scratch.save(ranked.select("query_id", "asset", "segment_id", "score", F.lit(0.0).alias("near"), F.lit(True).alias("left")), "rows-1")
-    terms = scratch.save(posts.select("asset", "segment_id", "term", "weight"), "terms") if k > 1 else None
+    ranked = scratch.save(ranked.select("query_id", "asset", "segment_id", "score"), "ranked")
+    posts = posts.select("asset", "segment_id", "term", "weight")
+    todo, size, turn, places = ranked, first, 0, []
+    while True:
+        turn += 1
+        pool = scratch.save(top_k(todo, ["query_id"], [F.desc("score"), F.asc("segment_id")], size + 1), f"pool-{turn}")
+        beyond = pool.filter(F.col("rank") > size).select("query_id", F.col("score").alias("beyond"))
+        chosen = _greedy(pool.filter(F.col("rank") <= size).drop("rank"), posts, k, relevance, scratch, turn)
+        open_ = chosen.join(beyond, "query_id").filter(F.col("value") <= relevance * F.col("beyond") + 1e-12).select("query_id").distinct()
+        open_ = scratch.save(open_, f"open-{turn}")
+        places.append(chosen.join(open_, "query_id", "left_anti").select("query_id", "segment_id", "place"))
+        if not open_.limit(1).count():
+            break
+        todo, size = ranked.join(open_, "query_id", "left_semi"), size * 4
+    return reduce(DataFrame.union, places)
+
+
+def _greedy(pool: DataFrame, posts: DataFrame, k: int, relevance: float, scratch: Scratch, turn: int) -> DataFrame:
+    """(query_id, segment_id, place, value) of a pool. Every round is one aggregate over it; the cosines with what it chose come
+    from the postings of that segment's terms."""
+    rows = scratch.save(pool.select("*", F.lit(0.0).alias("near"), F.lit(True).alias("left")), f"rows-{turn}-1")
+    terms = scratch.save(posts.join(rows.select("asset", "segment_id").distinct(), ["asset", "segment_id"]), f"terms-{turn}") if k > 1 else None
     places = []
     for place in range(1, k + 1):
-        key = F.struct(relevance * F.col("score") - (1 - relevance) * F.col("near"), F.col("score"), -F.col("segment_id"))
-        best = rows.filter("left").groupBy("query_id").agg(F.max_by(F.struct("asset", "segment_id"), key).alias("x"))
-        best = scratch.save(best.select("query_id", "x.*"), f"best-{place}")
-        places.append(best.select("query_id", F.col("segment_id").cast("long").alias("segment_id"), F.lit(place).cast("long").alias("place")))
+        value = relevance * F.col("score") - (1 - relevance) * F.col("near")
+        key = F.struct(value, F.col("score"), -F.col("segment_id"))
+        best = rows.filter("left").groupBy("query_id").agg(F.max_by(F.struct("asset", "segment_id", value.alias("value")), key).alias("x"))
+        best = scratch.save(best.select("query_id", "x.*"), f"best-{turn}-{place}")
+        places.append(best.select("query_id", F.col("segment_id").cast("long").alias("segment_id"), F.lit(place).cast("long").alias("place"), "value"))
         if place < k:
-            asked = best.join(terms, ["asset", "segment_id"]).select("query_id", "asset", "term", F.col("weight").alias("other"))
+            own = best.join(terms, ["asset", "segment_id"]).select("query_id", "asset", "term", F.col("weight").alias("other"))
+            meet = rows.filter("left").select("query_id", "asset", "segment_id").join(terms, ["asset", "segment_id"])
             # Rounded, so that the order in which a sum is added up does not decide between copies.
-            cosines = asked.join(terms, ["asset", "term"]).groupBy("query_id", "asset", "segment_id").agg(F.round(F.sum(F.col("weight") * F.col("other")) / (1 + 1e-9) ** 2, 12).alias("cosine"))
+            cosines = own.join(meet, ["query_id", "asset", "term"]).groupBy("query_id", "asset", "segment_id").agg(F.round(F.sum(F.col("weight") * F.col("other")) / (1 + 1e-9) ** 2, 12).alias("cosine"))
             taken = best.select("query_id", F.col("segment_id").alias("taken"))
             after = rows.join(cosines, ["query_id", "asset", "segment_id"], "left").join(taken, "query_id", "left")
-            rows = scratch.save(after.select("query_id", "asset", "segment_id", "score", F.greatest("near", F.coalesce("cosine", F.lit(0.0))).alias("near"), (F.col("left") & F.coalesce(F.col("segment_id") != F.col("taken"), F.lit(True))).alias("left")), f"rows-{place + 1}")
-            scratch.drop(f"rows-{place}")
-    scratch.drop(f"rows-{k}", "terms")
+            rows = scratch.save(after.select("query_id", "asset", "segment_id", "score", F.greatest("near", F.coalesce("cosine", F.lit(0.0))).alias("near"), (F.col("left") & F.coalesce(F.col("segment_id") != F.col("taken"), F.lit(True))).alias("left")), f"rows-{turn}-{place + 1}")
+            scratch.drop(f"rows-{turn}-{place}")
+    scratch.drop(f"rows-{turn}-{k}", f"terms-{turn}")
     return reduce(DataFrame.union, places)
 
 
+def mmr_top(segments: DataFrame, questions: DataFrame, k: int = 5, relevance: float = 0.72, digits: int = 9) -> DataFrame:
+    """mmr() over retrieve()'s score to so many digits; words are taken once for both."""
+    scratch = Scratch(segments.sparkSession, "mmr-index")
+    parts = index(segments, scratch)
+    sums = asked(parts.terms, questions).join(parts.postings.select("asset", "segment_id", "term", "weight"), ["asset", "term"]).groupBy("query_id", "asset", "segment_id").agg(*_sums())
+    pairs = parts.segments.join(questions.select("query_id", "asset", F.size(tx.informative(F.col("query"))).alias("n_terms")), "asset")
+    found = _scored(pairs.join(sums, ["query_id", "asset", "segment_id"], "left").fillna({"sim": 0.0, "hits": 0}))
+    return mmr(found.select("query_id", "asset", "segment_id", F.round("retrieval_score", digits).alias("score")), parts.postings, k, relevance)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

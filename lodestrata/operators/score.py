@@ -49,7 +49,7 @@ def rerank_features(duration: Column) -> list[Column]:
     return [
         F.col("lexical").alias("coverage"), F.col("retrieval_score").alias("retrieval"), F.col("scorer_score").alias("scorer"), F.col("vlm_score").alias("visual"),
         F.col("retrieval_rank_score").alias("retrieval_rank"), F.col("scorer_rank_score").alias("scorer_rank"), F.col("vlm_rank_score").alias("visual_rank"),
-        F.col("score").alias("base"), F.col("confidence"), ((F.col("start_sec") + F.col("end_sec")) / 2 / d).alias("position"), (length / d).alias("share"), (F.log1p(F.length(F.coalesce("text", F.lit("")))) / 8).alias("log_length"),
+        F.col("score").alias("base"), F.col("confidence"), ((F.col("start_sec") + F.col("end_sec")) / 2 / d).alias("position"), (length / d).alias("share"), (F.log1p("text_len") / 8).alias("log_length"),
     ]
 
 

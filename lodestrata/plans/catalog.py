@@ -176,13 +176,13 @@ def _(s, d):
 
 @query("ret_tfidf_sim", f"{TFIDF} SELECT query_id, segment_id, round(sim, 6) AS sim FROM sim")
 def _(s, d):
-    return retrieve.similarity(retrieve.postings(segments(s, d)), questions(s, d)).select("query_id", "segment_id", r6("sim").alias("sim"))
+    parts = retrieve.index(segments(s, d), Scratch(s, "similar"))
+    return retrieve.similarity(parts.postings, questions(s, d)).select("query_id", "segment_id", r6("sim").alias("sim"))
 
 
 @query("ret_hybrid", f"{HYBRID} SELECT query_id, segment_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, segment_id) AS rank FROM hyb) WHERE rank <= 5")
 def _(s, d):
-    found = retrieve.retrieve(segments(s, d), questions(s, d)).select("query_id", "segment_id", F.round("retrieval_score", 9).alias("score"))
-    return retrieve.top_k(found, ["query_id"], [F.desc("score"), F.asc("segment_id")], 5).select("query_id", "segment_id", r6("score").alias("score"), "rank")
+    return retrieve.retrieve_top(segments(s, d), questions(s, d), 5).select("query_id", "segment_id", r6("score").alias("score"), "rank")
 
 
 @query("ret_dense_topk", """WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM embeddings JOIN q USING (label))
@@ -383,10 +383,20 @@ def _(s, d):
     return select.select_evidence(rows, 5)
 
 
-@query("mmr_select")
+def duck_mmr(k: int = 5) -> str:
+    """Greedy rounds written out: the best of each question goes, and the others learn how near they are to it."""
+    out = [f"""{HYBRID}, cs AS (SELECT a.segment_id AS x, b.segment_id AS y, round(sum(a.w * b.w) / ((1 + 1e-9) * (1 + 1e-9)), 12) AS c FROM post a JOIN post b USING (asset, term) GROUP BY ALL),
+s1 AS (SELECT query_id, segment_id, round(score, 9) AS score, 0.0::DOUBLE AS near FROM hyb)"""]
+    for i in range(1, k + 1):
+        out.append(f"p{i} AS (SELECT query_id, segment_id, {i} AS place FROM s{i} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 0.72::DOUBLE * score - (1 - 0.72::DOUBLE) * near DESC, score DESC, segment_id) = 1)")
+        if i < k:
+            out.append(f"s{i + 1} AS (SELECT s.query_id, s.segment_id, s.score, greatest(s.near, coalesce(c, 0)) AS near FROM s{i} s JOIN p{i} p ON s.query_id = p.query_id AND s.segment_id <> p.segment_id LEFT JOIN cs ON x = p.segment_id AND y = s.segment_id)")
+    return ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT query_id, segment_id, place::BIGINT AS place FROM p{i}" for i in range(1, k + 1))
+
+
+@query("mmr_select", duck_mmr())
 def _(s, d):
-    rows = segments(s, d)
-    return retrieve.mmr(retrieve.retrieve(rows, questions(s, d)).select("query_id", "asset", "segment_id", F.round("retrieval_score", 9).alias("score")), retrieve.postings(rows))
+    return retrieve.mmr_top(segments(s, d), questions(s, d))
 
 
 @query("context_pack", f"""WITH RECURSIVE {STAGED[5:]}, t AS (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS place, length(text) AS size FROM rk JOIN (SELECT segment_id, text FROM segments) USING (segment_id) QUALIFY place <= 6),
@@ -445,6 +455,23 @@ def _(s, d):
     return verify.evidence_gate(items).select("query_id", "reason", r6("max_query_coverage").alias("coverage"), r6("max_vlm_score").alias("visual"), F.col("best_segment_id").alias("best"))
 
 
+#: Concepts of the invented prose, as words that each language has often.
+PROSE = {"and": ["and", "und", " et "], "the": ["the", "der", " la "], "to": [" to ", " zu ", " de "], "of": ["of", "von", "que"]}
+PROSE_SQL = lambda x: "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains({x}, '{w}')" for w in words) + f" THEN '{name}' END" for name, words in PROSE.items()) + "]"
+
+
+@query("gate_structured", f"""WITH {DESCRIBED}, both_ AS (SELECT query_id, query, d.*, {PROSE_SQL('lower(query)')} AS q, {PROSE_SQL("lower(concat_ws(' ', structured, text))")} AS e, row_number() OVER (PARTITION BY query_id ORDER BY vlm_score DESC, segment_id) AS place FROM described d JOIN questions USING (asset) QUALIFY place <= 5),
+m AS (SELECT *, CASE WHEN told THEN list_filter(list_intersect(q, e), lambda v: v IS NOT NULL) ELSE [] END AS told_, {duck_informative('query')} AS terms FROM both_), h AS (SELECT *, len(list_intersect(terms, {duck_keywords('text')})) AS hits FROM m),
+summed AS (SELECT query_id, len(list_distinct(flatten(list(told_)))) AS matches, arg_max(segment_id, len(told_) * 100 - place) AS told_segment, any_value(len(terms)) AS nt, max(CASE WHEN len(terms) = 0 THEN 0.0 ELSE hits / len(terms)::DOUBLE END) AS share, max(vlm_score) AS seen, arg_max(hits, (CASE WHEN len(terms) = 0 THEN 0.0 ELSE hits / len(terms)::DOUBLE END, vlm_score, -place)) AS support FROM h GROUP BY 1)
+SELECT query_id, CASE WHEN nt <= 1 THEN 'broad' WHEN matches >= 2 THEN 'structured' WHEN share >= 0.18 OR support >= 2 THEN 'lexical' WHEN seen >= 0.16 THEN 'semantic' ELSE 'insufficient' END AS reason, matches, CASE WHEN nt > 1 AND matches >= 2 THEN told_segment END AS best FROM summed""")
+def _(s, d):
+    told = described(s, d).select("asset", "segment_id", "text", "structured", "vlm_score")
+    pairs = told.join(questions(s, d), "asset")
+    items = retrieve.top_k(pairs, ["query_id"], [F.desc("vlm_score"), F.asc("segment_id")], 5, "place").withColumn("kind", F.lit("stage")).withColumn("coverage_mode", F.lit("stage_local"))
+    out = verify.evidence_gate(items, table=PROSE)
+    return out.select("query_id", "reason", F.col("structured_matches").cast("long").alias("matches"), F.when(F.col("reason") == "structured", F.col("best_segment_id")).alias("best"))
+
+
 @query("ground_refs", f"""WITH {ANSWERS}, r AS (SELECT answer_id, start_sec, end_sec, unnest(regexp_extract_all(answer, 'timestamp=([0-9]+(?:\\.[0-9]+)?-[0-9]+(?:\\.[0-9]+)?)', 1)) AS ref FROM answers)
 SELECT answer_id, ref, round(split_part(ref, '-', 1)::DOUBLE, 3) = round(start_sec, 3) AND round(split_part(ref, '-', 2)::DOUBLE, 3) = round(end_sec, 3) AS bound FROM r""")
 def _(s, d):
