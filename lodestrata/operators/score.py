@@ -1,5 +1,7 @@
 """Scores of candidates: rules, normalisation, fusion, reranking, calibrated and learnt models."""
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,6 +125,70 @@ def logistic_scorer(examples: DataFrame, features: list[str], l2: float = 0.01):
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight_", regParam=l2, standardization=True)]).fit(weighed)
 
 
+def stratified_split(rows: DataFrame, key: str, label: str = "label", share: float = 0.3, seed: int = 42) -> DataFrame:
+    """rows with `fold` train or eval: of each label exactly its share (rounded half up) goes to eval, in the order of a hash of the
+    key; ties in the hash go by key. Rows without a label have no fold.
+
+    With fewer than eight rows, one label, or a label that occurs once there is nothing to split: `both`."""
+    hashed = rows.withColumn("hash_", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")))
+    # 4,096 ranges of the hash, so that a label in any number of rows is many tasks.
+    placed = running(hashed.filter(F.col(label).isNotNull()), [label], F.substring("hash_", 1, 3), ["hash_", key], {"place_": F.lit(1)})
+    sizes = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n_"))
+    able = sizes.agg(((F.sum("n_") >= 8) & (F.count("*") >= 2) & (F.min("n_") >= 2)).alias("able_"))
+    out = placed.join(sizes, label).join(F.broadcast(able))  # one row
+    fold = F.when(~F.coalesce("able_", F.lit(False)), "both").when(F.col("place_") <= F.floor(F.col("n_") * share + 0.5), "eval").otherwise("train")
+    split = out.withColumn("fold", fold).drop("hash_", "place_", "n_", "able_")
+    return split.unionByName(rows.filter(F.col(label).isNull()).withColumn("fold", F.lit(None).cast("string")))
+
+
+@dataclass
+class Logistic:
+    """A fitted model: coefficients of standardised features; probability() is its score of a row."""
+
+    features: list[str]
+    mean: list[float]
+    scale: list[float]
+    coef: list[float]
+    intercept: float
+    steps: int
+
+    def probability(self) -> Column:
+        return logistic([F.col(f) for f in self.features], self.mean, self.scale, self.coef, self.intercept)
+
+
+def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", penalty: float = 1.0, balanced: bool = True, steps: int = 50, close: float = 1e-10) -> Logistic:
+    """Standardised logistic regression with both labels weighing alike, by Newton steps on exact moments.
+
+    The loss is the weighted sum of log losses plus half of penalty times the squared coefficients (not the intercept). A step
+    is one aggregate of the gradient and of the (n + 1) x (n + 1) second moments, summed in each task first. Rows with a null
+    label or feature are not used; without both labels a ValueError."""
+    x = [F.col(f).cast("double") for f in features]
+    clean = rows.filter(F.col(label).isNotNull()).select((F.col(label) > 0).cast("double").alias("y"), *(c.alias(f"x{i}") for i, c in enumerate(x))).dropna()
+    n = len(features)
+    aggs = [F.count("*").alias("n"), F.sum("y").alias("p"), *(f(f"x{i}").alias(f"{t}{i}") for i in range(n) for f, t in ((F.avg, "m"), (F.stddev_pop, "s")))]
+    first = clean.agg(*aggs).first()
+    if not first["n"] or first["p"] in (0, first["n"]):
+        raise ValueError("fitting takes rows of both labels")
+    mean = [first[f"m{i}"] for i in range(n)]
+    scale = [first[f"s{i}"] or 1.0 for i in range(n)]
+    own = (first["n"] / (2 * first["p"]), first["n"] / (2 * (first["n"] - first["p"]))) if balanced else (1.0, 1.0)
+    z = clean.select("y", F.when(F.col("y") > 0, own[0]).otherwise(own[1]).alias("w"), F.lit(1.0).alias("z0"), *(((F.col(f"x{i}") - mean[i]) / scale[i]).alias(f"z{i + 1}") for i in range(n)))
+    beta, done = np.zeros(n + 1), 0
+    keep = np.diag([0.0] + [penalty] * n)
+    for done in range(1, steps + 1):
+        margin = sum((F.col(f"z{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+        p = z.withColumn("m", margin).withColumn("p", F.when(F.col("m") >= 0, 1 / (1 + F.exp(-F.col("m")))).otherwise(F.exp("m") / (1 + F.exp("m"))))
+        p = p.withColumn("g", F.col("w") * (F.col("p") - F.col("y"))).withColumn("h", F.col("w") * F.col("p") * (1 - F.col("p")))
+        sums = p.agg(*(F.sum(F.col("g") * F.col(f"z{i}")).alias(f"g{i}") for i in range(n + 1)), *(F.sum(F.col("h") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i in range(n + 1) for j in range(i, n + 1))).first()
+        slope = np.array([sums[f"g{i}"] for i in range(n + 1)]) + keep @ beta
+        curve = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(n + 1)] for i in range(n + 1)]) + keep
+        step = np.linalg.solve(curve + 1e-12 * np.eye(n + 1), slope)
+        beta = beta - step
+        if np.abs(step).max() < close:
+            break
+    return Logistic(features, mean, scale, beta[1:].tolist(), float(beta[0]), done)
+
+
 def split_groups(rows: DataFrame, group: str = "group_id", label: str = "label", share: float = 0.4, seed: int = 42) -> DataFrame:
     """rows with `fold` train or eval: groups of both labels go to eval first, in hashed order (over ranges of hashes), and one of them stays in train."""
     groups = rows.groupBy(group).agg((F.min(label) != F.max(label)).alias("mixed"))

@@ -250,13 +250,49 @@ def _(s, d):
     return score.score_examples(ranked).select("query_id", "segment_id", "label", F.col("text_len").cast("long").alias("text_len"))
 
 
+MARKED = ["n_chars", "n_words", "marks", "lines"]
+#: Labelled documents with simple measures of their texts, split into 70 and 30 of each hundred of both labels.
+DUCK_SPLIT = """lab AS (SELECT doc_id, quality AS label, n_chars::DOUBLE AS n_chars, md5('42:' || doc_id) AS h FROM documents JOIN labels USING (doc_id)),
+sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY h, doc_id) <= floor(count(*) OVER (PARTITION BY label) * 0.3 + 0.5) THEN 'eval' ELSE 'train' END AS fold FROM lab)"""
+
+
+def marked(s, d) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
+    rows = rows.select("doc_id", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split(text, "\\s+")).cast("double").alias("n_words"), (F.length(text) - F.length(F.translate(text, "!|#%$&*", ""))).cast("double").alias("marks"), F.size(F.split(text, "\n")).cast("double").alias("lines"))
+    return score.stratified_split(rows, "doc_id")
+
+
+@query("score_split", f"WITH {DUCK_SPLIT} SELECT doc_id, label, fold FROM sp")
+def _(s, d):
+    return marked(s, d).select("doc_id", "label", "fold")
+
+
+@query("score_split_metrics", f"""WITH {DUCK_SPLIT}, e AS (SELECT label, n_chars AS s FROM sp WHERE fold = 'eval'), per AS (SELECT s, sum((label = 1)::INT) AS p, sum((label <> 1)::INT) AS n FROM e GROUP BY 1),
+c AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS fp FROM per), t AS (SELECT sum(p) AS pp, sum(n) AS nn FROM per)
+SELECT (pp + nn)::BIGINT AS n, round((SELECT sum(n * (tp - p) + n * p / 2) FROM c) / (pp * nn), 6) AS roc_auc, round((SELECT sum(p * tp / (tp + fp)) FROM c) / pp, 6) AS average_precision FROM t""")
+def _(s, d):
+    """How well length alone tells quality on the held-out rows: the figure that a fitted scorer has to beat."""
+    out = evals.binary_metrics(marked(s, d).filter("fold = 'eval'"), "n_chars")
+    return out.select("n", r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))
+
+
+@query("score_fitted")
+def _(s, d):
+    """Held-out documents by a logistic scorer that was fitted on the others."""
+    rows = Scratch(s, "fitted").save(marked(s, d), "rows")
+    model = score.fit_logistic(rows.filter("fold = 'train'"), MARKED)
+    return rows.filter("fold = 'eval'").select("doc_id", "label", r6(model.probability()).alias("probability"))
+
+
 @query("score_boosted")
 def _(s, d):
-    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("n_chars"), F.size(tx.keywords(F.col("text"))).cast("double").alias("n_keywords"), (F.length("text") - F.length(F.translate("text", "!|#%$&*", ""))).cast("double").alias("marks"))
-    model = score.boosted_scorer(rows, ["n_chars", "n_keywords", "marks"], rounds=5)
+    """Held-out documents by boosted trees that were fitted on the others."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(rows).select("doc_id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
+    rows = Scratch(s, "boosted").save(marked(s, d).withColumn("label", F.col("label").cast("double")), "rows")
+    model = score.boosted_scorer(rows.filter("fold = 'train'"), MARKED, rounds=5)
+    return model.transform(rows.filter("fold = 'eval'")).select("doc_id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
 
 
 # ---------------------------------------------------------------- replies of models

@@ -140,3 +140,44 @@ def test_training_on_one_group_nulls_and_repeated_rows(spark):
     one = spark.createDataFrame([("g", 1.0, 1.0), ("g", 0.0, None), ("g", 0.0, float("nan")), ("g", None, 3.0), (None, 1.0, 2.0)] + [("g", 0.0, -1.0)] * 3, "group_id string, label double, a double")
     got = rerank.train(one, ["a"], epochs=3, hidden=4)
     assert all(math.isfinite(loss) for loss, _ in got.history)
+
+
+def labelled(spark, n=400, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3)) * [1, 10, 0.1] + [0, 5, 1]
+    y = (x[:, 0] + 0.05 * (x[:, 1] - 5) + rng.normal(size=n) > 0.8).astype(int)
+    rows = [(int(i), int(a), *map(float, b), 7.0) for i, (a, b) in enumerate(zip(y, x))]
+    return spark.createDataFrame(rows, "doc_id long, label int, a double, b double, c double, flat double").repartition(3), x, y
+
+
+def test_split_has_the_exact_share_of_each_label(spark):
+    rows, _, y = labelled(spark)
+    with_null = rows.union(rows.limit(3).withColumn("label", F.lit(None).cast("int")))
+    got = {(r["label"], r["fold"]): r["n"] for r in score.stratified_split(with_null, "doc_id").groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
+    ones, zeros = int(y.sum()), int((1 - y).sum())
+    assert got == {(1, "eval"): math.floor(ones * 0.3 + 0.5), (1, "train"): ones - math.floor(ones * 0.3 + 0.5), (0, "eval"): math.floor(zeros * 0.3 + 0.5), (0, "train"): zeros - math.floor(zeros * 0.3 + 0.5), (None, None): 3}
+    again = rows.repartition(7)
+    assert sorted(map(tuple, score.stratified_split(again, "doc_id").select("doc_id", "fold").collect())) == sorted(map(tuple, score.stratified_split(rows, "doc_id").select("doc_id", "fold").collect()))
+    few = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, label int")
+    one = spark.createDataFrame([(i, int(i == 0)) for i in range(20)], "doc_id long, label int")
+    for rest in (few, one, one.filter("label = 0")):
+        assert {r["fold"] for r in score.stratified_split(rest, "doc_id").collect()} == {"both"}
+    assert score.stratified_split(few.limit(0), "doc_id").count() == 0
+
+
+def test_newton_fit_equals_numpy(spark):
+    rows, x, y = labelled(spark)
+    dirty = rows.union(spark.createDataFrame([(1000, None, 1.0, 1.0, 1.0, 7.0), (1001, 1, None, 1.0, 1.0, 7.0)], rows.schema))
+    got = score.fit_logistic(dirty, ["a", "b", "c", "flat"], penalty=0.7)
+    z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / x.std(axis=0), np.zeros(len(x))])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    beta = np.zeros(5)
+    for _ in range(20_000):  # plain descent on the same loss
+        beta -= 0.002 * (z.T @ (w * (1 / (1 + np.exp(-z @ beta)) - y)) + 0.7 * np.array([0, 1, 1, 1, 1]) * beta)
+    assert np.allclose([got.intercept, *got.coef], beta, atol=1e-6) and got.steps < 15
+    p = {r["doc_id"]: r["p"] for r in rows.select("doc_id", got.probability().alias("p")).collect()}
+    assert np.allclose([p[i] for i in range(len(y))], 1 / (1 + np.exp(-z @ beta)), atol=1e-6)
+    with pytest.raises(ValueError):
+        score.fit_logistic(rows.filter("label = 1"), ["a"])
+    with pytest.raises(ValueError):
+        score.fit_logistic(rows.limit(0), ["a"])
