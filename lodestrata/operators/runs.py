@@ -65,11 +65,22 @@ def failure_runs(calls: DataFrame, limit: int = 3, width: int = 4096) -> DataFra
     return out.withColumn("opens", ~F.col("ok") & (F.col("failures") == limit))
 
 
+def circuit(fails: int, since: float | None, at: float | None, ok: bool, limit: int, recovery: float) -> tuple[str, int, float | None]:
+    """State of a circuit before a call, and its failures in a row and the time it opened after it (none: it is not open).
+
+    What is turned away changes nothing, a success closes, the limit of failures opens. A call without a time neither opens a
+    circuit nor finds an open one recovered."""
+    state = "closed" if since is None else "half_open" if at is not None and at - since >= recovery else "open"
+    if state == "open":
+        return state, fails, since
+    fails = 0 if ok else fails + 1
+    return state, fails, at if fails >= limit and not ok else None
+
+
 def breaker(calls: DataFrame, limit: int = 3, recovery: float = 60.0) -> DataFrame:
     """(tool, seq, state): the circuit before each call (tool, seq, at, ok): closed, open (the call is turned away) or half_open.
 
-    What is turned away changes nothing, a success closes, the limit of failures opens. A tool's calls pass through a task in
-    order, which holds a batch of them and two numbers."""
+    A tool's calls pass through a task in order, which holds a batch of them and two numbers."""
 
     def run(batches):
         tool, started, fails, since = None, False, 0, None
@@ -78,10 +89,7 @@ def breaker(calls: DataFrame, limit: int = 3, recovery: float = 60.0) -> DataFra
             for name, at, ok in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(2), batch.column(3)))):
                 if not started or name != tool:
                     tool, started, fails, since = name, True, 0, None
-                state = "closed" if since is None else "half_open" if at is not None and at - since >= recovery else "open"
-                if state != "open":
-                    fails = 0 if ok else fails + 1
-                    since = at if fails >= limit and not ok else None
+                state, fails, since = circuit(fails, since, at, ok, limit, recovery)
                 states.append(state)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string())], ["tool", "seq", "state"])
 

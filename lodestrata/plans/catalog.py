@@ -888,8 +888,8 @@ def _(s, d):
 
 @query("stream_jobs", f"WITH {STATES}, c AS (SELECT job_id, count(*) AS events FROM ev GROUP BY 1) SELECT job_id, status, created_at, started_at, completed_at, events FROM st JOIN c USING (job_id)")
 def _(s, d):
-    rows = _stream(s, d).select(F.col("user_id").alias("job_id"), (F.unix_micros("ts") / 1e6).alias("at"), F.coalesce(F.create_map(*(F.lit(x) for k, v in streams.STATUS.items() for x in (k, v)))[F.col("event_type")], F.lit("retry")).alias("status"))
-    return streams.drain(streams.job_states(rows), "stream_jobs", "update", ["job_id"])
+    rows = _stream(s, d).select(F.col("user_id").alias("job_id"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_id").alias("seq"), F.coalesce(F.create_map(*(F.lit(x) for k, v in streams.STATUS.items() for x in (k, v)))[F.col("event_type")], F.lit("retry")).alias("status"))
+    return streams.drain(streams.job_states(rows), "stream_jobs", "update", ["job_id"]).drop("error_code", "recent")
 
 
 # ---------------------------------------------------------------- builders, rules and measures over rows made of the tables
