@@ -86,6 +86,7 @@ def searchable(*channels: Column) -> Column:
     return F.concat_ws(" ", *(F.nullif(strip(c), F.lit("")) for c in channels))
 
 
+# Fixed value: how an answer names a time; evidence tags, bindings and claims depend on it.
 TIMESTAMP = "timestamp=([0-9]+(?:\\.[0-9]+)?-[0-9]+(?:\\.[0-9]+)?)"
 
 
@@ -173,6 +174,7 @@ def units(text: Column) -> Column:
 
 def claim_line(line: Column) -> Column:
     """A line without its time reference, bullet, leading range and label."""
+    # Bullets, ranges and labels as answers are written; which claims there are depends on them.
     out = F.regexp_replace(line, TIMESTAMP, "")
     out = F.regexp_replace(out, "\\(\\s*\\)", "")
     out = F.regexp_replace(out, "^\\s*[-*]\\s*", "")
@@ -183,6 +185,7 @@ def claim_line(line: Column) -> Column:
 
 def clauses(line: Column) -> Column:
     """Clauses of a cleaned line with four characters or more."""
+    # Marks between clauses, the least length, and headings that claim nothing.
     parts = F.transform(F.split(line, "[，,；;。]+"), lambda c: F.regexp_replace(c, "^[ \\-：:。.;；]+|[ \\-：:。.;；]+$", ""))
     return F.filter(parts, lambda c: (F.length(F.regexp_replace(c, "\\s+", "")) >= 4) & ~c.isin("时间戳证据", "候选证据"))
 

@@ -154,7 +154,7 @@ def sweep_failures(sweeps: DataFrame, least_candidates: int = 8, least_runs: int
     return sweeps.select("sweep_id", F.explode(found).alias("failure"))
 
 
-#: Fields of a pack's manifest and where its metadata (JSON) has them.
+# Fields of a pack's manifest and where its metadata (JSON) has them.
 MANIFEST = {"agent_mode": "$.agent_run.mode", "scorer_mode": "$.scorer_mode", "vlm_backend": "$.vlm.backend", "llm_backend": "$.llm_backend", "asr_backend": "$.asr.backend", "query_intent": "$.query_intent", "retrieval_strategy": "$.retrieval_selection.strategy", "source_sha256": "$.source_sha256", "video_sha256": "$.video_sha256", "environment": "$.environment", "performance": "$.performance"}
 
 

@@ -157,10 +157,12 @@ def harness_metrics(runs: DataFrame) -> DataFrame:
     a = F.coalesce("answer", F.lit(""))
     lines = F.size(F.filter(F.split(a, "\n"), lambda x: F.startswith(F.ltrim(x), F.lit("- "))))
     part = lambda c, w: F.when(c, w).otherwise(0.0)
+    # Marks of an answer's structure and what each adds.
     structure = F.when(tx.strip(a) == "", 0.0).otherwise(part(F.contains(a, F.lit("问题：")), 0.35) + part(F.contains(a, F.lit("结论：")), 0.35) + part(F.contains(a, F.lit("timestamp=")), 0.20) + part(lines >= 2, 0.10))
     names = F.array_distinct(F.transform("calls", lambda c: c["name"]))
     traced = F.when(F.size("actions") == 0, 0.0).otherwise(F.size(F.array_intersect("actions", names)) / F.size(F.array_distinct("actions")))
     out = runs.select("run_id", (F.size(F.array_intersect(want, "actions")) / n).alias("plan_coverage"), ok.alias("tool_success"), (in_order(F.col("actions")) / n).alias("step_order"), F.coalesce("coverage", F.lit(0.0)).alias("binding"), structure.alias("structure"), F.col("verified").cast("double").alias("verification"), traced.alias("trace"))
+    # Weights of the parts.
     weights = {"plan_coverage": 0.18, "tool_success": 0.18, "step_order": 0.12, "binding": 0.22, "structure": 0.12, "verification": 0.10, "trace": 0.08}
     return out.withColumn("score", sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)))
 
@@ -172,6 +174,7 @@ def agent_metrics(runs: DataFrame) -> DataFrame:
     keep = F.col("kept") / F.greatest(F.lit(1), F.col("kept") + F.col("dropped"))
     memory = F.least(F.lit(1.0), F.col("memory_hits") / 3.0)
     success = F.coalesce(F.try_divide("ok_calls", "calls"), F.lit(0.0))
+    # Weights of the parts.
     return runs.select("run_id", coverage.alias("coverage"), keep.alias("keep_rate"), memory.alias("memory_rate"), success.alias("tool_success"), (0.25 * verified + 0.25 * coverage + 0.20 * keep + 0.20 * success + 0.10 * memory).alias("score"))
 
 
@@ -181,6 +184,7 @@ def pack_metrics(packs: DataFrame) -> DataFrame:
     of = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
     hit, time, clip = of("hits", "selected"), of("timeline", "segments"), F.least("clips", "timeline") / F.greatest(F.lit(1), F.col("timeline"))
     out = packs.select("query_id", *(F.when(some, c).otherwise(0.0).alias(n) for n, c in (("hit_rate", hit), ("coverage", F.col("coverage")), ("timeline_coverage", time), ("clip_overlap", clip))))
+    # Weights of the parts.
     return out.withColumn("score", 0.35 * F.col("hit_rate") + 0.25 * F.col("coverage") + 0.20 * F.col("timeline_coverage") + 0.20 * F.col("clip_overlap"))
 
 

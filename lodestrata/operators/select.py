@@ -97,7 +97,7 @@ def select_spread(ranked: DataFrame, k: int, least: int) -> DataFrame:
         novel = F.when(F.col("many"), 0.88 * norm + 0.12 * new).otherwise(0.78 * norm + 0.22 * new)
         anchor = F.col("many") & (F.size("chosen") == 0)
         value = F.when(anchor, F.col("score")).when(label.isNotNull(), 0.10 * norm - 0.90 * far).otherwise(novel)
-        reason = F.when(anchor, "relevance_anchor").when(label.isNotNull(), F.concat(F.lit("temporal_coverage:"), label)).otherwise("relevance_plus_temporal_novelty")
+        reason = F.when(anchor, "best_score").when(label.isNotNull(), F.concat(F.lit("stage_"), label)).otherwise("score_and_distance")
         left = ~F.exists("chosen", lambda c: c["segment_id"] == F.col("segment_id"))
         # What is left precedes what is chosen, and what lies in the stage what does not.
         key = F.struct(left, label.isNotNull() & in_stage(ratio, label), value, F.col("score"), -F.col("segment_id"))
@@ -115,7 +115,7 @@ def select_evidence(ranked: DataFrame, k: int, least: int = 3) -> DataFrame:
     ranked: query_id, segment_id, score, start_sec, end_sec, duration_sec, coverage_mode, stage_hints, time_anchor_sec. The
     local modes are window functions; the two that spread evidence over time choose greedily from all candidates."""
     simple = lambda df, reason: df.select("query_id", "segment_id", "start_sec", "score", F.lit(reason).alias("reason"))
-    local = simple(select_top(ranked.filter("coverage_mode = 'local'"), k), "relevance_top_k")
+    local = simple(select_top(ranked.filter("coverage_mode = 'local'"), k), "top_score")
     stage = simple(select_stage(ranked.filter("coverage_mode = 'stage_local'"), k), "stage_local")
     near = simple(select_nearest(ranked.filter("coverage_mode = 'time_local'"), k), "time_local")
     greedy = select_spread(ranked.filter("coverage_mode in ('multi_span', 'distributed')"), k, least)

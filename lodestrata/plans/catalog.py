@@ -534,8 +534,8 @@ GROUND = f"""{CLAIMS}, rr AS (SELECT answer_id, count(*) AS n_refs, sum((split_p
 cs AS (SELECT answer_id, count(*) AS n_claims, sum((score >= 0.22)::INT)::BIGINT AS n_supported FROM cm GROUP BY 1),
 g0 AS (SELECT answer_id, answer, before, coalesce(before, '') <> '' AS checked, {REFUSES('answer')} AS refusal, coalesce(n_refs, 0) AS n_refs, coalesce(n_unbound, 0) AS n_unbound, coalesce(n_claims, 0) AS n_claims, coalesce(n_supported, 0) AS n_supported,
   contains(answer, 'timestamp=' || printf('%.1f', floor(start_sec * 10 + 0.5) / 10) || '-' || printf('%.1f', floor(end_sec * 10 + 0.5) / 10))::INT::DOUBLE AS coverage FROM answers LEFT JOIN rr USING (answer_id) LEFT JOIN cs USING (answer_id)),
-gr AS (SELECT *, CASE WHEN NOT checked THEN 1.0 WHEN n_claims = 0 THEN refusal::INT ELSE n_supported / n_claims END::DOUBLE AS claim_coverage, CASE WHEN n_refs = 0 THEN 'answer missing timestamp reference' WHEN n_unbound > 0 THEN 'answer contains unbound timestamp reference'
-  WHEN checked AND CASE WHEN n_claims = 0 THEN NOT refusal ELSE n_claims <> n_supported END THEN 'answer contains claim not supported by its timestamp evidence' WHEN coverage = 0 THEN 'answer missing evidence reference' ELSE 'evidence attached' END AS reason FROM g0)"""
+gr AS (SELECT *, CASE WHEN NOT checked THEN 1.0 WHEN n_claims = 0 THEN refusal::INT ELSE n_supported / n_claims END::DOUBLE AS claim_coverage, CASE WHEN n_refs = 0 THEN 'no_time_named' WHEN n_unbound > 0 THEN 'time_not_bound'
+  WHEN checked AND CASE WHEN n_claims = 0 THEN NOT refusal ELSE n_claims <> n_supported END THEN 'claim_not_borne_out' WHEN coverage = 0 THEN 'no_span_cited' ELSE 'grounded' END AS reason FROM g0)"""
 
 
 @query("ground_claims", f"WITH {CLAIMS} SELECT *, score >= 0.22 AS supported FROM cm")
@@ -543,7 +543,7 @@ def _(s, d):
     return verify.claim_checks(*answers(s, d))
 
 
-@query("ground_answers", f"WITH {GROUND} SELECT answer_id, reason = 'evidence attached' AS ok, reason, coverage, n_refs, n_unbound, n_claims, n_claims - n_supported AS n_unsupported, claim_coverage, refusal FROM gr")
+@query("ground_answers", f"WITH {GROUND} SELECT answer_id, reason = 'grounded' AS ok, reason, coverage, n_refs, n_unbound, n_claims, n_claims - n_supported AS n_unsupported, claim_coverage, refusal FROM gr")
 def _(s, d):
     return verify.grounding(*answers(s, d))
 
@@ -551,7 +551,7 @@ def _(s, d):
 @query("ground_features", f"""WITH {GROUND}, ft AS (SELECT *, answer_id % 2 = 0 AS enough, {duck_informative('answer')} AS aw FROM gr)
 SELECT answer_id, refusal::INT::DOUBLE AS has_refusal, enough::INT::DOUBLE AS grounding_sufficient, 0.2::DOUBLE AS evidence_count_scaled, round(least(1.0, ln(1 + length(answer)) / 8), 12)::DOUBLE AS answer_length_log, round(least(1.0, n_refs / 5), 12)::DOUBLE AS timestamp_count_scaled,
 round((n_refs - n_unbound) / greatest(n_refs, 1), 12)::DOUBLE AS matched_timestamp_ratio, round(n_unbound / greatest(n_refs, 1), 12)::DOUBLE AS unmatched_timestamp_ratio, round(claim_coverage, 12) AS claim_support_coverage, round((n_claims - n_supported) / greatest(n_claims, 1), 12)::DOUBLE AS unsupported_claim_ratio,
-round({duck_overlap('aw', duck_keywords('before'))}, 12)::DOUBLE AS answer_evidence_coverage, (len(aw) > 0)::INT::DOUBLE AS query_answer_coverage, (refusal <> enough)::INT::DOUBLE AS decision_alignment, (NOT enough AND NOT refusal)::INT::DOUBLE AS unsupported_overclaim, (reason = 'evidence attached')::INT::DOUBLE AS deterministic_ok FROM ft""")
+round({duck_overlap('aw', duck_keywords('before'))}, 12)::DOUBLE AS answer_evidence_coverage, (len(aw) > 0)::INT::DOUBLE AS query_answer_coverage, (refusal <> enough)::INT::DOUBLE AS decision_alignment, (NOT enough AND NOT refusal)::INT::DOUBLE AS unsupported_overclaim, (reason = 'grounded')::INT::DOUBLE AS deterministic_ok FROM ft""")
 def _(s, d):
     said, proof = answers(s, d)
     told = proof.groupBy("answer_id").agg(F.count("*").alias("n_evidence"), F.concat_ws(" ", F.collect_list("text")).alias("evidence_text"))
@@ -977,10 +977,10 @@ def _(s, d):
     return said.normalised(rows).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query("ans_accepted", """WITH r AS (SELECT doc_id, n_chars % 3 > 0 AS ok, n_chars % 4 = 0 AS timeless FROM documents) SELECT doc_id AS answer_id, ok AND NOT timeless AS ok, CASE WHEN ok AND timeless THEN 'evidence without time' WHEN ok THEN 'evidence attached' ELSE 'answer too short' END AS reason FROM r""")
+@query("ans_accepted", """WITH r AS (SELECT doc_id, n_chars % 3 > 0 AS ok, n_chars % 4 = 0 AS timeless FROM documents) SELECT doc_id AS answer_id, ok AND NOT timeless AS ok, CASE WHEN ok AND timeless THEN 'evidence without time' WHEN ok THEN 'grounded' ELSE 'too_short' END AS reason FROM r""")
 def _(s, d):
     rows = table(s, d, "documents").select(F.col("doc_id").alias("answer_id"), (F.col("n_chars") % 3 > 0).alias("ok"), F.when(F.col("n_chars") % 4 == 0, F.array(F.lit("timestamp=1.0-2.0"), F.lit("clip"))).otherwise(F.array(F.lit("timestamp=1.0-2.0"))).alias("tags"))
-    grounded = rows.select("answer_id", "ok", F.when(F.col("ok"), "evidence attached").otherwise("answer too short").alias("reason"))
+    grounded = rows.select("answer_id", "ok", F.when(F.col("ok"), "grounded").otherwise("too_short").alias("reason"))
     return said.accepted(grounded, rows.select("answer_id", F.explode("tags").alias("tag")))
 
 
