@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import replies
 from ..functions import text as tx
 from ..operators import answers as said
-from ..operators import datasets, evals, memory, rerank, retrieve, runs, score, segment, select, verify
+from ..operators import datasets, evals, fingerprints, memory, rerank, retrieve, runs, score, segment, select, verify
 from ..streaming import streams
 from ..tables import Scratch
 from . import answering
@@ -1172,6 +1172,40 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.array_join(tx.string_list(F.split(F.coalesce("text", F.lit("")), " ")), "|").alias("kept"))
 
 
+# ---------------------------------------------------------------- fingerprints
+
+
+FILES = "files AS (SELECT source || '/' || doc_id || '.txt' AS path, sha256(sha256(coalesce(text, ''))) AS hash FROM documents), leaves AS (SELECT path, sha256(lpad(strlen(path)::VARCHAR, 10, '0') || ':' || path || ':' || hash) AS h FROM files)"
+TREE = "small AS (SELECT substr(md5(path), 1, 4) AS p, sha256(string_agg(h, '' ORDER BY path)) AS h, count(*) AS n FROM leaves GROUP BY 1), large AS (SELECT substr(p, 1, 2) AS q, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM small GROUP BY 1)"
+
+
+def as_files(s, d) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return table(s, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), fingerprints.content_hash(text).alias("hash"), "source", "lang", "doc_id", "n_chars")
+
+
+@query("fp_tree", f"WITH {FILES}, {TREE} SELECT sum(n)::BIGINT AS files, sha256(string_agg(h, '' ORDER BY q)) AS fingerprint FROM large")
+def _(s, d):
+    """Documents as files of their source; none of them is over a chunk in the SQL."""
+    return fingerprints.tree(as_files(s, d))
+
+
+@query("fp_canonical", """SELECT conv_id, turn, sha256('{"metadata":{"turn":' || turn || '},"summary":"' || role || '","tags":[' || conv_id || ',"x"]}') AS hash FROM conversations""")
+def _(s, d):
+    """Packs written with their keys in another order, white space, and a field that does not count."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    pack = F.concat(F.lit('{ "tags" : [ '), conv, F.lit('.0, "x" ], "summary": "'), F.col("role"), F.lit('",\n "metadata": {"turn": '), turn, F.lit(', "llm_adapter": {"admitted": '), turn, F.lit("}}}"))
+    return table(s, d, "conversations").select("conv_id", "turn", fingerprints.canonical_hash(pack, "metadata.llm_adapter").alias("hash"))
+
+
+@query("fp_run", f"""WITH {FILES}, src AS (SELECT source, sha256(string_agg(hash, '' ORDER BY doc_id)) AS m, min(doc_id) AS low, count(*) AS n FROM files JOIN (SELECT doc_id, source, source || '/' || doc_id || '.txt' AS path FROM documents) USING (path) GROUP BY 1)
+SELECT source, sha256('{{"config":{{"k":' || n || ',"weights":{{"dense":0.5,"lexical":' || low || '}}}},"manifest_sha256":"' || m || '","source_sha256":"' || sha256(source) || '","split":"' || CASE WHEN low % 2 = 0 THEN 'all' ELSE 'dev' END || '"}}') AS signature FROM src""")
+def _(s, d):
+    rows = as_files(s, d).groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"]), "").cast("binary"), 256).alias("m"), F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    config = F.struct(F.struct(F.col("low").alias("lexical"), F.lit(0.5).alias("dense")).alias("weights"), F.col("n").alias("k"))
+    return rows.select("source", fingerprints.run_signature(config, F.sha2(F.col("source").cast("binary"), 256), F.col("m"), F.when(F.col("low") % 2 != 0, "dev")).alias("signature"))
+
+
 def flagship(s, d) -> DataFrame:
     """The five best segments for each question, by fused score."""
     ranked = answering.rank(segments(s, d), questions(s, d))

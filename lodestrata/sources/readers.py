@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..operators.fingerprints import tree
 from ..operators.retrieve import top_k
 
 EVIDENCE = "array<struct<start_sec:double,end_sec:double,text:string,source:string>>"
@@ -78,8 +79,8 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def tree_fingerprint(files: DataFrame) -> DataFrame:
-    """One hash of all (path, size, sha256) in order of paths."""
-    return files.agg(F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("path", "size", "sha256"))), lambda x: F.concat_ws(":", x["path"], x["size"].cast("string"), x["sha256"]))), 256).alias("fingerprint"))
+    """One hash of all files (path, sha256) of listing(), level by level (see fingerprints.tree)."""
+    return tree(files.select("path", F.col("sha256").alias("hash"))).select("fingerprint")
 
 
 def jobs(spark: SparkSession, path: str, schema: str, limit: int) -> DataFrame:
