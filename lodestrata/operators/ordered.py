@@ -26,9 +26,20 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list, values:
     return both.drop("range_", *(f"key_{i}_" for i in range(len(on))), *(f"base_{n}_" for n in values))
 
 
-def scaled(df: DataFrame, value: str, name: str = "place_", parts: int = 4096) -> DataFrame:
-    """df with the part of the range from the least to the greatest value that a row's value lies in, null for null."""
-    ends = df.agg(F.min(value).alias("least_"), F.max(value).alias("most_"))
-    share = F.try_divide(F.col(value) - F.col("least_"), F.col("most_") - F.col("least_"))
-    at = F.when(F.col(value).isNotNull(), F.coalesce(F.floor(share * parts), F.lit(0)))
-    return df.join(F.broadcast(ends)).withColumn(name, at).drop("least_", "most_")
+def scaled(df: DataFrame, value: str, name: str = "place_", parts: int = 512) -> DataFrame:
+    """df with the place of a row's value among at most `parts` ranges that hold about as many rows each, null for null.
+
+    Ranges are cut at quantiles (one aggregate, a fixed number of values for the driver), so an outlier, a heavy tail or infinite
+    values take no room from the others; equal values share a range, and what is no number comes last. The place is found by
+    halving."""
+    x = F.col(value).cast("double")
+    found = df.agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    cuts = sorted({q for q in found if q == q})
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x < F.lit(cuts[mid]), among(low, mid)).otherwise(among(mid + 1, high))
+
+    return df.withColumn(name, F.when(x.isNotNull(), among(0, len(cuts))))

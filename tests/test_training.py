@@ -181,3 +181,18 @@ def test_newton_fit_equals_numpy(spark):
         score.fit_logistic(rows.filter("label = 1"), ["a"])
     with pytest.raises(ValueError):
         score.fit_logistic(rows.limit(0), ["a"])
+
+
+def test_ranges_of_a_heavy_tail_hold_as_many_rows(spark):
+    from lodestrata.operators.ordered import scaled
+
+    rows = [(float(i), 1) for i in range(3000)] + [(1e9, 1), (1e300, 1), (float("inf"), 1), (float("-inf"), 1), (float("nan"), 1), (None, 1)] + [(-5.0, 1)] * 400
+    got = scaled(spark.createDataFrame(rows, "x double, one int"), "x").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["place_"], []).append(r["x"])
+    assert by.pop(None) == [None] and len(by) > 300 and max(len(set(v)) for v in by.values()) < 40
+    inside = sorted((p, x) for p, v in by.items() for x in v if x == x)
+    assert [x for _, x in inside] == sorted(x for _, x in inside)  # places never fall along the order
+    assert scaled(spark.createDataFrame([], "x double"), "x").count() == 0
+    assert [r["place_"] for r in scaled(spark.createDataFrame([(None,)], "x double"), "x").collect()] == [None]
