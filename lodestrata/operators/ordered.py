@@ -26,6 +26,21 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list, values:
     return both.drop("range_", *(f"key_{i}_" for i in range(len(on))), *(f"base_{n}_" for n in values))
 
 
+def lagged(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the value of the row before, of the same keys in this order, null for the first.
+
+    bucket must not fall along the order. Rows are ordered within a bucket; the last row of each bucket is carried to the next one
+    that has rows, and only buckets are ordered as a whole, so a key in most rows is many tasks. Null keys are keys like others."""
+    placed = df.withColumn("range_", bucket)
+    on = [*keys, "range_"]
+    lasts = placed.groupBy(*on).agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("last_"))
+    edges = lasts.select(*(F.col(k).alias(f"key_{i}_") for i, k in enumerate(on)), F.lag("last_").over(Window.partitionBy(*keys).orderBy("range_")).alias("carried_"))
+    both = placed.join(edges, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"key_{i}_")) for i, k in enumerate(on)]))
+    own = Window.partitionBy(*on).orderBy(*order)
+    before = F.when(F.row_number().over(own) == 1, F.col("carried_.v")).otherwise(F.lag(value).over(own))
+    return both.withColumn(name, before).drop("range_", "carried_", *(f"key_{i}_" for i in range(len(on))))
+
+
 def scaled(df: DataFrame, value: str, name: str = "place_", parts: int = 512) -> DataFrame:
     """df with the place of a row's value among at most `parts` ranges that hold about as many rows each, null for null.
 

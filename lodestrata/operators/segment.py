@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies
 from ..functions import text as tx
+from .ordered import lagged, running
 
 
 def fixed_windows(assets: DataFrame, width: float) -> DataFrame:
@@ -30,25 +31,36 @@ def evidence_times(start: Column, end: Column, n: int, change: Column | None = N
     return F.slice(F.array_distinct(F.filter(F.array(at(0.06), at(0.5), at(0.94), *extra, *even), lambda x: x.isNotNull())), 1, n)
 
 
-def scenes(frames: DataFrame, threshold: float = 22.0) -> DataFrame:
-    """Scenes of sampled frames (asset, t, gray): a new one begins where gray changes by the threshold (gaps and islands)."""
-    order = Window.partitionBy("asset").orderBy("t")
-    cut = F.coalesce((F.abs(F.col("gray") - F.lag("gray").over(order)) >= threshold).cast("int"), F.lit(0))
-    marked = frames.withColumn("scene", F.sum(cut).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+#: Seconds of an asset whose frames are ordered in one task.
+SPAN = 600.0
+
+
+def _changed(frames: DataFrame, keys: list[str], bucket: Column | None) -> tuple[DataFrame, Column]:
+    """frames with `diff`, the change of gray from the frame before, and the range of time each is in."""
+    at = F.floor(F.col("t") / SPAN) if bucket is None else bucket
+    out = lagged(frames, keys, at, ["t"], F.col("gray"), "before_")
+    return out.withColumn("diff", F.abs(F.col("gray") - F.col("before_"))).drop("before_"), at
+
+
+def scenes(frames: DataFrame, threshold: float = 22.0, bucket: Column | None = None) -> DataFrame:
+    """Scenes of sampled frames (asset, t, gray): a new one begins where gray changes by the threshold (gaps and islands).
+
+    bucket tells the range of time of a frame where t is no number of seconds."""
+    moved, at = _changed(frames, ["asset"], bucket)
+    cut = F.coalesce((F.col("diff") >= threshold).cast("int"), F.lit(0))
+    marked = running(moved.withColumn("cut_", cut), ["asset"], at, ["t"], {"scene": F.col("cut_")})
     return marked.groupBy("asset", "scene").agg(F.min("t").alias("start_sec"), F.max("t").alias("end_sec"), F.count("*").alias("frames"))
 
 
-def change_points(frames: DataFrame) -> DataFrame:
+def change_points(frames: DataFrame, bucket: Column | None = None) -> DataFrame:
     """The time of the greatest change of gray of each segment (asset, segment_id, t, gray), the first if equal."""
-    order = Window.partitionBy("asset", "segment_id").orderBy("t")
-    diff = frames.withColumn("diff", F.abs(F.col("gray") - F.lag("gray").over(order))).filter("diff is not null")
+    diff = _changed(frames, ["asset", "segment_id"], bucket)[0].filter("diff is not null")
     return diff.groupBy("asset", "segment_id").agg(F.max_by(F.col("t"), F.struct("diff", -F.col("t"))).alias("change_sec"))
 
 
-def visual_statistics(frames: DataFrame) -> DataFrame:
+def visual_statistics(frames: DataFrame, bucket: Column | None = None) -> DataFrame:
     """(asset, segment_id, brightness, contrast, motion, visual_signature) of frames (asset, segment_id, t, gray, deviation)."""
-    order = Window.partitionBy("asset", "segment_id").orderBy("t")
-    moved = frames.withColumn("diff", F.abs(F.col("gray") - F.lag("gray").over(order)))
+    moved = _changed(frames, ["asset", "segment_id"], bucket)[0]
     out = moved.groupBy("asset", "segment_id").agg(F.avg("gray").alias("brightness"), F.avg("deviation").alias("contrast"), F.coalesce(F.avg("diff"), F.lit(0.0)).alias("motion"))
     return out.withColumn("visual_signature", F.substring(F.md5(F.concat_ws("|", *(F.round(c, 2).cast("string") for c in ("brightness", "contrast", "motion"))).cast("binary")), 1, 12))
 

@@ -119,7 +119,7 @@ SELECT asset, scene::BIGINT AS scene, min(t)::DOUBLE AS start_sec, max(t)::DOUBL
 def _(s, d):
     order = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
     frames = table(s, d, "events").select(F.col("user_id").alias("asset"), order.alias("t"), F.col("value").alias("gray"))
-    return segment.scenes(frames).select("asset", F.col("scene").cast("long").alias("scene"), (F.col("start_sec.t") / 1e6).alias("start_sec"), (F.col("end_sec.t") / 1e6).alias("end_sec"), "frames")
+    return segment.scenes(frames, bucket=F.floor(F.col("t.t") / 600_000_000)).select("asset", F.col("scene").cast("long").alias("scene"), (F.col("start_sec.t") / 1e6).alias("start_sec"), (F.col("end_sec.t") / 1e6).alias("end_sec"), "frames")
 
 
 @query("seg_labels", f"""{BASE}, l AS (SELECT asset, max(end_sec) AS dur FROM segments GROUP BY 1), x AS (SELECT *, (start_sec + end_sec) / 2 / greatest(dur, 1.0) AS ratio FROM segments JOIN l USING (asset))
