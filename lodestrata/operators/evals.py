@@ -129,6 +129,40 @@ def length_bias(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.sum(total.cast("long")).alias("by_sum"), F.sum(per.cast("long")).alias("by_token"), F.sum((delta > 0).cast("long")).alias("chosen_longer"), F.avg(delta).alias("mean_delta"), F.min(delta).alias("min_delta"), F.max(delta).alias("max_delta"))
 
 
+def with_reference(pairs: DataFrame, reference: DataFrame, key: str = "pair_id") -> DataFrame:
+    """pairs with the columns of their reference record and `error`: null, `missing` where there is no record, `repeated` where
+    there are several (each pair still comes once, with the least of them), `incomplete` where one has a null.
+
+    What an inner join would lose is a row with its reason, so a report can refuse to be made from part of the pairs."""
+    others = [c for c in reference.columns if c != key]
+    one = reference.groupBy(key).agg(F.count("*").alias("n_"), F.min(F.struct(*others)).alias("ref_"))
+    out = pairs.join(one, key, "left")
+    gap = F.array_contains(F.array(*(F.col(f"ref_.{c}").isNull() for c in others)), True)
+    error = F.when(F.col("n_").isNull(), "missing").when(F.col("n_") > 1, "repeated").when(gap, "incomplete")
+    return out.select(*(pairs[c] for c in pairs.columns), *(F.col(f"ref_.{c}").alias(c) for c in others), error.alias("error"))
+
+
+def reference_bias(joined: DataFrame) -> DataFrame:
+    """One row from rows of with_reference (chosen_logp, rejected_logp, chosen_tokens, rejected_tokens, reward_margin): how many
+    pairs there are and lack a record, how often the longer answer is the chosen one, how often the reference prefers it by sum
+    and by token, and the correlation of length and margin. Null figures while any pair has an error."""
+    fine = F.col("error").isNull()
+    delta = (F.col("chosen_tokens") - F.col("rejected_tokens")).cast("double")
+    per = F.col("chosen_logp") / F.col("chosen_tokens") > F.col("rejected_logp") / F.col("rejected_tokens")
+    share = lambda c: F.avg(F.when(fine, c.cast("double")))
+    sums = joined.agg(F.count("*").alias("pairs"), F.count_if(~fine).alias("errors"), share(delta > 0).alias("chosen_longer"), share(F.col("chosen_logp") > F.col("rejected_logp")).alias("prefers_by_sum"), share(per).alias("prefers_by_token"), F.corr(F.when(fine, delta), F.when(fine, F.col("reward_margin"))).alias("r"))
+    whole = F.col("errors") == 0
+    return sums.select("pairs", "errors", *(F.when(whole, F.col(c)).alias(c) for c in ("chosen_longer", "prefers_by_sum", "prefers_by_token")), F.when(whole, F.coalesce("r", F.lit(0.0))).alias("length_margin_r"))
+
+
+def peak_memory(performance: Column) -> Column:
+    """The largest allocated amount over the devices of a run's report (JSON); 0 without devices, numbers in text count."""
+    # Fixed value: where a report has its devices.
+    devices = F.try_variant_get(F.try_parse_json(performance), "$.warm_pack_performance.cuda_memory.devices", "array<variant>")
+    amounts = F.transform(devices, lambda v: F.coalesce(F.try_variant_get(v, "$.peak_allocated_mib", "double"), F.try_variant_get(v, "$.peak_allocated_mib", "string").try_cast("double"), F.lit(0.0)))
+    return F.coalesce(F.array_max(amounts), F.lit(0.0))
+
+
 def seed_statistics(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     return runs.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 

@@ -71,6 +71,17 @@ def distinct_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumn("n_", F.row_number().over(first)).filter("n_ = 1").drop("n_")
 
 
+def frame_hash(frames: DataFrame) -> DataFrame:
+    """(asset, segment_id, frame_hash) of small frames (asset, segment_id, t, height, width, pixels binary) in order of time: 16 hex
+    characters over their sizes and pixels; a segment whose frames are all null has the hash of `empty`, of 12.
+
+    Frames are hashed one by one before they meet, so a segment's cell holds a hash for each."""
+    own = F.sha1(F.concat(F.format_string("(%d, %d, 3)", "height", "width").cast("binary"), F.col("pixels")))
+    each = frames.select("asset", "segment_id", F.when(F.col("pixels").isNotNull(), F.struct("t", own.alias("h"))).alias("x"))
+    joined = each.groupBy("asset", "segment_id").agg(F.array_sort(F.collect_list("x")).alias("l"))
+    return joined.select("asset", "segment_id", F.when(F.size("l") == 0, F.substring(F.md5(F.lit("empty").cast("binary")), 1, 12)).otherwise(F.substring(F.sha1(F.array_join(F.transform("l", lambda x: x["h"]), "").cast("binary")), 1, 16)).alias("frame_hash"))
+
+
 def stage(ratio: Column) -> Column:
     return F.when(ratio < 0.25, "opening").when(ratio < 0.55, "middle").when(ratio < 0.80, "late").otherwise("ending")
 

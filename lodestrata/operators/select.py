@@ -152,6 +152,17 @@ def compress(text: Column, query: Column, limit: int = 360) -> Column:
     return F.when(F.length(t) <= limit, t).otherwise(tx.let(tx.let(tx.keywords(query), pick), lambda s: F.when(F.size(s) > 0, F.array_join(s, " ")).otherwise(ends)))
 
 
+def planner_examples(ranked: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, query, candidates, target_plan): training rows of a planner. A plan retrieves the best k segments, ranked from 0,
+    and then synthesizes; a question without candidates has none and only the last step."""
+    best = top_k(ranked, ["query_id"], _best(), k, "place")
+    steps = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((F.col("place") - 1).alias("rank"), F.col("segment_id").cast("string").alias("target"), "score"))).alias("steps"))
+    rows = questions.select("query_id", "query").join(steps, "query_id", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<struct<rank:int,target:string,score:double>>")))
+    step = lambda action, target, rank: F.struct(action.alias("action"), target.alias("target"), rank.cast("int").alias("rank"))
+    last = F.array(step(F.lit("synthesize"), F.lit("knowledge_pack"), F.lit(None)))
+    return rows.select("query_id", "query", F.transform("steps", lambda s: F.struct(s["target"].alias("segment_id"), s["score"].alias("score"))).alias("candidates"), F.concat(F.transform("steps", lambda s: step(F.lit("retrieve"), s["target"], s["rank"])), last).alias("target_plan"))
+
+
 def plan(ranked: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, step, action, target): retrieve the best segments, then synthesize; inspect where there is no candidate."""
     best = top_k(ranked, ["query_id"], _best(), k, "step").select("query_id", "step", F.lit("retrieve").alias("action"), F.col("segment_id").cast("string").alias("target"))

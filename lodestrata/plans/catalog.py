@@ -1172,6 +1172,23 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.array_join(tx.string_list(F.split(F.coalesce("text", F.lit("")), " ")), "|").alias("kept"))
 
 
+@query("dpo_reference", """WITH r AS (SELECT doc_id AS pair_id, -(n_chars % 50)::DOUBLE - 1 AS cl, -(n_chars % 40)::DOUBLE - 1 AS rl, 1 + n_chars % 30 AS ct, 1 + doc_id % 20 AS rt FROM documents JOIN labels USING (doc_id))
+SELECT d.doc_id AS pair_id, lang, cl AS chosen_logp, rl AS rejected_logp, ct AS chosen_tokens, rt AS rejected_tokens, CASE WHEN r.pair_id IS NULL THEN 'missing' END AS error FROM documents d LEFT JOIN r ON r.pair_id = d.doc_id""")
+def _(s, d):
+    """Documents as pairs; those with labels have reference log-probabilities."""
+    pairs = table(s, d, "documents").select(F.col("doc_id").alias("pair_id"), "lang")
+    n = F.col("n_chars")
+    known = table(s, d, "documents").join(table(s, d, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("pair_id"), (-(n % 50).cast("double") - 1).alias("chosen_logp"), (-(n % 40).cast("double") - 1).alias("rejected_logp"), (1 + n % 30).alias("chosen_tokens"), (1 + F.col("doc_id") % 20).alias("rejected_tokens"))
+    return evals.with_reference(pairs, known)
+
+
+@query("plan_examples", f"{STAGED}, t AS (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) - 1 AS i FROM rk), g AS (SELECT query_id, string_agg('retrieve:' || segment_id || ':' || i, '|' ORDER BY i) AS p, string_agg(segment_id::VARCHAR, ' ' ORDER BY i) AS c FROM t WHERE i < 3 GROUP BY 1) SELECT query_id, query, coalesce(c, '') AS candidates, coalesce(p || '|', '') || 'synthesize:knowledge_pack:' AS plan FROM questions LEFT JOIN g USING (query_id)")
+def _(s, d):
+    rows = select.planner_examples(staged(s, d), questions(s, d))
+    steps = F.transform("target_plan", lambda x: F.concat(x["action"], F.lit(":"), x["target"], F.lit(":"), F.coalesce(x["rank"].cast("string"), F.lit(""))))
+    return rows.select("query_id", "query", F.array_join(F.transform("candidates", lambda c: c["segment_id"]), " ").alias("candidates"), F.array_join(steps, "|").alias("plan"))
+
+
 # ---------------------------------------------------------------- fingerprints
 
 

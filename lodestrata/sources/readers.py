@@ -90,6 +90,45 @@ def jobs(spark: SparkSession, path: str, schema: str, limit: int) -> DataFrame:
     return df.select("*", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("path")).orderBy(F.desc("modified"), "path").limit(limit)
 
 
+def supervision(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of supervision files, a JSON list or an object with `cases`: (path, case_id, asset, media, query, split, gold_spans).
+
+    Defaults: a number in order of the file for case_id, `dev` for split (always lower case), the media file's bare name for
+    asset; a media path that is not absolute lies beside its file. A case without a query or a media path ends the query."""
+    case = "struct<case_id:string,video_path:string,query:string,video_id:string,split:string,gold_spans:array<struct<start_sec:double,end_sec:double>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = whole.select("path", F.posexplode(F.coalesce(F.from_json("value", f"struct<cases:array<{case}>>")["cases"], F.from_json("value", f"array<{case}>"))).alias("i", "c")).select("path", "i", "c.*")
+    given = lambda c, default: F.coalesce(F.when(F.col(c) != "", F.col(c)), default)
+    needed = lambda c: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"case without {c}: "), "path", F.lit(" "), F.col("i").cast("string"))).cast("string"))
+    media = F.when(F.startswith(needed("video_path"), F.lit("/")) | F.contains("video_path", F.lit("://")), F.col("video_path")).otherwise(F.concat(F.regexp_replace("path", "[^/]+$", ""), "video_path"))
+    stem = F.regexp_replace(F.regexp_replace("video_path", "^.*/", ""), "(?<=.)\\.[^.]*$", "")
+    return rows.select("path", given("case_id", F.format_string("supervision-%04d", "i")).alias("case_id"), given("video_id", stem).alias("asset"), media.alias("media"), needed("query").alias("query"), F.lower(given("split", F.lit("dev"))).alias("split"), F.coalesce("gold_spans", F.array().cast("array<struct<start_sec:double,end_sec:double>>")).alias("gold_spans"))
+
+
+#: Endings of media files.
+MEDIA = ["mp4", "mov", "m4v", "avi", "mkv", "webm"]
+
+
+def resolve_media(packs: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """packs (pack_id, declared, sha256) with `path`, the file (path, sha256) under root that they mean, null if there is none.
+
+    First the declared path, if it is under root and its bytes are right (or no hash was recorded); then, only where a hash is
+    known, the file of that name and then any media file under root's data/raw with those bytes, the first by path."""
+    base = root.rstrip("/")
+    known = F.when(F.lower("sha256").rlike("^[0-9a-f]{64}$"), F.lower("sha256"))
+    full = F.when(F.startswith("declared", F.lit("/")), F.col("declared")).otherwise(F.concat(F.lit(f"{base}/"), "declared"))
+    wanted = packs.select("*", known.alias("want_"), F.when(F.trim("declared") != "", full).alias("full_"), F.regexp_replace("declared", "^.*/", "").alias("name_"))
+    there = files.filter(F.startswith("path", F.lit(f"{base}/"))).select(F.col("path").alias("at_"), F.lower("sha256").alias("has_"))
+    direct = wanted.join(there, [F.col("full_") == F.col("at_"), F.col("want_").isNull() | (F.col("want_") == F.col("has_"))]).select("pack_id", F.lit(0).alias("step_"), "at_")
+    raw = there.filter(F.startswith("at_", F.lit(f"{base}/data/raw/")))
+    media = F.lower(F.regexp_extract("at_", "\\.([^./]+)$", 1)).isin(MEDIA)
+    same = wanted.join(raw, F.col("want_") == F.col("has_"))
+    named = F.col("at_") == F.concat(F.lit(f"{base}/data/raw/"), F.col("name_"))
+    moved = same.filter(named | media).select("pack_id", F.when(named, 1).otherwise(2).alias("step_"), "at_")
+    best = direct.union(moved).groupBy("pack_id").agg(F.min(F.struct("step_", "at_")).alias("x")).select("pack_id", F.col("x.at_").alias("path"))
+    return packs.join(best, "pack_id", "left")
+
+
 def resolve_by_hash(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """wanted (asset, sha256) with the first path that holds those bytes."""
     best = files.groupBy("sha256").agg(F.min("path").alias("path"))
