@@ -623,10 +623,13 @@ def repeated_spans(docs: DataFrame, key: list[str], text: str, length: int, gram
     seen = scratch.save(base.mapInArrow(_anchors(length, gram), "k long, k2 long, code long, seed long"), "seen", "snappy")
     live = seen.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
     # Of repeated rows (equal keys have equal texts) each is kept: their chunks are as many occurrences.
-    lists = seen.join(live.hint("shuffle_hash"), "seed", "left_semi").groupBy(*KEY).agg(F.collect_set("code").alias("l"))
+    # A table, so that what was dealt by seeds is gone before texts are dealt by keys.
+    lists = scratch.save(seen.join(live.hint("shuffle_hash"), "seed", "left_semi").groupBy(*KEY).agg(F.collect_set("code").alias("l")), "lists")
+    scratch.drop("seen")
+    scratch.reclaim()
     chunks = base.join(lists, KEY).mapInArrow(_chunks(length), "k long, k2 long, at long, n long, print binary, body binary")
     chunks = scratch.save(chunks, "chunks")
-    scratch.drop("seen")
+    scratch.drop("lists")
     scratch.reclaim()
     kinds = scratch.save(chunks.groupBy("print").agg(F.first("body").alias("body"), F.first("n").alias("n"), (F.count("*") > 1).alias("many")).withColumn("pid", F.xxhash64("print")), "kinds")
     places = scratch.save(chunks.select(*KEY, "at", "print"), "places")
