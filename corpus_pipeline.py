@@ -35,7 +35,10 @@ def passing(stage):
 
 @passing
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (null and empty texts too) and those no language clearly explains; `lang` becomes the predicted one."""
+    """Drops documents without a letter (null and empty texts too) and those no language clearly explains; `lang` becomes the predicted one.
+
+    A tie between languages goes to the first in the alphabet, whose score is then under the least. Repeated rows are judged
+    each, null ids do not matter; without labelled rows, or an empty table, no row stays."""
     model = langid.fit(docs.filter(~langid.held_out()))
     found = langid.identify(docs, model).filter(F.col("lang_pred") != "und").filter(F.col("score") >= LEAST_SCORE)
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -52,7 +55,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @passing
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages of 50 words or more that occur again out of every text; the other texts stay as they are, byte for byte."""
+    """Takes passages of 50 words or more that occur again out of every text; the other texts stay as they are, byte for byte.
+
+    Every copy of a passage goes, of repeated rows too, for windows are judged on the input. A null text stays null, an empty one
+    empty, and a text that is all repeated becomes empty; no row goes. An empty table stays one."""
     lean = substring.remove_repeats(docs, window=PASSAGE_WORDS)
     text = F.when(F.col("n_removed") > 0, F.col("lean_text")).otherwise(F.col("text"))
     return lean.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -60,12 +66,18 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @passing
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replicates documents so that sources weigh as the square root of their sizes, in one global order."""
+    """Replicates documents so that sources weigh as the square root of their sizes, in one global order.
+
+    A document may come out no time or several times; equal ids draw alike, so repeated rows are all in or all out. A null source
+    is a source, a null id draws as an empty one, ties in the order go by copy. An empty table stays one."""
     return mixing.replicate(docs).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit bins of 2,048 tokens, with no two documents of a source and no two copies in one."""
+    """Best-fit bins of 2,048 tokens, with no two documents of a source and no two copies in one.
+
+    A null or empty text is one end token, a long one several pieces. Null sources are one source. Ties in length go by id;
+    repeated rows are copies of one another and lie in bins of their own. An empty table gives no row."""
     return packing.pack(docs)
 
 

@@ -200,6 +200,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     lang_pred is the language of the shortest code (the first in alphabetical order if equal) and `score` its posterior
     probability under equal priors; a text that is null, empty or without a letter is `und` with score 0 and no bits_per_byte.
+    Repeated rows and null ids are rows like others; a very long text is read by slices, with the bytes before each.
     """
     tune(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "bits_per_byte")

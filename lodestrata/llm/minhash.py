@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or empty text and one without words has no shingles and links with nothing. Ties: equal texts are one component.
     Repeated rows carry the same result each. Rows with a null id take part; a component without any id has a null
-    component_id and its rows are kept.
+    component_id and its rows are kept. A very long text is one set: its words are hashed a part at a time, and it is one cell.
     """
     spark = docs.sparkSession
     tune(spark)

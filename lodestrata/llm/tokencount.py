@@ -28,7 +28,9 @@ def encoder(vocabulary: bytes, pattern: str = PATTERN):
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """docs with `n_tokens` (replaced if there is one); null and empty texts have 0. The vocabulary's path is one of the driver."""
+    """docs with `n_tokens` (replaced if there is one); null and empty texts have 0. The vocabulary's path is one of the driver.
+
+    Repeated rows count each; a text of any length is encoded whole in one task."""
     tune(docs.sparkSession)
     docs = docs.drop("n_tokens")
     at, names = docs.columns.index(text_col), docs.columns
@@ -47,7 +49,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = V
 
 def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     """One row per length in use: `n_tokens`, `n_docs`, `docs_at_least`, `tokens_at_least`, `docs_at_most`, `share_at_most`,
-    `total_truncated` (all tokens if texts end after n_tokens). An empty table gives no row; a null length counts as 0."""
+    `total_truncated` (all tokens if texts end after n_tokens). An empty table gives no row; a null length counts as 0. Equal lengths, of repeated rows too, are one row."""
     rows = lengths.groupBy(F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
     # A row for each length, asked for twice below: a table, so that texts are encoded once.
     rows = Scratch(lengths.sparkSession, "lengths").save(rows, "rows")
