@@ -30,6 +30,9 @@ BLOCK_BYTES = 4 << 20
 WAVES = 8
 #: Tokens that are traversed from one start: runs of a block go on side by side.
 RUN = 256
+#: Ranges of the hash space, and keys of a range that are summed at a time.
+RANGES = 1024
+SUMMED = 1 << 22
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x369DEA0F31A53F85)
@@ -113,22 +116,36 @@ def _send(order: int, bits: int, wave: int):
                 own, place = np.unique(keys[mine], return_inverse=True)
                 counts = np.bincount(place, weights=weight[mine], minlength=len(own)).astype(np.uint64)
                 ranges, at = np.unique(part(own), return_index=True)
-                for r, x, y in zip(ranges.tolist(), at.tolist(), [*at[1:].tolist(), len(own)]):
-                    blobs = (own[x:y].tobytes(), *_small(counts[x:y]))
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([r], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], ["block", "part", "keys", "low", "high"])
+                cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(own)]))
+                blobs = [[own[x:y].tobytes() for x, y in cuts], *zip(*(_small(counts[x:y]) for x, y in cuts))]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(cuts), pa.int64()), pa.array(ranges.astype(np.int64)), *(pa.array(b, pa.binary()) for b in blobs)], ["block", "part", "keys", "low", "high"])
 
     return run
 
 
 def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The corpus counts of each block's keys; block -1 has the tokens and the distinct tokens of training."""
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
-    all_keys, place = np.unique(keys, return_inverse=True)
-    counts = np.bincount(place, weights=_counts(pdf["low"], pdf["high"]), minlength=len(all_keys)).astype(np.uint64)
-    words = counts[(all_keys & np.uint64(1)) == 1]
-    part, edge = pdf["part"].iloc[0], np.cumsum([0, *(len(x) // 8 for x in pdf["keys"])])
-    rows = [(b, part, *_small(counts[place[x:y]]), 0, 0) for b, x, y in zip(pdf["block"], edge[:-1].tolist(), edge[1:].tolist())]
-    rows.append((-1, part, b"", b"", int(words.sum()), int((words > 0).sum())))
+    """The corpus counts of each block's keys; block -1 has the tokens and the distinct tokens of training. A range is summed
+    SUMMED keys at a time, by even cuts of the hashes in it."""
+    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+    own = [_counts([low], [high]) for low, high in zip(pdf["low"], pdf["high"])]
+    least, most = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+    steps = max(1, -(-sum(map(len, keys)) // SUMMED))
+    cuts = np.array([least + (most - least) * i // steps for i in range(1, steps)], np.uint64)
+    edges = [[0, *np.searchsorted(k, cuts).tolist(), len(k)] for k in keys]
+    words = kinds = 0
+    for i in range(steps):
+        parts = [slice(e[i], e[i + 1]) for e in edges]
+        some, place = np.unique(np.concatenate([k[p] for k, p in zip(keys, parts)]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([n[p] for n, p in zip(own, parts)]), minlength=len(some)).astype(np.uint64)
+        found, at = counts[place], 0
+        for n, p in zip(own, parts):
+            n[p] = found[at : at + p.stop - p.start]
+            at += p.stop - p.start
+        single = counts[(some & np.uint64(1)) == 1]
+        words, kinds = words + int(single.sum()), kinds + int((single > 0).sum())
+    part = pdf["part"].iloc[0]
+    rows = [(b, part, *_small(n), 0, 0) for b, n in zip(pdf["block"], own)]
+    rows.append((-1, part, b"", b"", words, kinds))
     return pd.DataFrame(rows, columns=["block", "part", "low", "high", "all_tokens", "kinds"])
 
 
@@ -217,7 +234,8 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; train: a condition on rows of docs.
 
     Null and empty texts are one end token. Repeated rows are scored, and counted in training, each. Null ids take part. If no
-    row is for training, every token has the same probability under base and model. An empty table gives no row.
+    row is for training, every token has the same probability under base and model. An empty table gives no row. A text
+    longer than a block is a block by itself, read by one task.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -225,9 +243,11 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(docs.dtypes)[id_col]
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("s"), F.count("*").alias("n")).first()
     blocks = max(1, -(-((size["s"] or 0) + 16 * size["n"]) // block_bytes))
-    bits = max(0, blocks // 2 - 1).bit_length()
-    # Repeated rows are dealt by the partition they lie in too.
-    block = F.pmod(F.xxhash64(id_col, text_col, F.spark_partition_id()), F.lit(blocks)).cast("long")
+    # The number of ranges stays the same from 2,048 blocks on, until a range would hold what sixteen blocks send: so what is
+    # sent for a block is a fixed number of rows over that stretch.
+    bits = (min(max(1, blocks // 2), max(RANGES, blocks // 16)) - 1).bit_length()
+    # By place as well, so that repeated rows, and those of one partition, are dealt to all blocks.
+    block = F.pmod(F.xxhash64(id_col, F.monotonically_increasing_id()), F.lit(blocks)).cast("long")
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t"), block.alias("block"))
     packed = scratch.save(rows.groupBy("block").applyInPandas(_pack, "block long, ids array<string>, train binary, first binary, vocab binary, index binary"), "blocks")
     scratch.reclaim()

@@ -235,3 +235,49 @@ def test_quality_finds_a_thin_tail_beside_a_broad_imprecise_sign(spark):
     assert len(rules) == 1
     caught = [r for r in rows if all((r["ab".index(f)] <= t) if op == "<=" else (r["ab".index(f)] > t) for f, op, t in rules[0])]
     assert sum(r[0] == 1.0 for r in caught) == 60 and sum(r[2] for r in caught) >= 0.9 * len(caught)
+
+
+def test_language_model_deals_equal_rows_to_all_blocks(spark):
+    """A partition of one repeated row is many blocks, and summing a range in steps changes nothing."""
+    rows = spark.range(400).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one row said again " * 5).alias("text")).coalesce(1)
+    got = lm.score(rows, F.lit(True), block_bytes=2000).select("n_tokens", "n_known", "train_tokens", F.round("score", 6).alias("score")).distinct().collect()
+    assert len(got) == 1 and got[0]["train_tokens"] == 400 * 21
+    sent = rows.select(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(20)).alias("b")).groupBy("b").count().collect()
+    assert len(sent) == 20 and max(r["count"] for r in sent) < 60
+
+
+def test_ranges_summed_in_steps(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    keys = [np.unique(rng.integers(0, 3000, 700).astype(np.uint64) * np.uint64(2**51) + np.uint64(1)) for _ in range(9)]
+    counts = [rng.integers(0, 400, len(k)).astype(np.uint64) for k in keys]
+    pdf = pd.DataFrame([(i, 4, k.tobytes(), *lm._small(c)) for i, (k, c) in enumerate(zip(keys, counts))], columns=["block", "part", "keys", "low", "high"])
+    whole = lm._sum(pdf)
+    monkeypatch.setattr(lm, "SUMMED", 50)
+    assert lm._sum(pdf).equals(whole)
+    total = Counter()
+    for k, c in zip(keys, counts):
+        for x, n in zip(k.tolist(), c.tolist()):
+            total[x] += n
+    for i, (k, r) in enumerate(zip(keys, whole.itertuples())):
+        assert lm._counts([r.low], [r.high]).tolist() == [total[x] for x in k.tolist()]
+    assert (whole.iloc[-1]["all_tokens"], whole.iloc[-1]["kinds"]) == (sum(total.values()), sum(n > 0 for n in total.values()))
+
+
+def test_rows_sent_grow_with_the_blocks(monkeypatch):
+    """From RANGES * 2 blocks on a block sends as many rows as before, in one batch."""
+    monkeypatch.setattr(lm, "RANGES", 16)
+    text = [" ".join(f"w{i}" for i in range(300))]
+    words, first = lm.tokens(text)
+    vocab, index = np.unique(words, return_inverse=True)
+    import pyarrow as pa
+
+    def rows(blocks):
+        bits = (min(max(1, blocks // 2), max(lm.RANGES, blocks // 16)) - 1).bit_length()
+        one = pa.RecordBatch.from_arrays([pa.array([1]), *(pa.array([x], pa.binary()) for x in (np.ones(1, bool).tobytes(), first.astype(np.int64).tobytes(), vocab.tobytes(), index.astype(np.uint16).tobytes()))], ["block", "train", "first", "vocab", "index"])
+        sent = [b for w in range(lm.WAVES) for b in lm._send(3, bits, w)([one])]
+        assert len(sent) <= lm.WAVES
+        return blocks * sum(b.num_rows for b in sent)
+
+    assert rows(40) * 4 == rows(160)
