@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,11 @@ from .common import Scratch, tune
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a block; a longer text is a block by itself.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 #: Characters of a text that are cut into units at a time.
 PART_CHARS = 1 << 20
+#: Units encoded as one row, and rows encoded at a time.
+ROW_UNITS, BATCH_ROWS = 1000, 16
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -47,17 +50,43 @@ def units(text: str, size: int = 0):
 class Vocabulary:
     """An encoder and the bytes of its tokens."""
 
-    def __init__(self, encode, entries: list[bytes]):
-        self.encode = encode
+    def __init__(self, encode, entries: list[bytes], row: int = 1):
+        self.encode, self.row = encode, row
         self.size = np.array([len(x) for x in entries], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(entries), np.uint8)
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each has."""
-        ids = self.encode(texts)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for row in ids for x in row), np.int64, int(n.sum())), n
+    def tokens(self, texts: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after another, and how many each has; raw: the bytes they are to spell.
+
+        Units without white space at an end may be encoded in rows joined by spaces, for each of their ends is an end of
+        tokens there too; where it isn't, as in a row with a character that is not spelt, they are encoded one by one."""
+        bare = np.fromiter((self.row > 1 and t == t.strip() for t in texts), bool, len(texts))
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        at, single = np.nonzero(bare)[0], np.nonzero(~bare)[0].tolist()
+        ids, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        rows = np.split(at, np.arange(self.row, len(at), self.row))
+        for lo in range(0, len(rows), BATCH_ROWS):
+            batch = [r for r in rows[lo : lo + BATCH_ROWS] if len(r)]
+            for row, found in zip(batch, self.encode([" ".join([texts[i] for i in r.tolist()]) for r in batch])):
+                found = np.array(found, np.int64)
+                end, want = np.cumsum(self.size[found]), np.cumsum(length[row])
+                last = np.searchsorted(end, want)
+                if last[-1] != len(end) - 1 or not np.array_equal(end[last], want):
+                    single += row.tolist()
+                    continue
+                ids.append(found)
+                owner.append(np.repeat(row, np.diff(last, prepend=-1)))
+        for lo in range(0, len(single), ROW_UNITS * BATCH_ROWS):
+            some = single[lo : lo + ROW_UNITS * BATCH_ROWS]
+            found = self.encode([texts[i] for i in some])
+            ids.append(np.fromiter(chain.from_iterable(found), np.int64))
+            owner.append(np.repeat(np.array(some, np.int64), [len(x) for x in found]))
+        ids, owner = np.concatenate(ids), np.concatenate(owner)
+        if single and len(at):
+            order = np.argsort(owner, kind="stable")
+            ids, owner = ids[order], owner[order]
+        return ids, np.bincount(owner, minlength=len(texts))
 
     def spells(self, ids: np.ndarray, n: np.ndarray, raw: list[bytes]) -> np.ndarray:
         """Whether the tokens of each text are its bytes."""
@@ -87,7 +116,7 @@ def byte_level(spec: str) -> Vocabulary:
     entries = [b""] * (max(vocab.values()) + 1)
     for word, i in vocab.items():
         entries[i] = bytes(byte.get(c, 0) for c in word)
-    return Vocabulary(lambda texts: [x.ids for x in coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], entries)
+    return Vocabulary(lambda texts: [x.ids for x in coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], entries, ROW_UNITS)
 
 
 def pieces(model: bytes) -> Vocabulary:
@@ -129,7 +158,7 @@ class Links:
 
     def __init__(self, a: Vocabulary, b: Vocabulary, texts: list[str]):
         raw = [b" " + t.encode() for t in texts]
-        (a_ids, a_n), (b_ids, b_n) = a.tokens(texts), b.tokens(texts)
+        (a_ids, a_n), (b_ids, b_n) = a.tokens(texts, raw), b.tokens(texts, raw)
         self.spelt = a.spells(a_ids, a_n, raw) & b.spells(b_ids, b_n, raw)
         count, kinds = len(texts), len(b.size)
         a_unit, b_unit = np.repeat(np.arange(count), a_n), np.repeat(np.arange(count), b_n)
@@ -174,15 +203,33 @@ def _bytes(x: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes()], pa.binary())
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+class _Numbers(dict):
+    """A number for each key, in the order they are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 def _held(seq: np.ndarray, first: np.ndarray, links: Links) -> np.ndarray:
     """How many documents have each pair of the block; seq: units of the documents one after another."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    own = np.unique(doc * len(links.spelt) + seq)
-    unit, doc = own % len(links.spelt), own // len(links.spelt)
-    n = links.sizes[unit, 3]
-    at = np.repeat(links.first[unit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    each = np.unique(np.repeat(doc, n) * len(links.pairs) + links.place[at])
-    return np.bincount(each % len(links.pairs), minlength=len(links.pairs)) if len(each) else np.zeros(len(links.pairs), np.int64)
+    own = _distinct(np.repeat(np.arange(len(first) - 1), np.diff(first)) * len(links.spelt) + seq)
+    n = links.sizes[own % len(links.spelt), 3]
+    held, upto, lo = np.zeros(len(links.pairs), np.int64), np.cumsum(n), 0
+    while lo < len(own):  # about a million links at a time, cut between documents
+        hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), "right"))
+        hi = int(np.searchsorted(own, (own[min(hi, len(own) - 1)] // len(links.spelt) + 1) * len(links.spelt)))
+        unit, doc, size = own[lo:hi] % len(links.spelt), own[lo:hi] // len(links.spelt), n[lo:hi]
+        at = np.repeat(links.first[unit] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        each = _distinct(np.repeat(doc, size) * len(links.pairs) + links.place[at])
+        held += np.bincount(each % max(len(links.pairs), 1), minlength=len(links.pairs))
+        lo = hi
+    return held
 
 
 def _blocks(shared: tuple, limit: int):
@@ -193,30 +240,30 @@ def _blocks(shared: tuple, limit: int):
         # A document with a unit that is not spelt has no tokens at all.
         rows = [x if links.spelt[x].all() else x[:0] for x in rows]
         first = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
-        seq = np.concatenate([*rows, np.empty(0, np.int64)])
+        seq = np.concatenate(rows)
         marks = "\n".join(links.marks).encode()
         held = _held(seq, first, links)
         together = pa.concat_arrays(ids)
         values = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(together)], pa.int32()), together)]
-        values += [_bytes(x) for x in (first, seq.astype(np.uint32), links.sizes.astype(np.uint32), links.place.astype(np.uint32))]
-        values += [pa.array([marks], pa.binary()), pa.array([links.pairs.tolist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.int64()))]
+        values += [_bytes(x) for x in (first, seq, links.sizes.astype(np.uint32), links.place.astype(np.uint32))]
+        values += [pa.array([marks], pa.binary()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (links.pairs, held))]
         return pa.RecordBatch.from_arrays(values, ["block", "ids", "first", "seq", "sizes", "place", "marks", "pairs", "held"])
 
     def run(batches):
         a, b = byte_level(shared[0].value), pieces(shared[1].value)
         number = TaskContext.get().partitionId() << 32
-        ids, rows, index, size = [], [], {}, 0
+        ids, rows, index, size = [], [], _Numbers(), 0
         for batch in batches:
             texts = batch.column(1)
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or ""
                 if ids and size + len(text) > limit:
                     yield block(number, ids, rows, index, a, b)
-                    number, ids, rows, index, size = number + 1, [], [], {}, 0
+                    number, ids, rows, index, size = number + 1, [], [], _Numbers(), 0
                 size += len(text) + 64
                 ids.append(batch.column(0).slice(i, 1))
-                seq = [np.fromiter((index.setdefault(u, len(index)) for u in part), np.int64, len(part)) for part in units(text)] if text else []
-                rows.append(np.concatenate([*seq, np.empty(0, np.int64)]))
+                seq = [np.array([*map(index.__getitem__, part)], np.uint32) for part in units(text)] if text else []
+                rows.append(np.concatenate([*seq, np.empty(0, np.uint32)]))
         if ids:
             yield block(number, ids, rows, index, a, b)
 
