@@ -176,13 +176,15 @@ class Links:
         self.sizes = np.stack([np.bincount(u, minlength=count) for u in (a_unit, b_unit, a_unit[heads], a_unit[left])], axis=1)
         self.pairs, self.place = np.unique(a_ids[left] * kinds + b_ids[right], return_inverse=True)
         self.first = np.concatenate([[0], np.cumsum(self.sizes[:, 3])])
-        self.marks = self._marks(a_ids, b_ids, a_group, b_group, a_unit, b_unit, count)
+        groups = int(heads.sum())
+        self.a_ids, self.b_ids = a_ids, b_ids
+        self.a_in, self.b_in = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
 
     @staticmethod
-    def _marks(a_ids, b_ids, a_group, b_group, a_unit, b_unit, count) -> list[str]:
-        """The groups of each unit as text, `a1,a2|b1;` for each."""
-        groups = int(a_group[-1]) + 1 if len(a_group) else 0
-        a_in, b_in = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
+    def marks(a_ids: np.ndarray, b_ids: np.ndarray, a_in: np.ndarray, b_in: np.ndarray, unit: np.ndarray, count: int) -> list[str]:
+        """The groups of each of count units as text, `a1,a2|b1;` for each; a group has a_in and b_in tokens and is in a unit."""
+        a_group, b_group = np.repeat(np.arange(len(a_in)), a_in), np.repeat(np.arange(len(b_in)), b_in)
+        a_unit, b_unit = unit[a_group], unit[b_group]
         a_at = np.arange(len(a_ids)) + (np.cumsum(b_in) - b_in)[a_group]
         b_at = np.arange(len(b_ids)) + np.cumsum(a_in)[b_group]
         last = lambda g: np.append(g[1:] != g[:-1], True)[: len(g)]
@@ -199,8 +201,14 @@ class Links:
         return [flat[x:y] for x, y in zip(edge[:-1], edge[1:])]
 
 
-def _bytes(x: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes()], pa.binary())
+def _narrow(x: np.ndarray) -> pa.Array:
+    """Numbers from 0 in as few bytes each as their largest takes, which the first byte tells."""
+    size = next(n for n in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * n))
+    return pa.array([bytes([size]) + x.astype(f"<u{size}").tobytes()], pa.binary())
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -208,6 +216,11 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+#: What a block keeps: words of each document, their units, groups and links of each unit, the pair of each link, tokens, and
+#: the tokens of each group.
+NUMBERS = ["words", "seq", "groups", "links", "place", "a_ids", "b_ids", "a_in", "b_in"]
+
+
 class _Numbers(dict):
     """A number for each key, in the order they are first asked for."""
 
@@ -241,13 +254,12 @@ def _blocks(shared: tuple, limit: int):
         rows = [x if links.spelt[x].all() else x[:0] for x in rows]
         first = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
         seq = np.concatenate(rows)
-        marks = "\n".join(links.marks).encode()
         held = _held(seq, first, links)
         together = pa.concat_arrays(ids)
         values = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(together)], pa.int32()), together)]
-        values += [_bytes(x) for x in (first, seq, links.sizes.astype(np.uint32), links.place.astype(np.uint32))]
-        values += [pa.array([marks], pa.binary()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (links.pairs, held))]
-        return pa.RecordBatch.from_arrays(values, ["block", "ids", "first", "seq", "sizes", "place", "marks", "pairs", "held"])
+        values += [_narrow(x) for x in (np.diff(first), seq, *links.sizes.T[2:], links.place, links.a_ids, links.b_ids, links.a_in, links.b_in)]
+        values += [*(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (links.pairs, held))]
+        return pa.RecordBatch.from_arrays(values, ["block", "ids", *NUMBERS, "pairs", "held"])
 
     def run(batches):
         a, b = byte_level(shared[0].value), pieces(shared[1].value)
@@ -277,19 +289,19 @@ def _documents(names: list[str]):
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns))
             for i in range(batch.num_rows):
-                get = lambda name, kind: np.frombuffer(col[name][i].as_py(), kind)  # noqa: E731, B023
-                first, seq, place = get("first", np.int64), get("seq", np.uint32), get("place", np.uint32)
-                sizes = get("sizes", np.uint32).reshape(-1, 4).astype(np.int64)
+                words, seq, groups, links, place, a_ids, b_ids, a_in, b_in = (_wide(col[name][i].as_py()) for name in NUMBERS)
+                first, edge = np.concatenate([[0], np.cumsum(words)]), np.concatenate([[0], np.cumsum(links)])
                 sums = np.zeros((2, int(place.max()) + 1 if len(place) else 1), np.int64)
                 if col["found"][i].is_valid:
                     found = col["found"][i].values
                     at = found.field("at").to_numpy()
                     sums[0, at] = found.field("best").to_numpy(zero_copy_only=False)
                     sums[1, at] = found.field("n").to_numpy()
-                edge = np.concatenate([[0], np.cumsum(sizes[:, 3])])
-                by_unit = np.column_stack([sizes, *(np.diff(np.concatenate([[0], np.cumsum(x[place])])[edge]) for x in sums)])
-                totals = [np.diff(np.concatenate([[0], np.cumsum(by_unit[seq, j])])[first]) for j in range(6)]
-                marks = col["marks"][i].as_py().decode().split("\n")
+                unit = np.repeat(np.arange(len(groups)), groups)
+                of_unit = [np.bincount(unit, weights=x, minlength=len(groups)).astype(np.int64) for x in (a_in, b_in)]
+                of_unit += [groups, links, *(np.diff(np.concatenate([[0], np.cumsum(x[place])])[edge]) for x in sums)]
+                totals = [np.diff(np.concatenate([[0], np.cumsum(x[seq])])[first]) for x in of_unit]
+                marks = Links.marks(a_ids, b_ids, a_in, b_in, unit, len(groups))
                 ids = col["ids"][i].values
                 at = 0
                 while at < len(ids):  # some MB of groups at a time
@@ -322,7 +334,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
     shared = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(model)
     kinds = len(pieces(model).size)
     schema = T.StructType().add("block", "long").add("ids", T.ArrayType(kind))
-    for name in ("first", "seq", "sizes", "place", "marks"):
+    for name in NUMBERS:
         schema.add(name, "binary")
     schema.add("pairs", T.ArrayType(T.LongType())).add("held", T.ArrayType(T.LongType()))
     blocks = scratch.save(docs.select(id_col, text_col).mapInArrow(_blocks(shared, block_chars or BLOCK_CHARS), schema), "blocks")
