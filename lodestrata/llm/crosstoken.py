@@ -202,13 +202,20 @@ class Links:
 
 
 def _narrow(x: np.ndarray) -> pa.Array:
-    """Numbers from 0 in as few bytes each as their largest takes, which the first byte tells."""
-    size = next(n for n in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * n))
-    return pa.array([bytes([size]) + x.astype(f"<u{size}").tobytes()], pa.binary())
+    """Numbers from 0 in as few bytes each as their largest takes, which the first byte tells, their count, and all first bytes,
+    then all second ones and so on, compressed."""
+    size = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T)
+    return pa.array([bytes([size]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary())
 
 
 def _wide(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+    size, n = blob[0], int.from_bytes(blob[1:9], "little")
+    planes = np.frombuffer(pa.decompress(blob[9:], size * n, "zstd"), np.uint8).reshape(size, n)
+    out = np.zeros(n, np.int64)
+    for i, plane in enumerate(planes):
+        out |= plane.astype(np.int64) << (8 * i)
+    return out
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:

@@ -214,3 +214,9 @@ def test_long_page():
     body = "".join(f"<p>{LINE}<b>{i}</b>" for i in range(20_000))
     text = extract.main_text(f"<nav><a href=/>x</a></nav><article>{body}")
     assert len(text) > 2_000_000 and text.endswith("19999")
+
+
+def test_numbers_in_few_bytes():
+    for x in ([], [0], [255], [256, 0, 3], [65535, 65536], [2**24 - 1, 1], [2**40, 7]):
+        blob = crosstoken._narrow(np.array(x, np.int64))[0].as_py()
+        assert crosstoken._wide(blob).tolist() == x and blob[0] == max([1, *(-(-v.bit_length() // 8) for v in x)])
