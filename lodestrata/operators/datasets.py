@@ -134,4 +134,6 @@ def admit(base: DataFrame, adapter: DataFrame, slack: float = 0.05) -> DataFrame
 
 
 def fastest_verified(runs: DataFrame) -> DataFrame:
-    return runs.filter("verified").agg(F.min_by("variant", "latency").alias("variant"), F.min("latency").alias("latency"))
+    # Of equal latencies the smallest variant; rows that lack one of the two can't be the fastest.
+    order = F.when(F.col("latency").isNotNull() & F.col("variant").isNotNull(), F.struct("latency", "variant"))
+    return runs.filter("verified").agg(F.min_by("variant", order).alias("variant"), F.min("latency").alias("latency"))
