@@ -99,9 +99,10 @@ def logistic(features: list[Column], mean: list[float], scale: list[float], coef
 
 
 def score_examples(ranked: DataFrame, positives: int = 1) -> DataFrame:
-    """Training rows of a scorer: the first of a question are positive, the others negative. ranked has `rank`."""
-    text = F.coalesce("text", F.lit(""))
-    return ranked.select("query_id", "segment_id", F.when(F.col("rank") <= positives, 1.0).otherwise(0.0).alias("label"), "start_sec", "end_sec", "brightness", "contrast", "motion", F.length(text).alias("text_len"))
+    """Training rows of a scorer: the first of a question are positive, the others negative. ranked has `rank`, and `text_len` or
+    the text."""
+    size = F.col("text_len") if "text_len" in ranked.columns else F.length(F.coalesce("text", F.lit(""))).alias("text_len")
+    return ranked.select("query_id", "segment_id", F.when(F.col("rank") <= positives, 1.0).otherwise(0.0).alias("label"), "start_sec", "end_sec", "brightness", "contrast", "motion", size)
 
 
 def boosted_scorer(examples: DataFrame, features: list[str], rounds: int = 20, seed: int = 42):

@@ -28,6 +28,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(asset, segment_id, text) of segments(), straight from the table: texts take no part in the order of time."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("asset"), F.col("doc_id").alias("segment_id"), "text")
+
+
 #: The same in DuckDB, to go before a query.
 SEGMENTS = """segments AS (
   SELECT source AS asset, doc_id AS segment_id,
