@@ -10,8 +10,10 @@ from .retrieve import top_k
 
 
 def top_keywords(rows: DataFrame, keys: list[str], text: str = "text", k: int = 8) -> DataFrame:
-    """keys and `keywords`: the k most frequent tokens of each row's text, in order of frequency and then of first place."""
-    terms = rows.select(*keys, F.posexplode(tx.tokens(F.col(text))).alias("pos", "term"))
+    """keys and `keywords`: the k most frequent tokens of each row's text, in order of frequency and then of first place.
+
+    Texts are dealt by their keys once; words are counted, ranked and gathered where their text is, and are never shuffled."""
+    terms = rows.select(*keys, text).repartition(*keys).select(*keys, F.posexplode(tx.tokens(F.col(text))).alias("pos", "term"))
     counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     best = top_k(counts, keys, [F.desc("n"), F.asc("pos")], k)
     return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
@@ -26,9 +28,12 @@ def build(segments: DataFrame, score: str = "score") -> DataFrame:
     base = rows.withColumn("salience", salience).withColumn("importance", F.col(score) + 0.02 * F.col("motion") + F.col("salience"))
     ident = lambda kind: F.concat(F.col("asset"), F.lit(f":{kind}-"), F.col("segment_id").cast("string")).alias("memory_id")
     words = F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")
-    episodic = base.select(ident("mem"), F.lit("episodic").alias("kind"), "asset", "segment_id", "start_sec", "end_sec", "text", "importance", "salience", words)
-    semantic = base.filter("size(keywords) > 0").select(ident("sem"), F.lit("semantic").alias("kind"), "asset", "segment_id", "start_sec", "end_sec", F.concat(F.lit("片段主题关键词："), F.array_join("keywords", ", ")).alias("text"), (0.5 * F.col("importance")).alias("importance"), "salience", words)
-    return episodic.union(semantic)
+    episodic = F.struct(ident("mem"), F.lit("episodic").alias("kind"), F.col("text"), F.col("importance"))
+    semantic = F.struct(ident("sem"), F.lit("semantic").alias("kind"), F.concat(F.lit("片段主题关键词："), F.array_join("keywords", ", ")).alias("text"), (0.5 * F.col("importance")).alias("importance"))
+    # Both records of a segment come from one row, so segments and words are worked out once.
+    both = F.when(F.size("keywords") > 0, F.array(episodic, semantic)).otherwise(F.array(episodic))
+    out = base.select("asset", "segment_id", "start_sec", "end_sec", "salience", words, F.explode(both).alias("r"))
+    return out.select("r.memory_id", "r.kind", "asset", "segment_id", "start_sec", "end_sec", "r.text", "r.importance", "salience", "keywords")
 
 
 def search(records: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
