@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import datasets, retrieve
+from lodestrata.operators import datasets, memory, retrieve
 from lodestrata.plans import catalog
 
 
@@ -35,3 +35,32 @@ def test_counted_words_agree_with_candidates(spark):
     asked = spark.createDataFrame([(1, "a", "cola water tea"), (2, "a", ""), (3, "c", "cola")], "query_id long, asset string, query string")
     got = {(r["query_id"], r["segment_id"]): (r["hits"], r["n_terms"], r["text_len"]) for r in retrieve.counted(texts, asked).collect()}
     assert got == {(1, 1): (2, 3, 19), (1, 2): (0, 3, 0), (2, 1): (0, 0, 19), (2, 2): (0, 0, 0)}
+
+
+def test_words_are_counted_without_a_shuffle(spark):
+    texts = spark.createDataFrame([("a", 1, "cola cola tea 可乐好"), ("a", 2, None), (None, 3, "tea")], "asset string, segment_id long, text string")
+    counted = retrieve.term_counts(texts)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counted.collect()), key=str) == sorted([("a", 1, "cola", 2), ("a", 1, "tea", 1), ("a", 1, "可乐", 1), ("a", 1, "乐好", 1), (None, 3, "tea", 1)], key=str)
+
+
+def test_texts_are_dealt_once_for_their_keywords(spark):
+    rows = spark.createDataFrame([(1, "b a b c"), (1, "bb aa bb"), (2, None), (3, "zz yy zz yy")], "doc_id long, text string")
+    found = memory.top_keywords(rows, ["doc_id"], k=2)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["doc_id"]: r["keywords"] for r in found.collect()} == {1: ["bb", "aa"], 3: ["zz", "yy"]}
+
+
+def test_dense_search_in_blocks_keeps_ties_and_odd_vectors(spark):
+    """More copies of a vector than k, vectors with nulls, of other lengths and of length zero, against every pair one by one."""
+    some = [[float((i * j) % 7 - 3) for j in range(1, 5)] for i in range(1, 9)]
+    rows = [(i, "x", some[i % 8]) for i in range(60)] + [(100, "x", [1.0, None, 2.0, 0.5]), (101, "x", [1.0, 2.0]), (102, "x", [0.0] * 4), (103, "y", some[0]), (104, None, some[0]), (105, "x", None)]
+    v = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").repartition(3)
+    asked = v.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query"))
+    u = v.filter("embedding is not null").select("vec_id", "label", retrieve.unit(F.col("embedding")).alias("v"))
+    q = asked.filter("query is not null").select("query_id", "label", retrieve.unit(F.col("query")).alias("q"))
+    every = u.join(q, "label").filter(F.size("v") == F.size("q")).select("query_id", "vec_id", F.round(retrieve.dot(F.col("v"), F.col("q")), 9).alias("score"))
+    want = retrieve.top_k(every, ["query_id"], [F.desc("score"), F.asc("vec_id")], 3)
+    found = retrieve.dense_top_k(v, asked, 3)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
