@@ -64,11 +64,11 @@ def seeded_network(inputs: int = 12, hidden: int = 32, seed: int = 42) -> dict[s
 
 
 def gelu(z: np.ndarray) -> np.ndarray:
-    return 0.5 * z * (1 + np.tanh(0.7978845608028654 * (z + 0.044715 * z**3)))
+    return 0.5 * z * (1 + np.tanh(0.7978845608028654 * (z + 0.044715 * z * z * z)))
 
 
 def gelu_slope(z: np.ndarray) -> np.ndarray:
-    t = np.tanh(0.7978845608028654 * (z + 0.044715 * z**3))
+    t = np.tanh(0.7978845608028654 * (z + 0.044715 * z * z * z))
     return 0.5 * (1 + t) + 0.5 * z * (1 - t * t) * 0.7978845608028654 * (1 + 3 * 0.044715 * z * z)
 
 
