@@ -12,8 +12,9 @@
 3. Neighbours in the final order are compared by their first `length` bytes (by a 64-bit fingerprint): a suffix repeats if it
    equals a neighbour or its chunk weighs two or more.
 
-A page holds a bounded number of bytes and a range a bounded number of suffixes. Between steps only arrays of numbers move, in
-binary columns. The driver sees splitters: a fixed number of samples from each page.
+A page holds a bounded number of bytes and a range a bounded number of suffixes: ranges follow what a level asks for, counted
+page by page. Between steps only arrays of numbers move, in binary columns. The driver sees splitters: one sample of so many
+suffixes.
 """
 
 import contextlib
@@ -39,7 +40,7 @@ CUT = 1
 PARTS = 4
 CHUNK_WINDOWS = 4096
 PAGE_BYTES = 2 << 20
-RANGE_SUFFIXES = 2 << 20
+RANGE_SUFFIXES = 1 << 20
 LEVELS = 5
 #: Parts of the ranges merged one after another, by level: what is on its way at a time stays a fraction of the whole.
 WAVES: dict[int, int] = {}
@@ -225,8 +226,9 @@ def _triples(level: int, s: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
     return a << np.uint64(21) | b >> np.uint64(21), (b & np.uint64((1 << 21) - 1)) << np.uint64(42) | c
 
 
-def _some(n: int, most: int) -> np.ndarray:
-    return np.unique(np.linspace(0, n - 1, min(n, most)).astype(np.int64)) if n else np.empty(0, np.int64)
+def _some(n: int, step: int) -> np.ndarray:
+    """One place in so many, so that a page is sampled by what it holds."""
+    return np.arange(step // 2 if step // 2 < n else 0, n, step)
 
 
 def needed(sizes: bytes, length: int, level: int) -> np.ndarray:
@@ -236,13 +238,33 @@ def needed(sizes: bytes, length: int, level: int) -> np.ndarray:
     edge = np.cumsum(sizes)
     mask = np.arange(edge[-1]) + length <= np.repeat(edge, sizes)
     for _ in range(level):
-        use = np.zeros(len(mask) + 3, bool)
-        for i in range(3):
-            use[i : i + len(mask)] |= mask
-        mask = use[np.concatenate(cover(len(mask)))]
+        mask = _above(mask)
     return mask
 
 
+def _above(mask: np.ndarray) -> np.ndarray:
+    use = np.zeros(len(mask) + 3, bool)
+    for i in range(3):
+        use[i : i + len(mask)] |= mask
+    return use[np.concatenate(cover(len(mask)))]
+
+
+def _asked(length: int):
+    """How many ranks each level of a page is asked for. Short runs of windows take far more of them above than two thirds of
+    those below, so that a level's ranges can't be told from the number of windows."""
+
+    def run(batches):
+        for batch in batches:
+            for sizes in batch.column(0).to_pylist():
+                mask, n = needed(sizes, length, 0), []
+                for _ in range(LEVELS):
+                    n.append(int(mask.sum()))
+                    mask = _above(mask)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int64()))], ["n"])
+
+    return run
+
+
 def pair_order(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Order by two words; 32 bits of the second go behind the place of the first, so that single words are sorted."""
     if lo.dtype != np.uint32:
@@ -297,12 +319,12 @@ def _low(level: int, kind):
     return np.uint32 if level == 1 or kind is np.uint32 else np.uint64
 
 
-def _sample_triples(low, most: int):
+def _sample_triples(low, step: int):
     def run(batches):
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1)):
                 hi, lo = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), low)
-                at = _some(len(hi), most)
+                at = _some(len(hi), step)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(hi[at])), pa.array(signed(lo[at].astype(np.uint64)))], ["hi", "lo"])
 
     return run
@@ -399,14 +421,14 @@ def _ranked(level: int, text: bytes, ranks: bytes, kind) -> tuple[np.ndarray, np
     return np.concatenate([_padded(s), np.zeros(1, np.uint64)]), rank
 
 
-def _sample_ranks(level: int, length: int, kind, most: int):
+def _sample_ranks(level: int, length: int, kind, step: int):
     def run(batches):
         for batch in batches:
             for text, ranks, sizes in zip(batch.column(1), batch.column(2), batch.column(3)):
                 s, rank = _ranked(level, text.as_py(), ranks.as_py(), kind)
                 at = np.nonzero(needed(sizes.as_py(), length, level))[0]
                 at = at[at % 3 == 1]
-                at = at[_some(len(at), most)]
+                at = at[_some(len(at), step)]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (rank[at], s[at], rank[at + 1])], ["rank", "s", "next"])
 
     return run
@@ -521,42 +543,40 @@ def _splitters(sample: np.ndarray, ranges: int) -> np.ndarray:
     return sample[np.unique((np.arange(1, ranges) * len(sample)) // ranges)]
 
 
-def repeated_positions(pages: DataFrame, total: int, windows: int, length: int, scratch: Scratch, range_suffixes: int = RANGE_SUFFIXES) -> DataFrame:
+def repeated_positions(pages: DataFrame, total: int, length: int, scratch: Scratch, range_suffixes: int = RANGE_SUFFIXES) -> DataFrame:
     """(page, at binary of uint32): positions of pages (page, text, sizes) at which a string of `length` bytes starts that also
-    starts elsewhere in the pages. total: their bytes; windows: how many such strings they hold."""
+    starts elsewhere in the pages. total: their bytes."""
     keys, kind = "page long, part long", width(total)
     text = pages.select("page", F.col("text").alias("data"), "sizes")
     strings: dict[int, DataFrame] = {0: text, 1: text}
-    size, count_pages = total * 2 / 3, pages.count()
-    samples = lambda ranges: max(1, math.ceil(SAMPLES * ranges / count_pages))
+    counts = pages.select("sizes").mapInArrow(_asked(length), "n array<long>").agg(*(F.sum(F.col("n")[i]).alias(str(i)) for i in range(LEVELS))).first()
+    size, step = total * 2 / 3, max(1, range_suffixes // SAMPLES)
     for level in range(1, LEVELS):
         size *= 2 / 3
         ranges = max(1, math.ceil(size / range_suffixes))
         low = _low(level, kind)
-        kinds = scratch.save(strings[level].mapInArrow(_distinct(level, length, kind), "page long, hi binary, lo binary, which binary, sizes binary"), f"kinds-{level}", "snappy")
+        kinds = scratch.save(strings[level].mapInArrow(_distinct(level, length, kind), "page long, hi binary, lo binary, which binary, sizes binary"), f"kinds-{level}", "snappy", wide=True)
         picked = []
         if ranges > 1:
-            picked = kinds.select("hi", "lo").mapInArrow(_sample_triples(low, samples(ranges)), "hi long, lo long").collect()
+            picked = kinds.select("hi", "lo").mapInArrow(_sample_triples(low, step), "hi long, lo long").collect()
         hi, lo = (np.array([x[c] for x in picked], np.int64).view(np.uint64) for c in ("hi", "lo"))
         order = np.lexsort((lo, hi))
         order = _splitters(order, ranges)
         sent = kinds.select("page", "hi", "lo").mapInArrow(_send_triples(low, hi[order], lo[order]), f"{keys}, hi binary, lo binary")
-        named = scratch.save(sent.groupBy("part").applyInPandas(_name(low), f"{keys}, value binary, top long"), f"named-{level}", "snappy")
+        named = scratch.save(sent.groupBy("part").applyInPandas(_name(low), f"{keys}, value binary, top long"), f"named-{level}", "snappy", wide=True)
         scratch.reclaim()
-        strings[level + 1] = scratch.save(_renamed(named, kinds, kind), f"string-{level + 1}", "snappy")
+        strings[level + 1] = scratch.save(_renamed(named, kinds, kind), f"string-{level + 1}", "snappy", wide=True)
         scratch.drop(f"kinds-{level}")
         scratch.drop(f"named-{level}")
         scratch.reclaim()
     top = LEVELS - 1
     joined = strings[top].join(strings[LEVELS].select("page", F.col("data").alias("ranks")), "page").select("page", "data", "ranks", "sizes")
-    joined = scratch.save(joined, f"joined-{top}", "snappy")
-    size = windows * (2 / 3) ** LEVELS
+    joined = scratch.save(joined, f"joined-{top}", "snappy", wide=True)
     for level in range(top, -1, -1):
-        size *= 1.5
-        ranges = max(1, math.ceil(size / range_suffixes))
+        ranges = max(1, math.ceil((counts[level] or 0) / range_suffixes))
         found = []
         if ranges > 1:
-            found = [(x["rank"], x["s"], x["next"]) for x in joined.mapInArrow(_sample_ranks(level, length, kind, samples(ranges)), "rank long, s long, next long").collect()]
+            found = [(x["rank"], x["s"], x["next"]) for x in joined.mapInArrow(_sample_ranks(level, length, kind, max(1, step // 3)), "rank long, s long, next long").collect()]
         sample = np.array(sorted(found), np.int64).reshape(-1, 3).view(np.uint64)
         cut = _splitters(sample, ranges)
         count = WAVES.get(level, 1)
@@ -564,14 +584,14 @@ def repeated_positions(pages: DataFrame, total: int, windows: int, length: int,
         for w in range(count):
             wave = range((len(cut) + 1) * w // count, (len(cut) + 1) * (w + 1) // count)
             sent = joined.mapInArrow(_send_suffixes(level, cut, wave, length, kind), f"{keys}, at binary, s0 binary, s1 binary, r1 binary, r2 binary, own binary, prints binary")
-            waves.append(scratch.save(sent.groupBy("part").applyInPandas(_merge(level, kind), f"{keys}, at binary, value binary, top long, first int, last int"), f"merged-{level}-{w}", "snappy"))
+            waves.append(scratch.save(sent.groupBy("part").applyInPandas(_merge(level, kind), f"{keys}, at binary, value binary, top long, first int, last int"), f"merged-{level}-{w}", "snappy", wide=True))
             scratch.reclaim()
         out = waves[0]
         for w in waves[1:]:
             out = out.union(w)
         scratch.drop(f"joined-{level}", f"string-{level + 1}")
         if level:
-            joined = scratch.save(_ranks(out, strings[level - 1], kind), f"joined-{level - 1}", "snappy")
+            joined = scratch.save(_ranks(out, strings[level - 1], kind), f"joined-{level - 1}", "snappy", wide=True)
             scratch.drop(*(f"merged-{level}-{w}" for w in range(count)))
             scratch.reclaim()
     # Two rows for each range: few enough for one ordered window.
@@ -599,17 +619,17 @@ def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"print": [names[x][:16] for x in c], "s": at[first] - edge[c] + base[c], "e": at[last] - edge[c] + base[c] + 1})
 
 
-def _sorted_spans(texts: DataFrame, total: int, windows: int, length: int, scratch: Scratch) -> DataFrame:
+def _sorted_spans(texts: DataFrame, total: int, length: int, scratch: Scratch) -> DataFrame:
     """(print, s, e): window starts of chunks that the order of all suffixes shows to repeat."""
     spark = texts.sparkSession
     count = max(1, math.ceil(total / PAGE_BYTES))
     # Texts that share a part lie side by side, so a page has few distinct triples; a part in very many texts fills many pages.
     dealt = texts.repartitionByRange(count, "low", "print").sortWithinPartitions("low", "print").select("print", "body")
     pages = dealt.mapInArrow(_pages, "page long, text binary, prints binary, sizes binary")
-    pages = scratch.save(pages, "pages")
+    pages = scratch.save(pages, "pages", wide=True)
     scratch.reclaim()
     with _one_row_batches(spark):
-        again = repeated_positions(pages, total, windows, length, scratch)
+        again = repeated_positions(pages, total, length, scratch)
     none = F.lit(None).cast("binary")
     # Of a page's text only that it is there is asked.
     own = pages.select("page", F.lit(b"x").alias("text"), "prints", "sizes", none.alias("at")).union(again.select("page", none, none, none, "at"))
@@ -641,12 +661,11 @@ def repeated_spans(docs: DataFrame, key: list[str], text: str, length: int, gram
     shared = parts.groupBy("key").agg(F.count("*").alias("c"), F.min("many").alias("known")).filter("c > 1 and not known").select("key")
     wanted = parts.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("pid").agg(F.collect_list(F.struct("off", "size")).alias("parts"), F.min("key").alias("low"))
     texts = scratch.save(kinds.select("pid", "print", "body").join(wanted, "pid").select("print", "body", "parts", "low").mapInArrow(_runs(length), "print binary, body binary, low long"), "texts")
-    sums = texts.agg(F.sum(F.octet_length("body")).alias("n"), F.count("*").alias("runs")).first()
-    total = sums["n"] or 0
+    total = texts.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     weighed = kinds.filter("many").select("print", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
     spans = weighed.limit(0)
     if total:
-        spans = _sorted_spans(texts, total, total - (length - 1) * sums["runs"], length, scratch)
+        spans = _sorted_spans(texts, total, length, scratch)
     some = weighed.union(spans).groupBy("print").agg(F.collect_list(F.struct("s", "e")).alias("l"))
     at = places.join(some, "print").select(*KEY, F.explode(F.transform("l", lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"] - 1 + length).alias("e")))).alias("x"))
     # Repeated rows share a key and bring the same spans, each of which is kept once: in a task first, then for the key.

@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+WIDE = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
+
+
 class Scratch:
     """Parquet tables under spark.checkpoint.dir, which every executor can read: they cut lineage and survive lost executors.
 
@@ -26,9 +29,11 @@ class Scratch:
             atexit.register(shutil.rmtree, base, True)
         self.spark, self.dir = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, tag: str, codec: str = "zstd", wide: bool = False) -> DataFrame:
+        """wide: rows may be megabytes each. Parquet looks at sizes after 100 rows at first, and writes and reads a row group (its
+        pages, packed as wholes) in memory; here it looks at every row and ends a group after 16 MB."""
         path = f"{self.dir}/{tag}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).options(**WIDE if wide else {}).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:
