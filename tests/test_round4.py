@@ -3,9 +3,11 @@
 import os
 import random
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from lodestrata.functions import text as tx
 from lodestrata.llm import suffix
 from lodestrata.operators import retrieve
 from lodestrata.tables import Scratch
@@ -78,3 +80,14 @@ def test_diversity_in_passes_over_blocks_agrees_with_pools(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "mmr", None)  # no pool is made
     got = sorted(map(tuple, retrieve.mmr_top(segs, asked).select("query_id", "segment_id", "place").collect()))
     assert got == want and len(got) == 5 + 5 + 2 + 5
+
+
+def test_words_by_bytes_are_the_words_of_the_pattern(spark):
+    """Before, every word was matched in the JVM and sent on as a string of a list; now only those of texts with Han characters, or
+    with one of the two others that become ASCII in lower case."""
+    odd = ["KELVIN Kelvin İstanbul a1 b Ä9z ÀB cd", None, "", "x", "end", "of ﬁ ſs ß9 Ab", "可乐好 mixed A1", "last one", "one last"]
+    texts = spark.createDataFrame([(None if i % 4 == 3 else "a", i, t) for i, t in enumerate(odd)], "asset string, segment_id long, text string").coalesce(1)
+    each = texts.select("asset", "segment_id", F.explode(tx.tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    want = each.groupBy("asset", "segment_id", "term").agg(F.count("*").alias("tf"))
+    assert sorted(map(str, retrieve.term_counts(texts).collect())) == sorted(map(str, want.collect()))
+    assert retrieve._words(pa.array(["Cola TEA x", None, "tea"]), pa.array([None, ["可乐"], None], pa.list_(pa.string())))[1].to_pylist() == ["可乐", "cola", "tea", "tea"]
